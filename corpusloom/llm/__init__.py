@@ -1,4 +1,11 @@
 """Training-data pipeline operators.
 
-Nothing outside this subpackage imports it; ``__spark_entry__`` adds its queries when it is present.
+Nothing outside this subpackage imports it; ``__spark_entry__`` adds its queries when it is present. Its functions travel
+to executors by value, so they need no installed copy of the package there.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

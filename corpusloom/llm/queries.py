@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_trees
+from . import chat_trees, license_scan, line_quality
 
-QUERIES = {"op4_chat_reply_trees": chat_trees.op4_chat_reply_trees}
-SQL = {"op4_chat_reply_trees": chat_trees.OP4_SQL}
+QUERIES = {
+    "op4_chat_reply_trees": chat_trees.op4_chat_reply_trees,
+    "op6_line_frequency": line_quality.op6_line_frequency,
+    "op8_license_scan": license_scan.op8_license_scan,
+}
+SQL = {
+    "op4_chat_reply_trees": chat_trees.OP4_SQL,
+    "op6_line_frequency": line_quality.OP6_SQL,
+    "op8_license_scan": license_scan.sql(),
+}
