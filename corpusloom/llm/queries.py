@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_trees, license_scan, line_quality
+from . import chat_trees, language_id, license_scan, line_quality
 
 QUERIES = {
     "op4_chat_reply_trees": chat_trees.op4_chat_reply_trees,
     "op6_line_frequency": line_quality.op6_line_frequency,
     "op8_license_scan": license_scan.op8_license_scan,
+    "op10_language_id": language_id.op10_language_id,
 }
 SQL = {
     "op4_chat_reply_trees": chat_trees.OP4_SQL,
