@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_trees, language_id, license_scan, line_quality
+from . import chat_trees, html_wrapper, language_id, license_scan, line_quality
 
 QUERIES = {
+    "op2_html_wrapper": html_wrapper.op2_html_wrapper,
     "op4_chat_reply_trees": chat_trees.op4_chat_reply_trees,
     "op6_line_frequency": line_quality.op6_line_frequency,
     "op8_license_scan": license_scan.op8_license_scan,
