@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_trees, html_wrapper, language_id, license_scan, line_quality
+from . import chat_trees, decontaminate, html_wrapper, language_id, license_scan, line_quality
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_html_wrapper": html_wrapper.op2_html_wrapper,
     "op4_chat_reply_trees": chat_trees.op4_chat_reply_trees,
     "op6_line_frequency": line_quality.op6_line_frequency,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
 }
 SQL = {
+    "op1_decontaminate": decontaminate.sql(),
     "op4_chat_reply_trees": chat_trees.OP4_SQL,
     "op6_line_frequency": line_quality.OP6_SQL,
     "op8_license_scan": license_scan.sql(),
