@@ -59,6 +59,11 @@ def _words(text: str) -> list[str]:
     return re.sub(r"[\W_]+", " ", text.lower()).split()
 
 
+def _rarity(word: str) -> tuple[bool, int]:
+    """Longer words are rarer; which words are taken changes the cost of the scan, never its result."""
+    return word not in COMMON, len(word)
+
+
 def template_table(threshold: float = THRESHOLD) -> list[dict]:
     out = []
     for name, texts in TEMPLATES.items():
@@ -68,8 +73,9 @@ def template_table(threshold: float = THRESHOLD) -> list[dict]:
             n, low = len(grams), math.ceil(round(threshold * len(grams) / (2 - threshold), 9))
             high = math.floor(round((2 - threshold) * n / threshold, 9))
             need = math.ceil(round(threshold * (low + n) / 2, 9))
-            rare = sorted(grams, key=lambda g: (g.split()[0] in COMMON, g))[: n - need + 1]
-            out.append({"license": name, "template": f"{name}#{i}", "grams": grams, "low": low, "high": high, "keys": sorted({g.split()[0] for g in rare})})
+            word = {g: max(g.split(), key=_rarity) for g in grams}  # a text with the bigram has this word
+            rare = sorted(grams, key=lambda g: (_rarity(word[g]), g), reverse=True)[: n - need + 1]
+            out.append({"license": name, "template": f"{name}#{i}", "grams": grams, "low": low, "high": high, "keys": sorted({word[g] for g in rare})})
     return out
 
 
@@ -80,10 +86,9 @@ def normalised(c):
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per (doc_id, licence) that some unit of a text reaches: dice, unit, n_units, template."""
-    spark, table = docs.sparkSession, template_table(threshold)
-    keys = sorted({k for t in table for k in t["keys"]})
-    words = F.split(normalised(F.col("text")), " ")
-    held = docs.select("doc_id", "text").filter(F.arrays_overlap(words, F.array(*[F.lit(k) for k in keys])))
+    table = template_table(threshold)
+    keys = F.array(*[F.lit(k) for k in sorted({k for t in table for k in t["keys"]})])
+    held = docs.select("doc_id", "text").filter(F.arrays_overlap(F.split(normalised(F.col("text")), " "), keys))
     tidy = lambda kind, c: F.transform(c, lambda u: F.struct(F.lit(kind[0]).alias("rank"), F.lit(kind[1]).alias("unit"), normalised(u).alias("words")))
     units = F.concat(
         tidy((0, "document"), F.array("text")),
@@ -91,14 +96,16 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         tidy((2, "line"), F.split("text", "\\n")),
         tidy((3, "sentence"), F.split(F.regexp_replace("text", "([.!?])" + _SPACE, "$1\n"), "\\n")),
     )
-    one = held.select("doc_id", F.explode(F.array_distinct(units)).alias("u")).select("doc_id", "u.rank", "u.unit", F.split("u.words", " ").alias("w"))
-    most = max(t["high"] for t in table)
-    one = one.filter(F.size("w") >= 2).withColumn("grams", F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
-    one = one.withColumn("n", F.size("grams")).filter(F.col("n") <= most)
-    sizes = F.broadcast(spark.createDataFrame([(t["license"], t["template"], t["low"], t["high"], len(t["grams"]), t["grams"]) for t in table], "license string, template string, low int, high int, size int, have array<string>"))
-    pairs = one.join(sizes, F.col("n").between(F.col("low"), F.col("high")))  # templates pruned by size; their number is fixed
-    dice = F.lit(2.0) * F.size(F.array_intersect("grams", "have")) / (F.col("n") + F.col("size"))
-    hits = pairs.withColumn("dice", F.round(dice, 6)).filter(F.col("dice") >= threshold)
+    one = held.select("doc_id", F.explode_outer(F.array_distinct(units)).alias("u")).select("doc_id", "u.rank", "u.unit", F.split("u.words", " ").alias("w"))
+    one = one.filter(F.arrays_overlap("w", keys))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    one = one.withColumn("grams", F.when(F.size("w") >= 2, F.array_distinct(pairs)))
+    known = F.array(*[F.struct(F.lit(t["license"]).alias("license"), F.lit(t["template"]).alias("template"), F.lit(t["low"]).alias("low"), F.lit(t["high"]).alias("high"), F.array(*[F.lit(g) for g in t["grams"]]).alias("have")) for t in table])
+    n = F.size("grams")
+    near = F.filter(known, lambda t: n.between(t["low"], t["high"]))  # the templates that the size bounds leave
+    dice = F.transform(near, lambda t: F.struct(t["license"].alias("license"), t["template"].alias("template"), F.round(F.lit(2.0) * F.size(F.array_intersect("grams", t["have"])) / (n + F.size(t["have"])), 6).alias("dice")))
+    hits = one.select("doc_id", "rank", "unit", F.explode_outer(F.filter(dice, lambda t: t["dice"] >= threshold)).alias("t")).filter(F.col("t").isNotNull())
+    hits = hits.select("doc_id", "rank", "unit", "t.license", "t.template", "t.dice")
     best = F.min(F.struct((-F.col("dice")).alias("d"), F.col("rank"), F.col("template"), F.col("unit")))
     return hits.groupBy("doc_id", "license").agg(best.alias("b"), F.count("*").alias("n_units")).select("doc_id", "license", (-F.col("b.d")).alias("dice"), F.col("b.unit").alias("unit"), F.col("b.template").alias("template"), "n_units")
 
