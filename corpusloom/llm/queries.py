@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_trees, decontaminate, html_wrapper, language_id, license_scan, line_quality
+from . import chat_trees, decontaminate, html_wrapper, language_id, license_scan, line_quality, line_runs
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_html_wrapper": html_wrapper.op2_html_wrapper,
     "op4_chat_reply_trees": chat_trees.op4_chat_reply_trees,
+    "op5_line_runs": line_runs.op5_line_runs,
     "op6_line_frequency": line_quality.op6_line_frequency,
     "op8_license_scan": license_scan.op8_license_scan,
     "op10_language_id": language_id.op10_language_id,
@@ -15,6 +16,7 @@ QUERIES = {
 SQL = {
     "op1_decontaminate": decontaminate.sql(),
     "op4_chat_reply_trees": chat_trees.OP4_SQL,
+    "op5_line_runs": line_runs.OP5_SQL,
     "op6_line_frequency": line_quality.OP6_SQL,
     "op8_license_scan": license_scan.sql(),
 }
