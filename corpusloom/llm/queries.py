@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_trees, decontaminate, html_wrapper, language_id, license_scan, line_quality, line_runs
+from . import chat_trees, decontaminate, html_wrapper, language_id, license_scan, line_quality, line_runs, minhash_icws
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_line_runs": line_runs.op5_line_runs,
     "op6_line_frequency": line_quality.op6_line_frequency,
     "op8_license_scan": license_scan.op8_license_scan,
+    "op9_icws": minhash_icws.op9_icws,
     "op10_language_id": language_id.op10_language_id,
 }
 SQL = {
