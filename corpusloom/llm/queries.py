@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_trees, decontaminate, html_wrapper, language_id, license_scan, line_quality, line_runs, minhash_icws
+from . import chat_trees, decontaminate, html_wrapper, language_id, license_scan, line_quality, line_runs, minhash_icws, suffix_family
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_chat_reply_trees": chat_trees.op4_chat_reply_trees,
     "op5_line_runs": line_runs.op5_line_runs,
     "op6_line_frequency": line_quality.op6_line_frequency,
+    "op7_suffix_family": suffix_family.op7_suffix_family,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_icws": minhash_icws.op9_icws,
     "op10_language_id": language_id.op10_language_id,
