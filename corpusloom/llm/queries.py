@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_trees, decontaminate, html_wrapper, language_id, license_scan, line_quality, line_runs, minhash_icws, suffix_family
+from . import bm25_pack, chat_trees, decontaminate, html_wrapper, language_id, license_scan, line_quality, line_runs, minhash_icws, suffix_family
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_html_wrapper": html_wrapper.op2_html_wrapper,
+    "op3_bm25_pack": bm25_pack.op3_bm25_pack,
     "op4_chat_reply_trees": chat_trees.op4_chat_reply_trees,
     "op5_line_runs": line_runs.op5_line_runs,
     "op6_line_frequency": line_quality.op6_line_frequency,
