@@ -147,7 +147,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES) -
     lines of the input), deepest (the longest 2^k of lines that repeat from one of its positions)."""
     runs = repeated_runs(docs, scratch, min_lines)
     runs = runs.filter(F.exists("later", lambda x: x)).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "lines", "later")).alias("levels"))
-    runs = scratch.cut(runs, "levels").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "levels")
+    runs = scratch.cut(runs, "levels").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "levels").hint("merge")
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     joined = docs.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (key == F.col("_hash")), "left").drop("_doc", "_hash")
     rest = [f for f in docs.schema.fields if f.name != "text"]
