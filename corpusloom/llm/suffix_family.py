@@ -265,7 +265,7 @@ def dedup_bytes(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int
     # the documents' candidates; those that no suffix of another place matches have none
     found = anchored.join(family.repeated(), "gram", "left_semi").groupBy("text_hash").agg(F.collect_set("at").alias("ats"))
     found = scratch.cut(found, "candidates")
-    touched = scratch.cut(long_rows.join(found, "text_hash"), "touched")
+    touched = scratch.cut(long_rows.join(found.hint("merge"), "text_hash"), "touched")
     scratch.drop("anchors", *[name for name, _ in family.levels.values()])
     kind = "text_hash long, start long, gram long, back int, h1 long, h2 long, stretch binary"
     place = scratch.cut(touched.select("text", "text_hash", "ats").mapInArrow(_stretched(length, k), kind), "stretches")
