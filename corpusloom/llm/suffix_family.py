@@ -37,8 +37,8 @@ from .common import Rolling, Scratch, read, small_batches
 LENGTH = 200
 K = 64
 BATCHES = 4
-#: Different stretches of one prefix up to which one task holds them: at under 400 bytes each, a few hundred KB.
-CROWD = 512
+#: Different stretches of one prefix up to which one task holds them: at under 400 bytes each, 13 MB at most.
+CROWD = 1 << 15
 
 _grams, _first, _second = Rolling(seed=11), Rolling(seed=21), Rolling(seed=31, base=0x6C8E9CF570932BD5)
 
