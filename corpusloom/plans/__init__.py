@@ -1 +1 @@
-
+"""Registered queries: operators applied to the driver's tables, each with equivalent SQL."""
