@@ -94,7 +94,8 @@ def _tokens(spark, sf):
     return docs(spark, sf).select("lang", F.explode(F.concat("tokens", F.array(F.lit("<sep>")))).alias("tok"))
 
 
-_SEP = F.col("tok") == "<sep>"
+def _sep():
+    return F.col("tok") == "<sep>"
 
 
 @query("vocab_thresholds", f"WITH {_H} SELECT CAST(t AS BIGINT) AS at_least, (SELECT count(*) FROM h WHERE n >= t) AS tokens FROM (SELECT unnest([1, 10, 100, 1000, 10000]) AS t)")
@@ -106,14 +107,14 @@ def vocab_thresholds(spark, sf):
 @query("vocab_rare_share", f"WITH {_H} SELECT CAST(t AS BIGINT) AS below, round((SELECT count(*) FROM h WHERE n < t AND tok <> '<sep>') / (SELECT count(*) FROM h WHERE tok <> '<sep>'), 9) AS share FROM (SELECT unnest([10, 100]) AS t)")
 def vocab_rare_share(spark, sf):
     """A4, T10."""
-    return A.rare_share(A.histogram(_tokens(spark, sf), "tok"), _SEP).withColumn("share", F.round("share", 9))
+    return A.rare_share(A.histogram(_tokens(spark, sf), "tok"), _sep()).withColumn("share", F.round("share", 9))
 
 
 @query("vocab_coverage", f"""WITH {_H}, r AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS k FROM h WHERE tok <> '<sep>')
 SELECT CAST(t AS BIGINT) AS k, round((SELECT sum(n) FROM r WHERE r.k <= t) / (SELECT sum(n) FROM r), 9) AS share FROM (SELECT unnest([100, 500, 1000, 4000, 8000]) AS t)""")
 def vocab_coverage(spark, sf):
     """A5, T-3."""
-    return A.top_mass(A.histogram(_tokens(spark, sf), "tok"), _SEP).withColumn("share", F.round("share", 9))
+    return A.top_mass(A.histogram(_tokens(spark, sf), "tok"), _sep()).withColumn("share", F.round("share", 9))
 
 
 @query("vocab_domains", f"WITH {_H} SELECT lang, count(*) AS tokens, count(DISTINCT tok) AS different FROM t GROUP BY lang")
@@ -125,7 +126,7 @@ def vocab_domains(spark, sf):
 @query("top_tokens", f"WITH {_H} SELECT tok, n FROM h WHERE tok <> '<sep>' ORDER BY n DESC, tok LIMIT 50")
 def top_tokens(spark, sf):
     """A6, T-2, T11: a report of the 50 most frequent tokens."""
-    return A.top_tokens(A.histogram(_tokens(spark, sf), "tok"), "tok", _SEP, 50)
+    return A.top_tokens(A.histogram(_tokens(spark, sf), "tok"), "tok", _sep(), 50)
 
 
 _CTX, _EARLY, _LATE = 64, (8, 16), (48, 56)

@@ -29,8 +29,9 @@ def marked_documents(spark: SparkSession, path: str, marker: str = MARKER) -> Da
 
 def jsonl_documents(spark: SparkSession, shards: list[str]) -> DataFrame:
     """Documents of JSON-line shards in the manifest's order: shard_no, line_no and text; line numbers are file offsets' order."""
-    names = spark.createDataFrame([(i, p.rsplit("/", 1)[-1]) for i, p in enumerate(shards)], "shard_no int, file string")
-    rows = spark.read.text(shards).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
+    tidy = "^(file:)?/+"
+    names = spark.createDataFrame(list(enumerate(shards)), "shard_no int, file string").withColumn("file", F.regexp_replace("file", tidy, "/"))
+    rows = spark.read.text(shards).select("value", F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), tidy, "/").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
     doc = F.from_json("value", "text string")["text"]
     return rows.join(F.broadcast(names), "file").select("shard_no", F.struct("block", "seq").alias("line_no"), doc.alias("text"))  # a row per shard named
 
