@@ -37,6 +37,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """No more partitions than two rounds of tasks over all cores: more would run no faster and leave small files.
+
+    Partitions are chained in a task, not merged, so a task holds no more at once.
+    """
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 class Scratch:
     """Written tables that cut lineage. A lost executor costs only the tasks that read them again."""
 
@@ -45,9 +53,9 @@ class Scratch:
         self.root = f"{scratch_dir(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
     def cut(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """Write and reread. No more files than eight rounds of tasks over all cores: more would run no faster."""
+        """Write and reread."""
         path = f"{self.root}/{name}"
-        writer = df.coalesce(8 * self.spark.sparkContext.defaultParallelism).write.mode("overwrite").option("compression", "zstd")
+        writer = few_files(df).write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

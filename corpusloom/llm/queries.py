@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from . import bm25_pack, chat_trees, decontaminate, html_wrapper, language_id, license_scan, line_quality, line_runs, minhash_icws, suffix_family
+from .common import few_files
 
-QUERIES = {
+def _few(query):
+    def run(spark, sf_dir):
+        return few_files(query(spark, sf_dir))
+
+    return run
+
+
+_OWN = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_html_wrapper": html_wrapper.op2_html_wrapper,
     "op3_bm25_pack": bm25_pack.op3_bm25_pack,
@@ -16,6 +24,7 @@ QUERIES = {
     "op9_icws": minhash_icws.op9_icws,
     "op10_language_id": language_id.op10_language_id,
 }
+QUERIES = {name: _few(query) for name, query in _OWN.items()}
 SQL = {
     "op1_decontaminate": decontaminate.sql(),
     "op4_chat_reply_trees": chat_trees.OP4_SQL,
