@@ -45,13 +45,17 @@ def sql_uniform(*parts: str) -> str:
     return f"({sql_draw(*parts)} / {float(_UNIT)!r}::DOUBLE)"
 
 
-def grams(rows: DataFrame, tokens: str, n: int, keep: list[str]) -> DataFrame:
-    """Every window of n tokens with its start: ``keep``, at, h (64-bit hash) and gram (text, built where it is used).
+def grams(rows: DataFrame, tokens: str, n: int, keep: list[str], text: bool = True) -> DataFrame:
+    """Every window of n tokens with its start: ``keep``, at, h (64-bit hash) and gram, or its parts t if not ``text``.
 
     Shifted copies of the array are zipped and generated, which stays in one compiled stage. Arrays shorter than n give
     no rows. Outer generators keep the optimiser from evaluating the tokens a second time.
     """
     shifted = [F.slice(tokens, F.lit(i + 1), F.greatest(F.size(tokens) - i, F.lit(0))).alias(f"t{i}") for i in range(n)]
     at = rows.select(*keep, F.posexplode_outer(F.arrays_zip(*shifted)).alias("at", "t")).filter(F.col(f"t.t{n - 1}").isNotNull())
-    parts = [F.col(f"t.t{i}") for i in range(n)]
-    return at.select(*keep, F.col("at").cast("long").alias("at"), F.xxhash64(*parts).alias("h"), F.concat_ws(" ", *parts).alias("gram"))
+    h = F.xxhash64(*[F.col(f"t.t{i}") for i in range(n)]).alias("h")
+    return at.select(*keep, F.col("at").cast("long").alias("at"), h, gram_text("t", n).alias("gram") if text else F.col("t"))
+
+
+def gram_text(parts: str, n: int) -> Column:
+    return F.concat_ws(" ", *[F.col(f"{parts}.t{i}") for i in range(n)])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SEPARATOR, draw, grams
+from ..functions.text import SEPARATOR, draw, gram_text, grams
 from ..sources.tables import bounded
 
 
@@ -21,7 +21,8 @@ def holdout_grams(items: DataFrame, tokens: str, n: int) -> DataFrame:
 def gram_hits(docs: DataFrame, tokens: str, keep: list[str], held: DataFrame, n: int) -> DataFrame:
     """(keep, at, gram) of windows of documents that are held-out grams."""
     side = bounded(held.select("h", F.col("gram").alias("held_gram")))
-    return grams(docs, tokens, n, keep).join(side, "h").filter(F.col("gram") == F.col("held_gram")).select(*keep, "at", "gram")
+    # the text of a window is put together only where its hash is found
+    return grams(docs, tokens, n, keep, text=False).join(side, "h").filter(gram_text("t", n) == F.col("held_gram")).select(*keep, "at", F.col("held_gram").alias("gram"))
 
 
 def split_contaminated(docs: DataFrame, key: str, tokens: str, held: DataFrame, n: int) -> DataFrame:
@@ -54,19 +55,19 @@ def residual(kept: DataFrame, items: DataFrame, order: str, tokens: str, n: int,
 
 def sampled_grams(splits: DataFrame, split: str, key: str, tokens: str, n: int, k: int, seed: int) -> DataFrame:
     """K windows of each split, the least by a hash of their place."""
-    all_of = grams(splits, tokens, n, [split, key]).withColumn("d", draw(seed, F.col(split), F.col(key), F.col("at")))
+    all_of = grams(splits, tokens, n, [split, key], text=False).withColumn("d", draw(seed, F.col(split), F.col(key), F.col("at")))
     # the least k of each of 64 parts first, so no task sees a whole split
     part = all_of.withColumn("p", F.pmod(F.col("d"), F.lit(64)))
     few = part.withColumn("r", F.row_number().over(Window.partitionBy(split, "p").orderBy("d", key, "at"))).filter(F.col("r") <= k)
-    return few.withColumn("r", F.row_number().over(Window.partitionBy(split).orderBy("d", key, "at"))).filter(F.col("r") <= k).select(split, "r", "h", "gram")
+    return few.withColumn("r", F.row_number().over(Window.partitionBy(split).orderBy("d", key, "at"))).filter(F.col("r") <= k).select(split, "r", "h", gram_text("t", n).alias("gram"))
 
 
 def leak_report(splits: DataFrame, train: DataFrame, split: str, key: str, tokens: str, n: int, k: int, seed: int) -> DataFrame:
     """Per split its samples, leaks into train, and the control: every sample is found in its own split."""
     picked = sampled_grams(splits, split, key, tokens, n, k, seed)
     leak = gram_hits(train, tokens, [], picked.select("h", "gram").distinct(), n).select("gram").distinct().withColumn("leak", F.lit(1))
-    own = grams(splits, tokens, n, [split]).join(bounded(picked.select(F.col(split).alias("s"), "h", F.col("gram").alias("g")).distinct()), "h")
-    own = own.filter((F.col("gram") == F.col("g")) & (F.col(split) == F.col("s"))).select(split, "gram").distinct().withColumn("own", F.lit(1))
+    own = grams(splits, tokens, n, [split], text=False).join(bounded(picked.select(F.col(split).alias("s"), "h", "gram").distinct()), "h")
+    own = own.filter((gram_text("t", n) == F.col("gram")) & (F.col(split) == F.col("s"))).select(split, "gram").distinct().withColumn("own", F.lit(1))
     told = picked.join(leak, "gram", "left").join(own, [split, "gram"], "left").groupBy(split)
     told = told.agg(F.count("*").alias("samples"), F.count("leak").alias("leaks"), (F.count("own") == F.count("*")).alias("control"))
     return told.withColumn("passed", (F.col("leaks") == 0) & F.col("control"))

@@ -35,9 +35,9 @@ def window_of_target(stream: DataFrame, by: str, ctx: int, cap: int | None = Non
 
 def ngram_nll(targets: DataFrame, train: DataFrame) -> DataFrame:
     """M3 stand-in: adds nll: -ln of half an add-one unigram plus half a bigram model of the train stream."""
-    uni = train.groupBy("tok").agg(F.count("*").alias("c1"))
-    bi = train.groupBy("prev", "tok").agg(F.count("*").alias("c2"))
-    pre = train.groupBy("prev").agg(F.count("*").alias("c0"))
+    bi = train.groupBy("prev", "tok").agg(F.count("*").alias("c2"))  # every token has one before it, so its sums are the others
+    uni = bi.groupBy("tok").agg(F.sum("c2").alias("c1"))
+    pre = bi.groupBy("prev").agg(F.sum("c2").alias("c0"))
     total = uni.agg(F.sum("c1").alias("n"), F.count("*").alias("v"))
     out = targets.join(uni, "tok", "left").join(bi, ["prev", "tok"], "left").join(pre, "prev", "left").join(F.broadcast(total))  # one row
     p1 = (F.coalesce("c1", F.lit(0)) + 1.0) / (F.col("n") + F.col("v") + 1.0)
