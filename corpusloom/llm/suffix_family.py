@@ -51,25 +51,28 @@ def anchors(b: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray
     at = np.arange(len(b) - k + 1)
     h = _grams.of(_grams.prefix(b), at, at + k)
     w = length - k + 1
-    # the leftmost least hash of every w consecutive ones: least suffix of a block, or least prefix of the next
-    size = -(-len(h) // w) * w
-    key = np.full(size, np.iinfo(np.uint64).max)
-    key[: len(h)] = h
-    block = key.reshape(-1, w)
-    left = np.minimum.accumulate(block[:, ::-1], 1)[:, ::-1].reshape(-1)
-    right = np.minimum.accumulate(block, 1).reshape(-1)
-    least = np.minimum(left[:n], right[w - 1 : w - 1 + n])
-    hit = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))  # equal neighbours may be two anchors of one hash
-    pos = np.empty(n, np.int64)
-    ends = np.append(hit[1:], n)
-    for a, e in zip(hit, ends, strict=True):
-        where = a + np.flatnonzero(h[a : e + w - 1] == least[a])
-        starts = np.arange(a, e)
-        pos[a:e] = where[np.searchsorted(where, starts)]
+    pos = np.concatenate([s + _leftmost_least(h[s : s + _PART + w - 1], w) for s in range(0, n, _PART)])
     edge = np.flatnonzero(np.concatenate(([True], pos[1:] != pos[:-1])))
     return pos[edge], h[pos[edge]].view(np.int64), edge, np.append(edge[1:], n) - 1
 
 
+_PART, _PLACE = (1 << 20) - (1 << 12), np.uint64((1 << 20) - 1)
+
+
+def _leftmost_least(h: np.ndarray, w: int) -> np.ndarray:
+    """Position of the least of every w consecutive hashes, by their upper 44 bits, the leftmost if equal.
+
+    The position is the lower part of the key, so equal hashes are told apart and the least key names its place.
+    """
+    n = len(h) - w + 1
+    key = np.full(-(-len(h) // w) * w, np.iinfo(np.uint64).max)
+    key[: len(h)] = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+    block = key.reshape(-1, w)
+    left = np.minimum.accumulate(block[:, ::-1], 1)[:, ::-1].reshape(-1)  # least to the end of the block
+    right = np.minimum.accumulate(block, 1).reshape(-1)  # least from its beginning
+    return (np.minimum(left[:n], right[w - 1 : w - 1 + n]) & _PLACE).astype(np.int64)
+
+
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
