@@ -1,6 +1,6 @@
 """Decontamination by token n-grams: holdout grams, document filter, residual scan, leak gate.
 
-The reference's wrapping polynomial hash is replaced by a 64-bit hash with the gram itself compared after the join, so a
+Grams are joined by a 64-bit hash and the gram itself is compared after the join, so a
 collision cannot drop a document. The holdout side is broadcast behind a check of its size.
 """
 
