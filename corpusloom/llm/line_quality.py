@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,14 +72,11 @@ def measure(text: str) -> tuple:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    uid = TaskContext.get().partitionId() << 36
     kinds = [pa.int64()] * len(_COUNTS) + [pa.list_(pa.int64()), pa.list_(pa.int32())]
     for batch in batches:
         found = [measure(t or "") for t in batch.column("text").to_pylist()]
         cols = [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
-        ids = pa.array(range(uid, uid + len(found)), pa.int64())
-        uid += len(found)
-        yield pa.RecordBatch.from_arrays([ids, batch.column("doc_id"), batch.column("host"), *cols], [f.split()[0] for f in SCHEMA.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("host"), *cols], [f.split()[0] for f in SCHEMA.split(", ")])
 
 
 def judge(docs: DataFrame, host: str = "source", limit: int = LIMIT, most_lost: float = MOST_LOST) -> DataFrame:
@@ -88,7 +84,7 @@ def judge(docs: DataFrame, host: str = "source", limit: int = LIMIT, most_lost:
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "lines")
-    each = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
+    each = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.col("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
     each = scratch.cut(each.mapInArrow(_measured, SCHEMA), "measured")
     line = each.select("uid", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("uid", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("n"))
     often = scratch.cut(line.groupBy("host", "line").count().filter(F.col("count") > limit).select("host", "line"), "often")
