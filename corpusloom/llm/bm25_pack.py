@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,7 +212,7 @@ def tail_used(out: list[tuple], seq: int) -> int:
 
 def _packed(idf: np.ndarray, mean: float, window: int, shard_docs: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, held, ids, size = TaskContext.get().partitionId() << 36, [], [], 0
+        base, held, ids, size = None, [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal base, held, ids, size
@@ -229,6 +228,8 @@ def _packed(idf: np.ndarray, mean: float, window: int, shard_docs: int, shard_to
             return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
+            if base is None and batch.num_rows:  # the partition's number; the task's own would repeat where partitions are chained
+                base = batch.column("uid")[0].as_py() >> 33 << 36
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 x = np.frombuffer(raw, "<u2")
                 if held and (len(held) >= shard_docs or size + len(x) > shard_tokens):
@@ -250,7 +251,7 @@ def pack_documents(docs: DataFrame, scratch: Scratch, path: str | None = None, w
     small_batches(docs.sparkSession, 256)
     tokens = scratch.cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encoded(path or tokenizer_path()), "doc_id long, ids binary"), "tokens")
     idf, mean = statistics(tokens)
-    return tokens.mapInArrow(_packed(idf, mean, window, shard_docs, shard_tokens), PIECES)
+    return tokens.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_packed(idf, mean, window, shard_docs, shard_tokens), PIECES)
 
 
 def op3_bm25_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
