@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +83,6 @@ def scorer(langs: list[str], logs: np.ndarray, own: np.ndarray):
     """mapInArrow function: log-likelihoods of the whole text, letters, and whether the text fits its best language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 36
         for batch in batches:
             score, best, n_letters = [], [], []
             for text in batch.column("text").to_pylist():
@@ -95,10 +93,8 @@ def scorer(langs: list[str], logs: np.ndarray, own: np.ndarray):
                 score.append((s - s.max() if len(s) else s).tolist())
                 fits = bool(len(s)) and len(k) > 0 and s.max() / len(k) >= own[int(s.argmax())] - SLACK
                 best.append(langs[int(s.argmax())] if fits and n_letters[-1] >= MIN_LETTERS else "und")
-            ids = pa.array(range(uid, uid + len(score)), pa.int64())
-            uid += len(score)
             keep = [batch.column(c) for c in ("kind", "id", "declared", "host", "domain", "suffix")]
-            yield pa.RecordBatch.from_arrays([ids, *keep, pa.array(score, pa.list_(pa.float64())), pa.array(best, pa.string())], ["uid", "kind", "id", "declared", "host", "domain", "suffix", "score", "text_lang"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(score, pa.list_(pa.float64())), pa.array(best, pa.string())], ["kind", "id", "declared", "host", "domain", "suffix", "score", "text_lang"])
 
     return run
 
@@ -127,7 +123,7 @@ def identify(rows: DataFrame, labelled: DataFrame, scratch: Scratch, sample: int
     rows = rows.withColumn("declared", F.when(tidy.isin(langs) if langs else F.lit(False), tidy).otherwise(""))
     for c in ("host", "domain", "suffix"):
         rows = rows.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("")))
-    out = "uid long, kind string, id long, declared string, host string, domain string, suffix string, score array<double>, text_lang string"
+    out = "kind string, id long, declared string, host string, domain string, suffix string, score array<double>, text_lang string"
     told = scratch.cut(rows.select("kind", F.col("id").cast("long"), "text", "declared", "host", "domain", "suffix").mapInArrow(scorer(langs, logs, own), out), "scored")
     if not langs:
         return told.select("kind", "id", "text_lang", F.col("text_lang").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"))

@@ -154,6 +154,13 @@ def test_packing_edges(spark, edge, none, vocabulary):
     assert bm25_pack.pack_documents(none, scratch(spark)).count() == 0
 
 
+def test_sequences_are_told_apart_where_partitions_are_chained(spark, vocabulary):
+    docs = spark.createDataFrame([(i, f"text number {i} " * 20) for i in range(60)], "doc_id long, text string")
+    rows = bm25_pack.pack_documents(docs.repartition(12), scratch(spark), window=64).coalesce(1).collect()
+    check_pieces(rows, 64)
+    assert len({r["doc_id"] for r in rows}) == 60
+
+
 def test_neighbours_share_windows():
     g = np.random.default_rng(1)
     topics = [np.arange(k * 50, k * 50 + 50) for k in range(4)]
@@ -221,6 +228,13 @@ def test_frequent_lines_deplete(spark):
     assert not got[0]["kept"] and got[0]["n_lost_words"] == 40 and not got[0]["base_failed"] and got[100]["kept"] and got[200]["kept"]
 
 
+def test_counts_do_not_depend_on_partitions(spark):
+    docs = [(i, f"alpha beta {i}\nshared line of words\n" * 3, "h") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    one, many = (sorted(map(str, line_quality.judge(df.repartition(n)).collect())) for n in (1, 24))
+    assert one == many and len(one) == 40
+
+
 def test_quality_edges(spark, edge, none):
     rows = line_quality.judge(edge).collect()
     assert len(rows) == len(EDGE) and {r["doc_id"] for r in rows if r["base_failed"]} >= {1, 2, 3, 6}
