@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sql_uniform, uniform
+from ..operators import extensions as E
 from ..operators import logs as L
 from ..operators import trajectory as T
 from ..sources.tables import table
@@ -241,3 +242,43 @@ def resume_verdict(spark, sf):
     u = F.col("user_id")
     s = table(spark, sf, "events").select("user_id").distinct().select(u.alias("id"), (u % 9 != 0).alias("exists"), (u % 7 != 0).alias("loads"), F.when(u % 5 != 0, "stage").alias("run_name"), F.lit("torch").alias("framework"), (u % 3).alias("seed"), (u - 2).alias("step"), F.when(u % 4 == 0, 5).otherwise((u - 1) * 100).alias("tokens"), F.when(u % 6 != 0, u * 90).alias("newest"))
     return L.resume_verdict(s, "stage", "torch", 1, 100).select("id", "exit_code")
+
+
+@query("band_trigger", f"""WITH {_POINTS}, b AS (SELECT run, avg(score) + 3 * stddev_samp(score) AS level FROM o WHERE pos <= 6 GROUP BY run),
+h AS (SELECT run, tokens, level, sum(CASE WHEN score > level THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS k FROM o JOIN b USING (run) WHERE pos > 6)
+SELECT run, round(any_value(level), 6) AS level, min(tokens) FILTER (WHERE k = 3) AS tokens FROM h GROUP BY run""")
+def band_trigger(spark, sf):
+    """E1."""
+    return E.band_trigger(points(spark, sf), "run", "score", 6).withColumn("level", F.round("level", 6))
+
+
+@query("plateau_anchors", f"""WITH {_POINTS}, f AS (SELECT run, avg(score) AS plateau FROM (SELECT *, max(pos) OVER (PARTITION BY run) AS n FROM o) WHERE pos > n - 3 GROUP BY run)
+SELECT run, round(any_value(plateau), 6) AS plateau, min(tokens) FILTER (WHERE score >= 0.1 * plateau) AS at_10, min(tokens) FILTER (WHERE score >= 0.5 * plateau) AS at_50, min(tokens) FILTER (WHERE score >= 0.9 * plateau) AS at_90 FROM o JOIN f USING (run) GROUP BY run""")
+def plateau_anchors(spark, sf):
+    """E2, E3."""
+    return E.plateau_anchors(points(spark, sf), "run", "score").withColumn("plateau", F.round("plateau", 6))
+
+
+@query("late_divergence", f"""WITH {_LOG}, m AS (SELECT run, step, avg(CASE WHEN loss > 0.5 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY run ORDER BY step RANGE BETWEEN 19 PRECEDING AND CURRENT ROW) AS share FROM lw)
+SELECT run, min(step) AS step FROM m WHERE share > 0.5 GROUP BY run""")
+def late_divergence(spark, sf):
+    """E4."""
+    return E.late_divergence(L.last_wins(log(spark, sf), ["run", "step"], "seq", "loss"), "run", "step", "loss", 0.5, 20)
+
+
+@query("poisson_coverage", "SELECT run, round(avg(n), 9) AS mean, round(1 - exp(-avg(n)), 9) AS covered FROM (SELECT event_type AS run, user_id, count(*) / 20.0 AS n FROM events GROUP BY ALL) GROUP BY run")
+def poisson_coverage(spark, sf):
+    """E5."""
+    c = table(spark, sf, "events").groupBy(F.col("event_type").alias("run"), "user_id").agg((F.count("*") / 20.0).alias("n"))
+    return E.poisson_coverage(c, ["run"], "n").select("run", F.round("mean", 9).alias("mean"), F.round("covered", 9).alias("covered"))
+
+
+_POWERS = [pow(E.BASE, j, 1 << 64) for j in range(4)]
+
+
+@query("polynomial_hash", f"""WITH c AS (SELECT conv_id, list(length(text) ORDER BY turn) AS ids FROM conversations GROUP BY conv_id), w AS (SELECT conv_id, ids, unnest(range(1, len(ids) - 2)) AS i FROM c WHERE len(ids) >= 4)
+SELECT conv_id, i - 1 AS z, CAST(({" + ".join(f"(ids[i + {j}] + 1)::HUGEINT * {p}::HUGEINT" for j, p in enumerate(_POWERS))}) % 18446744073709551616::HUGEINT AS VARCHAR) AS h FROM w""")
+def polynomial_hash(spark, sf):
+    """Windows of 4 text lengths of each conversation."""
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))), lambda x: x["n"]).alias("ids"))
+    return E.polynomial_hashes(c, "conv_id", "ids", 4).select("conv_id", F.col("at").alias("z"), "h")

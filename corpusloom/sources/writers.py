@@ -103,7 +103,7 @@ def shown(v: object) -> str:
 
 
 def curve_table(points: DataFrame, columns: list[str]) -> DataFrame:
-    """The table a chart of trajectories would plot, in order of the token axis."""
+    """K10, T-1: the table a chart of trajectories would plot, in order of the token axis."""
     return points.filter(F.col("tokens").isNotNull()).select("tokens", *columns).orderBy("tokens")
 
 

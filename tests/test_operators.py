@@ -10,6 +10,7 @@ from corpusloom.functions.text import grams, strip, words
 from corpusloom.operators import attention as A
 from corpusloom.operators import corpus as C
 from corpusloom.operators import decon as D
+from corpusloom.operators import extensions as E
 from corpusloom.operators import kernel as K
 from corpusloom.operators import logs as L
 from corpusloom.operators import scoring as S
@@ -230,3 +231,13 @@ def test_ov_score_by_full_matrix():
 
 def test_widths():
     assert A.mlp_width(512) == 1408 and A.parameter_count(16384, 512, 1) == 16384 * 512 + 4 * 512**2 + 3 * 512 * 1408 + 3 * 512
+
+
+def test_polynomial_hash_repeats(spark):
+    df = spark.createDataFrame([(1, [5, 6, 7, 8, 99, 5, 6, 7, 8]), (2, [1, 2, 3])], "k long, ids array<int>")
+    h = {r["at"]: int(r["h"]) for r in E.polynomial_hashes(df, "k", "ids", 4).collect()}
+    assert len(h) == 6 and h[0] == h[5] != h[1] and h[0] == sum((t + 1) * E.BASE**j for j, t in enumerate([5, 6, 7, 8])) % 2**64
+
+
+def test_find_result():
+    assert E.find_result({"a": [{"domain": "x"}, {"b": {"domain": "x", "perplexity": 3.0}}]}, "x") == 3.0 and E.find_result([], "x") is None
