@@ -60,19 +60,29 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array([total[r].astype("<i8").tobytes() for r in rows], pa.binary())], ["label", "counts"])
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the count vectors of each label in this task."""
+    total: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for label, counts in zip(batch.column("label").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            total[label] = total.get(label, 0) + np.frombuffer(counts, "<i8")
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.astype("<i8").tobytes() for v in total.values()], pa.binary())], ["label", "counts"])
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log P(bucket | language), and the mean log-likelihood of each language's own n-grams.
 
-    ``labelled``: text, label. What reaches the driver is one count vector per language and task of the bounded sample.
+    ``labelled``: text, label. The sample is the ``sample`` different texts of least hash: first the bound is found among
+    the hashes alone, then the texts within it are counted where they lie. The driver gets one vector per language.
     """
-    rows = labelled.filter(F.col("label").isNotNull() & (F.col("label") != "") & F.col("text").isNotNull())
-    rows = rows.orderBy(F.xxhash64("text"), "label").limit(sample)
-    total: dict[str, np.ndarray] = {}
-    for r in rows.mapInArrow(_counted, "label string, counts binary").collect():
-        total[r["label"]] = total.get(r["label"], 0) + np.frombuffer(r["counts"], "<i8")
-    langs = sorted(total)
-    if not langs:
+    rows = labelled.filter(F.col("label").isNotNull() & (F.col("label") != "") & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
+    edge = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if edge is None:
         return [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)
+    kind = "label string, counts binary"
+    picked = rows.filter(F.col("h") <= edge).groupBy("h", "label").agg(F.min("text").alias("text"))
+    total = {r["label"]: np.frombuffer(r["counts"], "<i8") for r in picked.mapInArrow(_counted, kind).repartition(8, "label").mapInArrow(_added, kind).collect()}
+    langs = sorted(total)
     counts = np.stack([total[x] for x in langs], 1).astype(np.float64)
     logs = np.log((counts + 0.5) / (counts + 0.5).sum(0))
     own = (counts * logs).sum(0) / np.maximum(counts.sum(0), 1)
