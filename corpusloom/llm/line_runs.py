@@ -17,7 +17,8 @@ is joined back is split by adaptive execution where one name is hot.
 
 Defined results: null and empty texts have no lines and stay as they are; blank lines take no part and stay; rows with
 the same doc_id and text are one document and share their verdict; a null doc_id orders first; an empty table gives an
-empty result; columns other than doc_id and text pass through unchanged.
+empty result; columns other than doc_id and text pass through unchanged, but those named like a result column
+(n_removed, spans, deepest) or a working one (levels, _doc, _hash) are replaced.
 """
 
 from __future__ import annotations
@@ -145,6 +146,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_lines(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES) -> DataFrame:
     """The documents without later copies of repeated runs: all columns, and n_removed, spans (maximal runs deleted, in
     lines of the input), deepest (the longest 2^k of lines that repeat from one of its positions)."""
+    docs = docs.drop("n_removed", "spans", "deepest", "levels", "_doc", "_hash")
     runs = repeated_runs(docs, scratch, min_lines)
     runs = runs.filter(F.exists("later", lambda x: x)).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "lines", "later")).alias("levels"))
     runs = scratch.cut(runs, "levels").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "levels").hint("merge")

@@ -204,7 +204,7 @@ def test_line_runs(spark):
 
 
 def test_line_runs_edges(spark, edge, none):
-    rows = line_runs.dedup_lines(edge, scratch(spark)).collect()
+    rows = line_runs.dedup_lines(edge.withColumn("spans", F.lit(1)).withColumn("levels", F.lit(1)), scratch(spark)).collect()
     assert len(rows) == len(EDGE) and all(r["n_removed"] == 0 for r in rows) and rows[0]["host"] == "h"
     assert line_runs.dedup_lines(none, scratch(spark)).count() == 0
 
