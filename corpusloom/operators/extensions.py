@@ -86,3 +86,26 @@ def find_result(tree: Any, domain: str, value: str = "perplexity") -> Any:
         if (found := find_result(part, domain, value)) is not None:
             return found
     return None
+
+
+def kneser_ney(train: DataFrame, targets: DataFrame, order: int = 5, discount: float = 0.75) -> DataFrame:
+    """Adds nll, the loss of interpolated Kneser-Ney of that order. Both: w (array of ``order`` tokens, the last is the target).
+
+    The highest order counts grams; a lower one counts in how many different contexts a gram was seen. Each order is two
+    grouped tables, joined by gram and by context; an order whose context is unseen passes the lower one on. The lowest
+    is uniform over the words seen and one unseen.
+    """
+    vocabulary = train.select(F.element_at("w", -1).alias("t")).agg((F.countDistinct("t") + 1.0).alias("v"))
+    out = targets.join(F.broadcast(vocabulary)).withColumn("p", 1.0 / F.col("v")).drop("v")  # one row
+    full = train.groupBy("w").agg(F.count("*").alias("c"))
+    for k in range(1, order + 1):
+        tail = lambda n: F.slice("w", F.lit(order - n + 1), F.lit(n))
+        if k == order:
+            gram = full.select(F.col("w").alias("g"), "c")
+        else:  # one for every different gram that is a token longer
+            gram = full.select(tail(k + 1).alias("l")).distinct().groupBy(F.slice("l", F.lit(2), F.lit(k)).alias("g")).agg(F.count("*").alias("c"))
+        context = gram.groupBy(F.slice("g", F.lit(1), F.lit(k - 1)).alias("h")).agg(F.sum("c").alias("n"), F.count("*").alias("kinds"))
+        out = out.withColumn("g", tail(k)).withColumn("h", F.slice("w", F.lit(order - k + 1), F.lit(k - 1))).join(gram, "g", "left").join(context, "h", "left")
+        seen = F.greatest(F.coalesce("c", F.lit(0)) - discount, F.lit(0.0)) / F.col("n") + discount * F.col("kinds") / F.col("n") * F.col("p")
+        out = out.withColumn("p", F.when(F.col("n").isNull(), F.col("p")).otherwise(seen)).drop("g", "h", "c", "n", "kinds")
+    return out.withColumn("nll", -F.log("p")).drop("p")

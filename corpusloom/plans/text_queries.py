@@ -185,3 +185,19 @@ def val_curve(spark, sf):
     stat = lambda k: F.exp(F.sum(F.col("mean_nll") * F.col("n") * k) / F.sum(F.col("n") * k))
     out = S.bootstrap(units, stat, 100, 11, by=["lang"])
     return out.select("lang", F.col("units").alias("windows"), *[F.round(c, 6).alias(c) for c in ("point", "ci_low", "ci_high")], (F.col("units") >= 512).alias("capped"))
+
+
+def kneser_ney_null(spark, sf):
+    """Mean loss per language of an interpolated trigram model of the train documents on the held-out ones."""
+    from ..functions.text import draw
+    from ..operators.extensions import kneser_ney
+
+    d = docs(spark, sf).withColumn("held", F.pmod(draw(5, F.col("doc_id")), F.lit(10)) == 0)
+    own = d.select("lang", "held", F.concat(F.array(F.lit("<sep>"), F.lit("<sep>")), "tokens", F.array(F.lit("<sep>"))).alias("t"))
+    later = lambda i: F.slice("t", F.lit(i + 1), F.size("t") - 2)
+    grams = own.select("lang", "held", F.explode_outer(F.arrays_zip(*[later(i).alias(f"t{i}") for i in range(3)])).alias("z")).select("lang", "held", F.array("z.t0", "z.t1", "z.t2").alias("w"))
+    scored = kneser_ney(grams.filter(~F.col("held")).select("w"), grams.filter("held").select("lang", "w"), 3)
+    return scored.groupBy("lang").agg(F.count("*").alias("tokens"), F.avg("nll").alias("nll"))
+
+
+QUERIES["kneser_ney_null"] = kneser_ney_null

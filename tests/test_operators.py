@@ -241,3 +241,40 @@ def test_polynomial_hash_repeats(spark):
 
 def test_find_result():
     assert E.find_result({"a": [{"domain": "x"}, {"b": {"domain": "x", "perplexity": 3.0}}]}, "x") == 3.0 and E.find_result([], "x") is None
+
+
+def test_kneser_ney_equals_brute_force(spark):
+    g = np.random.default_rng(0)
+    text, order, d = list(g.choice(list("abcd"), 120)), 3, 0.75
+    grams_of = lambda k: [tuple(text[i - k : i]) for i in range(order, len(text) + 1)]
+    tables = {}
+    for k in range(1, order + 1):
+        c: dict = {}
+        for w in grams_of(k) if k == order else {x for x in grams_of(k + 1)}:
+            w = w[-k:]
+            c[w] = c.get(w, 0) + 1
+        tables[k] = c
+
+    def p(w, k):
+        if not k:
+            return 1 / (len({x[-1] for x in grams_of(order)}) + 1)
+        same = {x: c for x, c in tables[k].items() if x[:-1] == w[-k:][:-1]}
+        low = p(w, k - 1)
+        return low if not same else max(tables[k].get(w[-k:], 0) - d, 0) / sum(same.values()) + d * len(same) / sum(same.values()) * low
+
+    rows = [(list(x),) for x in grams_of(order)]
+    asked = [tuple(x) for x in ("abc", "aaz", "zzz", "bca", "zab")]
+    got = E.kneser_ney(spark.createDataFrame(rows, "w array<string>"), spark.createDataFrame([(list(x),) for x in asked], "w array<string>"), order, d)
+    assert {tuple(r["w"]): r["nll"] for r in got.collect()} == {x: pytest.approx(-math.log(p(x, order))) for x in asked}
+    assert sum(p(("a", "b", x), order) for x in "abcd") < 1
+
+
+def test_scan_reads_only_its_columns(spark):
+    import os
+
+    from corpusloom import registry
+
+    sf = "/root/testdata/sf0.001"
+    if os.path.isdir(sf):
+        plan = registry.QUERIES["vocab_domains"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "ReadSchema: struct<text:string,lang:string>" in plan and "Python" not in plan
