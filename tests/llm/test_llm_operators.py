@@ -412,3 +412,14 @@ def test_language_edges(spark, edge, none):
     rows = language_id.identify(language_id.document_rows(edge), language_id.labels_of(edge), scratch(spark)).collect()
     assert len(rows) == len(EDGE) and not any(r["kept"] for r in rows if r["id"] in (1, 2, 6))
     assert language_id.identify(language_id.document_rows(none), language_id.labels_of(none), scratch(spark)).count() == 0
+
+
+# ---- plans
+
+
+@pytest.mark.parametrize("native", ["decontaminate", "license"])
+def test_native_operators_run_no_python(spark, edge, native):
+    bench = spark.createDataFrame([(1, LONG[:300])], "item_id long, text string")
+    df = decontaminate.overlaps(edge, bench, scratch(spark)) if native == "decontaminate" else license_scan.scan(edge)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin"))
