@@ -22,6 +22,13 @@ def token_stream(docs: DataFrame, order: str, tokens: str, by: str) -> DataFrame
     return placed.select(by, "_at", F.posexplode(zipped).alias("i", "z")).select(by, (F.col("_at") + F.col("i")).alias("pos"), F.col("z.p").alias("prev"), F.col("z.t").alias("tok"))
 
 
+def token_pairs(docs: DataFrame, tokens: str, by: str) -> DataFrame:
+    """(by, prev, tok) of documents without positions: what counts of pairs need, and no shuffle."""
+    own = docs.withColumn("_t", F.concat(tokens, F.array(F.lit(SEPARATOR))))
+    zipped = F.arrays_zip(F.concat(F.array(F.lit(SEPARATOR)), F.slice("_t", F.lit(1), F.size("_t") - 1)).alias("p"), F.transform("_t", lambda x: x).alias("t"))
+    return own.select(by, F.explode_outer(zipped).alias("z")).select(by, F.col("z.p").alias("prev"), F.col("z.t").alias("tok"))
+
+
 def window_of_target(stream: DataFrame, by: str, ctx: int, cap: int | None = None) -> DataFrame:
     """Each target token with its window w and offset: the window's inputs are the ctx tokens from w * ctx,
     its targets those one later. Windows: max((n - 1) div ctx, 0) of a stream of n; ``cap`` keeps the first ones."""

@@ -9,7 +9,7 @@ from ..operators import decon as D
 from ..operators import scoring as S
 from ..operators import stats as A
 from ..operators.corpus import running
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 _WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{SQL_WS}'), lambda w: w <> '')"
 QUERIES, SQL = {}, {}
@@ -24,7 +24,7 @@ def query(name: str, sql: str):
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "lang", words(F.col("text")).alias("tokens"))
+    return spread(table(spark, sf, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", words(F.col("text")).alias("tokens"))
 
 
 def items(spark, sf):
@@ -145,7 +145,7 @@ def _streams(spark, sf):
     from ..functions.text import draw
 
     d = docs(spark, sf).withColumn("held", F.pmod(draw(5, F.col("doc_id")), F.lit(10)) == 0)
-    return [S.token_stream(d.filter(F.col("held") == h), "doc_id", "tokens", "lang") for h in (True, False)]
+    return S.token_stream(d.filter("held"), "doc_id", "tokens", "lang"), S.token_pairs(d.filter(~F.col("held")), "tokens", "lang")
 
 
 @query("eval_windows", f"WITH {_STREAMS} SELECT lang, count(DISTINCT w) AS windows, count(*) AS targets, CAST(max(w) AS BIGINT) AS last FROM tg GROUP BY lang")

@@ -15,3 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The side with a broadcast hint if it has no more rows than that; beyond it Spark joins by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where there are fewer files than cores: a file may be one row group, which is one task.
+
+    Only for scans that feed heavy work; a table of many files is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
