@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,12 +49,17 @@ def anchors(b: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray
     n = len(b) - length + 1
     if n < 1:
         return (np.zeros(0, np.int64),) * 4
-    at = np.arange(len(b) - k + 1)
-    h = _grams.of(_grams.prefix(b), at, at + k)
-    w = length - k + 1
-    pos = np.concatenate([s + _leftmost_least(h[s : s + _PART + w - 1], w) for s in range(0, n, _PART)])
+    w, places, grams = length - k + 1, [], []
+    for s in range(0, n, _PART):  # in parts, so memory does not grow with the text
+        part = b[s : min(s + _PART, n) + length - 1]
+        at = np.arange(len(part) - k + 1)
+        h = _grams.of(_grams.prefix(part), at, at + k)
+        least = _leftmost_least(h, w)
+        places.append(least + s)
+        grams.append(h[least])
+    pos, gram = np.concatenate(places), np.concatenate(grams)
     edge = np.flatnonzero(np.concatenate(([True], pos[1:] != pos[:-1])))
-    return pos[edge], h[pos[edge]].view(np.int64), edge, np.append(edge[1:], n) - 1
+    return pos[edge], gram[edge].view(np.int64), edge, np.append(edge[1:], n) - 1
 
 
 _PART, _PLACE = (1 << 20) - (1 << 12), np.uint64((1 << 20) - 1)
@@ -104,17 +110,18 @@ def _stretched(length: int, k: int):
             out: dict[str, list] = {c: [] for c in ("text_hash", "start", "gram", "back", "h1", "h2", "stretch")}
             for text, key, cand in zip(*(batch.column(c).to_pylist() for c in ("text", "text_hash", "ats")), strict=True):
                 raw = _bytes(text)
-                b = np.frombuffer(raw, np.uint8)
-                at, gram, first, last = anchors(b, length, k)
+                at, gram, first, last = anchors(np.frombuffer(raw, np.uint8), length, k)
                 pick = np.flatnonzero(np.isin(at, np.asarray(cand)))
                 s, e = first[pick], last[pick] + length
-                out["h1"].extend(_first.of(_first.prefix(b), s, e).view(np.int64).tolist())
-                out["h2"].extend(_second.of(_second.prefix(b), s, e).view(np.int64).tolist())
+                own = [raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)]
+                names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in own), "<i8").reshape(-1, 2)
+                out["h1"].extend(names[:, 0].tolist())
+                out["h2"].extend(names[:, 1].tolist())
                 out["text_hash"].extend([key] * len(pick))
                 out["start"].extend(s.tolist())
                 out["gram"].extend(gram[pick].tolist())
                 out["back"].extend((at[pick] - s).tolist())
-                out["stretch"].extend([raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)])
+                out["stretch"].extend(own)
             kinds = {"start": pa.int64(), "back": pa.int32(), "stretch": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()], list(out))
 
