@@ -44,7 +44,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CHROME = frozenset("nav footer aside form button select dialog menu head object".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Words that mark page furniture in class, id and role.
-FURNITURE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup social share sharing related recommended comment comments disqus replies footer masthead toolbar pagination pager skip complementary contentinfo search alert".split())
+FURNITURE = frozenset("ad adbox ads adslot adunit advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs mainnav topnav sidebar side widget cookie cookiebanner cookiebar cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup social share sharing related recommended comment comments disqus replies footer masthead toolbar pagination pager skip complementary contentinfo search alert".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
