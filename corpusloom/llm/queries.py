@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import bm25_pack, chat_trees, decontaminate, html_wrapper, language_id, license_scan, line_quality, line_runs, minhash_icws, suffix_family
 from .common import few_files
 
+
 def _few(query):
     def run(spark, sf_dir):
         return few_files(query(spark, sf_dir))
