@@ -10,13 +10,16 @@ Equal texts are one node. In a bucket of at most ``SMALL`` members each is compa
 comparisons a row whatever the data. In a larger bucket each member is compared with a leader, the member that shares
 most buckets with others in all (ties: the smallest id), as that is the centre of a group of copies. Members that are
 similar to it have its class and leave; the others are dealt to narrower buckets, by every two of the bands in which they
-are left over, then every three; what is left even there gets SMALL leaders at a time until none is left. So a bucket is
-never expanded into all of its pairs, no size is capped, and a common passage, which puts many unlike documents in one
-bucket, does not keep them there. Compared pairs are verified exactly by weighted Jaccard of the two texts, and classes
+are left over, then every three; what is left even there gets SMALL leaders at a time until none is left. That only builds
+classes cheaply. What it may have missed in a large bucket is then found exactly: a link between two classes has a member
+outside the class of the bucket's leader, and each of these is compared with every member of a large bucket, of another
+class, that shares one of its rarest shingles (a prefix of just over 1 - THRESHOLD of the weight, without which two texts
+cannot reach THRESHOLD) and whose whole weight allows it. So a bucket is never expanded into all of its pairs, no size is
+capped, and a common passage, which puts many unlike documents in one bucket, does not keep them there. Compared pairs are verified exactly by weighted Jaccard of the two texts, and classes
 are the connected components of the pairs that reach ``THRESHOLD``, by label propagation with jumps.
 
-At the threshold two documents share one of the bands with probability 1 - (1 - 0.8^3)^12 = 0.9998, and two of them, which
-matters only in buckets over SMALL, with 0.9975. A left-over member that is similar only to others that left is not found.
+At the threshold two documents share one of the bands with probability 1 - (1 - 0.8^3)^12 = 0.9998; those that do are
+compared, or are already in one class, or cannot reach the threshold.
 
 Defined results: null and empty texts have no shingles and are classes of their own; texts under five words are one
 shingle; rows that repeat an id are one document and each get its class; a null doc_id has a null class; an empty table
@@ -209,6 +212,49 @@ def _led(member: DataFrame, leaders: int) -> DataFrame:
     return told.select("doc", "key", F.explode(F.transform("lead", lambda x: x["d"])).alias("leader"))
 
 
+def _prefixes(weights: np.ndarray, threshold: float):
+    """mapInArrow function: the shingles of each text's prefix in the order (weight descending, hash), and its whole weight.
+
+    The shingles after the prefix weigh less than ``threshold`` of the whole, so two texts without a common shingle in
+    their prefixes share less than that of one of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, whole = [], []
+            for text in batch.column("text").to_pylist():
+                s, n = shingles(text)
+                each = weights[bucket(s)]
+                order = np.lexsort((s, -each))
+                w = (n * each)[order].astype(np.float64)
+                rest = w.sum() - np.cumsum(w)
+                parts.append(s[order][: int(np.count_nonzero(rest >= threshold * w.sum() * (1 - 1e-6))) + 1])
+                whole.append(w.sum())
+            of = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            own = [batch.column(c).take(pa.array(of, pa.int64())) for c in ("doc", "class", "left")]
+            shingle = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(shingle.view(np.int64)), pa.array(np.asarray(whole, np.float64)[of])], ["doc", "class", "left", "shingle", "whole"])
+
+    return run
+
+
+def _missed(member: DataFrame, found: DataFrame, tried: DataFrame, texts: DataFrame, weights: np.ndarray, scratch: Scratch, threshold: float) -> DataFrame:
+    """(doc, leader) of two classes that may be similar. ``member``: doc, key, central of the large buckets; ``found``: links."""
+    member = member.join(components(found, Scratch(scratch.spark, "icws-missed")), "doc", "left").select("doc", "key", "central", F.coalesce("class", "doc").alias("class"))
+    lead = member.groupBy("key").agg(F.min(F.struct((-F.col("central")).alias("c"), "doc", "class")).alias("lead"))
+    state = member.join(lead, "key").groupBy("doc", "class").agg(F.max(F.col("class") != F.col("lead.class")).alias("left"))
+    prefix = state.join(texts.hint("merge"), "doc").select("doc", "class", "left", "text").mapInArrow(_prefixes(weights, threshold), "doc long, class long, left boolean, shingle long, whole double")
+    prefix = scratch.cut(prefix, "prefix")
+    shared = prefix.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("left").alias("open")).filter("low < high and open").select("shingle")
+    prefix = scratch.cut(prefix.join(shared, "shingle", "left_semi"), "shared")
+    x, y = prefix.filter("left").alias("x"), prefix.alias("y")
+    apart = (F.col("x.class") != F.col("y.class")) & (~F.col("y.left") | (F.col("x.doc") < F.col("y.doc")))
+    near = F.least("x.whole", "y.whole") >= threshold * (1 - 1e-6) * F.greatest("x.whole", "y.whole")
+    ask = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & near).select(F.col("x.doc").alias("doc"), F.col("y.doc").alias("leader")).distinct()
+    told = tried.select("doc", "leader").unionByName(tried.select(F.col("leader").alias("doc"), F.col("doc").alias("leader")))
+    return ask.join(told, ["doc", "leader"], "left_anti")
+
+
 def similar_pairs(spark: SparkSession, node: DataFrame, texts: DataFrame, weights: np.ndarray, scratch: Scratch, threshold: float) -> DataFrame:
     """Verified pairs (doc, leader) that link the similar members of every bucket. ``node``: doc, bands."""
     member = node.select("doc", F.explode("bands").alias("key"))
@@ -218,14 +264,19 @@ def similar_pairs(spark: SparkSession, node: DataFrame, texts: DataFrame, weight
     member = scratch.cut(first.join(central, "doc"), "member1")
     # the texts of documents that share a bucket, taken out of the corpus once
     texts = scratch.cut(texts.select("doc", "text").join(central.select("doc").hint("merge"), "doc", "left_semi"), "texts")
+    large = member.filter(F.col("n") > SMALL)
     tried, level, leaders, k = None, 1, 1, 1
+
+    def verify(ask: DataFrame, k: int) -> DataFrame:
+        ask = scratch.cut(ask, f"ask{k}")
+        ask = ask.join(texts.select("doc", "text").hint("merge"), "doc").join(texts.select(F.col("doc").alias("leader"), F.col("text").alias("leader_text")).hint("merge"), "leader")
+        return scratch.cut(ask.select("doc", "leader", "text", "leader_text").mapInArrow(_verified(weights), "doc long, leader long, sim double"), f"sim{k}")
+
     while not member.isEmpty():
         ask = _ask(member, leaders)
         if tried is not None:
             ask = ask.join(tried.select("doc", "leader"), ["doc", "leader"], "left_anti")
-        ask = scratch.cut(ask, f"ask{k}")
-        ask = ask.join(texts.select("doc", "text").hint("merge"), "doc").join(texts.select(F.col("doc").alias("leader"), F.col("text").alias("leader_text")).hint("merge"), "leader")
-        done = scratch.cut(ask.select("doc", "leader", "text", "leader_text").mapInArrow(_verified(weights), "doc long, leader long, sim double"), f"sim{k}")
+        done = verify(ask, k)
         tried = done if tried is None else tried.unionByName(done)
         placed = tried.filter(F.col("sim") >= threshold).select("doc").distinct()
         left = _led(member, leaders).select("doc", "key").distinct().join(placed, "doc", "left_anti")
@@ -242,11 +293,14 @@ def similar_pairs(spark: SparkSession, node: DataFrame, texts: DataFrame, weight
         left = scratch.cut(left, f"left{k}")
         size = left.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
         member = scratch.cut(left.join(size, "key").join(central, "doc"), f"member{k + 1}")
-        scratch.drop(f"member{k}", f"left{k}")
+        scratch.drop(*([] if k == 1 else [f"member{k}"]), f"left{k}")
         k += 1
     if tried is None:
         return spark.createDataFrame([], "doc long, leader long, sim double")
-    return tried.filter(F.col("sim") >= threshold)
+    found = tried.filter(F.col("sim") >= threshold)
+    if large.isEmpty():
+        return found
+    return found.unionByName(verify(_missed(large, found, tried, texts, weights, scratch, threshold), k).filter(F.col("sim") >= threshold))
 
 
 def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:

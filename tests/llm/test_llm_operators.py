@@ -356,6 +356,22 @@ def test_near_duplicates_lose_no_link(spark):
     assert sum(r["kept"] for r in rows) >= len(set(cls.values()))
 
 
+def test_large_bucket_links_left_over_to_placed(spark):
+    g = np.random.default_rng(8)
+    words = lambda k: [f"d{k}w{i}" for i in g.permutation(300)]
+    lead = words(0)
+    placed = lead[:265] + [f"p{i}" for i in range(35)]  # similar to the leader
+    over = placed[35:] + [f"o{i}" for i in range(35)]  # similar to the placed one only
+    docs = [(0, lead), (1, placed), (2, over), *[(k, words(k)) for k in range(3, 45)]]
+    texts = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc long, text string")
+    weights = np.ones(minhash_icws.BUCKETS, np.float32)
+    sim = lambda a, b: minhash_icws.similarity(minhash_icws.shingles(" ".join(a)), minhash_icws.shingles(" ".join(b)), weights)
+    assert sim(lead, placed) >= 0.75 > sim(lead, over) and sim(placed, over) >= 0.75
+    node = texts.select("doc", F.array(F.lit(7).cast("long")).alias("bands"))  # one bucket over SMALL holds all
+    found = minhash_icws.similar_pairs(spark, node, texts, weights, scratch(spark), 0.75).collect()
+    assert {frozenset((r["doc"], r["leader"])) for r in found} == {frozenset((0, 1)), frozenset((1, 2))}
+
+
 def test_samples_estimate_weighted_jaccard():
     g = np.random.default_rng(6)
     s = np.sort(g.integers(0, 1 << 63, 400).astype(np.uint64))
