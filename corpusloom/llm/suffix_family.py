@@ -6,10 +6,10 @@ if equal), with K + W - 1 = LENGTH; equal windows therefore have equal anchors a
 bytes occurs twice only if the suffixes at its anchor share their first K bytes. Suffixes are ordered by the fingerprint
 of these bytes, which puts equal prefixes side by side as the order of the bytes would.
 
-``IndexFamily`` takes the documents in batches. A batch gets its suffix array (sorted fingerprints with their number of
-suffixes); ``scan`` merges it against the levels there are and returns what they share; levels of equal size merge
-geometrically, so each suffix is rewritten log2(batches) times. Fingerprints that are shared are candidates; the rest of
-the text needs no further look.
+``IndexFamily`` takes the documents in batches. A batch gets the sorted fingerprints of its suffixes with their number, no
+positions; levels of equal size merge geometrically, so each is rewritten log2(batches) times. Once all batches are in,
+fingerprints that occur more than once over all levels are candidates (``repeated``); the rest of the text needs no further
+look. ``scan``, which merges a new batch against the levels there are, is not used here.
 
 Candidates are then decided exactly. The windows whose anchor is a candidate form, per anchor, one stretch of the text;
 equal stretches are counted, as copies share them whole. Where a prefix has different stretches, its windows are hashed
