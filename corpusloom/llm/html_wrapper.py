@@ -14,7 +14,7 @@ Blocks: text between block-level tags. Character references are decoded, white s
 
 Defined results: null or empty html gives an empty text; pages without a host align with each other; repeated rows are
 separate pages; a host with fewer than ``MIN_PAGES`` pages has no constant slots; malformed or truncated markup is read
-as far as it goes (an unclosed element ends with its parent, elements below ``DEEPEST`` are read as text); columns other than those named are ignored.
+as far as it goes (an unclosed element ends with its parent, elements below ``DEEPEST`` are siblings in the tree, in every other way elements like others); columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ from .language_id import host_parts
 
 MIN_PAGES = 5
 CONSTANT = 0.9
-#: Elements nested deeper than this become leaves; their text goes to the element above.
+#: The tree is no deeper than this: elements nested deeper hang side by side under one of this depth. They still open, close
+#: and mark furniture as they are nested.
 DEEPEST = 200
 
 #: Names of HTML elements.
@@ -52,13 +53,17 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    """An element; ``own`` are the blocks of text that lie directly in it, as (order, text)."""
+    """An element; ``own`` are the blocks of text that lie directly in it, as (order, text).
 
-    __slots__ = ("depth", "kids", "kind", "main", "own", "slot", "tag", "up", "weed")
+    ``up`` is the element around it, ``base`` the one whose kids are those that it holds.
+    """
+
+    __slots__ = ("base", "depth", "kids", "kind", "main", "own", "slot", "tag", "up", "weed")
 
     def __init__(self, tag: str, kind: str, up: Node | None, weed: bool, main: bool):
         self.tag, self.kind, self.up, self.weed, self.main = tag, kind, up, weed, main
         self.depth: int = up.depth + 1 if up else 0
+        self.base: Node = self if self.depth <= DEEPEST else up.base
         self.kids: list[Node] = []
         self.own: list[tuple[int, str]] = []
         self.slot = ""
@@ -95,6 +100,7 @@ def parse(page: str) -> Node:
                 order += 1
 
     pos, n = 0, len(page)
+    opened: dict[str, int] = {}  # how many elements around ``at``, itself too, have a tag
     weeds: list[str] = []  # open inline elements that are furniture
     while pos < n:
         m = _TOKEN.search(page, pos)
@@ -128,19 +134,22 @@ def parse(page: str) -> Node:
             if tag in VOID:
                 continue
             if tag in CLOSES_P and at.tag == "p" or tag == at.tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                opened[at.tag] -= 1
                 at = at.up
             kind, weed = _kind(tag, m[3], at.main)
-            at.kids.append(node := Node(tag, kind, at, at.weed or weed, (at.main or tag in ("article", "main")) and not weed))
-            if not m[3].endswith("/") and node.depth < DEEPEST:
+            at.base.kids.append(node := Node(tag, kind, at, at.weed or weed, (at.main or tag in ("article", "main")) and not weed))
+            if not m[3].endswith("/"):
+                opened[tag] = opened.get(tag, 0) + 1
                 at = node
         else:
             weeds.clear()
-            up = at
-            while up.up is not None and up.tag != tag:
-                up = up.up
-            if up.up is not None:
+            if opened.get(tag):
                 flush()
-                at = up.up
+                while at.tag != tag:
+                    opened[at.tag] -= 1
+                    at = at.up
+                opened[tag] -= 1
+                at = at.up
             elif tag == "p":
                 flush()
     flush()

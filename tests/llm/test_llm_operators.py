@@ -116,6 +116,12 @@ def test_deep_markup():
     assert html_wrapper.extract(html_wrapper.parse("<div>" * 5000 + "deep" + "</div>" * 5000), set()) == "deep"
 
 
+def test_deep_markup_closes_as_it_opens():
+    deep = "<div>" * 250
+    page = f"<div><article><p>first</p>{deep}deep<nav>menu<div>more menu</div></nav>{'</div>' * 250}<p>last</p></article>outside</div>"
+    assert html_wrapper.extract(html_wrapper.parse(page), set()) == "first\ndeep\nlast"
+
+
 # ---- packing
 
 
