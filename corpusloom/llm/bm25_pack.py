@@ -248,7 +248,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def pack_documents(docs: DataFrame, scratch: Scratch, path: str | None = None, window: int = WINDOW, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece (``PIECES``): sequences of at most ``window`` tokens, each token of each document once."""
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
     tokens = scratch.cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encoded(path or tokenizer_path()), "doc_id long, ids binary"), "tokens")
     idf, mean = statistics(tokens)
     return tokens.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_packed(idf, mean, window, shard_docs, shard_tokens), PIECES)

@@ -1,7 +1,7 @@
 """What the training-data operators share: reading, cutting lineage, bounded broadcasts, byte-level hashing.
 
-Scratch tables go to the folder named by ``spark.checkpoint.dir``, which every executor can reach. Only when that
-setting is absent (a local session, as in tests) does a folder under the local temporary directory take its place.
+Scratch tables go to the folder named by ``spark.checkpoint.dir``, which every executor can reach. A session on one machine
+that has no such setting (as in tests) gets a temporary folder; a cluster without it is an error.
 """
 
 from __future__ import annotations
@@ -10,39 +10,46 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows a side may have before it is joined by shuffle instead of broadcast. At under 100 bytes a row this is 25 MB.
-BROADCAST_ROWS = 200_000
-#: Documents handed to a Python worker at once; bounds a worker's memory by the longest texts, not by the partition.
-ARROW_ROWS = 256
+#: Bytes that a side may hold, as counted row by row, before it is joined by shuffle instead of broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Rows handed to a Python worker at once; bounds a worker's memory by the longest texts, not by the partition.
+ARROW_ROWS = 128
+#: Bytes of a plan's estimated output for each task that writes it.
+TASK_BYTES = 64 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches small: texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small: texts can be very long. All operators ask for the same size, so their order does not matter."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for written tables; it is set only where the session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """No more partitions than two rounds of tasks over all cores: more would run no faster and leave small files.
+def plan_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of the output: file sizes for scans, an upper bound for joins."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    Partitions are chained in a task, not merged, so a task holds no more at once.
-    """
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+def sized(df: DataFrame) -> DataFrame:
+    """Partitions by bytes: one for every ``TASK_BYTES`` and two a core at least; a plan that has fewer keeps its own."""
+    return df.coalesce(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-plan_bytes(df) // TASK_BYTES)), (1 << 31) - 1))
 
 
 class Scratch:
@@ -55,26 +62,40 @@ class Scratch:
     def cut(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """Write and reread."""
         path = f"{self.root}/{name}"
-        writer = few_files(df).write.mode("overwrite").option("compression", "zstd")
+        writer = sized(df).write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Remove tables that no later plan reads."""
+        """Remove tables that no later plan reads; no name at all removes everything."""
         jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        for path in [f"{self.root}/{name}" for name in names] or [self.root]:
+            path = jvm.org.apache.hadoop.fs.Path(path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a (cut) side is small enough to broadcast; reads no more than ``rows`` + 1 rows per partition."""
-    return df.limit(rows + 1).count() <= rows
+def _width(c: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes, about."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType):
+            return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda n, x: n + _width(x, kind.elementType)), F.lit(16))
+        return F.greatest(F.size(c), F.lit(0)) * 8 + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(c[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    return F.lit(8)
+
+
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a (cut) side is small enough to broadcast, by the bytes of its rows."""
+    one = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")
+    return (df.agg(F.sum(one)).first()[0] or 0) <= limit
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The side with a broadcast hint if its size has been checked, else as it is: then both sides are shuffled."""
-    return F.broadcast(df) if fits(df, rows) else df
+def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The side with a broadcast hint if its bytes have been counted and fit, else as it is: then both sides are shuffled."""
+    return F.broadcast(df) if fits(df, limit) else df
 
 
 # ---- hashing of bytes, vectorised -------------------------------------------------------------------------------

@@ -8,8 +8,8 @@ tokens in a row (the whole item, if it is shorter) may differ in ``window // SLA
 The two masks are lossless for that rule: a search over all placements showed that any 2 substitutions among 12 or 13
 tokens, and any one among 8 to 11, leave one placement of a mask untouched. So no overlap that the rule accepts is missed.
 
-Main path: DataFrame functions only. The benchmark side is broadcast when its checked number of seeds is small, else
-both sides are shuffled by hash; a passage that very many documents share has its hits reduced to one row per document,
+Main path: DataFrame functions only. The benchmark's seeds (24 bytes each) and, joined after the hit, its items' tokens are
+broadcast only if their counted bytes fit, else both sides are shuffled by hash; a passage that very many documents share has its hits reduced to one row per document,
 item and diagonal before the first shuffle.
 
 Defined results: null or empty texts and items match nothing; items under ``LEAST`` tokens are not searched; rows of
@@ -29,8 +29,6 @@ MASKS = ("111101", "1100111")
 WINDOW = 13
 SLACK = 6
 LEAST = 8
-#: Seeds of the benchmark side up to which it is broadcast: at 24 bytes each, 24 MB.
-BROADCAST_SEEDS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -63,10 +61,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: in
     start: the document token under the item's first token (negative if the document begins inside the item);
     n_aligned, n_matched: aligned and equal tokens on that diagonal.
     """
-    items = scratch.cut(item_table(benchmark), "items")
-    item_seeds = bounded(seeds(items, ["item_id", "hashes"]).select("item_id", F.col("hashes").alias("item"), F.col("at").alias("item_at"), "seed"), BROADCAST_SEEDS)
+    items = scratch.cut(item_table(benchmark), "items").withColumn("item_key", F.xxhash64("item_id", "hashes"))
+    item_seeds = bounded(scratch.cut(seeds(items, ["item_key", "hashes"]).select("item_key", F.col("at").alias("item_at"), "seed").filter(F.col("seed").isNotNull()), "seeds"))
     rows = docs.select("doc_id", tokens(F.col("text")).alias("hashes"))
-    hits = seeds(rows, ["doc_id", "hashes"]).join(item_seeds, "seed")
+    hits = seeds(rows, ["doc_id", "hashes"]).join(item_seeds, "seed").join(bounded(items.select("item_key", "item_id", F.col("hashes").alias("item"))), "item_key")
     start = F.col("at") - F.col("item_at")
     cut = F.greatest(-start, F.lit(0))  # item tokens before the document's first
     n = F.least(F.size("item") - cut, F.size("hashes") - F.greatest(start, F.lit(0)))

@@ -84,7 +84,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES)
 
     ``later`` tells that an equal run starts earlier.
     """
-    small_batches(docs.sparkSession, 1024)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     seq = docs.mapInArrow(_sequences, "doc_id long, text_hash long, ids array<long>")
     state = seq.filter(F.size("ids") > 0).select("doc_id", "text_hash", F.sequence(F.lit(0).cast("long"), F.size("ids").cast("long") - 1).alias("at"), F.col("ids").alias("name"))

@@ -1,29 +1,38 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
-A document is a weighted set of shingles of ``SHINGLE`` words: weight = occurrences * idf. Document frequencies of all
-documents are counted in 2^18 hashed buckets, a table of fixed size, so the idf vector that is broadcast never grows.
+A document is a weighted set of shingles of ``SHINGLE`` words: weight = occurrences * idf. The document frequency of every
+shingle is counted exactly over all documents; frequencies under one document in ``RARE`` count as that many, so what
+differs from the rarest weight is a table whose size depends on the documents' length, not on their number (``Weights``).
 Each of BANDS * ROWS samples picks a shingle with probability in proportion to its weight, so two documents agree in a
 sample with probability equal to their weighted Jaccard similarity; samples are grouped into bands and documents that
 share a band meet in a bucket.
 
-Equal texts are one node. In a bucket of at most ``SMALL`` members each is compared with each, which is at most SMALL - 1
-comparisons a row whatever the data. In a larger bucket each member is compared with a leader, the member that shares
-most buckets with others in all (ties: the smallest id), as that is the centre of a group of copies. Members that are
-similar to it have its class and leave; the others are dealt to narrower buckets, by every two of the bands in which they
-are left over, then every three; what is left even there gets SMALL leaders at a time until none is left. That only builds
-classes cheaply. What it may have missed in a large bucket is then found exactly: a link between two classes has a member
-outside the class of the bucket's leader, and each of these is compared with every member of a large bucket, of another
-class, that shares one of its rarest shingles (a prefix of just over 1 - THRESHOLD of the weight, without which two texts
-cannot reach THRESHOLD) and whose whole weight allows it. So a bucket is never expanded into all of its pairs, no size is
-capped, and a common passage, which puts many unlike documents in one bucket, does not keep them there. Compared pairs are verified exactly by weighted Jaccard of the two texts, and classes
-are the connected components of the pairs that reach ``THRESHOLD``, by label propagation with jumps.
-
-At the threshold two documents share one of the bands with probability 1 - (1 - 0.8^3)^12 = 0.9998; those that do are
-compared, or are already in one class, or cannot reach the threshold.
-
-Defined results: null and empty texts have no shingles and are classes of their own; texts under five words are one
-shingle; rows that repeat an id are one document and each get its class; a null doc_id has a null class; an empty table
-gives an empty result. The class id is its least doc_id. Columns other than doc_id and text are ignored.
+Equal texts are one node. Buckets of every size are treated alike: each member is compared with the bucket's
+representative p only, the member that shares most buckets with others (ties: the smallest). What is similar to p has its
+class, so no two of these need be compared. A link between two others leaves a trace that smaller groups show:
+
+* Members at least ``NEAR`` similar to p are described by how they differ from it: occurrences that they add (weight b) and
+  that they lack (weight a). With d = a + t b, two members x, y reach the threshold t only if their common differences weigh
+  T = (d_x + d_y - (1 - t) |p|) / (1 + t) or more. One that is not similar to p has d > (1 - t) |p|, so two that share no
+  difference cannot be linked, and what they share includes one of the first differences of each in a fixed order (added
+  before lacking, rarest first) whose rest would weigh less than a bound of T that each knows alone (``_prefix``).
+* Members further from p share one of the rarest shingles, without which less than t of their weight is left, with
+  whatever in the bucket they are linked to.
+
+The members of p's buckets that share such a name form a group. Those in a group that are not similar to p are compared with
+a representative of theirs, so a family inside a bucket becomes one class as well. What is then still open is joined by the
+names, between different classes only; a pair is asked for only if its common differences can weigh T by two bitmaps of 256
+bits, a bound that never fails a link. Copies with edits of their own share too little for that, so a group of copies
+is not expanded into its pairs; nor is anything capped, and the rule does not depend on sizes. Every link between two texts
+that share a band is therefore found: the two are compared, or are in one class before, or a bound rules the link out.
+
+Classes are the connected components of the pairs that reach ``THRESHOLD``, by label propagation with jumps. At the threshold
+two documents share one of the bands with probability 1 - (1 - 0.8^3)^12 = 0.9998.
+
+Defined results: null and empty texts have no shingles and link to nothing; texts under five words are one shingle; rows
+that repeat an id are one document, so they share a class; rows with a null doc_id are documents of their own; an empty
+table gives an empty result. The class id is its least doc_id (null if all are), and the row kept is the first one with it.
+Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -40,12 +49,17 @@ from .common import Scratch, mix, read, shingle_hashes, small_batches, word_hash
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
-#: Members of a bucket up to which all are compared.
-SMALL = 32
-DEEPEST = 3
-BUCKETS = 1 << 18
-_CHUNK = 1 << 12
+#: Similarity to a representative from which a member is described by its differences from it.
+NEAR = 0.5
+#: Bits of each of the two bitmaps of differences, in words of 64.
+WORDS = 4
+#: Document frequencies under this part of the documents count as this part.
+RARE = 1 << 13
+#: Rows that the table of more frequent shingles may have; the part doubles until it fits. At 12 bytes each, 12 MB.
+FREQUENT = 1 << 20
+_BLOCK = 1 << 20
 _SEED = np.uint64(0xA0761D6478BD642F)
+_ADDED, _LACKING = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -53,45 +67,54 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingle_hashes(word_hashes(text or ""), SHINGLE), return_counts=True)
 
 
-def bucket(shingle: np.ndarray) -> np.ndarray:
-    return (shingle >> np.uint64(46)).astype(np.int64)
+class Weights:
+    """idf of each shingle: ln((1 + n) / (1 + df)) + 1, with the exact df of the frequent ones and one df for all others."""
 
+    def __init__(self, shingle: np.ndarray, idf: np.ndarray, rest: float):
+        self.shingle, self.idf, self.rest = shingle, idf.astype(np.float32), np.float32(rest)
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        out = np.full(len(s), self.rest, np.float32)
+        if len(self.shingle) and len(s):
+            at = np.minimum(np.searchsorted(self.shingle, s), len(self.shingle) - 1)
+            hit = self.shingle[at] == s
+            out[hit] = self.idf[at[hit]]
+        return out
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one task: how many documents hold each bucket, in chunks of the table; the last row counts documents."""
-    total, n = np.zeros(BUCKETS, np.int64), 0
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            total[np.unique(bucket(shingles(text)[0]))] += 1
-            n += 1
-    chunks = total.reshape(-1, _CHUNK)
-    used = [i for i in range(len(chunks)) if chunks[i].any()]
-    ids = [*used, -1]
-    parts = [chunks[i].astype("<i8").tobytes() for i in used] + [np.array([n], "<i8").tobytes()]
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, n): in how many documents of a block each shingle is. Blocks are bounded by shingles."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        s, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for chunk, part in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            v = np.frombuffer(part, "<i8")
-            total[chunk] = total[chunk] + v if chunk in total else v
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "counts"])
-
-
-def idf(docs: DataFrame) -> np.ndarray:
-    """idf of each bucket over all documents: ln((1 + n) / (1 + df)) + 1."""
-    kind = "chunk int, counts binary"
-    parts = docs.select("text").mapInArrow(_frequencies, kind).repartition(64, "chunk").mapInArrow(_summed, kind)
-    df, n = np.zeros(BUCKETS, np.int64), 0
-    for row in parts.collect():  # at most 2^18 counts
-        v = np.frombuffer(row["counts"], "<i8")
-        if row["chunk"] < 0:
-            n += int(v[0])
-        else:
-            df[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] += v
-    return (np.log((1.0 + n) / (1.0 + df)) + 1.0).astype(np.float32)
+        for text in batch.column("text").to_pylist():
+            held.append(np.unique(shingle_hashes(word_hashes(text or ""), SHINGLE)))
+            size += len(held[-1])
+            if size >= _BLOCK:
+                yield flush()
+                held, size = [], 0
+    if size:
+        yield flush()
+
+
+def idf(docs: DataFrame, rare: int = RARE, frequent: int = FREQUENT) -> Weights:
+    """The weights over all documents. The driver gets the shingles whose df is over the rarest that counts, ``frequent`` at most."""
+    n, part = docs.count(), rare
+    df = docs.select("text").mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df"))
+    rows = Scratch(docs.sparkSession, "icws-df")
+    often = rows.cut(df.filter(F.col("df") > max(n / part, 1.0)), "often")
+    while often.filter(F.col("df") > max(n / part, 1.0)).count() > frequent:
+        part /= 2
+    least = max(n / part, 1.0)
+    held = often.filter(F.col("df") > least).toArrow()
+    rows.drop()
+    s, df = held.column("shingle").to_numpy().view(np.uint64), held.column("df").to_numpy()
+    order = np.argsort(s)
+    return Weights(s[order], np.log((1.0 + n) / (1.0 + df[order])) + 1.0, np.log((1.0 + n) / (1.0 + least)) + 1.0)
 
 
 def _uniform(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,182 +148,206 @@ def icws(shingle: np.ndarray, weight: np.ndarray, start: np.ndarray, samples: in
     return out
 
 
-def _signed(weights: np.ndarray, bands: int, rows: int):
-    """mapInArrow function: content hash (two words) and band keys of each document; no bands for an empty one."""
+def _signed(weights: Weights, bands: int, rows: int):
+    """mapInArrow function: content hash (two words) and band keys of each document; null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t) for t in batch.column("text").to_pylist()]
+            found, same = [], []
+            for text in batch.column("text").to_pylist():
+                words = word_hashes(text or "")
+                found.append(np.unique(shingle_hashes(words, SHINGLE), return_counts=True))
+                same.append(_content(words) if len(words) else (None, None))
             full = [i for i, (s, _) in enumerate(found) if len(s)]
-            keys = np.zeros((len(found), bands), np.int64)
+            keys = [None] * len(found)
             if full:
                 s = np.concatenate([found[i][0] for i in full])
-                w = np.concatenate([found[i][1] for i in full]) * weights[bucket(s)]
+                w = np.concatenate([found[i][1] for i in full]) * weights.of(s)
                 start = np.concatenate(([0], np.cumsum([len(found[i][0]) for i in full])[:-1]))
                 sample = icws(s, w, start, bands * rows).reshape(len(full), bands, rows)
                 key = np.zeros((len(full), bands), np.uint64)
                 for k in range(rows):
                     key = mix(key * _SEED + sample[:, :, k])
-                keys[full] = (key + np.arange(bands, dtype=np.uint64)).view(np.int64)
-            bands_of = [keys[i].tolist() if len(f[0]) else [] for i, f in enumerate(found)]
-            same = [_content(t) if len(f[0]) else (None, None) for t, f in zip(batch.column("text").to_pylist(), found, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([a for a, _ in same], pa.int64()), pa.array([b for _, b in same], pa.int64()), pa.array(bands_of, pa.list_(pa.int64()))], ["doc_id", "c1", "c2", "bands"])
+                key = (key + np.arange(bands, dtype=np.uint64)).view(np.int64)
+                for i, k in zip(full, key, strict=True):
+                    keys[i] = k.tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([a for a, _ in same], pa.int64()), pa.array([b for _, b in same], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "c1", "c2", "bands"])
 
     return run
 
 
-def _content(text: str) -> tuple[int, int]:
+def _content(words: np.ndarray) -> tuple[int, int]:
     """128 bits of the sequence of words."""
-    w = word_hashes(text)
-    at = np.arange(1, len(w) + 1, dtype=np.uint64)
-    x = mix(w + mix(at))
+    at = np.arange(1, len(words) + 1, dtype=np.uint64)
+    x = mix(words + mix(at))
     return int(x.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(x ^ _SEED)).view(np.int64))
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> float:
+def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each text and how often each occurs, as bytes."""
+    for batch in batches:
+        found = [shingles(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())], ["doc", "s", "n"])
+
+
+SETS = "doc long, s binary, n binary"
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: Weights) -> float:
     """Weighted Jaccard: sum of least over sum of greatest weights."""
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    least = float((np.minimum(a[1][i], b[1][j]) * weights[bucket(both)]).sum())
-    every = float((a[1] * weights[bucket(a[0])]).sum() + (b[1] * weights[bucket(b[0])]).sum()) - least
+    least = float((np.minimum(a[1][i], b[1][j]) * weights.of(both)).sum(dtype=np.float64))
+    every = float((a[1] * weights.of(a[0])).sum(dtype=np.float64) + (b[1] * weights.of(b[0])).sum(dtype=np.float64)) - least
     return least / every if every > 0 else 0.0
 
 
-def _verified(weights: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
-        for batch in batches:
-            out = []
-            for lead, a, b in zip(*(batch.column(c).to_pylist() for c in ("leader", "text", "leader_text")), strict=True):
-                if lead not in known:
-                    if len(known) >= 32:
-                        known.clear()
-                    known[lead] = shingles(b)
-                out.append(similarity(shingles(a), known[lead], weights))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("leader"), pa.array(out, pa.float64())], ["doc", "leader", "sim"])
+class _Set:
+    """A weighted set with its occurrences told apart: the k-th one of a shingle is an element of its own."""
 
-    return run
+    __slots__ = ("each", "n", "s", "whole")
+
+    def __init__(self, s: bytes, n: bytes, weights: Weights):
+        self.s, self.n = np.frombuffer(s, np.uint64), np.frombuffer(n, "<u4").astype(np.int64)
+        self.each = weights.of(self.s)
+        self.whole = float((self.n * self.each).sum(dtype=np.float64))
+
+
+def _elements(s: np.ndarray, each: np.ndarray, low: np.ndarray, high: np.ndarray, sign: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Names and weights of the occurrences low < k <= high of each shingle, rarest first."""
+    order = np.lexsort((s, -each))
+    many = (high - low)[order]
+    k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low[order], many)
+    return mix(np.repeat(s[order], many) * _SEED + sign + k.astype(np.uint64)), np.repeat(each[order], many).astype(np.float64)
 
 
-def _subsets(keys: str, n: int):
-    """A hash for every n of the keys (in ascending order), n = 2 or 3."""
-    at = lambda i: F.element_at(keys, i)
-    size = F.size(keys)
-    later = lambda i, then: F.when(size > i, F.transform(F.sequence(i + 1, size), then)).otherwise(F.array())
-    first = F.sequence(F.lit(1), size)
-    two = lambda i: later(i, lambda j: F.xxhash64(at(i), at(j)))
-    three = lambda i: F.flatten(later(i, lambda j: later(j, lambda k: F.xxhash64(at(i), at(j), at(k)))))
-    return F.flatten(F.transform(first, two if n == 2 else three))
+def _prefix(name: np.ndarray, weight: np.ndarray, least: float) -> np.ndarray:
+    """The first elements, up to the last one from which on they weigh ``least`` or more."""
+    rest = np.cumsum(weight[::-1])[::-1]
+    return name[: int(np.count_nonzero(rest >= least * (1 - 1e-6)))]
 
 
-def _ask(member: DataFrame, leaders: int) -> DataFrame:
-    """Pairs (doc, leader) to compare; ``member``: doc, key, central, n. Small buckets give all of theirs, others those with the leaders."""
-    rank = F.struct((-F.col("central")).alias("c"), F.col("doc").alias("d"))
-    small = member.filter(F.col("n") <= SMALL).select("key", rank.alias("r"))
-    small = small.alias("x").join(small.alias("y"), F.col("x.key") == F.col("y.key")).filter(F.col("x.r") > F.col("y.r")).select(F.col("x.r.d").alias("doc"), F.col("y.r.d").alias("leader"))
-    return small.unionByName(_led(member, leaders).select("doc", "leader")).distinct()
+#: How a member stands to a representative: similar, near, or far.
+SIMILAR, RING, FAR = 2, 1, 0
+COMPARED = "doc long, leader long, sim double, stands int, away double, base double, added double, added_least double, lacking double, lacking_least double, bits array<long>, short array<long>, rest array<long>, prefix array<long>"
 
 
-def _led(member: DataFrame, leaders: int) -> DataFrame:
-    """(doc, key, leader) of the large buckets: every member but the leaders with each leader."""
-    large = member.filter(F.col("n") > SMALL)
-    rank = F.struct((-F.col("central")).alias("c"), F.col("doc").alias("d"))
-    if leaders == 1:
-        lead = large.groupBy("key").agg(F.array(F.min(rank)).alias("lead"))
-    else:  # the first of each of as many classes of members, by partial minima
-        lead = large.groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(leaders)).alias("part")).agg(F.min(rank).alias("r")).groupBy("key").agg(F.collect_list("r").alias("lead"))
-    told = large.join(lead, "key").filter(~F.array_contains(F.transform("lead", lambda x: x["d"]), F.col("doc")))
-    return told.select("doc", "key", F.explode(F.transform("lead", lambda x: x["d"])).alias("leader"))
+def _bitmap(name: np.ndarray) -> np.ndarray:
+    on = np.zeros(64 * WORDS, np.uint8)
+    on[(name >> np.uint64(20)).astype(np.int64) % len(on)] = 1
+    return np.packbits(on).view(np.int64)
 
 
-def _prefixes(weights: np.ndarray, threshold: float):
-    """mapInArrow function: the shingles of each text's prefix in the order (weight descending, hash), and its whole weight.
+def _compared(weights: Weights, t: float, near: float):
+    """mapInArrow function over (doc, leader, s, n, leader_s, leader_n): similarity, and what leads to links with others.
 
-    The shingles after the prefix weigh less than ``threshold`` of the whole, so two texts without a common shingle in
-    their prefixes share less than that of one of them.
+    short: names of the first differences, for pairs of two that are not similar to the representative and for those that
+    are; rest: further ones that one which is not similar may share with one that is; prefix: names of the rarest shingles.
     """
 
+    def one(a: _Set, b: _Set) -> tuple:
+        at = np.minimum(np.searchsorted(b.s, a.s), len(b.s) - 1)
+        hit = b.s[at] == a.s
+        of_b, of_a = np.zeros(len(a.s), np.int64), np.zeros(len(b.s), np.int64)
+        of_b[hit], of_a[at[hit]] = b.n[at[hit]], a.n[hit]
+        least = float((np.minimum(a.n, of_b) * a.each).sum(dtype=np.float64))
+        every = a.whole + b.whole - least
+        sim = least / every if every > 0 else 0.0
+        plain = _prefix(*_elements(a.s, a.each, np.zeros_like(a.n), a.n, np.uint64(0)), t * a.whole)
+        if sim < near:
+            return sim, FAR, 0.0, b.whole, 0.0, 0.0, 0.0, 0.0, np.zeros(2 * WORDS, np.int64), plain[:0], plain[:0], plain
+        more, less = np.flatnonzero(a.n > of_b), np.flatnonzero(b.n > of_a)
+        (x, wx), (y, wy) = _elements(a.s[more], a.each[more], of_b[more], a.n[more], _ADDED), _elements(b.s[less], b.each[less], of_a[less], b.n[less], _LACKING)
+        away = float(wy.sum() + t * wx.sum())
+        name, weight = np.concatenate([x, y]), np.concatenate([wx, wy])
+        short = _prefix(name, weight, max(away / (1 + t), 1e-9))
+        rest = short[:0] if sim >= t else _prefix(name, weight, max(away - (1 - t) * b.whole, 1e-9))[len(short) :]
+        low = lambda w: float(w.min()) if len(w) else 0.0
+        return sim, SIMILAR if sim >= t else RING, away, b.whole, float(wx.sum()), low(wx), float(wy.sum()), low(wy), np.concatenate([_bitmap(x), _bitmap(y)]), short, rest, plain
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, _Set] = {}
+        names = [f.split()[0] for f in COMPARED.split(", ")]
         for batch in batches:
-            parts, whole = [], []
-            for text in batch.column("text").to_pylist():
-                s, n = shingles(text)
-                each = weights[bucket(s)]
-                order = np.lexsort((s, -each))
-                w = (n * each)[order].astype(np.float64)
-                rest = w.sum() - np.cumsum(w)
-                parts.append(s[order][: int(np.count_nonzero(rest >= threshold * w.sum() * (1 - 1e-6))) + 1])
-                whole.append(w.sum())
-            of = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-            own = [batch.column(c).take(pa.array(of, pa.int64())) for c in ("doc", "class", "left")]
-            shingle = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([*own, pa.array(shingle.view(np.int64)), pa.array(np.asarray(whole, np.float64)[of])], ["doc", "class", "left", "shingle", "whole"])
+            out = []
+            for lead, s, n, ls, ln in zip(*(batch.column(c).to_pylist() for c in ("leader", "s", "n", "leader_s", "leader_n")), strict=True):
+                if lead not in known:
+                    if len(known) >= 32:
+                        known.clear()
+                    known[lead] = _Set(ls, ln, weights)
+                out.append(one(_Set(s, n, weights), known[lead]))
+            cols = [pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int32())] + [pa.array([x[k] for x in out], pa.float64()) for k in range(2, 8)]
+            cols += [pa.array([x[k].view(np.int64) for x in out], pa.list_(pa.int64())) for k in range(8, 12)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("leader"), *cols], names)
 
     return run
 
 
-def _missed(member: DataFrame, found: DataFrame, tried: DataFrame, texts: DataFrame, weights: np.ndarray, scratch: Scratch, threshold: float) -> DataFrame:
-    """(doc, leader) of two classes that may be similar. ``member``: doc, key, central of the large buckets; ``found``: links."""
-    member = member.join(components(found, Scratch(scratch.spark, "icws-missed")), "doc", "left").select("doc", "key", "central", F.coalesce("class", "doc").alias("class"))
-    lead = member.groupBy("key").agg(F.min(F.struct((-F.col("central")).alias("c"), "doc", "class")).alias("lead"))
-    state = member.join(lead, "key").groupBy("doc", "class").agg(F.max(F.col("class") != F.col("lead.class")).alias("left"))
-    prefix = state.join(texts.hint("merge"), "doc").select("doc", "class", "left", "text").mapInArrow(_prefixes(weights, threshold), "doc long, class long, left boolean, shingle long, whole double")
-    prefix = scratch.cut(prefix, "prefix")
-    shared = prefix.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("left").alias("open")).filter("low < high and open").select("shingle")
-    prefix = scratch.cut(prefix.join(shared, "shingle", "left_semi"), "shared")
-    x, y = prefix.filter("left").alias("x"), prefix.alias("y")
-    apart = (F.col("x.class") != F.col("y.class")) & (~F.col("y.left") | (F.col("x.doc") < F.col("y.doc")))
-    near = F.least("x.whole", "y.whole") >= threshold * (1 - 1e-6) * F.greatest("x.whole", "y.whole")
-    ask = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & near).select(F.col("x.doc").alias("doc"), F.col("y.doc").alias("leader")).distinct()
-    told = tried.select("doc", "leader").unionByName(tried.select(F.col("leader").alias("doc"), F.col("doc").alias("leader")))
-    return ask.join(told, ["doc", "leader"], "left_anti")
-
-
-def similar_pairs(spark: SparkSession, node: DataFrame, texts: DataFrame, weights: np.ndarray, scratch: Scratch, threshold: float) -> DataFrame:
-    """Verified pairs (doc, leader) that link the similar members of every bucket. ``node``: doc, bands."""
+def _may_link(x: str, y: str, t: float):
+    """Whether the common differences of two members of one bucket can weigh enough for a link."""
+    col = lambda side, c: F.col(f"{side}.{c}")
+
+    def alone(a: str, b: str, first: int):  # bits of a that b does not have
+        return sum((F.bit_count(col(a, "bits")[i].bitwiseAND(F.bitwise_not(col(b, "bits")[i]))) for i in range(first, first + WORDS)), F.lit(0))
+
+    def most(a: str, b: str):
+        return col(a, "added") - col(a, "added_least") * alone(a, b, 0) + col(a, "lacking") - col(a, "lacking_least") * alone(a, b, WORDS)
+
+    need = (col(x, "away") + col(y, "away") - (1 - t) * col(x, "base")) / (1 + t) * (1 - 1e-5)
+    return (most(x, y) >= need) & (most(y, x) >= need)
+
+
+def similar_pairs(node: DataFrame, sets: DataFrame, weights: Weights, scratch: Scratch, threshold: float = THRESHOLD, near: float = NEAR) -> DataFrame:
+    """Compared pairs (doc, leader, sim) that link the similar members of every bucket. ``node``: doc, bands; ``sets``: doc, text."""
     member = node.select("doc", F.explode("bands").alias("key"))
     size = member.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    first = scratch.cut(member.join(size, "key"), "member0")
-    central = scratch.cut(first.groupBy("doc").agg(F.sum("n").alias("central")), "central")
-    member = scratch.cut(first.join(central, "doc"), "member1")
-    # the texts of documents that share a bucket, taken out of the corpus once
-    texts = scratch.cut(texts.select("doc", "text").join(central.select("doc").hint("merge"), "doc", "left_semi"), "texts")
-    large = member.filter(F.col("n") > SMALL)
-    tried, level, leaders, k = None, 1, 1, 1
-
-    def verify(ask: DataFrame, k: int) -> DataFrame:
-        ask = scratch.cut(ask, f"ask{k}")
-        ask = ask.join(texts.select("doc", "text").hint("merge"), "doc").join(texts.select(F.col("doc").alias("leader"), F.col("text").alias("leader_text")).hint("merge"), "leader")
-        return scratch.cut(ask.select("doc", "leader", "text", "leader_text").mapInArrow(_verified(weights), "doc long, leader long, sim double"), f"sim{k}")
-
-    while not member.isEmpty():
-        ask = _ask(member, leaders)
-        if tried is not None:
-            ask = ask.join(tried.select("doc", "leader"), ["doc", "leader"], "left_anti")
-        done = verify(ask, k)
-        tried = done if tried is None else tried.unionByName(done)
-        placed = tried.filter(F.col("sim") >= threshold).select("doc").distinct()
-        left = _led(member, leaders).select("doc", "key").distinct().join(placed, "doc", "left_anti")
-        if level < DEEPEST:
-            level += 1
-            if level > 2:  # subsets are formed of single bands
-                left = left.select("doc").distinct().join(bands, "doc")
-                keys = left
-            else:
-                keys = bands = scratch.cut(left.groupBy("doc").agg(F.sort_array(F.collect_set("key")).alias("bands")), "left_bands")
-            left = keys.select("doc", F.explode(_subsets("bands", level)).alias("key"))
-        else:
-            leaders = SMALL
-        left = scratch.cut(left, f"left{k}")
-        size = left.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-        member = scratch.cut(left.join(size, "key").join(central, "doc"), f"member{k + 1}")
-        scratch.drop(*([] if k == 1 else [f"member{k}"]), f"left{k}")
-        k += 1
-    if tried is None:
-        return spark.createDataFrame([], "doc long, leader long, sim double")
+    member = scratch.cut(member.join(size, "key"), "members")
+    central = scratch.cut(member.groupBy("doc").agg(F.sum("n").alias("central")), "central")
+    # the sets of documents that share a bucket, taken out of the corpus once
+    sets = scratch.cut(sets.join(central.select("doc").hint("merge"), "doc", "left_semi").mapInArrow(_as_sets, SETS), "sets")
+
+    def led(rows: DataFrame, *key: str) -> DataFrame:
+        """Pairs (doc, leader) of every member of a group and its representative."""
+        rows = rows.join(central, "doc")
+        rank = F.struct((-F.col("central")).alias("c"), F.col("doc").alias("leader"))
+        lead = rows.groupBy(*key).agg(F.min(rank)["leader"].alias("leader"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
+        return rows.join(lead, list(key)).filter(F.col("doc") != F.col("leader")).select("doc", "leader").distinct()
+
+    def compared(ask: DataFrame, name: str, told: DataFrame | None = None) -> DataFrame:
+        if told is not None:
+            told = told.select("doc", "leader")
+            ask = ask.join(told.unionByName(told.select(F.col("leader").alias("doc"), F.col("doc").alias("leader"))), ["doc", "leader"], "left_anti")
+        ask = ask.join(sets.hint("merge"), "doc").join(sets.select(F.col("doc").alias("leader"), F.col("s").alias("leader_s"), F.col("n").alias("leader_n")).hint("merge"), "leader")
+        return scratch.cut(ask.select("doc", "leader", "s", "n", "leader_s", "leader_n").mapInArrow(_compared(weights, threshold, near), COMPARED), name)
+
+    first = compared(led(member, "key"), "compared1")
+    # representatives with members that are not similar to them; those with members far away
+    open_ = first.groupBy("leader").agg(F.min("stands").alias("least"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("least") < SIMILAR)).select("leader", "least")
+    seen = scratch.cut(first.join(open_, "leader").withColumnRenamed("leader", "centre"), "seen")
+    fixed = ["centre", "doc", "stands"]
+    named = lambda c, kind: seen.filter(kind).select(*fixed, F.explode(c).alias("key"))
+    left = F.col("stands") < SIMILAR
+    by_prefix = named("prefix", F.col("least") == FAR)
+    second = compared(led(named("short", left).unionByName(by_prefix.filter(left)), "centre", "key"), "compared2", first)
+    tried = first.select("doc", "leader", "sim").unionByName(second.select("doc", "leader", "sim"))
     found = tried.filter(F.col("sim") >= threshold)
-    if large.isEmpty():
-        return found
-    return found.unionByName(verify(_missed(large, found, tried, texts, weights, scratch, threshold), k).filter(F.col("sim") >= threshold))
+    of = components(found, Scratch(scratch.spark, "icws-families"))
+    of = scratch.cut(central.select("doc").join(of, "doc", "left").select("doc", F.coalesce("class", "doc").alias("class")), "families")
+    # joined by shared names, between classes
+    wide = [*fixed, "away", "base", "added", "added_least", "lacking", "lacking_least", "bits"]
+    near_ = seen.filter(F.col("stands") != FAR).join(of, "doc")
+    short = near_.select(*wide, "class", F.explode("short").alias("key"), F.lit(True).alias("short"))
+    rest = near_.filter(F.col("stands") == RING).select(*wide, "class", F.explode("rest").alias("key"), F.lit(False).alias("short"))
+    x, y = short.filter(F.col("stands") == RING).unionByName(rest).alias("x"), short.alias("y")
+    other = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class"))
+    one_way = (F.col("y.stands") == SIMILAR) | F.col("x.short") & (F.col("x.doc") < F.col("y.doc"))
+    pair = [F.col("x.doc").alias("doc"), F.col("y.doc").alias("leader")]
+    ask = x.join(y, other & one_way & _may_link("x", "y", threshold)).select(*pair)
+    by_prefix = by_prefix.join(of, "doc")
+    x, y = by_prefix.filter(F.col("stands") == FAR).alias("x"), by_prefix.alias("y")
+    one_way = (F.col("y.stands") != FAR) | (F.col("x.doc") < F.col("y.doc"))
+    ask = ask.unionByName(x.join(y, other & one_way).select(*pair)).distinct()
+    third = compared(scratch.cut(ask, "ask"), "compared3", tried).filter(F.col("sim") >= threshold)
+    return found.unionByName(third.select("doc", "leader", "sim"))
 
 
 def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -322,32 +369,30 @@ def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     return step.select(F.col("a").alias("doc"), F.col("next").alias("class"))
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size (its different ids), kept (the one of its class that stays)."""
-    spark = docs.sparkSession
-    small_batches(spark, 128)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    weights = idf(docs)
-    each = scratch.cut(docs.mapInArrow(_signed(weights, bands, rows), "doc_id long, c1 long, c2 long, bands array<long>"), "signed")
-    full = each.filter(F.col("doc_id").isNotNull() & F.col("c1").isNotNull())
-    # a node for each different text; its name is the least id that has it
-    first = scratch.cut(full.groupBy("c1", "c2", "bands").agg(F.min("doc_id").alias("doc")), "nodes")
-    node = first.select("doc", "bands").groupBy("doc").agg(F.flatten(F.collect_list("bands")).alias("bands"))
-    lengthy = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).groupBy(F.col("doc_id").alias("doc")).agg(F.max("text").alias("text"))
-    pairs = similar_pairs(spark, node, lengthy if _repeats(docs) else docs.withColumnRenamed("doc_id", "doc"), weights, scratch, threshold)
-    copies = full.join(first.select("c1", "c2", "doc"), ["c1", "c2"]).select(F.col("doc_id").alias("doc"), F.col("doc").alias("leader"))
-    copies = copies.filter(F.col("doc") != F.col("leader")).distinct()
-    found = scratch.cut(components(pairs.select("doc", "leader").unionByName(copies), scratch), "classes")
-    size = found.groupBy("class").agg(F.count("*").alias("class_size"))
-    found = found.join(size, "class")
-    out = docs.select("doc_id").join(found.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("class") == F.col("doc_id"), F.lit(True)).alias("kept"))
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether some doc_id occurs in more than one row."""
-    return not docs.groupBy("doc_id").count().filter(F.col("count") > 1).isEmpty()
+def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(the documents with a ``_row``, a verdict for each row): _row, doc_id, class_id, class_size (its documents), kept (one row
+    of each class)."""
+    small_batches(docs.sparkSession)
+    docs = scratch.cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    text = docs.select(F.col("_row").alias("row"), F.col("doc_id").cast("long"), "text")
+    weights = idf(text)
+    each = scratch.cut(text.mapInArrow(_signed(weights, bands, rows), "row long, doc_id long, c1 long, c2 long, bands array<long>"), "signed")
+    # a node for each different text, named by its first row; a text without words is a node of its own
+    node = scratch.cut(each.filter(F.col("c1").isNotNull()).groupBy("c1", "c2", "bands").agg(F.min("row").alias("doc")), "nodes")
+    pairs = similar_pairs(node.select("doc", "bands"), text.select(F.col("row").alias("doc"), "text"), weights, scratch, threshold)
+    of = each.select("row", "doc_id", "c1", "c2").join(node.select("c1", "c2", "doc"), ["c1", "c2"], "left").select("row", "doc_id", F.coalesce("doc", "row").alias("doc"))
+    of = scratch.cut(of, "of")
+    one_id = of.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).filter("leader < last")
+    same_id = of.join(one_id, "doc_id").filter(F.col("doc") != F.col("leader")).select("doc", "leader").distinct()
+    found = components(pairs.select("doc", "leader").unionByName(same_id), scratch)
+    of = scratch.cut(of.join(found, "doc", "left").select("row", "doc_id", F.coalesce("class", "doc").alias("class")), "classes")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row")))
+    # rows of one id count once: the first of its rows stands for it
+    first = of.groupBy("class", F.coalesce(F.col("doc_id"), -1 - F.col("row")).alias("id"), F.col("doc_id").isNull().alias("none")).agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"))
+    head = first.groupBy("class").agg(F.count("*").alias("class_size"), head.alias("head"))
+    out = of.join(head, "class").select(F.col("row").alias("_row"), "doc_id", F.col("head.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("head.row")).alias("kept"))
+    return docs, out
 
 
 def op9_icws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"), Scratch(spark, "icws"))
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "icws"))[1].drop("_row")

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from . import bm25_pack, chat_trees, decontaminate, html_wrapper, language_id, license_scan, line_quality, line_runs, minhash_icws, suffix_family
-from .common import few_files
+from .common import sized
 
 
-def _few(query):
+def _sized(query):
     def run(spark, sf_dir):
-        return few_files(query(spark, sf_dir))
+        return sized(query(spark, sf_dir))
 
     return run
 
@@ -25,7 +25,7 @@ _OWN = {
     "op9_icws": minhash_icws.op9_icws,
     "op10_language_id": language_id.op10_language_id,
 }
-QUERIES = {name: _few(query) for name, query in _OWN.items()}
+QUERIES = {name: _sized(query) for name, query in _OWN.items()}
 SQL = {
     "op1_decontaminate": decontaminate.sql(),
     "op4_chat_reply_trees": chat_trees.OP4_SQL,

@@ -351,7 +351,7 @@ def near_docs():
 def test_near_duplicates_lose_no_link(spark):
     docs = near_docs()
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    rows = minhash_icws.near_duplicates(df, scratch(spark)).collect()
+    rows = minhash_icws.near_duplicates(df, scratch(spark))[1].collect()
     w = minhash_icws.idf(df)
     cls = {r["doc_id"]: r["class_id"] for r in rows}
     sets = {d: minhash_icws.shingles(t) for d, t in docs}
@@ -359,7 +359,7 @@ def test_near_duplicates_lose_no_link(spark):
     assert len(rows) == len(docs) and len(links) > 100 and all(cls[a] == cls[b] for a, b in links)
     linked = {x for p in links for x in p}
     assert all(cls[d] == d for d in sets if d not in linked) and cls[7002] == 7001 and cls[7003] == 7003
-    assert sum(r["kept"] for r in rows) >= len(set(cls.values()))
+    assert sum(r["kept"] for r in rows) == len({r["class_id"] for r in rows})
 
 
 def test_large_bucket_links_left_over_to_placed(spark):
@@ -370,11 +370,11 @@ def test_large_bucket_links_left_over_to_placed(spark):
     over = placed[35:] + [f"o{i}" for i in range(35)]  # similar to the placed one only
     docs = [(0, lead), (1, placed), (2, over), *[(k, words(k)) for k in range(3, 45)]]
     texts = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc long, text string")
-    weights = np.ones(minhash_icws.BUCKETS, np.float32)
+    weights = minhash_icws.Weights(np.zeros(0, np.uint64), np.zeros(0), 1.0)
     sim = lambda a, b: minhash_icws.similarity(minhash_icws.shingles(" ".join(a)), minhash_icws.shingles(" ".join(b)), weights)
     assert sim(lead, placed) >= 0.75 > sim(lead, over) and sim(placed, over) >= 0.75
-    node = texts.select("doc", F.array(F.lit(7).cast("long")).alias("bands"))  # one bucket over SMALL holds all
-    found = minhash_icws.similar_pairs(spark, node, texts, weights, scratch(spark), 0.75).collect()
+    node = texts.select("doc", F.array(F.lit(7).cast("long")).alias("bands"))  # one bucket holds all
+    found = minhash_icws.similar_pairs(node, texts, weights, scratch(spark), 0.75).collect()
     assert {frozenset((r["doc"], r["leader"])) for r in found} == {frozenset((0, 1)), frozenset((1, 2))}
 
 
@@ -389,10 +389,69 @@ def test_samples_estimate_weighted_jaccard():
     assert abs((x[0] == x[1]).mean() - true) < 0.07
 
 
+def test_group_of_edited_copies_is_not_expanded(spark):
+    g = np.random.default_rng(11)
+    base, passage = [f"b{i}" for i in range(150)], [f"s{i}" for i in range(60)]
+    docs = []
+    for d in range(5000):  # copies with up to twelve edits of their own: some similar to the original, some to nothing
+        w = list(base)
+        for k in g.integers(0, 150, g.integers(0, 13)):
+            w[k] = f"e{d}x{k}"
+        docs.append((d, " ".join(w)))
+    family = [f"f{i}" for i in range(60)]  # and copies of the original with one addition that is the same in all
+    docs += [(10_000 + d, " ".join([*base, *family, f"own{d}"])) for d in range(300)]
+    docs += [(20_000 + d, " ".join([*passage, *[f"u{d}x{i}" for i in range(50)]])) for d in range(1000)]
+    df, cut = spark.createDataFrame(docs, "doc_id long, text string"), scratch(spark)
+    got = {r["doc_id"]: r["class_id"] for r in minhash_icws.near_duplicates(df, cut)[1].collect()}
+    w = minhash_icws.idf(df)
+    sets = {d: minhash_icws.shingles(t) for d, t in docs}
+    sim = lambda a, b: minhash_icws.similarity(sets[a], sets[b], w)
+    links = [(a, b) for a, b in g.integers(0, 5000, (30_000, 2)).tolist() if a != b and sim(a, b) >= 0.8]
+    assert len(links) > 100 and all(got[a] == got[b] for a, b in links)
+    assert len({got[10_000 + d] for d in range(300)}) == 1 and all(got[20_000 + d] == 20_000 + d for d in range(1000))
+    compared = sum(spark.read.parquet(f"{cut.root}/compared{k}").count() for k in (1, 2, 3))
+    assert compared < 4 * len(docs)  # of 12 million pairs
+
+
+def test_bounds_on_differences_never_fail_a_link(spark):
+    g = np.random.default_rng(12)
+    base = [f"b{i}" for i in range(80)]
+    docs, texts = {}, []
+    for d in range(160):  # edits drawn from few places and words, so many share some
+        w = list(base)
+        for k in g.integers(0, 16, g.integers(0, 9)):
+            w[5 * k] = f"e{k % 3}"
+        docs[d] = " ".join(w + [f"t{i}" for i in range(g.integers(0, 3) * 8)])
+    texts = spark.createDataFrame(list(docs.items()), "doc long, text string")
+    weights = minhash_icws.Weights(np.zeros(0, np.uint64), np.zeros(0), 1.0)
+    found = minhash_icws.similar_pairs(texts.select("doc", F.array(F.lit(7).cast("long")).alias("bands")), texts, weights, scratch(spark), 0.8).collect()
+    cls = {d: d for d in docs}
+
+    def root(d):
+        while cls[d] != d:
+            d = cls[d]
+        return d
+
+    for r in found:
+        a, b = sorted((root(r["doc"]), root(r["leader"])))
+        cls[b] = a
+    sets = {d: minhash_icws.shingles(t) for d, t in docs.items()}
+    links = [(a, b) for a in docs for b in docs if a < b and minhash_icws.similarity(sets[a], sets[b], weights) >= 0.8]
+    assert len(links) > 50 and all(root(a) == root(b) for a, b in links)
+    assert all(minhash_icws.similarity(sets[r["doc"]], sets[r["leader"]], weights) >= 0.8 for r in found)
+
+
 def test_near_edges(spark, edge, none):
-    rows = minhash_icws.near_duplicates(edge, scratch(spark)).collect()
+    rows = minhash_icws.near_duplicates(edge, scratch(spark))[1].collect()
     assert len(rows) == len(EDGE) and {r["doc_id"]: r["class_id"] for r in rows if r["doc_id"]}[5] == 4
-    assert minhash_icws.near_duplicates(none, scratch(spark)).count() == 0
+    assert sum(r["kept"] for r in rows if r["doc_id"] == 3) == 1  # rows of one id are one document
+    assert minhash_icws.near_duplicates(none, scratch(spark))[1].count() == 0
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(1, text("a")), (2, text("a") + " more"), (2, text("b")), (3, text("b")), (None, text("c")), (None, text("c")), (None, text("d")), (4, text("d"))]
+    got = minhash_icws.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), scratch(spark))[1].collect()
+    told = collections.Counter((r["doc_id"], r["class_id"]) for r in got)
+    assert told == {(1, 1): 1, (2, 1): 2, (3, 1): 1, (None, None): 2, (None, 4): 1, (4, 4): 1} and sum(r["kept"] for r in got) == 3
+    assert {r["class_size"] for r in got if r["class_id"] == 1} == {3}
 
 
 # ---- language
