@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, read, shingle_hashes, small_batches, word_hashes
+from .common import Scratch, mix, plan_bytes, read, shingle_hashes, small_batches, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -57,7 +57,8 @@ WORDS = 4
 RARE = 1 << 13
 #: Rows that the table of more frequent shingles may have; the part doubles until it fits. At 12 bytes each, 12 MB.
 FREQUENT = 1 << 20
-_BLOCK = 1 << 20
+#: Shingles of a block of documents that are counted together, and bytes of input for each range of hashes.
+_BLOCK, RANGE_BYTES = 1 << 20, 4 << 20
 _SEED = np.uint64(0xA0761D6478BD642F)
 _ADDED, _LACKING = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -82,31 +83,68 @@ class Weights:
         return out
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, n): in how many documents of a block each shingle is. Blocks are bounded by shingles."""
-    held, size = [], 0
+def _counted(ranges: int):
+    """mapInArrow function: (range, s, n): of a block of documents, the shingles of one range of hashes, ascending, and in how many
+    documents each is. Blocks are bounded by shingles, so a shingle that very many documents hold is one entry of each block."""
+    edge = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
 
-    def flush() -> pa.RecordBatch:
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         s, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], ["shingle", "n"])
+        cut = np.concatenate(([0], np.searchsorted(s, edge), [len(s)]))
+        own = np.flatnonzero(cut[1:] > cut[:-1])
+        n = n.astype("<u4")
+        parts = [[x[cut[i] : cut[i + 1]].tobytes() for i in own] for x in (s, n)]
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(parts[0], pa.binary()), pa.array(parts[1], pa.binary())], ["range", "s", "n"])
 
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            held.append(np.unique(shingle_hashes(word_hashes(text or ""), SHINGLE)))
-            size += len(held[-1])
-            if size >= _BLOCK:
-                yield flush()
-                held, size = [], 0
-    if size:
-        yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held.append(np.unique(shingle_hashes(word_hashes(text or ""), SHINGLE)))
+                size += len(held[-1])
+                if size >= _BLOCK:
+                    yield flush(held)
+                    held, size = [], 0
+        if size:
+            yield flush(held)
+
+    return run
+
+
+def _added_up(least: float):
+    """mapInArrow function over rows sorted by range: (shingle, df) of the shingles in more than ``least`` documents."""
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        s, n = np.concatenate([np.frombuffer(a, np.uint64) for a, _ in held]), np.concatenate([np.frombuffer(b, "<u4") for _, b in held])
+        order = np.argsort(s, kind="stable")
+        s = s[order]
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        df = np.add.reduceat(n[order].astype(np.int64), first)
+        keep = df > least
+        return pa.RecordBatch.from_arrays([pa.array(s[first][keep].view(np.int64)), pa.array(df[keep])], ["shingle", "df"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            for i, s, n in zip(*(batch.column(c).to_pylist() for c in ("range", "s", "n")), strict=True):
+                if held and i != at:
+                    yield flush(held)
+                    held = []
+                at = i
+                held.append((s, n))
+        if held:
+            yield flush(held)
+
+    return run
 
 
 def idf(docs: DataFrame, rare: int = RARE, frequent: int = FREQUENT) -> Weights:
     """The weights over all documents. The driver gets the shingles whose df is over the rarest that counts, ``frequent`` at most."""
     n, part = docs.count(), rare
-    df = docs.select("text").mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df"))
+    ranges = max(64, plan_bytes(docs) // RANGE_BYTES)
+    blocks = docs.select("text").mapInArrow(_counted(ranges), "range int, s binary, n binary").repartition("range").sortWithinPartitions("range")
     rows = Scratch(docs.sparkSession, "icws-df")
-    often = rows.cut(df.filter(F.col("df") > max(n / part, 1.0)), "often")
+    often = rows.cut(blocks.mapInArrow(_added_up(max(n / part, 1.0)), "shingle long, df long"), "often")
     while often.filter(F.col("df") > max(n / part, 1.0)).count() > frequent:
         part /= 2
     least = max(n / part, 1.0)
@@ -183,16 +221,6 @@ def _content(words: np.ndarray) -> tuple[int, int]:
     return int(x.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(x ^ _SEED)).view(np.int64))
 
 
-def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of each text and how often each occurs, as bytes."""
-    for batch in batches:
-        found = [shingles(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())], ["doc", "s", "n"])
-
-
-SETS = "doc long, s binary, n binary"
-
-
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: Weights) -> float:
     """Weighted Jaccard: sum of least over sum of greatest weights."""
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -206,8 +234,8 @@ class _Set:
 
     __slots__ = ("each", "n", "s", "whole")
 
-    def __init__(self, s: bytes, n: bytes, weights: Weights):
-        self.s, self.n = np.frombuffer(s, np.uint64), np.frombuffer(n, "<u4").astype(np.int64)
+    def __init__(self, text: str, weights: Weights):
+        self.s, self.n = shingles(text)
         self.each = weights.of(self.s)
         self.whole = float((self.n * self.each).sum(dtype=np.float64))
 
@@ -238,7 +266,7 @@ def _bitmap(name: np.ndarray) -> np.ndarray:
 
 
 def _compared(weights: Weights, t: float, near: float):
-    """mapInArrow function over (doc, leader, s, n, leader_s, leader_n): similarity, and what leads to links with others.
+    """mapInArrow function over (doc, leader, text, leader_text): similarity, and what leads to links with others.
 
     short: names of the first differences, for pairs of two that are not similar to the representative and for those that
     are; rest: further ones that one which is not similar may share with one that is; prefix: names of the rarest shingles.
@@ -269,12 +297,12 @@ def _compared(weights: Weights, t: float, near: float):
         names = [f.split()[0] for f in COMPARED.split(", ")]
         for batch in batches:
             out = []
-            for lead, s, n, ls, ln in zip(*(batch.column(c).to_pylist() for c in ("leader", "s", "n", "leader_s", "leader_n")), strict=True):
+            for lead, text, other in zip(*(batch.column(c).to_pylist() for c in ("leader", "text", "leader_text")), strict=True):
                 if lead not in known:
                     if len(known) >= 32:
                         known.clear()
-                    known[lead] = _Set(ls, ln, weights)
-                out.append(one(_Set(s, n, weights), known[lead]))
+                    known[lead] = _Set(other, weights)
+                out.append(one(_Set(text, weights), known[lead]))
             cols = [pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int32())] + [pa.array([x[k] for x in out], pa.float64()) for k in range(2, 8)]
             cols += [pa.array([x[k].view(np.int64) for x in out], pa.list_(pa.int64())) for k in range(8, 12)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("leader"), *cols], names)
@@ -296,14 +324,14 @@ def _may_link(x: str, y: str, t: float):
     return (most(x, y) >= need) & (most(y, x) >= need)
 
 
-def similar_pairs(node: DataFrame, sets: DataFrame, weights: Weights, scratch: Scratch, threshold: float = THRESHOLD, near: float = NEAR) -> DataFrame:
-    """Compared pairs (doc, leader, sim) that link the similar members of every bucket. ``node``: doc, bands; ``sets``: doc, text."""
+def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch: Scratch, threshold: float = THRESHOLD, near: float = NEAR) -> DataFrame:
+    """Compared pairs (doc, leader, sim) that link the similar members of every bucket. ``node``: doc, bands; ``texts``: doc, text."""
     member = node.select("doc", F.explode("bands").alias("key"))
     size = member.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     member = scratch.cut(member.join(size, "key"), "members")
     central = scratch.cut(member.groupBy("doc").agg(F.sum("n").alias("central")), "central")
-    # the sets of documents that share a bucket, taken out of the corpus once
-    sets = scratch.cut(sets.join(central.select("doc").hint("merge"), "doc", "left_semi").mapInArrow(_as_sets, SETS), "sets")
+    # the texts of documents that share a bucket, taken out of the corpus once
+    texts = scratch.cut(texts.join(central.select("doc").hint("merge"), "doc", "left_semi"), "texts")
 
     def led(rows: DataFrame, *key: str) -> DataFrame:
         """Pairs (doc, leader) of every member of a group and its representative."""
@@ -316,8 +344,8 @@ def similar_pairs(node: DataFrame, sets: DataFrame, weights: Weights, scratch: S
         if told is not None:
             told = told.select("doc", "leader")
             ask = ask.join(told.unionByName(told.select(F.col("leader").alias("doc"), F.col("doc").alias("leader"))), ["doc", "leader"], "left_anti")
-        ask = ask.join(sets.hint("merge"), "doc").join(sets.select(F.col("doc").alias("leader"), F.col("s").alias("leader_s"), F.col("n").alias("leader_n")).hint("merge"), "leader")
-        return scratch.cut(ask.select("doc", "leader", "s", "n", "leader_s", "leader_n").mapInArrow(_compared(weights, threshold, near), COMPARED), name)
+        ask = ask.join(texts.hint("merge"), "doc").join(texts.select(F.col("doc").alias("leader"), F.col("text").alias("leader_text")).hint("merge"), "leader")
+        return scratch.cut(ask.select("doc", "leader", "text", "leader_text").mapInArrow(_compared(weights, threshold, near), COMPARED), name)
 
     first = compared(led(member, "key"), "compared1")
     # representatives with members that are not similar to them; those with members far away
