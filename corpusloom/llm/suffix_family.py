@@ -6,20 +6,22 @@ if equal), with K + W - 1 = LENGTH; equal windows therefore have equal anchors a
 bytes occurs twice only if the suffixes at its anchor share their first K bytes. Suffixes are ordered by the fingerprint
 of these bytes, which puts equal prefixes side by side as the order of the bytes would.
 
-``IndexFamily`` takes the documents in batches. A batch gets the sorted fingerprints of its suffixes with their number, no
-positions; levels of equal size merge geometrically, so each is rewritten log2(batches) times. Once all batches are in,
-fingerprints that occur more than once over all levels are candidates (``repeated``); the rest of the text needs no further
-look. ``scan``, which merges a new batch against the levels there are, is not used here.
+``IndexFamily`` takes the documents in batches. A batch gets its suffix array: the suffixes at its anchors, with their text
+and position, in the order of their fingerprints. Before it is added, ``scan`` merges it with the levels that exist: the
+fingerprints that it shares with an earlier suffix, of a level or of its own, are its matches. Then it becomes a level 0, and
+levels of equal size merge geometrically, so each suffix is rewritten log2(batches) times. All candidates are matches of some
+scan: suffixes without a match need no further look. A suffix that one text repeats is one entry with its number.
 
 Candidates are then decided exactly. The windows whose anchor is a candidate form, per anchor, one stretch of the text;
-equal stretches are counted, as copies share them whole. Where a prefix has different stretches, its windows are hashed
-and counted one by one: in tasks that hold all stretches of a prefix, or, for the prefixes with more than ``CROWD``
-stretches, as rows that are counted by the window's hash. A window that occurs twice is removed from every document.
-Windows are told apart by 128 bits.
+equal stretches are counted, as copies share them whole, and equal ones at even steps (as in a run of one character) are one
+row. Where a prefix has different stretches, its windows are hashed and counted one by one: in tasks that hold all stretches
+of a prefix, or, for the prefixes with more than ``CROWD`` stretches, as rows that are counted by the window's hash. A window
+that occurs twice is removed from every document. Windows and stretches are told apart by 128 bits, texts by their row.
 
 Defined results: null texts are empty; texts under LENGTH bytes keep all; rows that repeat are documents of their own,
 so each is a copy of the other; a null doc_id is a value; an empty table gives an empty result; other columns are
-ignored. Positions are bytes of the UTF-8 text.
+ignored. Positions are bytes of the UTF-8 text. Very long texts are read in parts, so only their bytes and one number for
+each of them are held at once.
 """
 
 from __future__ import annotations
@@ -44,22 +46,19 @@ CROWD = 1 << 15
 _grams, _first, _second = Rolling(seed=11), Rolling(seed=21), Rolling(seed=31, base=0x6C8E9CF570932BD5)
 
 
-def anchors(b: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor: its position, the fingerprint of its k bytes, and the first and last window that has it."""
-    n = len(b) - length + 1
-    if n < 1:
-        return (np.zeros(0, np.int64),) * 4
-    w, places, grams = length - k + 1, [], []
-    for s in range(0, n, _PART):  # in parts, so memory does not grow with the text
+def anchors(b: np.ndarray, length: int = LENGTH, k: int = K) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each anchor: its position, the fingerprint of its k bytes, and the first and last window that has it.
+
+    In parts, so memory does not grow with the text; an anchor whose windows lie in two parts comes in both.
+    """
+    n, w = len(b) - length + 1, length - k + 1
+    for s in range(0, n, _PART):
         part = b[s : min(s + _PART, n) + length - 1]
         at = np.arange(len(part) - k + 1)
         h = _grams.of(_grams.prefix(part), at, at + k)
-        least = _leftmost_least(h, w)
-        places.append(least + s)
-        grams.append(h[least])
-    pos, gram = np.concatenate(places), np.concatenate(grams)
-    edge = np.flatnonzero(np.concatenate(([True], pos[1:] != pos[:-1])))
-    return pos[edge], gram[edge].view(np.int64), edge, np.append(edge[1:], n) - 1
+        pos = _leftmost_least(h, w)
+        edge = np.flatnonzero(np.concatenate(([True], pos[1:] != pos[:-1])))
+        yield pos[edge] + s, h[pos[edge]].view(np.int64), edge + s, np.append(edge[1:], len(pos)) - 1 + s
 
 
 _PART, _PLACE = (1 << 20) - (1 << 12), np.uint64((1 << 20) - 1)
@@ -84,46 +83,75 @@ def _bytes(text: str | None) -> bytes:
 
 
 def _anchored(length: int, k: int):
-    """Rows (batch, gram, text_hash, at): one for each anchor."""
+    """Rows (gram, row, at, n): the suffixes at the anchors of a text; those with one fingerprint as one, from the first on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, ats, n = [], [], []
-            for text in batch.column("text").to_pylist():
-                at, gram, _, _ = anchors(np.frombuffer(_bytes(text), np.uint8), length, k)
-                grams.append(gram)
-                ats.append(at)
-                n.append(len(at))
-            n = np.asarray(n, np.int64)
-            if n.sum():
-                owner = pa.array(np.repeat(np.arange(len(n)), n))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams), pa.int64()), batch.column("text_hash").take(owner), pa.array(np.concatenate(ats), pa.int32())], ["gram", "text_hash", "at"])
+            held, size = [], 0
+            for text, row in zip(batch.column("text").to_pylist(), batch.column("row").to_pylist(), strict=True):
+                for at, gram, _, _ in anchors(np.frombuffer(_bytes(text), np.uint8), length, k):
+                    g, i, n = np.unique(gram, return_index=True, return_counts=True)
+                    held.append((g, np.full(len(g), row), at[i], n))
+                    size += len(g)
+                if size > 1 << 16:
+                    yield _suffixes(held)
+                    held, size = [], 0
+            if held:
+                yield _suffixes(held)
 
     return run
 
 
+SUFFIX = "gram long, row long, at long, n long"
+
+
+def _suffixes(held: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in held]), pa.int64()) for i in range(4)], ["gram", "row", "at", "n"])
+
+
+_CHUNK = 1 << 14
+
+
 def _stretched(length: int, k: int):
-    """Rows of the candidate stretches: text_hash, start, gram, back (of the anchor), h1, h2, bytes."""
+    """Rows of the candidate stretches: row, start, step, times (it stands at start, start + step, ...), gram, back (of the
+    anchor), h1, h2, bytes. Stretches are cut out and handed on a few thousand at a time."""
+    kinds = {"back": pa.int32(), "stretch": pa.binary()}
+
+    def rows(raw: bytes, row: int, at: np.ndarray, gram: np.ndarray, first: np.ndarray, last: np.ndarray) -> dict[str, list]:
+        e = last + length
+        own = [raw[i:j] for i, j in zip(first.tolist(), e.tolist(), strict=True)]
+        name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in own), "<i8").reshape(-1, 2)
+        gap = np.diff(first, prepend=first[0])
+        like = np.zeros(len(own), bool)  # equal to the one before, as far from it as that from the one before it
+        like[1:] = (name[1:] == name[:-1]).all(1) & (gram[1:] == gram[:-1])
+        new = ~like
+        new[2:] |= like[2:] & like[1:-1] & (gap[2:] != gap[1:-1])
+        i = np.flatnonzero(new)
+        times = np.diff(np.append(i, len(own)))
+        step = np.where(times > 1, gap[np.minimum(i + 1, len(gap) - 1)], 0)
+        return {"row": [row] * len(i), "start": first[i].tolist(), "step": step.tolist(), "times": times.tolist(), "gram": gram[i].tolist(), "back": (at - first)[i].tolist(), "h1": name[i, 0].tolist(), "h2": name[i, 1].tolist(), "stretch": [own[j] for j in i]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, list] = {}
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()], list(out))
+
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("text_hash", "start", "gram", "back", "h1", "h2", "stretch")}
-            for text, key, cand in zip(*(batch.column(c).to_pylist() for c in ("text", "text_hash", "ats")), strict=True):
+            for text, row, cand in zip(*(batch.column(c).to_pylist() for c in ("text", "row", "grams")), strict=True):
                 raw = _bytes(text)
-                at, gram, first, last = anchors(np.frombuffer(raw, np.uint8), length, k)
-                pick = np.flatnonzero(np.isin(at, np.asarray(cand)))
-                s, e = first[pick], last[pick] + length
-                own = [raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)]
-                names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in own), "<i8").reshape(-1, 2)
-                out["h1"].extend(names[:, 0].tolist())
-                out["h2"].extend(names[:, 1].tolist())
-                out["text_hash"].extend([key] * len(pick))
-                out["start"].extend(s.tolist())
-                out["gram"].extend(gram[pick].tolist())
-                out["back"].extend((at[pick] - s).tolist())
-                out["stretch"].extend(own)
-            kinds = {"start": pa.int64(), "back": pa.int32(), "stretch": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()], list(out))
+                cand = np.asarray(cand, np.int64)
+                for part in anchors(np.frombuffer(raw, np.uint8), length, k):
+                    pick = np.flatnonzero(np.isin(part[1], cand))
+                    for c in range(0, len(pick), _CHUNK):
+                        for name, more in rows(raw, row, *(x[pick[c : c + _CHUNK]] for x in part)).items():
+                            out.setdefault(name, []).extend(more)
+                        if len(out["row"]) >= _CHUNK:
+                            yield flush()
+                            out.clear()
+            if out:
+                yield flush()
+                out.clear()
 
     return run
 
@@ -199,12 +227,13 @@ def _removed(length: int):
             out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
             for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
                 raw = _bytes(text)
-                gone = np.zeros(len(raw) + 1, np.int64)
+                gone = np.zeros(len(raw) + 1, np.int32)
                 for one in found or ():
+                    start = one["start"] if one["times"] == 1 else one["start"] + one["step"] * np.arange(one["times"])
                     for s, e in zip(one["runs"][::2], one["runs"][1::2], strict=True):
-                        gone[one["start"] + s] += 1
-                        gone[one["start"] + e - 1 + length] -= 1
-                dead = np.cumsum(gone[:-1]) > 0
+                        gone[start + s] += 1
+                        np.add.at(gone, start + (e - 1 + length), -1)
+                dead = np.cumsum(gone[:-1], dtype=np.int32) > 0
                 edge = _runs(dead)
                 left = np.frombuffer(raw, np.uint8)[~dead].tobytes() if edge else raw
                 out["n_bytes"].append(len(raw))
@@ -222,64 +251,67 @@ _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 
 
 class IndexFamily:
-    """Levels of sorted suffix fingerprints: level i holds 2^i batches, and two of one size merge into the next."""
+    """Levels of suffix arrays (``SUFFIX``, in the order of their fingerprints): level i holds 2^i batches, and two of one size
+    merge into the next."""
 
-    def __init__(self, spark: SparkSession, scratch: Scratch):
-        self.spark, self.scratch, self.made = spark, scratch, 0
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.made = scratch, 0
         self.levels: dict[int, tuple[str, DataFrame]] = {}
+        self.matches: list[DataFrame] = []
 
     def _write(self, runs: DataFrame) -> tuple[str, DataFrame]:
         name, self.made = f"level{self.made}", self.made + 1
-        return name, self.scratch.cut(runs.groupBy("gram").agg(F.sum("n").alias("n")).sortWithinPartitions("gram"), name)
+        return name, self.scratch.cut(runs.repartition("gram").sortWithinPartitions("gram"), name)
 
     def scan(self, batch: DataFrame) -> DataFrame:
-        """Fingerprints of a new batch (column gram) that some level holds, with the suffixes on either side."""
-        own = batch.groupBy("gram").agg(F.count("*").alias("n_new"))
-        held = [t for _, t in self.levels.values()]
-        every = held[0] if held else self.spark.createDataFrame([], "gram long, n long")
-        for t in held[1:]:
-            every = every.unionByName(t)
-        return own.join(every.groupBy("gram").agg(F.sum("n").alias("n_held")), "gram")
+        """Matches of a new batch: fingerprints (gram) of its suffixes that a level holds or that it has twice itself."""
+        zero = F.lit(0).cast("long")
+        every = batch.select("gram", F.col("n").alias("new"), zero.alias("held"))
+        for _, level in self.levels.values():
+            every = every.unionByName(level.select("gram", zero.alias("new"), F.col("n").alias("held")))
+        merged = every.groupBy("gram").agg(F.sum("new").alias("new"), F.sum("held").alias("held"))
+        return merged.filter((F.col("new") > 1) | (F.col("new") > 0) & (F.col("held") > 0)).select("gram")
 
     def add(self, batch: DataFrame) -> None:
-        """Index a batch: its suffix array becomes a level 0, merged upwards while that size is taken."""
-        runs, level, old = batch.select("gram", F.lit(1).cast("long").alias("n")), 0, []
+        """Scan a batch against the levels, then index it: a level 0, merged upwards while that size is taken."""
+        self.matches.append(self.scratch.cut(self.scan(batch), f"matches{len(self.matches)}"))
+        runs, level, old = batch, 0, []
         while level in self.levels:
             name, held = self.levels.pop(level)
             runs, level = runs.unionByName(held), level + 1
             old.append(name)
         self.levels[level] = self._write(runs)
-        self.scratch.drop(*old)
+        self.scratch.drop(*old) if old else None
 
-    def repeated(self) -> DataFrame:
-        """Fingerprints that start more than one suffix, over all levels."""
-        held = [t for _, t in self.levels.values()]
+    def matched(self) -> DataFrame:
+        """The suffixes of all levels that some scan has matched."""
+        hits, held = self.matches[0], [t for _, t in self.levels.values()]
+        for t in self.matches[1:]:
+            hits = hits.unionByName(t)
         every = held[0]
         for t in held[1:]:
             every = every.unionByName(t)
-        if len(held) > 1:
-            every = every.groupBy("gram").agg(F.sum("n").alias("n"))
-        return every.filter(F.col("n") > 1).select("gram")
+        return every.join(hits.distinct(), "gram", "left_semi")
 
 
 def dedup_bytes(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = K, batches: int = BATCHES, crowd: int = CROWD) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end, ... in bytes)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = scratch.cut(rows, "rows")
     long_rows = rows.filter(F.octet_length("text") >= length)
-    anchored = scratch.cut(long_rows.select("text", "text_hash").mapInArrow(_anchored(length, k), "gram long, text_hash long, at int").withColumn("batch", F.pmod(F.xxhash64("text_hash"), F.lit(batches)).cast("int")), "anchors", by="batch")
-    family = IndexFamily(spark, scratch)
+    batch = F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int")
+    anchored = scratch.cut(long_rows.select("text", "row").mapInArrow(_anchored(length, k), SUFFIX).withColumn("batch", batch), "anchors", by="batch")
+    family = IndexFamily(scratch)
     for i in range(batches):
-        family.add(anchored.filter(F.col("batch") == i))
+        family.add(anchored.filter(F.col("batch") == i).drop("batch"))
     # the documents' candidates; those that no suffix of another place matches have none
-    found = anchored.join(family.repeated(), "gram", "left_semi").groupBy("text_hash").agg(F.collect_set("at").alias("ats"))
-    found = scratch.cut(found, "candidates")
-    touched = scratch.cut(long_rows.join(found.hint("merge"), "text_hash"), "touched")
+    found = scratch.cut(family.matched().groupBy("row").agg(F.collect_set("gram").alias("grams")), "candidates")
+    touched = scratch.cut(long_rows.join(found.hint("merge"), "row"), "touched")
     scratch.drop("anchors", *[name for name, _ in family.levels.values()])
-    kind = "text_hash long, start long, gram long, back int, h1 long, h2 long, stretch binary"
-    place = scratch.cut(touched.select("text", "text_hash", "ats").mapInArrow(_stretched(length, k), kind), "stretches")
-    one = scratch.cut(place.groupBy("gram", "back", "h1", "h2", "stretch").agg(F.count("*").alias("n")), "different")
+    kind = "row long, start long, step long, times long, gram long, back int, h1 long, h2 long, stretch binary"
+    place = scratch.cut(touched.select("text", "row", "grams").mapInArrow(_stretched(length, k), kind), "stretches")
+    one = scratch.cut(place.groupBy("gram", "back", "h1", "h2", "stretch").agg(F.sum("times").alias("n")), "different")
     kinds = one.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest"))
     # a stretch that is alone with its prefix repeats whole or not at all; others are looked at window by window
     open_ = one.join(scratch.cut(kinds.filter((F.col("kinds") > 1) & (F.col("fewest") == 1)), "open"), "gram")
@@ -289,15 +321,14 @@ def dedup_bytes(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int
     large = windows.join(often, ["w1", "w2"]).groupBy("h1", "h2").agg(F.flatten(F.transform(F.array_sort(F.collect_set("at")), lambda a: F.array(a, a + 1))).alias("runs"))
     whole = one.filter(F.col("n") > 1).select("h1", "h2", F.array(F.lit(0), F.octet_length("stretch") - (length - 1)).alias("runs"))
     verdict = scratch.cut(small.unionByName(large).unionByName(whole).groupBy("h1", "h2").agg(F.flatten(F.collect_list("runs")).alias("runs")), "verdicts")
-    hit = place.join(verdict, ["h1", "h2"]).groupBy("text_hash").agg(F.collect_set(F.struct("start", "runs")).alias("found"))
+    hit = place.join(verdict, ["h1", "h2"]).groupBy("row").agg(F.collect_set(F.struct("start", "step", "times", "runs")).alias("found"))
     hit = scratch.cut(hit, "hits")
     scratch.drop("stretches", "different", "open")
-    known = touched.select("doc_id", "text", "text_hash").join(hit, "text_hash", "left").select("doc_id", "text", "found").mapInArrow(_removed(length), _OUT)
+    known = touched.select("row", "doc_id", "text").join(hit, "row", "left").select("doc_id", "text", "found").mapInArrow(_removed(length), _OUT)
     # digests are taken before the join, so the texts of untouched documents are not shuffled for it
     zero = F.lit(0).cast("long")
-    plain = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text"), 256).alias("kept_sha256"), F.array().cast("array<bigint>").alias("spans"), "text_hash")
-    plain = plain.join(found.select("text_hash"), "text_hash", "left_anti").drop("text_hash")
-    return known.unionByName(plain)
+    plain = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text"), 256).alias("kept_sha256"), F.array().cast("array<bigint>").alias("spans"), "row")
+    return known.unionByName(plain.join(found.select("row"), "row", "left_anti").drop("row"))
 
 
 def op7_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:

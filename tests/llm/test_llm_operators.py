@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,22 +284,43 @@ def test_suffix_family_equals_brute_force(spark, crowd):
 def test_anchors_are_local():
     g = np.random.default_rng(4)
     b = g.integers(97, 101, 500).astype(np.uint8)
-    at, gram, first, last = suffix_family.anchors(b, 40, 12)
+    ((at, gram, first, last),) = suffix_family.anchors(b, 40, 12)
     assert first[0] == 0 and last[-1] == 460 and (first[1:] == last[:-1] + 1).all() and (at >= first).all() and (at + 12 <= last + 40).all() and (at <= first + 28).all()
-    shifted = suffix_family.anchors(b[100:300], 40, 12)
+    (shifted,) = suffix_family.anchors(b[100:300], 40, 12)
     inner = {(a + 100, x) for a, x in zip(shifted[0], shifted[1], strict=True)}
     assert inner <= set(zip(at, gram, strict=True))
 
 
 def test_family_levels(spark):
-    s = scratch(spark)
-    f = suffix_family.IndexFamily(spark, s)
-    batch = lambda *x: spark.createDataFrame([(i,) for i in x], "gram long")
+    f = suffix_family.IndexFamily(scratch(spark))
+    batch = lambda *x: spark.createDataFrame([(g, 10 * g + i, i, 1) for i, g in enumerate(x)], suffix_family.SUFFIX)
     f.add(batch(1, 2))
-    assert [tuple(r) for r in f.scan(batch(2, 2, 3)).collect()] == [(2, 2, 1)]
+    assert [r["gram"] for r in f.scan(batch(2, 3)).collect()] == [2]
     f.add(batch(2, 3))
-    f.add(batch(7, 7))
-    assert sorted(f.levels) == [0, 1] and {r["gram"] for r in f.repeated().collect()} == {2, 7}
+    f.add(batch(7, 7, 1))
+    assert sorted(f.levels) == [0, 1]
+    assert sorted((r["gram"], r["row"], r["at"]) for r in f.matched().collect()) == [(1, 10, 0), (1, 12, 2), (2, 20, 0), (2, 21, 1), (7, 70, 0), (7, 71, 1)]
+
+
+def test_without_scans_nothing_is_found(spark, monkeypatch):
+    g = np.random.default_rng(13)
+    text = "".join(g.choice(list("abcdefgh"), 500))
+    df = spark.createDataFrame([(1, text), (2, "x" + text)], "doc_id long, text string")
+    removed = lambda: sum(r["n_removed"] for r in suffix_family.dedup_bytes(df, scratch(spark)).collect())
+    assert removed() == 1000
+    monkeypatch.setattr(suffix_family.IndexFamily, "scan", lambda self, batch: batch.select("gram").limit(0))
+    assert removed() == 0
+
+
+def test_long_repetitive_texts(spark):
+    pair = "ab" * 120_000
+    docs = [(1, "a" * 1_500_000), (2, pair), (3, "no repeat here" + "".join(chr(97 + i % 26) + str(i) for i in range(60)))]
+    cut = scratch(spark)
+    rows = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_family.dedup_bytes(spark.createDataFrame(docs, "doc_id long, text string"), cut).collect()}
+    assert rows == {1: (1_500_000, 1), 2: (240_000, 1), 3: (0, 0)}
+    b = np.frombuffer(docs[0][1].encode(), np.uint8)
+    batch = pa.RecordBatch.from_pylist([{"text": docs[0][1], "row": 1, "grams": [int(next(suffix_family.anchors(b))[1][0])]}])
+    assert sum(x.num_rows for x in suffix_family._stretched(200, 64)(iter([batch]))) < 1000  # of 1.5 million equal stretches
 
 
 def test_suffix_edges(spark, edge, none):
