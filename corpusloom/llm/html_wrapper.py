@@ -2,19 +2,29 @@
 
 Pages of one host share a template. Each page is parsed into a tree in which neighbouring siblings of the same kind are
 one repeated node, and aligned by simple tree matching with the tree of one reference page of its host (the page with
-the least hash, found by a grouped minimum). Aligned nodes are slots. Counting, over all pages of the host, how many
-aligned a slot and how often its most frequent text came gives the template: a slot that says the same on nearly every
-page while the rest of the page varies is constant, other slots vary and hold content. A second pass over the pages
-writes the varying slots out in page order, without the parts that HTML itself marks as outside the article.
+the least hash, found by a grouped minimum). Aligned nodes are slots. Counting, over all pages of the host, how often each
+text of a slot came gives the wrapper: the slot with the most different text holds the content, its parent is the region.
+
+* A slot that says the same on nearly every page is template, wherever it is.
+* A slot outside the region is template as well if what it says on a page is often said on other pages too (a menu or
+  footer that comes in a few versions), unless the content recurs as often, as where pages are copies of each other.
+* All other slots vary and are content, in page order.
+
+What HTML itself marks as outside the article (``CHROME`` elements, hidden ones, names such as ``advert``) goes as well, as
+adverts and comments vary like content. Inside <article> and <main> a name counts only if it says nothing else; words that
+articles use too (``WEAK``) count only outside. Where a host has fewer than ``MIN_PAGES`` pages there is no wrapper, and
+<article> or <main> is the region if it has text.
 
 Trees have few nodes, as repeated siblings are merged, so aligning is linear in the page. Counts are made of partial
-counts; wrappers are joined back by host, by broadcast only after their number has been checked.
+counts; wrappers are joined back by host, by broadcast only if their counted bytes fit.
 
-Blocks: text between block-level tags. Character references are decoded, white space in a block becomes one space.
+Blocks: text between block-level tags. Character references are decoded, white space in a block becomes one space. Tags are
+read as HTML reads them: a quote begins a value only after ``=``, and a tag that the end of the page cuts off ends the text.
 
 Defined results: null or empty html gives an empty text; pages without a host align with each other; repeated rows are
-separate pages; a host with fewer than ``MIN_PAGES`` pages has no constant slots; malformed or truncated markup is read
-as far as it goes (an unclosed element ends with its parent, elements below ``DEEPEST`` are siblings in the tree, in every other way elements like others); columns other than those named are ignored.
+separate pages; malformed or truncated markup is read as far as it goes (an unclosed element ends with its parent, elements
+below ``DEEPEST`` are siblings in the tree, in every other way elements like others); columns other than those named are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,21 +44,27 @@ from .language_id import host_parts
 
 MIN_PAGES = 5
 CONSTANT = 0.9
+#: Share of pages whose text in a slot outside the region is said on other pages too, from which it is template.
+RECURS = 0.3
 #: The tree is no deeper than this: elements nested deeper hang side by side under one of this depth. They still open, close
 #: and mark furniture as they are nested.
 DEEPEST = 200
 
 #: Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover semantics annotation".split())
 CHROME = frozenset("nav footer aside form button select dialog menu head object".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-#: Words that mark page furniture in class, id and role.
-FURNITURE = frozenset("ad adbox ads adslot adunit advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs mainnav topnav sidebar side widget cookie cookiebanner cookiebar cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup social share sharing related recommended comment comments disqus replies footer masthead toolbar pagination pager skip complementary contentinfo search alert".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Words that mark page furniture in class, id and role; those that articles use as well; those that say nothing.
+FURNITURE = frozenset("ad adbox ads adslot adunit advert adverts advertisement advertising sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs mainnav topnav sidebar cookie cookiebanner cookiebar cookies consent gdpr popup modal overlay newsletter comment comments disqus replies footer masthead toolbar pagination pager skip complementary contentinfo".split())
+WEAK = frozenset("banner promo promotion side widget notice notices subscribe subscription signup social share sharing related recommended search alert".split())
+PLAIN = frozenset("area bar block box button buttons col column container content group inner items left link links list main outer row right section slot top bottom unit wrap wrapper".split())
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!--?>|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+_REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>", re.S)
+_ATTR = re.compile(r"([^\s\"'/=]++)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -73,13 +89,18 @@ def _kind(tag: str, attrs: str, inside_main: bool) -> tuple[str, bool]:
     """The node's kind for alignment, and whether its markup says it is page furniture."""
     kind, weed = tag, tag in CHROME or tag == "header" and not inside_main
     if attrs and attrs.strip():
-        for name, a, b, c in _ATTR.findall(attrs):
+        for name, a, b, c in _ATTR.findall(attrs):  # one after the other, so a value that looks like an attribute is none
             name, value = name.lower(), (a or b or c).lower()
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 weed = True
             elif name in ("class", "id", "role"):
                 words = {w for w in _SPLIT.split(value) if w and not w.isdigit()}
-                weed |= tag not in ("html", "body", "article", "main") and bool(words & FURNITURE or "header" in words and not inside_main)
+                if tag in ("html", "body", "article", "main"):
+                    pass
+                elif inside_main:
+                    weed |= bool(words & FURNITURE) and words <= FURNITURE | WEAK | PLAIN
+                else:
+                    weed |= bool(words & FURNITURE or words & WEAK or "header" in words)
                 if name == "class":
                     kind += "." + ".".join(sorted(words))
     return kind, weed
@@ -104,41 +125,44 @@ def parse(page: str) -> Node:
     weeds: list[str] = []  # open inline elements that are furniture
     while pos < n:
         m = _TOKEN.search(page, pos)
+        if not weeds:
+            buf.append(page[pos : m.start() if m else n])
         if not m:
-            rest = page[pos:]
-            cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)  # a tag that the end of the page cuts off
-            if not weeds:
-                buf.append(rest[: cut.start()] if cut else rest)
             break
-        if m.start() > pos and not weeds:
-            buf.append(page[pos : m.start()])
         pos, tag = m.end(), (m[2] or "").lower()
         if not tag:
             continue
+        rest = _REST.match(page, pos)
+        if not rest:
+            break  # the end of the page cuts it off
+        pos, attrs = rest.end(), rest[1]
+        if tag in MATH:
+            continue
         if tag in INLINE:
             if tag in ("br", "wbr"):
                 buf.append(" " if tag == "br" else "")
             elif weeds:
                 if tag == weeds[0]:
                     weeds.append(tag) if not m[1] else weeds.pop()
-            elif not m[1] and m[3] and m[3].strip() and _kind(tag, m[3], at.main)[1]:
+            elif not m[1] and attrs.strip() and _kind(tag, attrs, at.main)[1]:
                 weeds.append(tag)
             continue
+        if tag in RAW:  # the text around it is one block
+            if not m[1] and not attrs.endswith("/"):
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+                pos = end.end() if end else n
+            continue
         if not m[1]:
             weeds.clear()
             flush()
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-                pos = end.end() if end else n
-                continue
             if tag in VOID:
                 continue
             if tag in CLOSES_P and at.tag == "p" or tag == at.tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 opened[at.tag] -= 1
                 at = at.up
-            kind, weed = _kind(tag, m[3], at.main)
+            kind, weed = _kind(tag, attrs, at.main)
             at.base.kids.append(node := Node(tag, kind, at, at.weed or weed, (at.main or tag in ("article", "main")) and not weed))
-            if not m[3].endswith("/"):
+            if not attrs.endswith("/"):
                 opened[tag] = opened.get(tag, 0) + 1
                 at = node
         else:
@@ -238,18 +262,19 @@ def _walk(node: Node) -> Iterator[Node]:
 
 
 def slots(page: Node) -> dict[str, list[str]]:
-    """Texts of each slot that its markup does not already mark as furniture."""
+    """Texts of each slot."""
     out: dict[str, list[str]] = {}
     for node in _walk(page):
-        if node.own and not node.weed:
+        if node.own:
             out.setdefault(node.slot, []).extend(t for _, t in node.own)
     return out
 
 
-def extract(page: Node, constant: set[str]) -> str:
-    """Blocks of the varying slots in page order; inside <article> or <main> if the page has one with text."""
-    found = [(o, t, node.main) for node in _walk(page) if not node.weed and node.slot not in constant for o, t in node.own]
-    if any(main for *_, main in found):
+def extract(page: Node, constant: set[str] | None) -> str:
+    """Blocks of the slots that are not ``constant`` in page order; without a wrapper (None), inside <article> or <main> if
+    the page has one with text."""
+    found = [(o, t, node.main) for node in _walk(page) if not node.weed and node.slot not in (constant or ()) for o, t in node.own]
+    if constant is None and any(main for *_, main in found):
         found = [x for x in found if x[2]]
     return "\n".join(t for _, t, _ in sorted(found))
 
@@ -274,15 +299,17 @@ def _tree(known: dict, text: str | None) -> list | None:
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict = {}
     for batch in batches:
-        hosts, names, hashes = [], [], []
+        hosts, names, hashes, sizes = [], [], [], []
         for host, page, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "tree")), strict=True):
             root = parse(page or "")
             align(_tree(known, tree), root)
             for slot, texts in slots(root).items():
+                text = "\n".join(texts)
                 hosts.append(host)
                 names.append(slot)
-                hashes.append(xxhash.xxh3_64_intdigest("\n".join(texts)) - (1 << 63))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.string()), pa.array(hashes, pa.int64())], ["host", "slot", "said"])
+                hashes.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
+                sizes.append(len(text))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.string()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64())], ["host", "slot", "said", "size"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,26 +319,33 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, tree, constant in zip(*(batch.column(c).to_pylist() for c in ("html", "tree", "constant")), strict=True):
             root = parse(page or "")
             align(_tree(known, tree), root)
-            texts.append(extract(root, set(constant or ())))
+            texts.append(extract(root, None if constant is None else set(constant)))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def induce(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, share: float = CONSTANT) -> DataFrame:
-    """Wrappers: host, tree (of the reference page), constant (slots of the template).
+def induce(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, share: float = CONSTANT, recurs: float = RECURS) -> DataFrame:
+    """Wrappers: host, tree (of the reference page), constant (slots of the template; null where the host has too few pages).
 
-    ``pages``: page_id, html, host. A slot is constant if at least ``min_pages`` pages have it, ``share`` of them with
-    the same text, and the host's most varied slot has at least twice as many texts as that share would leave.
+    ``pages``: page_id, html, host. Nothing is template unless the slot with the most different text has at least twice as
+    many texts as ``share`` would leave.
     """
     whole = pages.filter(F.col("html").isNotNull())
-    first = whole.groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("page_id", "html"), "page_id")).alias("html"))
+    first = whole.groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("page_id", "html"), "page_id")).alias("html"), F.count("*").alias("pages"))
     trees = scratch.cut(first.select("host", "html").mapInArrow(_references, "host string, tree string"), "trees")
-    told = whole.join(bounded(trees), "host").select("host", "html", "tree").mapInArrow(_aligned, "host string, slot string, said long")
-    counts = told.groupBy("host", "slot", "said").count()
-    per = counts.groupBy("host", "slot").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.count("*").alias("texts"))
+    told = whole.join(bounded(trees), "host").select("host", "html", "tree").mapInArrow(_aligned, "host string, slot string, said long, size long")
+    counts = told.groupBy("host", "slot", "said").agg(F.count("*").alias("count"), F.max("size").alias("size"))
+    again = F.sum(F.when(F.col("count") > 1, F.col("count")).otherwise(0))
+    per = counts.groupBy("host", "slot").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.count("*").alias("texts"), again.alias("again"), F.sum("size").alias("mass"))
     per = scratch.cut(per, "slots")
-    varied = per.groupBy("host").agg(F.max("texts").alias("varied"))
-    constant = per.filter((F.col("n") >= min_pages) & (F.col("most") >= share * F.col("n"))).join(varied, "host").filter(F.col("varied") >= F.greatest(F.lit(2), 2 * (1 - share) * F.col("n")))
-    return scratch.cut(trees.join(constant.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("constant")), "host", "left"), "wrappers")
+    main = per.groupBy("host").agg(F.max_by(F.struct("slot", "n", "texts", "again"), F.struct("mass", "slot")).alias("main"))
+    main = main.select("host", F.regexp_replace("main.slot", "/[^/]*$", "").alias("region"), F.col("main.texts").alias("varied"), (F.col("main.again") / F.col("main.n")).alias("as_usual"))
+    inside = (F.col("slot") == F.col("region")) | F.startswith("slot", F.concat("region", F.lit("/")))
+    often = F.col("again") / F.col("n")
+    template = (F.col("most") >= share * F.col("n")) | ~inside & (often >= recurs) & (often >= 2 * F.col("as_usual"))
+    constant = per.filter(F.col("n") >= min_pages).join(main, "host").filter((F.col("varied") >= F.greatest(F.lit(2), 2 * (1 - share) * F.col("n"))) & template)
+    constant = constant.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("constant"))
+    many = first.filter(F.col("pages") >= min_pages).select("host").join(constant, "host", "left").select("host", F.coalesce("constant", F.array().cast("array<string>")).alias("constant"))
+    return scratch.cut(trees.join(many, "host", "left"), "wrappers")
 
 
 def extract_pages(pages: DataFrame, scratch: Scratch) -> DataFrame:

@@ -2,6 +2,11 @@
 
 import collections
 import hashlib
+import html
+import html.parser
+import itertools
+import os
+import time
 import zlib
 
 import numpy as np
@@ -120,7 +125,105 @@ def test_deep_markup():
 def test_deep_markup_closes_as_it_opens():
     deep = "<div>" * 250
     page = f"<div><article><p>first</p>{deep}deep<nav>menu<div>more menu</div></nav>{'</div>' * 250}<p>last</p></article>outside</div>"
-    assert html_wrapper.extract(html_wrapper.parse(page), set()) == "first\ndeep\nlast"
+    assert html_wrapper.extract(html_wrapper.parse(page), None) == "first\ndeep\nlast"
+
+def best_pairing(a, b):
+    """Simple tree matching by its definition: all order-keeping pairings of children."""
+    if a[0] != b[0]:
+        return 0
+    if not a[1] or not b[1]:
+        return 1
+    return 1 + max(sum(best_pairing(x, y) for x, y in zip(xs, ys, strict=True)) for k in range(min(len(a[1]), len(b[1])) + 1) for xs in itertools.combinations(a[1], k) for ys in itertools.combinations(b[1], k))
+
+
+def test_matching_equals_brute_force():
+    g = np.random.default_rng(14)
+
+    def tree(depth):
+        return [str(g.choice(list("pq"))), [tree(depth - 1) for _ in range(g.integers(0, 4))] if depth else []]
+
+    as_page = lambda t: (t[0], [as_page(k) for k in t[1]], [])
+    for _ in range(60):
+        a, b = tree(2), tree(2)
+        a[0] = b[0] = "body"
+        want = 1 + max(sum(max(best_pairing(x, y), 0) for x, y in zip(xs, ys, strict=True) if x[0] == y[0]) for k in range(min(len(a[1]), len(b[1])) + 1) for xs in itertools.combinations(a[1], k) for ys in itertools.combinations(b[1], k))
+        assert html_wrapper.match(a, as_page(b), {}) == want
+
+
+def test_the_wrapper_decides(spark):
+    g = np.random.default_rng(15)
+    words = lambda n: " ".join("".join(g.choice(list("abcdefgh"), 6)) for _ in range(n))
+    rows, want, tips = [], {}, [words(5) for _ in range(3)]
+    for i in range(24):  # no element or name tells template from content
+        body = [words(30) for _ in range(3)]
+        page = f"<div class=x1><p>Always the same line</p></div><div class=x2><h2>{words(4)}</h2>" + "".join(f"<p>{b}</p>" for b in body) + f"</div><div class=x3><p>{tips[i % 3]}</p></div>"
+        rows.append((i, "http://a.example/" + str(i), f"<html><body>{page}</body></html>"))
+        want[i] = body
+    rows.append((99, "http://b.example/1", rows[0][2]))  # too few pages for a wrapper
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch(spark)).collect()}
+    assert all(got[i].split("\n")[1:] == want[i] for i in want)
+    assert got[99].split("\n")[0] == "Always the same line" and len(got[99].split("\n")) == 6
+
+
+def test_tags_are_read_as_html_reads_them():
+    text = lambda h: html_wrapper.extract(html_wrapper.parse(h), None)
+    assert text("<article><div class='related-work'>aa</div><section id=search>bb</section><p class=notice>cc</p><div class='share price'>dd</div><div class='side effects'>ee</div></article>") == "aa\nbb\ncc\ndd\nee"
+    assert text("<article><div class='ad box'>no</div><p title='x class=ad y'>yes</p><div id=comments>no</div></article>") == "yes"
+    assert text("<p title=it's>hello one</p><p>it's two</p>") == "hello one\nit's two"
+    assert text("<p>a <math><mi>x</mi><mo>+</mo><mi>y</mi></math> b <svg><text>q</text></svg> c<script>1 < 2</script> d</p>") == "a x+y b c d"
+    assert text("<h1>t</h1><article>x</article>") == "x" and text("a < b <p>1 <2</p>") == "a < b\n1 <2" and text("<p>yes <a href=\"x") == "yes"
+    for long in ('<a href="x ' * 400_000, "<a " * 1_400_000, "<!x " * 1_000_000, "<p title='" * 400_000, "< " * 2_000_000):
+        start = time.perf_counter()
+        html_wrapper.parse(long)
+        assert time.perf_counter() - start < 5
+
+
+def test_empty_and_repeated_pages(spark):
+    kind = "page_id long, url string, html string, host string, text string, n int"
+    same = (1, "http://a.example/1", "<article><p>x</p></article>", "clash", "clash", 1)
+    df = spark.createDataFrame([same, same, (2, None, "<p>y</p>", None, None, 1), (3, "http://a.example/2", None, None, None, None), (None, "http://a.example/3", "", "", "", 0)], kind)
+    got = sorted(((r["page_id"], r["text"]) for r in html_wrapper.extract_pages(df, scratch(spark)).collect()), key=str)
+    assert got == [(1, "x"), (1, "x"), (2, "y"), (3, ""), (None, "")]
+    assert html_wrapper.extract_pages(df.limit(0), scratch(spark)).count() == 0
+
+
+class Plain(html.parser.HTMLParser):
+    """The driver's pages by another parser: the blocks of their article."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag in ("p", "h1"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.inside = False
+        if tag in ("p", "h1"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_pages_of_the_driver(spark):
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("no driver tables")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_wrapper.op2_html_wrapper(spark, path).collect()}
+    for r in spark.read.parquet(f"{path}/pages.parquet").collect():
+        parser = Plain()
+        parser.feed(r["html"] or "")
+        parser.close()
+        want = "\n".join(b for b in (" ".join(x.split()) for x in parser.blocks) if b)
+        assert got[r["page_id"]] == (want, len(want))
+
 
 
 # ---- packing
