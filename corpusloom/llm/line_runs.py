@@ -9,8 +9,12 @@ so each round handles only what still repeats, and the rounds end when nothing d
 
 A run of lines is deleted where it repeats a run that came earlier: positions are ordered by (doc_id, text hash, line).
 Deleting, for every interval of depth ``MIN_LINES`` or more, the runs after the first removes the same lines as deleting
-all later copies of every maximal repeated run. Maximal runs are then the stretches of deleted lines; their lengths and
-the deepest interval over them are reported.
+all later copies of every maximal repeated run. A line of ``LONG_WORDS`` words or more, such as a paragraph without line
+breaks, is a run by itself. Maximal runs are then the stretches of deleted lines; their lengths and the deepest interval over
+them are reported.
+
+Names are hashes, so unlike lines stand in the order of their hashes, an arbitrary but fixed alphabet, and longest common
+prefixes are known as powers of two, which is all that deleting needs.
 
 Names are counted with partial counts, so a line that a third of the rows hold costs its task one row per map task; what
 is joined back is split by adaptive execution where one name is hot.
@@ -33,8 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, mix, read, small_batches
 
-#: A power of two: the shortest run whose copies are deleted.
+#: A power of two: the shortest run whose copies are deleted, and the words that make one line such a run.
 MIN_LINES = 2
+LONG_WORDS = 50
 _FAR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -48,9 +53,13 @@ def line_id(line: str) -> int:
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The line ids of each text, and the positions of its long lines."""
     for batch in batches:
-        ids = [[line_id(line) for _, line in content_lines(t or "")] for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "text_hash", "ids"])
+        lines = [[" ".join(line.split()) for _, line in content_lines(t or "")] for t in batch.column("text").to_pylist()]
+        ids = [[line_id(line) for line in own] for own in lines]
+        long = [[i for i, line in enumerate(own) if line.count(" ") + 1 >= LONG_WORDS] for own in lines]
+        cols = [pa.array(x, pa.list_(pa.int64())) for x in (ids, long)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *cols], ["doc_id", "text_hash", "ids", "long"])
 
 
 def _doubled(half: int):
@@ -86,31 +95,43 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES)
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    seq = docs.mapInArrow(_sequences, "doc_id long, text_hash long, ids array<long>")
-    state = seq.filter(F.size("ids") > 0).select("doc_id", "text_hash", F.sequence(F.lit(0).cast("long"), F.size("ids").cast("long") - 1).alias("at"), F.col("ids").alias("name"))
-    length, found, round_no = 1, None, 0
+    seq = scratch.cut(docs.mapInArrow(_sequences, "doc_id long, text_hash long, ids array<long>, long array<long>").filter(F.size("ids") > 0), "sequences")
+    place = F.struct("doc_id", "text_hash", "at")
+    found = None
+
+    def repeats(suffix: DataFrame, lines: int, name: str) -> DataFrame | None:
+        """Of suffixes (doc_id, text_hash, at, name): those whose name is not their own, with ``later``, by text."""
+        groups = scratch.cut(suffix.groupBy("name").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter(F.col("n") > 1), f"groups-{name}")
+        if groups.isEmpty():
+            return None
+        told = suffix.join(groups, "name").select("doc_id", "text_hash", "at", "name", (~place.eqNullSafe(F.col("first"))).alias("later"))
+        told = told.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "name", "later")).alias("s"))
+        told = told.select("doc_id", "text_hash", F.col("s.at").alias("at"), F.col("s.name").alias("name"), F.col("s.later").alias("later"), F.lit(lines).alias("lines"))
+        told = scratch.cut(told, f"runs-{name}")
+        scratch.drop(f"groups-{name}")
+        return told
+
+    if min_lines > 1:
+        one = seq.select("doc_id", "text_hash", F.explode(F.transform("long", lambda i: F.struct(i.alias("at"), F.element_at("ids", (i + 1).cast("int")).alias("name")))).alias("s"))
+        found = repeats(one.select("doc_id", "text_hash", "s.at", "s.name"), 1, "long")
+    state = seq.select("doc_id", "text_hash", F.sequence(F.lit(0).cast("long"), F.size("ids").cast("long") - 1).alias("at"), F.col("ids").alias("name"))
+    length, round_no = 1, 0
     while length < min_lines:  # names of the shortest runs of interest need no counting: all their halves are at hand
         state = state.mapInArrow(_doubled(length), _RUNS)
         length *= 2
     while True:
         state = scratch.cut(state, f"state{round_no}")
         suffix = state.select("doc_id", "text_hash", F.explode(F.arrays_zip("at", "name")).alias("s")).select("doc_id", "text_hash", F.col("s.at").alias("at"), F.col("s.name").alias("name"))
-        place = F.struct("doc_id", "text_hash", "at")
-        groups = suffix.groupBy("name").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter(F.col("n") > 1)
-        groups = scratch.cut(groups, f"groups{round_no}")
-        if groups.isEmpty():
+        told = repeats(suffix, length, str(round_no))
+        scratch.drop(f"state{round_no}")
+        if told is None:
             break
-        told = suffix.join(groups, "name").select("doc_id", "text_hash", "at", "name", (~place.eqNullSafe(F.col("first"))).alias("later"))
-        told = told.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "name", "later")).alias("s"))
-        told = scratch.cut(told.select("doc_id", "text_hash", F.col("s.at").alias("at"), F.col("s.name").alias("name"), F.col("s.later").alias("later")), f"runs{round_no}")
-        scratch.drop(f"state{round_no}", f"groups{round_no}")
-        level = told.select("doc_id", "text_hash", "at", F.lit(length).alias("lines"), "later")
-        found = level if found is None else found.unionByName(level)
+        found = told if found is None else found.unionByName(told)
         state = told.select("doc_id", "text_hash", "at", "name").mapInArrow(_doubled(length), _RUNS)
         length, round_no = 2 * length, round_no + 1
     if found is None:
         found = docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, at array<long>, lines int, later array<boolean>")
-    return found
+    return found.select("doc_id", "text_hash", "at", "lines", "later")
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,14 +188,15 @@ def blank(text: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(text, "\\s+", " ")), F.lit("")) == ""
 
 
-#: Deletion by pairs of neighbouring lines, which equals deletion by runs of two or more.
-OP5_SQL = r"""
+#: Deletion by pairs of neighbouring lines, which equals deletion by runs of two or more, and by long lines.
+OP5_SQL = rf"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
 a AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM d),
 l AS (SELECT doc_id, text, i, row_number() OVER (PARTITION BY doc_id, text ORDER BY i) AS p, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM a WHERE trim(regexp_replace(line, '\s+', ' ', 'g')) <> ''),
 g AS (SELECT doc_id, text, p, line || chr(10) || lead(line) OVER (PARTITION BY doc_id, text ORDER BY p) AS g FROM l),
 f AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM g WHERE g IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, text, unnest([p, p + 1]) AS p FROM f WHERE k > 1),
+w AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, p) AS k FROM l WHERE len(string_split(line, ' ')) >= {LONG_WORDS}),
+gone AS (SELECT DISTINCT doc_id, text, unnest([p, p + 1]) AS p FROM f WHERE k > 1 UNION SELECT doc_id, text, p FROM w WHERE k > 1),
 gi AS (SELECT l.doc_id, l.text, l.i, l.p FROM l JOIN gone USING (doc_id, text, p)),
 s AS (SELECT doc_id, text, count(*) AS n_removed, count(DISTINCT p - rn) AS n_spans FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY p) AS rn FROM gi) GROUP BY ALL),
 kept AS (SELECT doc_id, text, coalesce(string_agg(line, chr(10) ORDER BY i), '') AS left_over FROM a ANTI JOIN gi USING (doc_id, text, i) GROUP BY ALL)

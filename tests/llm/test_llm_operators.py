@@ -313,9 +313,16 @@ def test_line_runs(spark):
     assert copy["text"] == "" and copy["spans"] == [(0, 14)] and copy["deepest"] == 8
 
 
+def test_long_lines_are_runs_by_themselves(spark):
+    passage = " ".join(f"p{i}" for i in range(50))
+    docs = [(1, f"a\n{passage}\nb"), (2, f"c\n {passage} \nd"), (3, passage), (4, f"e\n{passage[4:]}\nf"), (5, f"g\n{passage[4:]}\nh")]  # the last two have 49 words
+    rows = {r["doc_id"]: r["text"] for r in line_runs.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), scratch(spark)).collect()}
+    assert rows == {1: docs[0][1], 2: "c\nd", 3: "", 4: docs[3][1], 5: docs[4][1]}
+
+
 def test_line_runs_edges(spark, edge, none):
     rows = line_runs.dedup_lines(edge.withColumn("spans", F.lit(1)).withColumn("levels", F.lit(1)), scratch(spark)).collect()
-    assert len(rows) == len(EDGE) and all(r["n_removed"] == 0 for r in rows) and rows[0]["host"] == "h"
+    assert len(rows) == len(EDGE) and all(r["n_removed"] == (r["doc_id"] == 5) for r in rows) and rows[0]["host"] == "h"
     assert line_runs.dedup_lines(none, scratch(spark)).count() == 0
 
 
