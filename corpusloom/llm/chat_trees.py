@@ -7,8 +7,8 @@ conversation, with the spans that carry loss.
 
 Defined results: a null text or role is the empty string; a null score counts as 0; messages whose parent is missing
 are roots; rows of a linear table that share a turn are ordered by role, then text; links that form a cycle have no
-leaf and give no path; messages without a tree id belong to no conversation; an empty table gives an empty result.
-Columns other than those named are ignored.
+leaf and give no path; a null tree id is a value, so messages without one are a tree; a null turn comes last; an empty
+table gives an empty result. Columns other than those named are ignored.
 
 The template writes each message as ``<|role|>\\n`` text ``<|end|>\\n``. In texts ``\\`` becomes ``\\\\`` and ``<|``
 becomes ``<\\|``, so no text can hold a control string; in roles ``\\`` is doubled and ``|>`` becomes ``|\\>``.
@@ -16,10 +16,13 @@ becomes ``<\\|``, so no text can hold a control string; in roles ``\\`` is doubl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, read, small_batches
 
 END = "<|end|>\n"
 
@@ -34,22 +37,22 @@ def escape_text(c: Column) -> Column:
     return _swap(c, ("\\", "\\\\"), ("<|", "<\\|"))
 
 
-def unescape_text(c: Column) -> Column:
-    return _swap(c, ("<\\|", "<|"), ("\\\\", "\\"))
+def unescape_text(text: str) -> str:
+    return text.replace("<\\|", "<|").replace("\\\\", "\\")
 
 
 def escape_role(c: Column) -> Column:
     return _swap(c, ("\\", "\\\\"), ("|>", "|\\>"))
 
 
-def unescape_role(c: Column) -> Column:
-    return _swap(c, ("|\\>", "|>"), ("\\\\", "\\"))
+def unescape_role(role: str) -> str:
+    return role.replace("|\\>", "|>").replace("\\\\", "\\")
 
 
 def linear_nodes(conversations: DataFrame) -> DataFrame:
     """Messages of a linear table as a forest: each turn replies to the one before it."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    w = Window.partitionBy("conv_id").orderBy("turn", role, text)
+    w = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), role, text)
     return conversations.select(
         F.col("conv_id").alias("tree"), F.row_number().over(w).cast("long").alias("node"), role.alias("role"), text.alias("text")
     ).withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
@@ -86,37 +89,43 @@ def format_trees(spark: SparkSession, nodes: DataFrame, branches: int | None = 1
     (ties: deeper, then the smaller leaf); None takes all.
     """
     scratch = Scratch(spark, "trees")
-    nodes = scratch.cut(nodes, "nodes")
+    nodes = scratch.cut(nodes.withColumn("tree", F.struct("tree")), "nodes")  # a struct is equal to another with null as well
     path = root_to_leaf(spark, nodes, scratch)
-    told = path.join(nodes.select("tree", "node", "role", "text", "score"), ["tree", "node"])
-    one = F.struct((-F.col("up")).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    head, body = F.concat(F.lit("<|"), escape_role(F.coalesce("role", F.lit(""))), F.lit("|>\n")), escape_text(F.coalesce("text", F.lit("")))
+    own = nodes.select("tree", "node", "role", "score", F.length(head).alias("lead"), F.length(body).alias("n"), F.concat(head, body, F.lit(END)).alias("piece"))
+    before = Window.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, -1)
+    told = path.join(own, ["tree", "node"]).withColumn("start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)))
+    one = F.struct((-F.col("up")).alias("at"), "piece", F.when(F.col("role") == "assistant", F.struct((F.col("start") + F.col("lead")).alias("start"), F.col("n").cast("long").alias("length"))).alias("span"))
     paths = told.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(one)).alias("turns"), F.avg(F.coalesce("score", F.lit(0.0))).alias("score"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), F.desc(F.size("turns")), "leaf"))
     paths = paths.withColumn("rank", rank)
     if branches is not None:
         paths = paths.filter(F.col("rank") <= branches)
-    head = lambda t: F.concat(F.lit("<|"), escape_role(t["role"]), F.lit("|>\n"))
-    body = lambda t: escape_text(t["text"])
-    pieces = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.length(head(t)).alias("lead"), F.length(body(t)).alias("n"), F.concat(head(t), body(t), F.lit(END)).alias("piece")))
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out")),
-        lambda s, p: F.struct(
-            (s["at"] + p["lead"] + p["n"] + len(END)).alias("at"),
-            F.when(p["role"] == "assistant", F.concat(s["out"], F.array(F.struct((s["at"] + p["lead"]).alias("start"), p["n"].alias("length"))))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return paths.withColumn("pieces", pieces).select("tree", "leaf", "rank", "score", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
+    spans = F.filter(F.transform("turns", lambda t: t["span"]), lambda x: x.isNotNull())
+    return paths.select(F.col("tree.tree").alias("tree"), "leaf", "rank", "score", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
+
+
+def parse(formatted: str) -> list[dict]:
+    """The messages of a formatted conversation."""
+    out = []
+    for part in formatted.split(END)[:-1]:
+        role, text = part[2:].split("|>\n", 1)
+        out.append({"role": unescape_role(role), "text": unescape_text(text)})
+    return out
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+    for batch in batches:
+        formatted, spans = batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist()
+        loss = ["".join(unescape_text(f[s["start"] : s["start"] + s["length"]]) for s in own) for f, own in zip(formatted, spans, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("leaf"), batch.column("rank"), batch.column("formatted"), pa.array([parse(f) for f in formatted], turn), pa.array(loss, pa.string())], ["tree", "leaf", "rank", "formatted", "turns", "loss"])
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """The messages and the text under the loss mask, taken from ``formatted`` alone (and its spans)."""
-    parts = F.filter(F.split("formatted", r"<\|end\|>\n"), lambda p: p != "")
-    role = lambda p: F.substring_index(p, "|>\n", 1)
-    turns = F.transform(parts, lambda p: F.struct(unescape_role(F.substr(role(p), F.lit(3))).alias("role"), unescape_text(F.substr(p, F.length(role(p)) + 4)).alias("text")))
-    loss = F.transform("loss_spans", lambda s: unescape_text(F.substr(F.col("formatted"), s["start"] + 1, s["length"])))
-    return formatted.withColumn("turns", turns).withColumn("loss", F.array_join(loss, ""))
+    """tree, leaf, rank, formatted, and the messages and the text under the loss mask, taken from ``formatted`` and its spans alone."""
+    small_batches(formatted.sparkSession)
+    return formatted.select("tree", "leaf", "rank", "formatted", "loss_spans").mapInArrow(_read, "tree long, leaf long, rank int, formatted string, turns array<struct<role:string,text:string>>, loss string")
 
 
 def op4_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

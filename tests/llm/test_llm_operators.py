@@ -9,6 +9,7 @@ import os
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -68,6 +69,21 @@ def test_template_is_reversible(spark, text):
     assert [(t["role"], t["text"]) for t in r["turns"]] == [("user", text), ("assistant", text), ("we|>ird\\", text)] and r["loss"] == text
 
 
+def test_conversations_of_any_shape(spark, tmp_path):
+    rows = [(1, 2, "user", "b"), (1, None, "user", "last"), (1, 1, "system", "a"), (None, 1, "assistant", "lone"), (None, 0, "user", None), (2, 1, None, "x"), (2, 1, "assistant", "tie z"), (2, 1, "assistant", "tie a"), (2, 1, "assistant", "tie a")]
+    rows += [(3, i, "assistant" if i % 2 else "user", f"turn {i} \\ <|") for i in range(100_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("tree", F.lit("clash")).withColumn("node", F.lit(1))
+    df.repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat_trees.op4_chat_reply_trees(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(chat_trees.OP4_SQL)
+    cols = [c[0] for c in want.description]
+    assert sorted(map(str, map(tuple, got.select(cols).collect()))) == sorted(map(str, want.fetchall())) and got.count() == 5
+    df.limit(0).write.parquet(f"{tmp_path}/empty/conversations.parquet")
+    assert [r["conv_id"] for r in chat_trees.op4_chat_reply_trees(spark, f"{tmp_path}/empty").collect()] == [-7]
+
+
 # ---- decontamination
 
 
