@@ -104,7 +104,7 @@ def position_means(outputs: DataFrame) -> DataFrame:
 
 def decayed(name: Column) -> Column:
     """Whether weight decay applies to a parameter: not to embeddings, the output head and norm weights."""
-    return ~(name.like("%embed%") | name.like("%lm_head%") | name.like("%\\_norm.weight"))
+    return ~(name.isin("embed.weight", "lm_head.weight") | name.endswith("_norm.weight"))
 
 
 def drawn_ids(spark, vocabulary: int, n: int, seed: int) -> DataFrame:

@@ -22,13 +22,23 @@ def max_step(log: DataFrame, step: str, by: list[str]) -> DataFrame:
 
 
 def early_gate(log: DataFrame, run: str, step: str, loss: str, window: int, k: int = 8) -> DataFrame:
-    """S10, A26, C9, T-5, T18: means of the first and last k losses before ``window``; diverged if non-finite or rising."""
-    rows = log.filter(F.col(step) < window)
+    """S10, A26, C9, T-5, T18: means of the first and last k losses before ``window``, and the verdict on each run.
+
+    A record without a loss only tells how far the run is; records that repeat a step count as they are. A non-finite loss
+    is divergence at once. Otherwise nothing is decided until the run has reached the window and k losses are there:
+    then a rising mean is divergence, and any other passes. ``verdict``: open, diverged or passed.
+    """
+    far = log.groupBy(run).agg(F.max(step).alias("far"))
+    early = log.filter((F.col(step) < window) & F.col(loss).isNotNull())
     up, down = Window.partitionBy(run).orderBy(step, loss), Window.partitionBy(run).orderBy(F.desc(step), F.desc(loss))
-    t = rows.withColumn("a", F.row_number().over(up)).withColumn("z", F.row_number().over(down))
+    t = early.withColumn("a", F.row_number().over(up)).withColumn("z", F.row_number().over(down))
     bad = F.max((F.isnan(loss) | (F.abs(loss) == float("inf"))).cast("int")) == 1
-    out = t.groupBy(run).agg(F.avg(F.when(F.col("a") <= k, F.col(loss))).alias("head"), F.avg(F.when(F.col("z") <= k, F.col(loss))).alias("tail"), bad.alias("non_finite"))
-    return out.withColumn("diverged", F.col("non_finite") | (F.col("tail") > F.col("head")))
+    out = far.join(t.groupBy(run).agg(F.count("*").alias("n"), F.avg(F.when(F.col("a") <= k, F.col(loss))).alias("head"), F.avg(F.when(F.col("z") <= k, F.col(loss))).alias("tail"), bad.alias("non_finite")), run, "left")
+    bad = F.coalesce("non_finite", F.lit(False))
+    due = (F.col("far") >= window) & (F.coalesce("n", F.lit(0)) >= k)
+    verdict = F.when(bad, "diverged").when(~due, "open").when(F.col("tail") > F.col("head"), "diverged").otherwise("passed")
+    shown = [F.when(~bad, F.col(c)).alias(c) for c in ("head", "tail")]
+    return out.select(run, *shown, bad.alias("non_finite"), verdict.alias("verdict"))
 
 
 def curve_delta(a: DataFrame, b: DataFrame, step: str, loss: str, low: int, high: int, by: list[str] | None = None) -> DataFrame:

@@ -86,11 +86,16 @@ def first_above(points: DataFrame, run: str, conditions: dict[str, Column]) -> D
 
 
 def loss_bumps(points: DataFrame, run: str, loss: str, sigma: float = BUMP_SIGMA, shortest: int = BUMP_RUN) -> DataFrame:
-    """V7: runs of points above a log-log fit by more than ``sigma`` sample deviations of the residuals (in nats)."""
+    """V7: runs of points above a log-log fit by more than ``sigma`` sample deviations of the residuals (in nats).
+
+    A run of fewer than three points, or with a loss of zero or less, is refused: the query fails.
+    """
     p = placed(points, run)
-    x, y = F.log(F.col("tokens").cast("double")), F.log(loss)
+    x = F.log(F.col("tokens").cast("double"))
+    y = F.log(F.when(F.col(loss) > 0, F.col(loss)).otherwise(F.raise_error(F.lit("non-positive loss")).cast("double")))
     fit = p.groupBy(run).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
-    res = p.join(fit.filter("n >= 3"), run).withColumn("residual", F.col(loss) - F.exp(F.col("intercept") + F.col("slope") * x))
+    fit = fit.withColumn("slope", F.when(F.col("n") >= 3, F.col("slope")).otherwise(F.raise_error(F.lit("a fit needs at least 3 points")).cast("double")))
+    res = p.join(fit, run).withColumn("residual", F.col(loss) - F.exp(F.col("intercept") + F.col("slope") * x))
     res = res.withColumn("sd", F.stddev_samp("residual").over(Window.partitionBy(run))).filter(F.col("residual") > sigma * F.col("sd"))
     island = F.col("pos") - F.row_number().over(Window.partitionBy(run).orderBy("pos"))
     runs = res.withColumn("island", island).groupBy(run, "island").agg(F.count("*").alias("length"), F.min("tokens").alias("from_tokens"), F.max("tokens").alias("to_tokens"), F.max_by("tokens", F.struct("residual", -F.col("pos"))).alias("peak_tokens"), F.max("residual").alias("peak"))
@@ -126,19 +131,20 @@ def learning_rates(steps: DataFrame, total: int, peak: float, warmup: int, floor
 
 
 def checkpoint_steps(targets: DataFrame, tokens_per_step: int, final_step: int) -> DataFrame:
-    """The first step at or past each target; the first target of a step wins; the final step always."""
+    """The first step at or past each target; the first target of a step wins; the final step always, with all tokens."""
     step = (F.ceil(F.col("target") / tokens_per_step) - 1).cast("long")
     t = targets.filter(F.col("target") > 0).select(step.alias("step"), "target").filter(F.col("step") <= final_step)
-    own = t.groupBy("step").agg(F.min("target").alias("target"))
-    final = targets.sparkSession.range(1).select(F.lit(final_step).cast("long").alias("step"), F.lit(None).cast("long").alias("target"))
-    return own.unionByName(final).groupBy("step").agg(F.min("target").alias("target"))
+    own = t.filter(F.col("step") < final_step).groupBy("step").agg(F.min("target").alias("target"))
+    final = targets.sparkSession.range(1).select(F.lit(final_step).cast("long").alias("step"), F.lit((final_step + 1) * tokens_per_step).cast("long").alias("target"))
+    return own.unionByName(final)
 
 
 def scorecard(points: DataFrame, run: str) -> DataFrame:
     """The eight predictions P1 to P8 of every run, each held or failed (P8: not scored without a control).
 
-    ``points``: run, tokens, target (of the grid), score, prev, icl, clears (copying clears chance), ov, heads (count),
-    control (best score of the random model).
+    ``points``: run, tokens, target (of the grid), score, prev, icl, clears (copying clears chance), best (the head with the
+    score), ov (array by head), heads (count); of the random model control (best score), control_heads (how many reach the
+    level) and control_clears. P7 reads the head that is best at the crossing, there and one checkpoint before.
     """
     p = placed(points, run)
     ph = phase_change(points, run, "score")
@@ -150,13 +156,15 @@ def scorecard(points: DataFrame, run: str) -> DataFrame:
     one = t.groupBy(run).agg(
         at("target", F.col("end_pos")).alias("end_target"), F.max_by("heads", "pos").alias("final_heads"), F.max(F.when((F.col("pos") <= F.col("anchor")) & (F.col("prev") > HIGH), 1)).alias("early_prev"),
         (at("icl", F.col("end_pos")) - at("icl", F.col("start_pos"))).alias("drop"), F.min(F.when((F.col("tokens") == F.col("s0")) | (F.col("tokens") == F.col("s1")), F.abs(F.col("pos") - F.col("end_pos")))).alias("near"),
-        F.min(F.when(F.col("clears"), F.struct("pos", "target"))).alias("copy"), F.max(F.when((F.col("pos") == F.col("end_pos")) | (F.col("pos") == F.col("end_pos") - 1), F.col("ov"))).alias("ov"), F.max("control").alias("control"),
+        F.min(F.when(F.col("clears"), F.struct("pos", "target"))).alias("copy"), at("best", F.col("end_pos")).alias("best"), at("ov", F.col("end_pos")).alias("ov"), at("ov", F.col("end_pos") - 1).alias("ov_before"),
+        F.max("control").alias("control"), F.max("control_heads").alias("control_heads"), F.max("control_clears").alias("control_clears"),
     )
+    ov = F.greatest(*[F.get(c, F.col("best")) for c in ("ov", "ov_before")])
     x = one.join(ph.select(run, "crossed", "inside"), run)
     crossed = F.col("crossed")
     held = {
         "P1": crossed & (F.col("end_target") <= 200_000_000), "P2": F.col("final_heads") >= 1, "P3": crossed & (F.col("inside") <= 3), "P4": F.col("early_prev") == 1,
-        "P5": crossed & (F.col("drop") <= -0.05) & (F.col("near") <= 1), "P6": F.col("copy.target") <= 200_000_000, "P7": crossed & (F.col("ov") > 0.5), "P8": F.col("control") < 0.05,
+        "P5": crossed & (F.col("drop") <= -0.05) & (F.col("near") <= 1), "P6": F.col("copy.target") <= 200_000_000, "P7": crossed & (ov > 0.5), "P8": (F.col("control") < 0.05) & (F.col("control_heads") == 0) & ~F.col("control_clears"),
     }
     rows = [F.struct(F.lit(k).alias("id"), F.when(F.coalesce(v, F.lit(False)), "held").when(F.lit(k == "P8") & F.col("control").isNull(), "not scored").otherwise("failed").alias("verdict")) for k, v in held.items()]
     return x.select(run, F.explode(F.array(*rows)).alias("v")).select(run, "v.*")

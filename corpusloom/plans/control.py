@@ -33,6 +33,11 @@ def chosen(ckpts: DataFrame, every: bool = False, tokens: list[int] | None = Non
     return found
 
 
+def after_divergence(rate: float, halved: bool) -> tuple[float | None, int]:
+    """The rate of the fresh run and the exit code: one halving is allowed, a second divergence is a hard failure."""
+    return (None, 20) if halved else (rate / 2, 0)
+
+
 def may_escalate(copy_low: float, chance: float) -> bool:
     """Only after copying clears chance, strictly."""
     return copy_low > chance

@@ -25,7 +25,8 @@ def query(name: str, sql: str):
 _POINTS = """e AS (SELECT event_type AS run, CAST(date_part('day', ts) AS BIGINT) AS day, count(*) AS n FROM events GROUP BY ALL),
 c AS (SELECT run, day, n, round(sum(n) OVER (PARTITION BY run ORDER BY day)::DOUBLE / sum(n) OVER (PARTITION BY run), 6) AS score FROM e),
 p AS (SELECT run, day * 10000000 AS tokens, CAST(day * 10000000 AS BIGINT) AS target, day, score, round(score * 1.5, 6) AS prev, round(-score + (n % 7) / 100.0, 6) AS icl, round(3 + 7 * (1 - score) * (1 - score) + (n % 7) / 100.0, 6) AS loss,
-  score > 0.5 AS clears, round(score * 2, 6) AS ov, n % 4 AS heads, CASE WHEN run = 'view' THEN NULL ELSE 0.02 END AS control FROM c),
+  score > 0.5 AS clears, n % 4 AS best, [round(score * 2 * (1 - 0.3 * h), 6) FOR h IN range(4)] AS ov, n % 4 AS heads,
+  CASE WHEN run = 'view' THEN NULL ELSE 0.02 END AS control, CASE WHEN run = 'view' THEN NULL WHEN run = 'click' THEN 1 ELSE 0 END AS control_heads, CASE WHEN run <> 'view' THEN run = 'purchase' END AS control_clears FROM c),
 o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY tokens) AS pos FROM p)"""
 _PHASE = """u AS (SELECT run, count(*) AS n_points, min(pos) FILTER (WHERE score > 0.3) AS end_pos FROM o GROUP BY run),
 ph AS (SELECT run, any_value(n_points) AS n_points, any_value(end_pos) AS end_pos, max(tokens) FILTER (WHERE pos = end_pos) AS end_tokens, max(pos) FILTER (WHERE score < 0.1 AND pos < end_pos) AS start_pos, max(tokens) FILTER (WHERE score < 0.1 AND pos < end_pos) AS start_tokens FROM o JOIN u USING (run) GROUP BY run),
@@ -40,7 +41,9 @@ def points(spark, sf):
     c = e.withColumn("score", s)
     return c.select(
         "run", (F.col("day") * 10_000_000).alias("tokens"), (F.col("day") * 10_000_000).alias("target"), "day", "score", F.round(F.col("score") * 1.5, 6).alias("prev"), F.round(-F.col("score") + wiggle, 6).alias("icl"),
-        F.round(3 + 7 * (1 - F.col("score")) * (1 - F.col("score")) + wiggle, 6).alias("loss"), (F.col("score") > 0.5).alias("clears"), F.round(F.col("score") * 2, 6).alias("ov"), (F.col("n") % 4).alias("heads"), F.when(F.col("run") != "view", 0.02).alias("control"),
+        F.round(3 + 7 * (1 - F.col("score")) * (1 - F.col("score")) + wiggle, 6).alias("loss"), (F.col("score") > 0.5).alias("clears"), (F.col("n") % 4).cast("int").alias("best"),
+        F.array(*[F.round(F.col("score") * 2 * (1 - F.lit(0.3) * h), 6) for h in range(4)]).alias("ov"), (F.col("n") % 4).alias("heads"), F.when(F.col("run") != "view", 0.02).alias("control"),
+        F.when(F.col("run") != "view", (F.col("run") == "click").cast("int")).alias("control_heads"), F.when(F.col("run") != "view", F.col("run") == "purchase").alias("control_clears"),
     )
 
 
@@ -113,10 +116,10 @@ def crossing_time(spark, sf):
 
 @query("scorecard", f"""WITH {_POINTS}, {_PHASE}, {_STEP}, an AS (SELECT run, max(pos) FILTER (WHERE score < 0.1) AS anchor FROM o GROUP BY run),
 x AS (SELECT run, any_value(crossed) AS crossed, any_value(end_pos - start_pos - 1) AS inside, max(target) FILTER (WHERE pos = end_pos) AS et, arg_max(heads, pos) AS fh, coalesce(max(CASE WHEN pos <= anchor AND prev > 0.3 THEN 1 END), 0) AS ep,
-  max(icl) FILTER (WHERE pos = end_pos) - max(icl) FILTER (WHERE pos = start_pos) AS drop_, min(abs(pos - end_pos)) FILTER (WHERE tokens IN (from_tokens, to_tokens)) AS near, arg_min(target, pos) FILTER (WHERE clears) AS ct, max(ov) FILTER (WHERE pos IN (end_pos, end_pos - 1)) AS ov, max(control) AS control
+  max(icl) FILTER (WHERE pos = end_pos) - max(icl) FILTER (WHERE pos = start_pos) AS drop_, min(abs(pos - end_pos)) FILTER (WHERE tokens IN (from_tokens, to_tokens)) AS near, arg_min(target, pos) FILTER (WHERE clears) AS ct, max(best) FILTER (WHERE pos = end_pos) AS best, any_value(ov) FILTER (WHERE pos = end_pos) AS ov, any_value(ov) FILTER (WHERE pos = end_pos - 1) AS ovb, max(control) AS control, max(control_heads) AS control_heads, bool_or(control_clears) AS control_clears
   FROM o JOIN pc USING (run) LEFT JOIN st USING (run) JOIN an USING (run) GROUP BY run),
 v AS (SELECT run, 'P1' AS id, crossed AND et <= 200000000 AS h, control FROM x UNION ALL SELECT run, 'P2', fh >= 1, control FROM x UNION ALL SELECT run, 'P3', crossed AND inside <= 3, control FROM x UNION ALL SELECT run, 'P4', ep = 1, control FROM x
-  UNION ALL SELECT run, 'P5', crossed AND drop_ <= -0.05 AND near <= 1, control FROM x UNION ALL SELECT run, 'P6', ct <= 200000000, control FROM x UNION ALL SELECT run, 'P7', crossed AND ov > 0.5, control FROM x UNION ALL SELECT run, 'P8', control < 0.05, control FROM x)
+  UNION ALL SELECT run, 'P5', crossed AND drop_ <= -0.05 AND near <= 1, control FROM x UNION ALL SELECT run, 'P6', ct <= 200000000, control FROM x UNION ALL SELECT run, 'P7', crossed AND greatest(ov[best + 1], ovb[best + 1]) > 0.5, control FROM x UNION ALL SELECT run, 'P8', control < 0.05 AND control_heads = 0 AND NOT control_clears, control FROM x)
 SELECT run, id, CASE WHEN coalesce(h, false) THEN 'held' WHEN id = 'P8' AND control IS NULL THEN 'not scored' ELSE 'failed' END AS verdict FROM v""")
 def scorecard(spark, sf):
     """V10, J5, J8, T5."""
@@ -130,7 +133,7 @@ def lr_schedule(spark, sf):
 
 
 @query("checkpoint_steps", """WITH t AS (SELECT DISTINCT CAST(user_id * 1000000 AS BIGINT) AS target FROM events), s AS (SELECT CAST(ceil(target / 16384.0) AS BIGINT) - 1 AS step, target FROM t WHERE target > 0),
-k AS (SELECT step, min(target) AS target FROM s WHERE step <= 6000 GROUP BY step), u AS (SELECT * FROM k UNION ALL SELECT 6000, NULL) SELECT step, min(target) AS target FROM u GROUP BY step""")
+k AS (SELECT step, min(target) AS target FROM s WHERE step < 6000 GROUP BY step) SELECT * FROM k UNION ALL SELECT 6000, 6001 * 16384""")
 def checkpoint_steps(spark, sf):
     """V12, S14, D23."""
     return T.checkpoint_steps(table(spark, sf, "events").select((F.col("user_id") * 1_000_000).alias("target")).distinct(), 16384, 6000)
@@ -173,11 +176,17 @@ def max_logged_step(spark, sf):
     return L.max_step(log(spark, sf), "step", ["run"])
 
 
-@query("gate_losses", f"""WITH {_LOG}, w AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step, loss) AS a, row_number() OVER (PARTITION BY run ORDER BY step DESC, loss DESC) AS z FROM lw WHERE step < 100)
-SELECT run, round(avg(loss) FILTER (WHERE a <= 8), 9) AS head, round(avg(loss) FILTER (WHERE z <= 8), 9) AS tail, false AS non_finite, avg(loss) FILTER (WHERE z <= 8) > avg(loss) FILTER (WHERE a <= 8) AS diverged FROM w GROUP BY run""")
+@query("gate_losses", f"""WITH {_LOG}, x AS (SELECT run, CASE WHEN run = 'signup' THEN step // 3 ELSE step END AS step, CASE WHEN run = 'view' AND seq % 997 = 5 THEN 'inf'::DOUBLE ELSE loss END AS loss FROM g),
+w AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step, loss) AS a, row_number() OVER (PARTITION BY run ORDER BY step DESC, loss DESC) AS z FROM x WHERE step < 100 AND loss IS NOT NULL),
+m AS (SELECT run, count(*) AS n, list_avg(list(loss) FILTER (WHERE a <= 8 AND isfinite(loss))) AS head, list_avg(list(loss) FILTER (WHERE z <= 8 AND isfinite(loss))) AS tail, bool_or(NOT isfinite(loss)) AS bad FROM w GROUP BY run),
+v AS (SELECT run, far, n, head, tail, coalesce(bad, false) AS bad FROM (SELECT run, max(step) AS far FROM x GROUP BY run) LEFT JOIN m USING (run))
+SELECT run, CASE WHEN NOT bad THEN round(head, 9) END AS head, CASE WHEN NOT bad THEN round(tail, 9) END AS tail, bad AS non_finite, CASE WHEN bad THEN 'diverged' WHEN NOT (far >= 100 AND coalesce(n, 0) >= 8) THEN 'open' WHEN tail > head THEN 'diverged' ELSE 'passed' END AS verdict FROM v""")
 def gate_losses(spark, sf):
     """S10, A26, C9, T18."""
-    out = L.early_gate(L.last_wins(log(spark, sf), ["run", "step"], "seq", "loss"), "run", "step", "loss", 100)
+    odd = (F.col("run") == "view") & (F.col("seq") % 997 == 5)
+    slow = F.when(F.col("run") == "signup", F.floor(F.col("step") / 3)).otherwise(F.col("step"))
+    rows = log(spark, sf).select("run", slow.alias("step"), F.when(odd, float("inf")).otherwise(F.col("loss")).alias("loss"))
+    out = L.early_gate(rows, "run", "step", "loss", 100)
     return out.withColumn("head", F.round("head", 9)).withColumn("tail", F.round("tail", 9))
 
 

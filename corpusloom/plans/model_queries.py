@@ -165,10 +165,13 @@ def drawn_ids(spark, sf):
     return A.drawn_ids(spark, 16384, 256, 14)
 
 
-@query("decayed_parameters", "SELECT p_partkey AS id, NOT (p_name LIKE '%embed%' OR p_name LIKE '%lm_head%' OR p_name LIKE '%\\_norm.weight' ESCAPE '\\') AS decayed FROM part")
+_NAMES = ("embed.weight", "lm_head.weight", "layers.3.attn_norm.weight", "final_norm.weight", "layers.3.attn.q.weight", "pos_embed.weight", "lm_head.bias", "layers.0.embed.proj")
+
+
+@query("decayed_parameters", f"SELECT p_partkey AS id, x NOT IN ('embed.weight', 'lm_head.weight') AND NOT ends_with(x, '_norm.weight') AS decayed FROM (SELECT p_partkey, {list(_NAMES)}[CAST(p_partkey % {len(_NAMES)} AS INT) + 1] AS x FROM part)")
 def decayed_parameters(spark, sf):
     """P8."""
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), A.decayed(F.col("p_name")).alias("decayed"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), A.decayed(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES)).cast("int") + 1)).alias("decayed"))
 
 
 @query("kernel_copying")

@@ -23,16 +23,24 @@ def running_totals(log: DataFrame) -> DataFrame:
 
 
 def stability_monitor(log: DataFrame, window: int, act: Callable[[list], None], state: str, checkpoint: str, once: bool = True):
-    """After each batch, the gate over all early records; ``act`` gets the runs that diverge.
+    """After each batch, the gate over all early records; ``act`` gets each run once, when it diverges or passes.
 
-    Early records are appended to ``state``: their number is bounded by the window, not by the log.
+    A run that is decided is released: later records of it are not looked at. Early records are appended to ``state``, of
+    later ones only the newest step, so the state is bounded by the window and the batches, not by the log.
     """
 
     def batch(df: DataFrame, epoch: int) -> None:
-        early = df.filter(F.col("step") < window)
-        early.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
-        seen = df.sparkSession.read.parquet(state)
-        act(early_gate(seen, "run", "step", "loss", window).filter("diverged").select("run").collect())
+        spark = df.sparkSession
+        new = df.select("run", "step", F.when(F.col("step") < window, F.col("loss")).alias("loss"))
+        past = new.filter(F.col("step") >= window).groupBy("run").agg(F.max("step").alias("step")).select("run", "step", F.lit(None).cast("double").alias("loss"))
+        new.filter(F.col("step") < window).unionByName(past).write.mode("overwrite").parquet(f"{state}/seen/epoch={epoch}")
+        if epoch == 0:
+            spark.createDataFrame([], "run string, verdict string").write.mode("overwrite").parquet(f"{state}/decided/epoch=-1")
+        decided = spark.read.schema("run string, verdict string, epoch long").parquet(f"{state}/decided").filter(F.col("epoch") < epoch)
+        seen = spark.read.schema("run string, step long, loss double, epoch long").parquet(f"{state}/seen")
+        now = early_gate(seen.join(decided, "run", "left_anti"), "run", "step", "loss", window).filter("verdict <> 'open'").select("run", "verdict")
+        now.write.mode("overwrite").parquet(f"{state}/decided/epoch={epoch}")
+        act(spark.read.parquet(f"{state}/decided/epoch={epoch}").collect())
 
     writer = log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="60 seconds")).start()

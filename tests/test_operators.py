@@ -167,7 +167,47 @@ def test_same_grid(spark):
 
 def test_checkpoint_steps(spark):
     t = spark.createDataFrame([(x,) for x in (1_000_000, 2_000_000, 10**12, -5)], "target long")
-    assert sorted(r["step"] for r in T.checkpoint_steps(t, 16384, 30517).collect()) == [61, 122, 30517]
+    assert sorted(map(tuple, T.checkpoint_steps(t, 16384, 30517).collect())) == [(61, 1_000_000), (122, 2_000_000), (30517, 30518 * 16384)]
+    t = spark.createDataFrame([(x,) for x in (100, 9_950, 10_000, 10_001)], "target long")  # the final step has all tokens
+    assert sorted(map(tuple, T.checkpoint_steps(t, 100, 99).collect())) == [(0, 100), (99, 10_000)]
+
+
+def test_early_gate(spark):
+    rising = [("a", s, float(s)) for s in range(9)]  # nine early records say nothing yet
+    late = [("b", s, 9.0 - s) for s in range(12)] + [("b", 120, None)]
+    up = [("c", s, float(s)) for s in range(12)] + [("c", 100, 1.0)]
+    few = [("d", s, float(s)) for s in range(7)] + [("d", 200, 1.0)]
+    bad = [("e", 3, float("nan")), ("e", 4, 1.0)]
+    twice = [("f", 0, 1.0)] * 8 + [("f", 1, 5.0)] * 4 + [("f", 150, 0.0)]  # repeated steps count as they are
+    df = spark.createDataFrame(rising + late + up + few + bad + twice + [("g", 300, float("inf"))], "run string, step long, loss double")
+    got = {r["run"]: r["verdict"] for r in L.early_gate(df, "run", "step", "loss", 100).collect()}
+    assert got == {"a": "open", "b": "passed", "c": "diverged", "d": "open", "e": "diverged", "f": "diverged", "g": "open"}
+
+
+def test_refused_bumps(spark):
+    for rows in ([("r", 10, 6.0), ("r", 20, 5.0)], [("r", 10 * k, 0.0 if k == 3 else 5.0) for k in range(1, 6)]):
+        with pytest.raises(Exception, match="at least 3|non-positive"):
+            T.loss_bumps(spark.createDataFrame(rows, "run string, tokens long, loss double"), "run", "loss").collect()
+
+
+def test_scorecard_reads_the_crossing_head_and_all_of_the_control(spark):
+    kind = "run string, tokens long, target long, score double, prev double, icl double, clears boolean, best int, ov array<double>, heads int, control double, control_heads int, control_clears boolean"
+
+    def verdicts(ov, heads=0, clears=False, control=0.01):
+        scores, tokens = [0.01, 0.05, 0.2, 0.9, 0.9], [10**k for k in range(1, 6)]
+        rows = [("r", t, t, s, 0.5, -s, s > 0.5, 1, o, 2, control, heads, clears) for t, s, o in zip(tokens, scores, ov, strict=True)]
+        return {r["id"]: r["verdict"] for r in T.scorecard(spark.createDataFrame(rows, kind), "run").collect()}
+
+    other = [[0.9, 0.1]] * 5  # only a head that is not the best one copies
+    assert verdicts(other)["P7"] == "failed" and verdicts([[0.0, 0.1]] * 2 + [[0.0, 0.8]] + [[0.0, 0.1]] * 2)["P7"] == "held"
+    assert verdicts([[0.0, 0.9]] * 2 + [[0.0, 0.1]] * 3)["P7"] == "failed"  # too early does not count
+    assert [verdicts(other, *x)["P8"] for x in ((0, False), (1, False), (0, True), (0, False, 0.06), (None, None, None))] == ["held", "failed", "failed", "failed", "not scored"]
+
+
+def test_decay_goes_by_exact_names(spark):
+    names = ["embed.weight", "lm_head.weight", "layers.0.attn_norm.weight", "pos_embed.weight", "lm_head.bias", "norm.weight"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(A.decayed(F.col("n")).alias("d")).collect()
+    assert [r["d"] for r in got] == [False, False, False, True, True, True]
 
 
 def curve(spark, end=0.005, mid=0.005):

@@ -121,7 +121,11 @@ def test_stream_totals_and_monitor(spark, tmp_path):
     assert [(r["run"], r["n"], r["last"]) for r in spark.table("totals").collect()] == [("a", 20, 19)]
     seen: list = []
     M.stability_monitor(M.log_stream(spark, str(tmp_path / "in")), 100, seen.extend, str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination(60)
-    assert [r["run"] for r in seen] == ["a"]
+    assert seen == []  # nothing is decided before the window is reached
+    M.stability_monitor(M.log_stream(spark, str(tmp_path / "in")), 15, seen.extend, str(tmp_path / "state2"), str(tmp_path / "cp3")).awaitTermination(60)
+    assert [(r["run"], r["verdict"]) for r in seen] == [("a", "diverged")]
+    M.stability_monitor(M.log_stream(spark, str(tmp_path / "in")), 15, seen.extend, str(tmp_path / "state2"), str(tmp_path / "cp3")).awaitTermination(60)
+    assert len(seen) == 1  # and a run is told once
     M.probe_curve(M.log_stream(spark, str(tmp_path / "in")), str(tmp_path / "probe"), str(tmp_path / "cp2")).awaitTermination(60)
     assert spark.read.text(str(tmp_path / "probe")).count() == 20
 
@@ -129,6 +133,7 @@ def test_stream_totals_and_monitor(spark, tmp_path):
 def test_control(spark):
     assert control.next_step({"a": True, "b": False}) == ("b", 10) and control.next_step({"a": True}) == (None, 0) and control.next_step({"a": False}, hold="a") == ("a", 20)
     assert control.smoke_passed({"c": True}, "c", False) and not control.smoke_passed({"c": True}, "c", True)
+    assert control.after_divergence(0.4, False) == (0.2, 0) and control.after_divergence(0.2, True) == (None, 20)
     assert control.may_escalate(0.2, 0.1) and not control.may_escalate(0.1, 0.1)
     df = spark.createDataFrame([([1, 2],)], "a array<int>")
     with pytest.raises(ValueError, match="registered"):
