@@ -16,13 +16,15 @@ class, so no two of these need be compared. A link between two others leaves a t
   T = (d_x + d_y - (1 - t) |p|) / (1 + t) or more. One that is not similar to p has d > (1 - t) |p|, so two that share no
   difference cannot be linked, and what they share includes one of the first differences of each in a fixed order (added
   before lacking, rarest first) whose rest would weigh less than a bound of T that each knows alone (``_prefix``).
-* Members further from p share one of the rarest shingles, without which less than t of their weight is left, with
-  whatever in the bucket they are linked to.
-
-The members of p's buckets that share such a name form a group. Those in a group that are not similar to p are compared with
-a representative of theirs, so a family inside a bucket becomes one class as well. What is then still open is joined by the
-names, between different classes only; a pair is asked for only if its common differences can weigh T by two bitmaps of 256
-bits, a bound that never fails a link. Copies with edits of their own share too little for that, so a group of copies
+* Members further from p are taken together by the rarest shingles, without which less than t of their weight is left: two
+  that have none of these in common cannot be linked. Each such group has a representative of its own, and so on.
+* A pair of one member near p and one far from it is only possible where their similarities to p differ by 1 - t or less, as
+  weighted Jaccard distance is a metric; these few are joined by the same rarest shingles.
+
+Members near p that are not similar to it and share a name of a difference are compared with a representative of theirs, so a
+family inside a bucket becomes one class as well. What is then still open is joined by the names, between different classes
+only; a pair is asked for only if its similarities to p allow it and its common differences can weigh T by two bitmaps of 256
+bits, bounds that never fail a link. Copies with edits of their own share too little for that, so a group of copies
 is not expanded into its pairs; nor is anything capped, and the rule does not depend on sizes. Every link between two texts
 that share a band is therefore found: the two are compared, or are in one class before, or a bound rules the link out.
 
@@ -44,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, plan_bytes, read, shingle_hashes, small_batches, word_hashes
+from .common import Scratch, mix, read, shingle_hashes, small_batches, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -57,8 +59,8 @@ WORDS = 4
 RARE = 1 << 13
 #: Rows that the table of more frequent shingles may have; the part doubles until it fits. At 12 bytes each, 12 MB.
 FREQUENT = 1 << 20
-#: Shingles of a block of documents that are counted together, and bytes of input for each range of hashes.
-_BLOCK, RANGE_BYTES = 1 << 20, 4 << 20
+#: Shingles of a block of documents that are counted together, and bytes of text for each range of hashes.
+_BLOCK, RANGE_BYTES = 1 << 20, 16 << 20
 _SEED = np.uint64(0xA0761D6478BD642F)
 _ADDED, _LACKING = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -140,8 +142,8 @@ def _added_up(least: float):
 
 def idf(docs: DataFrame, rare: int = RARE, frequent: int = FREQUENT) -> Weights:
     """The weights over all documents. The driver gets the shingles whose df is over the rarest that counts, ``frequent`` at most."""
-    n, part = docs.count(), rare
-    ranges = max(64, plan_bytes(docs) // RANGE_BYTES)
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    part, ranges = rare, max(64, size // RANGE_BYTES)
     blocks = docs.select("text").mapInArrow(_counted(ranges), "range int, s binary, n binary").repartition("range").sortWithinPartitions("range")
     rows = Scratch(docs.sparkSession, "icws-df")
     often = rows.cut(blocks.mapInArrow(_added_up(max(n / part, 1.0)), "shingle long, df long"), "often")
@@ -333,49 +335,61 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     # the texts of documents that share a bucket, taken out of the corpus once
     texts = scratch.cut(texts.join(central.select("doc").hint("merge"), "doc", "left_semi"), "texts")
 
-    def led(rows: DataFrame, *key: str) -> DataFrame:
-        """Pairs (doc, leader) of every member of a group and its representative."""
+    def led(rows: DataFrame) -> DataFrame:
+        """(chain, doc, leader): every member of a group (chain, key) and its representative."""
         rows = rows.join(central, "doc")
         rank = F.struct((-F.col("central")).alias("c"), F.col("doc").alias("leader"))
-        lead = rows.groupBy(*key).agg(F.min(rank)["leader"].alias("leader"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
-        return rows.join(lead, list(key)).filter(F.col("doc") != F.col("leader")).select("doc", "leader").distinct()
+        lead = rows.groupBy("chain", "key").agg(F.min(rank)["leader"].alias("leader"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
+        return rows.join(lead, ["chain", "key"]).filter(F.col("doc") != F.col("leader")).select("chain", "doc", "leader").distinct()
 
     def compared(ask: DataFrame, name: str, told: DataFrame | None = None) -> DataFrame:
         if told is not None:
-            told = told.select("doc", "leader")
-            ask = ask.join(told.unionByName(told.select(F.col("leader").alias("doc"), F.col("doc").alias("leader"))), ["doc", "leader"], "left_anti")
+            ask = ask.join(told.select("doc", "leader"), ["doc", "leader"], "left_anti")
         ask = ask.join(texts.hint("merge"), "doc").join(texts.select(F.col("doc").alias("leader"), F.col("text").alias("leader_text")).hint("merge"), "leader")
         return scratch.cut(ask.select("doc", "leader", "text", "leader_text").mapInArrow(_compared(weights, threshold, near), COMPARED), name)
 
-    first = compared(led(member, "key"), "compared1")
-    # representatives with members that are not similar to them; those with members far away
-    open_ = first.groupBy("leader").agg(F.min("stands").alias("least"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("least") < SIMILAR)).select("leader", "least")
-    seen = scratch.cut(first.join(open_, "leader").withColumnRenamed("leader", "centre"), "seen")
-    fixed = ["centre", "doc", "stands"]
-    named = lambda c, kind: seen.filter(kind).select(*fixed, F.explode(c).alias("key"))
-    left = F.col("stands") < SIMILAR
-    by_prefix = named("prefix", F.col("least") == FAR)
-    second = compared(led(named("short", left).unionByName(by_prefix.filter(left)), "centre", "key"), "compared2", first)
-    tried = first.select("doc", "leader", "sim").unionByName(second.select("doc", "leader", "sim"))
+    # rounds: members of a group against its representative; those far from it form the groups of the next round
+    group = member.select(F.lit(0).cast("long").alias("chain"), "key", "doc")
+    left, apart = F.col("stands") < SIMILAR, 1 - threshold + 1e-6
+    fixed = ["chain", "doc", "stands", "sim"]
+    tried, parts, k = None, [], 0
+    while True:
+        told = scratch.cut(led(group), f"told{k}")
+        if told.isEmpty():
+            break
+        done = compared(told.select("doc", "leader").distinct(), f"compared{k}", tried)
+        tried = done if tried is None else tried.unionByName(done)
+        seen = told.join(tried, ["doc", "leader"]).withColumn("chain", F.xxhash64("chain", "leader"))
+        open_ = seen.groupBy("chain").agg(F.min("stands").alias("least"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("least") < SIMILAR)).select("chain")
+        parts.append(scratch.cut(seen.join(open_, "chain"), f"seen{k}"))
+        group = parts[-1].filter(F.col("stands") == FAR).select("chain", "doc", F.explode("prefix").alias("key"))
+        k += 1
+    if tried is None:
+        return node.sparkSession.createDataFrame([], "doc long, leader long, sim double")
+    seen = parts[0]
+    for part in parts[1:]:
+        seen = seen.unionByName(part)
+    named = lambda c, kind, *more: seen.filter(kind).select(*fixed, *more, F.explode(c).alias("key"))
+    done = compared(led(named("short", F.col("stands") == RING).select("chain", "doc", "key")).select("doc", "leader").distinct(), "families", tried)
+    tried = tried.select("doc", "leader", "sim").unionByName(done.select("doc", "leader", "sim"))
     found = tried.filter(F.col("sim") >= threshold)
     of = components(found, Scratch(scratch.spark, "icws-families"))
-    of = scratch.cut(central.select("doc").join(of, "doc", "left").select("doc", F.coalesce("class", "doc").alias("class")), "families")
+    of = scratch.cut(central.select("doc").join(of, "doc", "left").select("doc", F.coalesce("class", "doc").alias("class")), "classes-so-far")
     # joined by shared names, between classes
-    wide = [*fixed, "away", "base", "added", "added_least", "lacking", "lacking_least", "bits"]
-    near_ = seen.filter(F.col("stands") != FAR).join(of, "doc")
-    short = near_.select(*wide, "class", F.explode("short").alias("key"), F.lit(True).alias("short"))
-    rest = near_.filter(F.col("stands") == RING).select(*wide, "class", F.explode("rest").alias("key"), F.lit(False).alias("short"))
-    x, y = short.filter(F.col("stands") == RING).unionByName(rest).alias("x"), short.alias("y")
-    other = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class"))
+    wide = ["away", "base", "added", "added_least", "lacking", "lacking_least", "bits"]
+    short = named("short", F.col("stands") != FAR, *wide).withColumn("short", F.lit(True)).join(of, "doc")
+    rest = named("rest", F.col("stands") == RING, *wide).withColumn("short", F.lit(False)).join(of, "doc")
+    x, y = short.filter(left).unionByName(rest).alias("x"), short.alias("y")
+    other = (F.col("x.chain") == F.col("y.chain")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & (F.abs(F.col("x.sim") - F.col("y.sim")) <= apart)
     one_way = (F.col("y.stands") == SIMILAR) | F.col("x.short") & (F.col("x.doc") < F.col("y.doc"))
     pair = [F.col("x.doc").alias("doc"), F.col("y.doc").alias("leader")]
     ask = x.join(y, other & one_way & _may_link("x", "y", threshold)).select(*pair)
-    by_prefix = by_prefix.join(of, "doc")
-    x, y = by_prefix.filter(F.col("stands") == FAR).alias("x"), by_prefix.alias("y")
-    one_way = (F.col("y.stands") != FAR) | (F.col("x.doc") < F.col("y.doc"))
-    ask = ask.unionByName(x.join(y, other & one_way).select(*pair)).distinct()
-    third = compared(scratch.cut(ask, "ask"), "compared3", tried).filter(F.col("sim") >= threshold)
-    return found.unionByName(third.select("doc", "leader", "sim"))
+    x = named("prefix", (F.col("stands") == FAR) & (F.col("sim") >= near - apart)).join(of, "doc").alias("x")
+    y = named("prefix", (F.col("stands") == RING) & (F.col("sim") <= near + apart)).join(of, "doc").alias("y")
+    ask = scratch.cut(ask.unionByName(x.join(y, other).select(*pair)).distinct(), "ask")
+    both = tried.select("doc", "leader").unionByName(tried.select(F.col("leader").alias("doc"), F.col("doc").alias("leader")))
+    last = compared(ask, "last", both).filter(F.col("sim") >= threshold)
+    return found.unionByName(last.select("doc", "leader", "sim"))
 
 
 def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
