@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 32 << 20
 #: Rows handed to a Python worker at once; bounds a worker's memory by the longest texts, not by the partition.
 ARROW_ROWS = 128
-#: Bytes of a plan's estimated output for each task that writes it.
+#: Bytes of input, as stored, for each task that writes a table.
 TASK_BYTES = 64 << 20
 
 
@@ -43,12 +43,13 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of the output: file sizes for scans, an upper bound for joins."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes that a plan reads: the sizes of its tables, after pruning. Rows without a known size count as very many."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """Partitions by bytes: one for every ``TASK_BYTES`` and two a core at least; a plan that has fewer keeps its own."""
+    """Partitions by bytes: one for every ``TASK_BYTES`` read and two a core at least; a plan that has fewer keeps its own."""
     return df.coalesce(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-plan_bytes(df) // TASK_BYTES)), (1 << 31) - 1))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bm25_pack, chat_trees, decontaminate, html_wrapper, language_id, license_scan, line_quality, line_runs, minhash_icws, suffix_family
+from corpusloom.llm import bm25_pack, chat_trees, common, decontaminate, html_wrapper, language_id, license_scan, line_quality, line_runs, minhash_icws, suffix_family
 from corpusloom.llm.common import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, uid long, host string, key string"
@@ -41,6 +41,32 @@ def scratch(spark):
     return Scratch(spark, "test")
 
 
+def test_partitions_follow_bytes(spark, tmp_path, monkeypatch):
+    spark.range(200_000).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("x")).repartition(40).write.parquet(f"{tmp_path}/t")
+    df, read = spark.read.parquet(f"{tmp_path}/t").repartition(64), common.plan_bytes
+    own = read(df)
+    assert 1_000_000 < own < 20_000_000 and read(df.join(df.withColumnRenamed("x", "y"), "id")) < 3 * own
+    tasks = []
+    for task in (own, own // 20, own // 50, own // 1000):
+        monkeypatch.setattr(common, "TASK_BYTES", task)
+        tasks.append(common.sized(df).rdd.getNumPartitions())
+    assert tasks == [8, 21, 51, 64]  # two a core, by bytes, and never more than the plan has
+
+
+def test_wide_sides_are_shuffled(spark):
+    narrow, wide = spark.range(1000).withColumn("x", F.lit(1)), spark.range(1000).withColumn("x", F.array_repeat(F.repeat(F.lit("w"), 1000), 100))
+    assert common.fits(narrow) and not common.fits(wide) and not common.fits(wide.select("id", F.struct("x").alias("s")))
+    assert "broadcast" in common.bounded(narrow)._jdf.queryExecution().logical().toString().lower()
+    docs = spark.createDataFrame([(1, " ".join(f"t{i}" for i in range(30)))], "doc_id long, text string")
+    whole = decontaminate.overlaps(docs, docs.withColumnRenamed("doc_id", "item_id"), scratch(spark)).collect()
+    limit, common.bounded.__defaults__ = common.bounded.__defaults__, (0,)
+    try:
+        shuffled = decontaminate.overlaps(docs, docs.withColumnRenamed("doc_id", "item_id"), scratch(spark))
+        assert shuffled.collect() == whole and len(whole) == 1
+    finally:
+        common.bounded.__defaults__ = limit
+
+
 # ---- chat formatting
 
 
