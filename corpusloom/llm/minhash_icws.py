@@ -331,16 +331,17 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     member = node.select("doc", F.explode("bands").alias("key"))
     size = member.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     member = scratch.cut(member.join(size, "key"), "members")
-    central = scratch.cut(member.groupBy("doc").agg(F.sum("n").alias("central")), "central")
+    # representatives are those that share most buckets with others; a number that tells that, and the document, in one
+    rank = F.shiftleft(F.least(F.sum("n"), F.lit(1 << 20)), 42).bitwiseOR(F.xxhash64("doc").bitwiseAND(F.lit((1 << 42) - 1)))
+    central = scratch.cut(member.groupBy("doc").agg(rank.alias("rank")), "central")
     # the texts of documents that share a bucket, taken out of the corpus once
     texts = scratch.cut(texts.join(central.select("doc").hint("merge"), "doc", "left_semi"), "texts")
 
     def led(rows: DataFrame) -> DataFrame:
-        """(chain, doc, leader): every member of a group (chain, key) and its representative."""
-        rows = rows.join(central, "doc")
-        rank = F.struct((-F.col("central")).alias("c"), F.col("doc").alias("leader"))
-        lead = rows.groupBy("chain", "key").agg(F.min(rank)["leader"].alias("leader"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
-        return rows.join(lead, ["chain", "key"]).filter(F.col("doc") != F.col("leader")).select("chain", "doc", "leader").distinct()
+        """(chain, doc, leader): every member of a group (chain, key) and its representative. ``rows``: chain, key, doc, rank."""
+        lead = rows.groupBy("chain", "key").agg(F.max("rank").alias("top"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
+        told = rows.join(lead, ["chain", "key"]).select("chain", "doc", "top").distinct()
+        return told.join(central.select(F.col("doc").alias("leader"), F.col("rank").alias("top")), "top").filter(F.col("doc") != F.col("leader")).select("chain", "doc", "leader")
 
     def compared(ask: DataFrame, name: str, told: DataFrame | None = None) -> DataFrame:
         if told is not None:
@@ -349,9 +350,8 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
         return scratch.cut(ask.select("doc", "leader", "text", "leader_text").mapInArrow(_compared(weights, threshold, near), COMPARED), name)
 
     # rounds: members of a group against its representative; those far from it form the groups of the next round
-    group = member.select(F.lit(0).cast("long").alias("chain"), "key", "doc")
-    left, apart = F.col("stands") < SIMILAR, 1 - threshold + 1e-6
-    fixed = ["chain", "doc", "stands", "sim"]
+    group = member.join(central, "doc").select(F.lit(0).cast("long").alias("chain"), "key", "doc", "rank")
+    apart = 1 - threshold + 1e-6
     tried, parts, k = None, [], 0
     while True:
         told = scratch.cut(led(group), f"told{k}")
@@ -361,32 +361,37 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
         tried = done if tried is None else tried.unionByName(done)
         seen = told.join(tried, ["doc", "leader"]).withColumn("chain", F.xxhash64("chain", "leader"))
         open_ = seen.groupBy("chain").agg(F.min("stands").alias("least"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("least") < SIMILAR)).select("chain")
-        parts.append(scratch.cut(seen.join(open_, "chain"), f"seen{k}"))
-        group = parts[-1].filter(F.col("stands") == FAR).select("chain", "doc", F.explode("prefix").alias("key"))
+        parts.append(scratch.cut(seen.join(open_, "chain").join(central, "doc"), f"seen{k}"))
+        group = parts[-1].filter(F.col("stands") == FAR).select("chain", "doc", "rank", F.explode("prefix").alias("key"))
         k += 1
     if tried is None:
         return node.sparkSession.createDataFrame([], "doc long, leader long, sim double")
     seen = parts[0]
     for part in parts[1:]:
         seen = seen.unionByName(part)
-    named = lambda c, kind, *more: seen.filter(kind).select(*fixed, *more, F.explode(c).alias("key"))
-    done = compared(led(named("short", F.col("stands") == RING).select("chain", "doc", "key")).select("doc", "leader").distinct(), "families", tried)
+    kin = seen.filter(F.col("stands") == RING).select("chain", "doc", "rank", F.explode("short").alias("key"))
+    done = compared(led(kin).select("doc", "leader").distinct(), "families", tried)
     tried = tried.select("doc", "leader", "sim").unionByName(done.select("doc", "leader", "sim"))
     found = tried.filter(F.col("sim") >= threshold)
     of = components(found, Scratch(scratch.spark, "icws-families"))
-    of = scratch.cut(central.select("doc").join(of, "doc", "left").select("doc", F.coalesce("class", "doc").alias("class")), "classes-so-far")
-    # joined by shared names, between classes
-    wide = ["away", "base", "added", "added_least", "lacking", "lacking_least", "bits"]
-    short = named("short", F.col("stands") != FAR, *wide).withColumn("short", F.lit(True)).join(of, "doc")
-    rest = named("rest", F.col("stands") == RING, *wide).withColumn("short", F.lit(False)).join(of, "doc")
-    x, y = short.filter(left).unionByName(rest).alias("x"), short.alias("y")
+    of = central.select("doc").join(of, "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"))
+    seen = scratch.cut(seen.join(of, "doc").drop("rank"), "classes-so-far")
+    # joined by shared names, between classes; first only the names, then what the bounds need
+    named = lambda c, kind, **more: seen.filter(kind).select("chain", "doc", "class", *[F.lit(v).alias(n) for n, v in more.items()], F.explode(c).alias("key"))
+    far, ring = F.col("stands") == FAR, F.col("stands") == RING
+    rows = named("short", ~far, use=0).unionByName(named("rest", ring, use=1))
+    rows = rows.unionByName(named("prefix", far & (F.col("sim") >= near - apart), use=2)).unionByName(named("prefix", ring & (F.col("sim") <= near + apart), use=3))
+    shared = rows.groupBy("chain", (F.col("use") >= 2).alias("whole"), "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("chain", "whole", "key")
+    rows = scratch.cut(rows.withColumn("whole", F.col("use") >= 2).join(shared, ["chain", "whole", "key"], "left_semi"), "shared")
+    wide = seen.select("chain", "doc", "stands", "sim", "away", "base", "added", "added_least", "lacking", "lacking_least", "bits")
+    rows = rows.join(wide, ["chain", "doc"])
+    x, y = rows.alias("x"), rows.alias("y")
     other = (F.col("x.chain") == F.col("y.chain")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & (F.abs(F.col("x.sim") - F.col("y.sim")) <= apart)
-    one_way = (F.col("y.stands") == SIMILAR) | F.col("x.short") & (F.col("x.doc") < F.col("y.doc"))
+    of_ring = (F.col("y.stands") == SIMILAR) | (F.col("x.use") == 0) & (F.col("x.doc") < F.col("y.doc"))
+    near_pair = x.filter((F.col("stands") == RING) & (F.col("use") <= 1)).join(y.filter(F.col("use") == 0), other & of_ring & _may_link("x", "y", threshold))
+    far_pair = x.filter(F.col("use") == 2).join(y.filter(F.col("use") == 3), other)
     pair = [F.col("x.doc").alias("doc"), F.col("y.doc").alias("leader")]
-    ask = x.join(y, other & one_way & _may_link("x", "y", threshold)).select(*pair)
-    x = named("prefix", (F.col("stands") == FAR) & (F.col("sim") >= near - apart)).join(of, "doc").alias("x")
-    y = named("prefix", (F.col("stands") == RING) & (F.col("sim") <= near + apart)).join(of, "doc").alias("y")
-    ask = scratch.cut(ask.unionByName(x.join(y, other).select(*pair)).distinct(), "ask")
+    ask = scratch.cut(near_pair.select(*pair).unionByName(far_pair.select(*pair)).distinct(), "ask")
     both = tried.select("doc", "leader").unionByName(tried.select(F.col("leader").alias("doc"), F.col("doc").alias("leader")))
     last = compared(ask, "last", both).filter(F.col("sim") >= threshold)
     return found.unionByName(last.select("doc", "leader", "sim"))
