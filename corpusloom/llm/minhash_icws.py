@@ -53,6 +53,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 #: Similarity to a representative from which a member is described by its differences from it.
 NEAR = 0.5
+#: Names of differences and shingles that one task groups.
+NAMES = 1 << 18
 #: Bits of each of the two bitmaps of differences, in words of 64.
 WORDS = 4
 #: Document frequencies under this part of the documents count as this part.
@@ -343,6 +345,11 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
         told = rows.join(lead, ["chain", "key"]).select("chain", "doc", "top").distinct()
         return told.join(central.select(F.col("doc").alias("leader"), F.col("rank").alias("top")), "top").filter(F.col("doc") != F.col("leader")).select("chain", "doc", "leader")
 
+    def spread(rows: DataFrame, *names: str) -> DataFrame:
+        """Rows dealt out so that no task names more than about ``NAMES`` of their array elements."""
+        many = rows.agg(F.sum(sum((F.size(c) for c in names), F.lit(0)))).first()[0] or 0
+        return rows.repartition(many // NAMES + 1, "doc")
+
     def compared(ask: DataFrame, name: str, told: DataFrame | None = None) -> DataFrame:
         if told is not None:
             ask = ask.join(told.select("doc", "leader"), ["doc", "leader"], "left_anti")
@@ -362,14 +369,14 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
         seen = told.join(tried, ["doc", "leader"]).withColumn("chain", F.xxhash64("chain", "leader"))
         open_ = seen.groupBy("chain").agg(F.min("stands").alias("least"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("least") < SIMILAR)).select("chain")
         parts.append(scratch.cut(seen.join(open_, "chain").join(central, "doc"), f"seen{k}"))
-        group = parts[-1].filter(F.col("stands") == FAR).select("chain", "doc", "rank", F.explode("prefix").alias("key"))
+        group = spread(parts[-1].filter(F.col("stands") == FAR).select("chain", "doc", "rank", "prefix"), "prefix").select("chain", "doc", "rank", F.explode("prefix").alias("key"))
         k += 1
     if tried is None:
         return node.sparkSession.createDataFrame([], "doc long, leader long, sim double")
     seen = parts[0]
     for part in parts[1:]:
         seen = seen.unionByName(part)
-    kin = seen.filter(F.col("stands") == RING).select("chain", "doc", "rank", F.explode("short").alias("key"))
+    kin = spread(seen.filter(F.col("stands") == RING).select("chain", "doc", "rank", "short"), "short").select("chain", "doc", "rank", F.explode("short").alias("key"))
     done = compared(led(kin).select("doc", "leader").distinct(), "families", tried)
     tried = tried.select("doc", "leader", "sim").unionByName(done.select("doc", "leader", "sim"))
     found = tried.filter(F.col("sim") >= threshold)
@@ -377,10 +384,10 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     of = central.select("doc").join(of, "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"))
     seen = scratch.cut(seen.join(of, "doc").drop("rank"), "classes-so-far")
     # joined by shared names, between classes; first only the names, then what the bounds need
-    named = lambda c, kind, **more: seen.filter(kind).select("chain", "doc", "class", *[F.lit(v).alias(n) for n, v in more.items()], F.explode(c).alias("key"))
+    named = lambda c, kind, use: spread(seen.filter(kind).select("chain", "doc", "class", c), c).select("chain", "doc", "class", F.lit(use).alias("use"), F.explode(c).alias("key"))
     far, ring = F.col("stands") == FAR, F.col("stands") == RING
-    rows = named("short", ~far, use=0).unionByName(named("rest", ring, use=1))
-    rows = rows.unionByName(named("prefix", far & (F.col("sim") >= near - apart), use=2)).unionByName(named("prefix", ring & (F.col("sim") <= near + apart), use=3))
+    rows = named("short", ~far, 0).unionByName(named("rest", ring, 1))
+    rows = rows.unionByName(named("prefix", far & (F.col("sim") >= near - apart), 2)).unionByName(named("prefix", ring & (F.col("sim") <= near + apart), 3))
     shared = rows.groupBy("chain", (F.col("use") >= 2).alias("whole"), "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("chain", "whole", "key")
     rows = scratch.cut(rows.withColumn("whole", F.col("use") >= 2).join(shared, ["chain", "whole", "key"], "left_semi"), "shared")
     wide = seen.select("chain", "doc", "stands", "sim", "away", "base", "added", "added_least", "lacking", "lacking_least", "bits")
