@@ -343,10 +343,13 @@ def _may_link(x: str, y: str, t: float):
 
 
 def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch: Scratch, threshold: float = THRESHOLD, near: float = NEAR) -> DataFrame:
-    """Compared pairs (doc, leader, sim) that link the similar members of every bucket. ``node``: doc, bands; ``texts``: doc, text."""
+    """Compared pairs (doc, leader, sim) that link the similar members of every bucket. ``node``: doc, bands; ``texts``: doc, text.
+
+    Joins are by sorting at every size: what would be broadcast in each round adds up in the driver.
+    """
     member = node.select("doc", F.explode("bands").alias("key"))
     size = member.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    member = scratch.cut(member.join(size, "key"), "members")
+    member = scratch.cut(member.join(size.hint("merge"), "key"), "members")
     # representatives are those that share most buckets with others; a number that tells that, and the document, in one
     rank = F.shiftleft(F.least(F.sum("n"), F.lit(1 << 20)), 42).bitwiseOR(F.xxhash64("doc").bitwiseAND(F.lit((1 << 42) - 1)))
     central = scratch.cut(member.groupBy("doc").agg(rank.alias("rank")), "central")
@@ -356,8 +359,8 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     def led(rows: DataFrame) -> DataFrame:
         """(chain, doc, leader): every member of a group (chain, key) and its representative. ``rows``: chain, key, doc, rank."""
         lead = rows.groupBy("chain", "key").agg(F.max("rank").alias("top"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
-        told = rows.join(lead, ["chain", "key"]).select("chain", "doc", "top").distinct()
-        return told.join(central.select(F.col("doc").alias("leader"), F.col("rank").alias("top")), "top").filter(F.col("doc") != F.col("leader")).select("chain", "doc", "leader")
+        told = rows.join(lead.hint("merge"), ["chain", "key"]).select("chain", "doc", "top").distinct()
+        return told.join(central.select(F.col("doc").alias("leader"), F.col("rank").alias("top")).hint("merge"), "top").filter(F.col("doc") != F.col("leader")).select("chain", "doc", "leader")
 
     def spread(rows: DataFrame, *names: str) -> DataFrame:
         """Rows dealt out so that no task names more than about ``NAMES`` of their array elements."""
@@ -366,12 +369,12 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
 
     def compared(ask: DataFrame, name: str, told: DataFrame | None = None) -> DataFrame:
         if told is not None:
-            ask = ask.join(told.select("doc", "leader"), ["doc", "leader"], "left_anti")
+            ask = ask.join(told.select("doc", "leader").hint("merge"), ["doc", "leader"], "left_anti")
         ask = ask.join(texts.hint("merge"), "doc").join(texts.select(F.col("doc").alias("leader"), F.col("text").alias("leader_text")).hint("merge"), "leader")
         return scratch.cut(ask.select("doc", "leader", "text", "leader_text").mapInArrow(_compared(weights, threshold, near), COMPARED), name)
 
     # rounds: members of a group against its representative; those far from it form the groups of the next round
-    group = member.join(central, "doc").select(F.lit(0).cast("long").alias("chain"), "key", "doc", "rank")
+    group = member.join(central.hint("merge"), "doc").select(F.lit(0).cast("long").alias("chain"), "key", "doc", "rank")
     apart = 1 - threshold + 1e-6
     tried, parts, k = None, [], 0
     while True:
@@ -380,9 +383,9 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
             break
         done = compared(told.select("doc", "leader").distinct(), f"compared{k}", tried)
         tried = done if tried is None else tried.unionByName(done)
-        seen = told.join(tried, ["doc", "leader"]).withColumn("chain", F.xxhash64("chain", "leader"))
+        seen = told.join(tried.hint("merge"), ["doc", "leader"]).withColumn("chain", F.xxhash64("chain", "leader"))
         open_ = seen.groupBy("chain").agg(F.min("stands").alias("least"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("least") < SIMILAR)).select("chain")
-        parts.append(scratch.cut(seen.join(open_, "chain").join(central, "doc"), f"seen{k}"))
+        parts.append(scratch.cut(seen.join(open_.hint("merge"), "chain").join(central.hint("merge"), "doc"), f"seen{k}"))
         group = spread(parts[-1].filter(F.col("stands") == FAR).select("chain", "doc", "rank", "prefix"), "prefix").select("chain", "doc", "rank", F.explode("prefix").alias("key"))
         k += 1
     if tried is None:
@@ -395,8 +398,8 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     tried = tried.select("doc", "leader", "sim").unionByName(done.select("doc", "leader", "sim"))
     found = tried.filter(F.col("sim") >= threshold)
     of = components(found, Scratch(scratch.spark, "icws-families"))
-    of = central.select("doc").join(of, "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"))
-    seen = scratch.cut(seen.join(of, "doc").drop("rank"), "classes-so-far")
+    of = central.select("doc").join(of.hint("merge"), "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"))
+    seen = scratch.cut(seen.join(of.hint("merge"), "doc").drop("rank"), "classes-so-far")
     # joined by shared names, between classes; first only the names, then what the bounds need
     named = lambda c, kind, use: spread(seen.filter(kind).select("chain", "doc", "class", c), c).select("chain", "doc", "class", F.lit(use).alias("use"), F.explode(c).alias("key"))
     far, ring = F.col("stands") == FAR, F.col("stands") == RING
@@ -406,14 +409,14 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     group = ["chain", "kind", "key"]
     shared = rows.groupBy(*group).agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("use").alias("a"), F.max("use").alias("b"))
     shared = shared.filter((F.col("low") < F.col("high")) & ((F.col("kind") == 1) | (F.col("a") < F.col("b")))).select(*group)
-    rows = scratch.cut(rows.join(shared, group, "left_semi"), "shared")
+    rows = scratch.cut(rows.join(shared.hint("merge"), group, "left_semi"), "shared")
     wide = seen.select("chain", "doc", "stands", "sim", "away", "base", "added", "added_least", "lacking", "lacking_least", "bits")
-    rows = rows.join(wide, ["chain", "doc"])
+    rows = rows.join(wide.hint("merge"), ["chain", "doc"])
     x, y = rows.alias("x"), rows.alias("y")
     other = (F.col("x.chain") == F.col("y.chain")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & (F.abs(F.col("x.sim") - F.col("y.sim")) <= apart)
     of_ring = (F.col("x.kind") == F.col("y.kind")) & ((F.col("y.use") == 0) | (F.col("x.use") == 2) & (F.col("x.doc") < F.col("y.doc")))
-    near_pair = x.filter(F.col("use").isin(1, 2)).join(y.filter(F.col("use").isin(0, 2)), other & of_ring & _may_link("x", "y", threshold))
-    far_pair = x.filter(F.col("use") == 4).join(y.filter(F.col("use") == 5), other)
+    near_pair = x.filter(F.col("use").isin(1, 2)).join(y.filter(F.col("use").isin(0, 2)).hint("merge"), other & of_ring & _may_link("x", "y", threshold))
+    far_pair = x.filter(F.col("use") == 4).join(y.filter(F.col("use") == 5).hint("merge"), other)
     pair = [F.col("x.doc").alias("doc"), F.col("y.doc").alias("leader")]
     ask = scratch.cut(near_pair.select(*pair).unionByName(far_pair.select(*pair)).distinct(), "ask")
     both = tried.select("doc", "leader").unionByName(tried.select(F.col("leader").alias("doc"), F.col("doc").alias("leader")))
@@ -429,10 +432,10 @@ def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     k = 0
     while True:
         to = label.select(F.col("a").alias("b"), F.col("label").alias("seen"))
-        near = edge.join(to, "b").groupBy("a").agg(F.min("seen").alias("seen"))
-        step = label.join(near, "a").select("a", "label", F.least("label", "seen").alias("next"))
+        near = edge.join(to.hint("merge"), "b").groupBy("a").agg(F.min("seen").alias("seen"))
+        step = label.join(near.hint("merge"), "a").select("a", "label", F.least("label", "seen").alias("next"))
         jump = label.select(F.col("a").alias("next"), F.col("label").alias("far"))
-        step = scratch.cut(step.join(jump, "next").select("a", "label", F.least("next", "far").alias("next")), f"label{k + 1}")
+        step = scratch.cut(step.join(jump.hint("merge"), "next").select("a", "label", F.least("next", "far").alias("next")), f"label{k + 1}")
         if step.filter(F.col("label") != F.col("next")).isEmpty():
             break
         label = step.select("a", F.col("next").alias("label"))
