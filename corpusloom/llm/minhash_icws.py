@@ -20,7 +20,8 @@ class, so no two of these need be compared. A link between two others leaves a t
   hashes are least.
 * Members further from p are taken together by their rarest shingles: of those that hold 1.1 - t of the weight, two that
   are linked share a third or more, so nearly always one of the ``SKETCH`` of least hash. Each such group has a
-  representative of its own, and so on; few texts that are unlike have rare shingles in common, so rounds end soon.
+  representative of its own, for ``ROUNDS`` rounds; the few that are then still far from all of theirs are joined by the same
+  shingles.
 * A pair of one member near p and one far from it is only possible where their similarities to p differ by 1 - t or less, as
   weighted Jaccard distance is a metric; these are joined by the same rarest shingles.
 
@@ -57,6 +58,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 #: Similarity to a representative from which a member is described by its differences from it.
 NEAR = 0.5
+#: Rounds of representatives; what is still far from all of them is joined by its rarest shingles.
+ROUNDS = 3
 #: Least hashes that stand for a set of differences or of rare shingles.
 SKETCH = 32
 #: Names of differences and shingles that one task groups.
@@ -385,9 +388,11 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
         tried = done if tried is None else tried.unionByName(done)
         seen = told.join(tried.hint("merge"), ["doc", "leader"]).withColumn("chain", F.xxhash64("chain", "leader"))
         open_ = seen.groupBy("chain").agg(F.min("stands").alias("least"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("least") < SIMILAR)).select("chain")
-        parts.append(scratch.cut(seen.join(open_.hint("merge"), "chain").join(central.hint("merge"), "doc"), f"seen{k}"))
-        group = spread(parts[-1].filter(F.col("stands") == FAR).select("chain", "doc", "rank", "prefix"), "prefix").select("chain", "doc", "rank", F.explode("prefix").alias("key"))
+        parts.append(scratch.cut(seen.join(open_.hint("merge"), "chain").join(central.hint("merge"), "doc").withColumn("round", F.lit(k)), f"seen{k}"))
         k += 1
+        if k == ROUNDS:
+            break
+        group = spread(parts[-1].filter(F.col("stands") == FAR).select("chain", "doc", "rank", "prefix"), "prefix").select("chain", "doc", "rank", F.explode("prefix").alias("key"))
     if tried is None:
         return node.sparkSession.createDataFrame([], "doc long, leader long, sim double")
     seen = parts[0]
@@ -405,10 +410,11 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     far, ring = F.col("stands") == FAR, F.col("stands") == RING
     rows = named("short", F.col("stands") == SIMILAR, 0).unionByName(named("short", ring, 1)).unionByName(named("sketch", ring, 2))
     rows = rows.unionByName(named("prefix", far & (F.col("sim") >= near - apart), 4)).unionByName(named("prefix", ring & (F.col("sim") <= near + apart), 5))
+    rows = rows.unionByName(named("prefix", far & (F.col("round") == ROUNDS - 1), 6))
     rows = rows.withColumn("kind", F.floor(F.col("use") / 2))
     group = ["chain", "kind", "key"]
     shared = rows.groupBy(*group).agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("use").alias("a"), F.max("use").alias("b"))
-    shared = shared.filter((F.col("low") < F.col("high")) & ((F.col("kind") == 1) | (F.col("a") < F.col("b")))).select(*group)
+    shared = shared.filter((F.col("low") < F.col("high")) & (F.col("kind").isin(1, 3) | (F.col("a") < F.col("b")))).select(*group)
     rows = scratch.cut(rows.join(shared.hint("merge"), group, "left_semi"), "shared")
     wide = seen.select("chain", "doc", "stands", "sim", "away", "base", "added", "added_least", "lacking", "lacking_least", "bits")
     rows = rows.join(wide.hint("merge"), ["chain", "doc"])
@@ -416,7 +422,7 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     other = (F.col("x.chain") == F.col("y.chain")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & (F.abs(F.col("x.sim") - F.col("y.sim")) <= apart)
     of_ring = (F.col("x.kind") == F.col("y.kind")) & ((F.col("y.use") == 0) | (F.col("x.use") == 2) & (F.col("x.doc") < F.col("y.doc")))
     near_pair = x.filter(F.col("use").isin(1, 2)).join(y.filter(F.col("use").isin(0, 2)).hint("merge"), other & of_ring & _may_link("x", "y", threshold))
-    far_pair = x.filter(F.col("use") == 4).join(y.filter(F.col("use") == 5).hint("merge"), other)
+    far_pair = x.filter(F.col("use").isin(4, 6)).join(y.filter(F.col("use").isin(5, 6)).hint("merge"), other & (F.col("x.kind") == F.col("y.kind")) & ((F.col("x.use") == 4) | (F.col("x.doc") < F.col("y.doc"))))
     pair = [F.col("x.doc").alias("doc"), F.col("y.doc").alias("leader")]
     ask = scratch.cut(near_pair.select(*pair).unionByName(far_pair.select(*pair)).distinct(), "ask")
     both = tried.select("doc", "leader").unionByName(tried.select(F.col("leader").alias("doc"), F.col("doc").alias("leader")))
