@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 32 << 20
 #: Rows handed to a Python worker at once; bounds a worker's memory by the longest texts, not by the partition.
 ARROW_ROWS = 128
+#: Bytes handed to a Python worker at once, unless one row has more.
+ARROW_BYTES = 4 << 20
 #: Bytes of input, as stored, for each task that writes a table.
 TASK_BYTES = 64 << 20
 
@@ -29,6 +31,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small: texts can be very long. All operators ask for the same size, so their order does not matter."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -63,6 +63,8 @@ RARE = 1 << 13
 FREQUENT = 1 << 20
 #: Shingles of a block of documents that are counted together, and bytes of text for each range of hashes.
 _BLOCK, RANGE_BYTES = 1 << 20, 16 << 20
+#: Shingles that are sampled at once.
+PART = 1 << 18
 _SEED = np.uint64(0xA0761D6478BD642F)
 _ADDED, _LACKING = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -200,9 +202,8 @@ def _signed(weights: Weights, bands: int, rows: int):
                 words = word_hashes(text or "")
                 found.append(np.unique(shingle_hashes(words, SHINGLE), return_counts=True))
                 same.append(_content(words) if len(words) else (None, None))
-            full = [i for i, (s, _) in enumerate(found) if len(s)]
             keys = [None] * len(found)
-            if full:
+            for full in _parts([len(s) for s, _ in found]):
                 s = np.concatenate([found[i][0] for i in full])
                 w = np.concatenate([found[i][1] for i in full]) * weights.of(s)
                 start = np.concatenate(([0], np.cumsum([len(found[i][0]) for i in full])[:-1]))
@@ -218,6 +219,20 @@ def _signed(weights: Weights, bands: int, rows: int):
     return run
 
 
+def _parts(sizes: list[int]) -> Iterator[list[int]]:
+    """The places of non-empty documents, in runs of about ``PART`` shingles; a longer document is a run of its own."""
+    run, held = [], 0
+    for i, n in enumerate(sizes):
+        if run and held + n > PART:
+            yield run
+            run, held = [], 0
+        if n:
+            run.append(i)
+            held += n
+    if run:
+        yield run
+
+
 def _content(words: np.ndarray) -> tuple[int, int]:
     """128 bits of the sequence of words."""
     at = np.arange(1, len(words) + 1, dtype=np.uint64)
@@ -350,7 +365,7 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
         many = rows.agg(F.sum(sum((F.size(c) for c in names), F.lit(0)))).first()[0] or 0
         return rows.repartition(many // NAMES + 1, "doc")
 
-    def compared(ask: DataFrame, name: str, told: DataFrame | None = None) -> DataFrame:
+    def compared(ask: DataFrame, name: str, texts: DataFrame, told: DataFrame | None = None) -> DataFrame:
         if told is not None:
             ask = ask.join(told.select("doc", "leader"), ["doc", "leader"], "left_anti")
         ask = ask.join(texts.hint("merge"), "doc").join(texts.select(F.col("doc").alias("leader"), F.col("text").alias("leader_text")).hint("merge"), "leader")
@@ -359,17 +374,22 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     # rounds: members of a group against its representative; those far from it form the groups of the next round
     group = member.join(central, "doc").select(F.lit(0).cast("long").alias("chain"), "key", "doc", "rank")
     apart = 1 - threshold + 1e-6
-    tried, parts, k = None, [], 0
+    tried, parts, k, open_texts = None, [], 0, texts
     while True:
         told = scratch.cut(led(group), f"told{k}")
         if told.isEmpty():
             break
-        done = compared(told.select("doc", "leader").distinct(), f"compared{k}", tried)
+        if k:  # later rounds compare few documents: only their texts are dealt out
+            asked = told.select("doc").unionByName(told.select(F.col("leader").alias("doc"))).distinct()
+            open_texts = scratch.cut(open_texts.join(asked.hint("merge"), "doc", "left_semi"), f"texts{k}")
+        done = compared(told.select("doc", "leader").distinct(), f"compared{k}", open_texts, tried)
         tried = done if tried is None else tried.unionByName(done)
         seen = told.join(tried, ["doc", "leader"]).withColumn("chain", F.xxhash64("chain", "leader"))
         open_ = seen.groupBy("chain").agg(F.min("stands").alias("least"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("least") < SIMILAR)).select("chain")
         parts.append(scratch.cut(seen.join(open_, "chain").join(central, "doc"), f"seen{k}"))
-        group = spread(parts[-1].filter(F.col("stands") == FAR).select("chain", "doc", "rank", "prefix"), "prefix").select("chain", "doc", "rank", F.explode("prefix").alias("key"))
+        others = parts[-1].filter(F.col("stands") == FAR).select("chain", "doc", "rank", "prefix")
+        others = others.join(others.groupBy("chain").count().filter("count > 1").select("chain"), "chain", "left_semi")
+        group = spread(others, "prefix").select("chain", "doc", "rank", F.explode("prefix").alias("key"))
         k += 1
     if tried is None:
         return node.sparkSession.createDataFrame([], "doc long, leader long, sim double")
@@ -377,17 +397,22 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     for part in parts[1:]:
         seen = seen.unionByName(part)
     kin = spread(seen.filter(F.col("stands") == RING).select("chain", "doc", "rank", "short"), "short").select("chain", "doc", "rank", F.explode("short").alias("key"))
-    done = compared(led(kin).select("doc", "leader").distinct(), "families", tried)
+    done = compared(led(kin).select("doc", "leader").distinct(), "families", texts, tried)
     tried = tried.select("doc", "leader", "sim").unionByName(done.select("doc", "leader", "sim"))
     found = tried.filter(F.col("sim") >= threshold)
     of = components(found, Scratch(scratch.spark, "icws-families"))
     of = central.select("doc").join(of, "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"))
-    seen = scratch.cut(seen.join(of, "doc").drop("rank"), "classes-so-far")
+    seen = seen.join(of, "doc").drop("rank")
+    # only groups of several classes that hold both sides of a pair are named
+    far, ring = F.col("stands") == FAR, F.col("stands") == RING
+    to_ring, to_far = far & (F.col("sim") >= near - apart), ring & (F.col("sim") <= near + apart)
+    sides = seen.groupBy("chain").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(ring).alias("has_ring"), (F.max(to_ring) & F.max(to_far)).alias("has_both"))
+    sides = sides.filter("low < high and has_ring").drop("low", "high", "has_ring")
+    seen = scratch.cut(seen.join(sides, "chain"), "classes-so-far")
     # joined by shared names, between classes; first only the names, then what the bounds need
     named = lambda c, kind, use: spread(seen.filter(kind).select("chain", "doc", "class", c), c).select("chain", "doc", "class", F.lit(use).alias("use"), F.explode(c).alias("key"))
-    far, ring = F.col("stands") == FAR, F.col("stands") == RING
     rows = named("short", ~far, 0).unionByName(named("rest", ring, 1))
-    rows = rows.unionByName(named("prefix", far & (F.col("sim") >= near - apart), 2)).unionByName(named("prefix", ring & (F.col("sim") <= near + apart), 3))
+    rows = rows.unionByName(named("prefix", to_ring & F.col("has_both"), 2)).unionByName(named("prefix", to_far & F.col("has_both"), 3))
     shared = rows.groupBy("chain", (F.col("use") >= 2).alias("whole"), "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("chain", "whole", "key")
     rows = scratch.cut(rows.withColumn("whole", F.col("use") >= 2).join(shared, ["chain", "whole", "key"], "left_semi"), "shared")
     wide = seen.select("chain", "doc", "stands", "sim", "away", "base", "added", "added_least", "lacking", "lacking_least", "bits")
@@ -400,7 +425,7 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     pair = [F.col("x.doc").alias("doc"), F.col("y.doc").alias("leader")]
     ask = scratch.cut(near_pair.select(*pair).unionByName(far_pair.select(*pair)).distinct(), "ask")
     both = tried.select("doc", "leader").unionByName(tried.select(F.col("leader").alias("doc"), F.col("doc").alias("leader")))
-    last = compared(ask, "last", both).filter(F.col("sim") >= threshold)
+    last = compared(ask, "last", texts, both).filter(F.col("sim") >= threshold)
     return found.unionByName(last.select("doc", "leader", "sim"))
 
 
