@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bm25_pack, chat_trees, decontaminate, html_wrapper, language_id, license_scan, line_quality, line_runs, minhash_icws, suffix_family
+from . import bm25_pack, chat_trees, decontaminate, filter_audit, html_wrapper, jump_shards, language_id, license_scan, line_quality, line_runs, minhash_icws, source_divergence, suffix_family
 from .common import sized
 
 
@@ -25,11 +25,18 @@ _OWN = {
     "op9_icws": minhash_icws.op9_icws,
     "op10_language_id": language_id.op10_language_id,
 }
-QUERIES = {name: _sized(query) for name, query in _OWN.items()}
+QUERIES = {name: _sized(query) for name, query in _OWN.items()} | {
+    "op11_source_divergence": source_divergence.op11_source_divergence,
+    "op12_jump_shards": jump_shards.op12_jump_shards,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
+}
 SQL = {
     "op1_decontaminate": decontaminate.sql(),
     "op4_chat_reply_trees": chat_trees.OP4_SQL,
     "op5_line_runs": line_runs.OP5_SQL,
     "op6_line_frequency": line_quality.OP6_SQL,
     "op8_license_scan": license_scan.sql(),
+    "op11_source_divergence": source_divergence.OP11_SQL,
+    "op12_jump_shards": jump_shards.sql(),
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
