@@ -37,6 +37,11 @@ def uniform(*parts: Column | str | int) -> Column:
     return draw(*parts) / F.lit(float(_UNIT))
 
 
+def hashed_ids(tokens: Column, size: int = 65535) -> Column:
+    """Ids from 1 to ``size`` by a hash of each token; 0 is left for the separator. No vocabulary is built or kept."""
+    return F.transform(tokens, lambda w: (F.pmod(draw(w), F.lit(size)) + 1).cast("int"))
+
+
 def sql_draw(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::BIGINT"
 

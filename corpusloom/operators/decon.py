@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SEPARATOR, draw, gram_text, grams
 from ..sources.tables import bounded
+from .blocks import token_blocks
 
 
 def holdout_grams(items: DataFrame, tokens: str, n: int) -> DataFrame:
@@ -38,19 +39,23 @@ def counters(flagged: DataFrame, tokens: str) -> DataFrame:
     return flagged.agg(F.count("*").alias("docs_in"), F.count(F.when(F.col("dropped"), 1)).alias("docs_dropped"), part(False).alias("tokens_kept"), part(True).alias("tokens_dropped"))
 
 
-def shard_streams(docs: DataFrame, order: str, tokens: str, shard: Column) -> DataFrame:
-    """One row per shard of bounded size: its documents in order, a separator after each."""
-    one = F.struct(F.col(order).alias("o"), F.concat(tokens, F.array(F.lit(SEPARATOR))).alias("t"))
-    listed = docs.groupBy(shard.alias("shard")).agg(F.array_sort(F.collect_list(one)).alias("l"))
-    return listed.select("shard", F.flatten(F.transform("l", lambda x: x["t"])).alias("tokens"))
+def stream_grams(docs: DataFrame, order: str, tokens: str, n: int, by: list[str], text: bool = True) -> DataFrame:
+    """(by, at, h, gram or t): every window of streams of documents with a separator after each, just once.
 
+    Streams are blocks that overlap by n - 1 tokens, so no row holds a stream, however long it or a document is.
+    """
+    streams = docs.select(*by, order, F.concat(tokens, F.array(F.lit(SEPARATOR))).alias("_stream"))
+    blocks = token_blocks(streams, order, "_stream", by, overlap=n - 1).withColumnRenamed("at", "_at0")
+    found = grams(blocks, "tokens", n, [*by, "_at0"], text)
+    return found.withColumn("at", F.col("_at0") + F.col("at")).drop("_at0")
 
-def residual(kept: DataFrame, items: DataFrame, order: str, tokens: str, n: int, shard: Column, item_shard: Column, item_order: str) -> DataFrame:
+
+def residual(kept: DataFrame, items: DataFrame, order: str, tokens: str, n: int, shard: Column, item_order: str) -> DataFrame:
     """Windows of each kept shard, across documents, that are held-out grams, also across items."""
-    held = holdout_grams(shard_streams(items, item_order, tokens, item_shard), "tokens", n)
-    streams = shard_streams(kept, order, tokens, shard)
-    found = gram_hits(streams, "tokens", ["shard"], held, n).groupBy("shard").count()
-    return streams.select("shard").join(found, "shard", "left").select("shard", F.coalesce("count", F.lit(0)).alias("windows"))
+    held = stream_grams(items, item_order, tokens, n, []).select("h", F.col("gram").alias("held_gram")).distinct()
+    own = kept.withColumn("shard", shard)
+    found = stream_grams(own, order, tokens, n, ["shard"], text=False).join(bounded(held), "h").filter(gram_text("t", n) == F.col("held_gram"))
+    return own.select("shard").distinct().join(found.groupBy("shard").count(), "shard", "left").select("shard", F.coalesce("count", F.lit(0)).alias("windows"))
 
 
 def sampled_grams(splits: DataFrame, split: str, key: str, tokens: str, n: int, k: int, seed: int) -> DataFrame:

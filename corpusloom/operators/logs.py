@@ -64,12 +64,13 @@ def pair_deltas(curves: DataFrame, run: str, step: str, loss: str, low: int, hig
     return on.groupBy("run_a", "run_b").agg(F.count("*").alias("steps"), F.max_by(d, step).alias("end_delta"), F.avg(d).alias("mean_delta"))
 
 
-def noise_reading(within: DataFrame, cross: DataFrame, end: float = TOL_END) -> DataFrame:
-    """Is the cross spread inside the within spread, above it, or neither? And pairs over the tolerance."""
-    w = within.agg(F.max("end_delta").alias("most"), F.count(F.when(F.col("end_delta") > end, 1)).alias("over"), F.count("*").alias("pairs"))
+def noise_reading(within: DataFrame, cross: DataFrame, end: float = TOL_END, mean: float = TOL_MEAN) -> DataFrame:
+    """Is the cross spread inside the within spread, above it, or neither? And pairs over either tolerance."""
+    over = lambda c, t: F.count(F.when(F.col(c) > t, 1))
+    w = within.agg(F.max("end_delta").alias("most"), over("end_delta", end).alias("over"), over("mean_delta", mean).alias("over_mean"), F.count("*").alias("pairs"))
     c = cross.agg(F.min("end_delta").alias("least"), F.percentile("end_delta", F.lit(0.5)).alias("middle"))
     reading = F.when((F.col("least") <= F.col("most")) & (F.col("middle") <= F.col("most")), "inside").when(F.col("least") > F.col("most"), "above").otherwise("ambiguous")
-    return w.join(F.broadcast(c)).select("over", "pairs", reading.alias("reading"))  # one row each
+    return w.join(F.broadcast(c)).select("over", "over_mean", "pairs", reading.alias("reading"))  # one row each
 
 
 def resume_verdict(state: DataFrame, run_name: str, framework: str, seed: int, tokens_per_step: int) -> DataFrame:
@@ -102,6 +103,20 @@ def pilot_summary(cells: DataFrame) -> DataFrame:
     return med.join(ratio, "config", "left")
 
 
+def pilot_overall(cells: DataFrame) -> DataFrame:
+    """The median of the within-round ratios of all cells, their number, and the median load (nulls left out)."""
+    each = cells.groupBy("config", "round").agg(*[F.max(F.when(F.col("framework") == f, F.col("speed"))).alias(f) for f in ("a", "b")]).select((F.col("a") / F.col("b")).alias("q"))
+    load = cells.agg(F.percentile("load", F.lit(0.5)).alias("load"))
+    return each.agg(F.percentile("q", F.lit(0.5)).alias("ratio"), F.count("q").alias("pairs")).join(F.broadcast(load))  # one row each
+
+
+def finite_only(log: DataFrame, loss: str = "loss", step: str = "step") -> DataFrame:
+    """The log as it is; a non-finite loss stops the query and names its step."""
+    bad = F.isnan(loss) | (F.abs(loss) == float("inf"))
+    stop = F.raise_error(F.concat(F.lit("non-finite loss at step "), F.coalesce(F.col(step).cast("string"), F.lit("?")))).cast("double")
+    return log.withColumn(loss, F.when(F.coalesce(bad, F.lit(False)), stop).otherwise(F.col(loss)))
+
+
 def least(rows: DataFrame, key: str, value: str) -> DataFrame:
     """The key with the least value; the first key on a tie."""
     return rows.agg(F.min(F.struct(value, key)).alias("m")).select(F.col(f"m.{key}").alias(key), F.col(f"m.{value}").alias(value))

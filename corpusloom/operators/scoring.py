@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +48,12 @@ def ngram_nll(targets: DataFrame, train: DataFrame) -> DataFrame:
     uni = bi.groupBy("tok").agg(F.sum("c2").alias("c1"))
     pre = bi.groupBy("prev").agg(F.sum("c2").alias("c0"))
     total = uni.agg(F.sum("c1").alias("n"), F.count("*").alias("v"))
-    out = targets.join(uni, "tok", "left").join(bi, ["prev", "tok"], "left").join(pre, "prev", "left").join(F.broadcast(total))  # one row
+    # joins on words, of which some are in most pairs, see each different pair of the targets once
+    pairs = targets.select("prev", "tok").distinct()
+    out = pairs.join(bi, ["prev", "tok"], "left").join(uni, "tok", "left").join(pre, "prev", "left").join(F.broadcast(total))  # one row
     p1 = (F.coalesce("c1", F.lit(0)) + 1.0) / (F.col("n") + F.col("v") + 1.0)
     p2 = F.coalesce(F.col("c2") / F.col("c0"), F.lit(0.0))
-    return out.withColumn("nll", -F.log(0.5 * p1 + 0.5 * p2)).drop("c0", "c1", "c2", "n", "v")
+    return targets.join(out.select("prev", "tok", (-F.log(0.5 * p1 + 0.5 * p2)).alias("nll")), ["prev", "tok"])
 
 
 def window_losses(scored: DataFrame, by: list[str], early: tuple[int, int], late: tuple[int, int]) -> DataFrame:
@@ -63,6 +67,16 @@ def perplexity(losses: DataFrame, by: list[str]) -> DataFrame:
     return losses.groupBy(*by).agg(F.count("*").alias("windows"), F.sum("n").alias("tokens"), F.exp(F.sum(F.col("mean_nll") * F.col("n")) / F.sum("n")).alias("perplexity"))
 
 
+def sequence_logprob(scored: DataFrame, by: list[str], position: str, nll: str, context: int) -> DataFrame:
+    """The sum (not the mean) of log probabilities of a sequence's tokens after the first, which is context.
+
+    ``scored`` has a row per token, position from 0. Sequences under two tokens or over ``context`` are refused.
+    """
+    out = scored.groupBy(*by).agg(F.count("*").alias("tokens"), F.sum(F.when(F.col(position) > 0, -F.col(nll))).alias("logprob"))
+    fit = F.col("tokens").between(2, context)
+    return out.withColumn("logprob", F.when(fit, F.col("logprob")).otherwise(F.raise_error(F.format_string("a sequence of %d tokens", "tokens")).cast("double")))
+
+
 def icl_score(losses: DataFrame, by: list[str]) -> DataFrame:
     """Mean over windows of late minus early."""
     return losses.groupBy(*by).agg((F.avg("late") - F.avg("early")).alias("icl"))
@@ -71,23 +85,48 @@ def icl_score(losses: DataFrame, by: list[str]) -> DataFrame:
 def resampled(units: DataFrame, resamples: int, seed: int, by: list[str] | None = None, unit: str = "unit") -> DataFrame:
     """(r, unit, times): how often each unit is drawn in each resample; draws are hashes of (seed, r, j).
 
-    Only counts of draws are kept, so a unit row is joined at most once per resample however many draws hit it.
+    Unit j makes draw j of every resample, so draws are made where the units lie; only their counts are shuffled, and a
+    unit row is joined at most once per resample however many draws hit it.
     """
     by = by or []
     size = units.groupBy(*by).agg(F.count("*").alias("n"))
-    draws = size.withColumn("id", F.explode(F.sequence(F.lit(0), (F.col("n") * resamples - 1).cast("int")))).select(*by, F.floor(F.col("id") / F.col("n")).cast("long").alias("r"), F.pmod(F.col("id"), F.col("n")).cast("long").alias("j"), "n")
+    each = units.select(*by, F.col(unit).cast("long").alias("j"))
+    draws = (each.join(size, by) if by else each.join(F.broadcast(size))).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))  # one row without ``by``
     return draws.select(*by, "r", F.pmod(draw(seed, F.col("r"), F.col("j")), F.col("n")).alias(unit)).groupBy(*by, "r", unit).agg(F.count("*").alias("times"))
 
 
+def of_values(statistic: Callable[[np.ndarray], float], *columns: str) -> Callable[[Column], Column]:
+    """Any statistic of the drawn rows as a grouped aggregate: ``statistic`` gets an array (n, k) of the columns, a row
+    as often as it is drawn (n for one column), and gives a number.
+
+    One task holds a resample's units, which are windows or readings and not tokens; what sums or weighted percentiles
+    (``F.percentile`` takes counts) can say is better built as a column.
+    """
+
+    def run(times: pd.Series, *values: pd.Series) -> float:
+        drawn = np.repeat(np.column_stack([v.to_numpy(np.float64) for v in values]), times.to_numpy(np.int64), axis=0)
+        return float(statistic(drawn[:, 0] if len(values) == 1 else drawn))
+
+    udf = F.pandas_udf(run, "double")
+    return lambda times: udf(times, *[F.col(c).cast("double") for c in columns])
+
+
 def bootstrap(units: DataFrame, statistic: Callable[[Column], Column], resamples: int, seed: int, alpha: float = 0.05, by: list[str] | None = None, unit: str = "unit") -> DataFrame:
     """Percentile interval; the point is the statistic of the observed units.
 
-    ``units`` has a column ``unit`` numbered from 0 per ``by``; ``statistic`` builds an aggregate from a column of weights.
+    ``units`` has a column ``unit`` numbered from 0 per ``by``; ``statistic`` builds an aggregate from a column of weights,
+    or from any function of the drawn rows (``of_values``). The units are read some times, so they are best a written table.
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha lies between 0 and 1")
+    if resamples < 1:
+        raise ValueError("there is one resample at least")
     by = by or []
-    point = units.groupBy(*by).agg(statistic(F.lit(1)).alias("point"), F.count("*").alias("units"))
+    once = units.withColumn("_once", F.lit(1).cast("long"))
+    # two aggregates, as a grouped function in Python does not stand beside others
+    point = once.groupBy(*by).agg(statistic(F.col("_once")).alias("point"))
+    count = once.groupBy(*by).agg(F.count("*").alias("units"))
+    point = point.join(count, by) if by else point.join(F.broadcast(count))  # one row
     each = resampled(units, resamples, seed, by, unit).join(units, [*by, unit]).groupBy(*by, "r").agg(statistic(F.col("times")).alias("s"))
     ends = each.groupBy(*by).agg(F.percentile("s", F.lit(alpha / 2)).alias("ci_low"), F.percentile("s", F.lit(1 - alpha / 2)).alias("ci_high"))
     return point.join(ends, by) if by else point.join(F.broadcast(ends))

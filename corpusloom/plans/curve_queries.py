@@ -211,8 +211,8 @@ def noise_floor_pairs(spark, sf):
     return out.withColumn("end_delta", F.round("end_delta", 9)).withColumn("mean_delta", F.round("mean_delta", 9))
 
 
-@query("noise_floor", f"""WITH {_LOG}, {_PAIRS}, w AS (SELECT max(e) AS most, count(*) FILTER (WHERE e > 0.02) AS over, count(*) AS pairs FROM pr WHERE run_a <> 'click'), c AS (SELECT min(e) AS low, median(e) AS mid FROM pr WHERE run_a = 'click')
-SELECT over, pairs, CASE WHEN low <= most AND mid <= most THEN 'inside' WHEN low > most THEN 'above' ELSE 'ambiguous' END AS reading FROM w, c""")
+@query("noise_floor", f"""WITH {_LOG}, {_PAIRS}, w AS (SELECT max(e) AS most, count(*) FILTER (WHERE e > 0.02) AS over, count(*) FILTER (WHERE m > 0.015) AS over_mean, count(*) AS pairs FROM pr WHERE run_a <> 'click'), c AS (SELECT min(e) AS low, median(e) AS mid FROM pr WHERE run_a = 'click')
+SELECT over, over_mean, pairs, CASE WHEN low <= most AND mid <= most THEN 'inside' WHEN low > most THEN 'above' ELSE 'ambiguous' END AS reading FROM w, c""")
 def noise_floor(spark, sf):
     """V15, A21."""
     p = L.pair_deltas(L.last_wins(log(spark, sf), ["run", "step"], "seq", "loss"), "run", "step", "loss", 50, 150)
@@ -244,6 +244,16 @@ def pilot_summary(spark, sf):
     return out.select("config", *[F.round(x, 9).alias(x) for x in ("median_a", "median_b", "ratio")], "rounds")
 
 
+@query("pilot_overall", """WITH c AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS framework, event_type AS config, CAST(date_part('day', ts) AS BIGINT) AS round, max(value) AS speed, avg(value) FILTER (WHERE event_type <> 'view') AS load FROM events GROUP BY ALL),
+q AS (SELECT max(speed) FILTER (WHERE framework = 'a') / max(speed) FILTER (WHERE framework = 'b') AS q FROM c GROUP BY config, round)
+SELECT round(median(q), 9) AS ratio, count(q) AS pairs, (SELECT round(median(load), 9) FROM c) AS load FROM q""")
+def pilot_overall(spark, sf):
+    """A22."""
+    c = table(spark, sf, "events").groupBy(F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("framework"), F.col("event_type").alias("config"), F.dayofmonth("ts").cast("long").alias("round"))
+    c = c.agg(F.max("value").alias("speed"), F.avg("value").alias("load")).withColumn("load", F.when(F.col("config") != "view", F.col("load")))
+    return L.pilot_overall(c).select(F.round("ratio", 9).alias("ratio"), "pairs", F.round("load", 9).alias("load"))
+
+
 @query("resume_verdict", """WITH s AS (SELECT user_id AS id, user_id % 9 <> 0 AS ex, user_id % 7 <> 0 AS lo, CASE WHEN user_id % 5 = 0 THEN NULL ELSE 'stage' END AS run_name, user_id % 3 AS seed, user_id - 2 AS step, CASE WHEN user_id % 4 = 0 THEN 5 ELSE (user_id - 1) * 100 END AS tokens, CASE WHEN user_id % 6 = 0 THEN NULL ELSE user_id * 90 END AS newest FROM (SELECT DISTINCT user_id FROM events))
 SELECT id, CASE WHEN NOT ex AND newest IS NULL THEN 10 WHEN NOT ex OR NOT lo OR run_name IS NULL OR seed <> 1 OR step < 0 OR tokens <= 0 OR tokens <> (step + 1) * 100 OR coalesce(newest > tokens, false) THEN 20 ELSE 0 END AS exit_code FROM s""")
 def resume_verdict(spark, sf):

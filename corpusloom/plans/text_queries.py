@@ -9,6 +9,7 @@ from ..operators import decon as D
 from ..operators import scoring as S
 from ..operators import stats as A
 from ..operators.corpus import running
+from ..sources.scratch import Scratch
 from ..sources.tables import spread, table
 
 _WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{SQL_WS}'), lambda w: w <> '')"
@@ -65,7 +66,7 @@ def decon_report(spark, sf):
     """Counters of the filter, and what is left across documents."""
     d, b = docs(spark, sf), items(spark, sf)
     flagged = D.split_contaminated(d, "doc_id", "tokens", D.holdout_grams(b, "tokens", 13), 13)
-    left = D.residual(flagged.filter(~F.col("dropped")), b, "doc_id", "tokens", 13, F.floor(F.col("doc_id") / 256), F.lit(0), "item_id")
+    left = D.residual(flagged.filter(~F.col("dropped")), b, "doc_id", "tokens", 13, F.floor(F.col("doc_id") / 256), "item_id")
     return D.counters(flagged, "tokens").join(left.agg(F.sum("windows").cast("long").alias("residual")))  # one row each
 
 
@@ -181,7 +182,7 @@ SELECT p.lang, windows, round(point, 6) AS point, round(lo, 6) AS ci_low, round(
 FROM (SELECT lang, count(*) AS windows, exp(sum(m * n) / sum(n)) AS point FROM wl GROUP BY lang) p JOIN (SELECT lang, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM bs GROUP BY lang) c USING (lang)""")
 def val_curve(spark, sf):
     """Perplexity with a bootstrap interval per domain."""
-    units = running(_losses(spark, sf), "w", F.lit(1), "unit", ["lang"]).select("lang", "unit", "mean_nll", "n")
+    units = Scratch(spark, "val-curve").cut(running(_losses(spark, sf), "w", F.lit(1), "unit", ["lang"]).select("lang", "unit", "mean_nll", "n"), "units")
     stat = lambda k: F.exp(F.sum(F.col("mean_nll") * F.col("n") * k) / F.sum(F.col("n") * k))
     out = S.bootstrap(units, stat, 100, 11, by=["lang"])
     return out.select("lang", F.col("units").alias("windows"), *[F.round(c, 6).alias(c) for c in ("point", "ci_low", "ci_high")], (F.col("units") >= 512).alias("capped"))

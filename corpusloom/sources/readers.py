@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import non_blank, strip
+from .versioned import get
 
 MARKER = "<|endoftext|>"
 
@@ -43,49 +41,16 @@ def budget_documents(docs: DataFrame, order: str, target: int) -> DataFrame:
     return prefix_budget(docs.filter(non_blank(F.col("text"))), order, F.length("text"), target)
 
 
-def token_file(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, pos, tok) of flat little-endian 16-bit files; an odd number of bytes is refused."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                if len(content) % 2:
-                    raise ValueError(f"{path}: not a whole number of tokens")
-                tok = np.frombuffer(content, "<u2").astype(np.int32)
-                for at in range(0, len(tok), 1 << 16):
-                    part = tok[at : at + (1 << 16)]
-                    yield pd.DataFrame({"file": path.rsplit("/", 1)[-1], "pos": np.arange(at, at + len(part)), "tok": part})
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "file string, pos long, tok int")
-
-
-def concatenated(parts: DataFrame, shard: str = "file", pos: str = "pos") -> DataFrame:
-    """S6, S7, D6, J11, U-1: one stream of shards in name order: each position moves by the lengths of the shards before it."""
-    from pyspark.sql import Window
-
-    size = parts.groupBy(shard).agg(F.count("*").alias("_n"))
-    base = size.select(shard, F.coalesce(F.sum("_n").over(Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return parts.join(F.broadcast(base), shard).withColumn("at", F.col("_base") + F.col(pos)).drop("_base")  # a row per shard
-
-
-def stream_range(stream: DataFrame, start: int, end: int) -> DataFrame:
-    """A contiguous range; other steps do not exist."""
-    return stream.filter((F.col("at") >= start) & (F.col("at") < end))
-
-
-def train_stream(tokens: DataFrame, domain: str) -> DataFrame:
-    """Base and extension shards of a domain's train split; other splits are never extended."""
-    return concatenated(tokens.filter((F.col("domain") == domain) & (F.col("split") == "train")), "shard")
-
-
 def training_log(spark: SparkSession, path: str) -> DataFrame:
     """Records of JSON-line logs with their order; torn or blank lines give null fields and are dropped.
 
-    ``run`` is the second part of the file name.
+    ``run`` is the second part of the file name. ``seq`` orders a run's records by file, place in the file and line, however
+    Spark deals out the parts of files.
     """
     kind = "step long, tokens long, loss double, lr double, grad_norm double, tokens_per_sec double, elapsed double, peak_mem_gb double, val_loss double"
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), F.split_part(name, F.lit("_"), F.lit(2)).alias("run"), F.from_json("value", kind).alias("r"))
+    seq = F.struct(name.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("seq")
+    rows = spark.read.text(path).select(seq, F.split_part(name, F.lit("_"), F.lit(2)).alias("run"), F.from_json("value", kind, {"allowNonNumericNumbers": "true"}).alias("r"))
     return rows.select("run", "seq", "r.*").filter(F.col("step").isNotNull())
 
 
@@ -101,18 +66,50 @@ def file_tokens(spark: SparkSession, folder: str, recorded: int | None = None) -
     return files if recorded is None or not files.isEmpty() else spark.createDataFrame([(None, recorded)], "path string, tokens long")
 
 
-def first_of(row: Column, names: list[str]) -> Column:
-    """The first key of a JSON text that is there and a whole number; booleans are refused, 3.0 is 3."""
-    values = [F.get_json_object(row, f"$.{n}") for n in names]
-    whole = [F.when(v.rlike(r"^-?\d+(\.0+)?$"), v.cast("double").cast("long")) for v in values]
+#: Where a checkpoint keeps its weights and its token count, most preferred first.
+STATE_KEYS = ("model", "model_state_dict", "state_dict", "weights")
+TOKEN_KEYS = ("tokens", "tokens_seen", "token_count", "n_tokens", "total_tokens")
+
+
+def _kind(value: Column) -> Column:
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def _key(row: Column, name: str) -> Column:
+    return F.try_variant_get(row, f"$['{name}']", "variant")
+
+
+def first_of(row: Column, names: list[str] | tuple[str, ...] = TOKEN_KEYS) -> Column:
+    """The first key of a JSON object that holds a whole number, as long.
+
+    Values keep their types: booleans, strings and 3.5 are passed over, 3.0 and 3e0 are 3. A text that is no JSON object
+    and a number beyond 64 bits give null.
+    """
+    obj = F.try_parse_json(row)
+    whole = []
+    for name in names:
+        v = _key(obj, name)
+        exact, rough = F.try_variant_get(obj, f"$['{name}']", "decimal(38,18)"), F.try_variant_get(obj, f"$['{name}']", "double")
+        number = F.when(_kind(v) == "BIGINT", F.try_variant_get(obj, f"$['{name}']", "long"))
+        number = number.when((_kind(v) == "DECIMAL") & (exact == F.floor(exact)), F.try_variant_get(obj, f"$['{name}']", "long"))
+        whole.append(number.when((_kind(v) == "DOUBLE") & (rough == F.floor(rough)) & (F.abs(rough) < 2.0**63), rough.cast("long")))
     return F.coalesce(*whole)
 
 
+def state_entries(row: Column, names: list[str] | tuple[str, ...] = STATE_KEYS, wrapper: str = "_orig_mod.") -> Column:
+    """Name to value of the first key that holds an object, or of the object itself, without a compiler's prefix."""
+    obj = F.try_parse_json(row)
+    inner = F.coalesce(*[F.when(_kind(_key(obj, n)) == "OBJECT", _key(obj, n)) for n in names], F.when(_kind(obj) == "OBJECT", obj))
+    plain = lambda k, v: F.when(F.startswith(k, F.lit(wrapper)), F.substr(k, F.lit(len(wrapper) + 1))).otherwise(k)
+    return F.transform_keys(inner.cast("map<string,variant>"), plain)
+
+
 def result_points(spark: SparkSession, path: str) -> DataFrame:
     """Points of a result file; those without tokens are dropped, per-domain losses become rows."""
     kind = "points array<struct<tokens:long,max_score:double,losses:map<string,double>>>"
-    p = spark.read.schema(kind).option("multiLine", True).json(path).select(F.explode("points").alias("p")).select("p.*")
-    return p.filter(F.col("tokens").isNotNull()).select("tokens", "max_score", F.explode_outer("losses").alias("domain", "loss"))
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")
+    p = spark.read.schema(kind).option("multiLine", True).json(path).select(name, F.explode("points").alias("p")).select("file", "p.*")
+    return p.filter(F.col("tokens").isNotNull()).select("file", "tokens", "max_score", F.explode_outer("losses").alias("domain", "loss"))
 
 
 def schedule(text: str) -> tuple[int, ...]:
@@ -123,6 +120,41 @@ def schedule(text: str) -> tuple[int, ...]:
     return tuple(sorted({int(v) for v in values}))
 
 
+def jsonl_folder(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a complete folder of shards, in the order that its manifest gives; without one it is refused."""
+    found = get(spark, f"{path}/manifest.json")
+    if found is None:
+        raise FileNotFoundError(f"{path} has no manifest")
+    return jsonl_documents(spark, [f"{path}/{name}" for name in json.loads(found)["shards"]])
+
+
+#: Characters a token, headroom, and the target of a smoke run, for extensions of a corpus.
+CHARS_PER_TOKEN, HEADROOM, SMOKE_CHARS = 4.21, 1.05, 4 << 20
+
+
+def extension_plan(spark: SparkSession, base: str, extra_tokens: int, smoke: bool = False) -> tuple[int, int]:
+    """Documents to skip, which the base's manifest counts, and the characters to take."""
+    found = get(spark, f"{base}/manifest.json")
+    if found is None:
+        raise FileNotFoundError(f"{base} has no manifest; a base comes before its extension")
+    return int(json.loads(found)["documents"]), SMOKE_CHARS if smoke else int(extra_tokens * CHARS_PER_TOKEN * HEADROOM)
+
+
+def extension(docs: DataFrame, order: str, base: str, extra_tokens: int, smoke: bool = False) -> DataFrame:
+    """What follows the documents of the base in the stream of non-blank documents, up to the target."""
+    from ..operators.corpus import skip_prefix
+
+    skip, target = extension_plan(docs.sparkSession, base, extra_tokens, smoke)
+    return skip_prefix(docs.filter(non_blank(F.col("text"))), order, F.length("text"), skip, target)
+
+
+def pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Minimal pairs of JSON lines (paradigm, item, good, bad); a pair without both sentences is refused."""
+    rows = spark.read.schema("paradigm string, item long, good string, bad string").json(path)
+    whole = F.when(F.col("good").isNotNull() & F.col("bad").isNotNull(), True).otherwise(F.raise_error(F.lit("a pair lacks a sentence")).cast("boolean"))
+    return rows.filter(whole)
+
+
 def mix(spark: SparkSession, text: str) -> DataFrame:
     """``a=0.7,b=0.3`` as rows (domain, weight)."""
     one = spark.createDataFrame([(text,)], "t string").select(F.explode(F.expr("str_to_map(t, ',', '=')")).alias("domain", "weight"))

@@ -1,40 +1,74 @@
-"""Sinks: rolled shards, token files, sidecars, JSON results, reports."""
+"""Sinks: rolled shards, 16-bit token files, sidecars, JSON results, reports."""
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.corpus import json_line_bytes, next_fit
+from ..operators.corpus import json_line_bytes, next_fit, running
+from .scratch import Scratch, delete
+from .token_source import manifest, write_token_files
+from .versioned import get, put
 
 
-def rolled_jsonl(docs: DataFrame, order: str, path: str, cap: int, batch: int = 1000) -> DataFrame:
-    """JSON-line shards of at most ``cap`` bytes each where a batch allows; returns the manifest.
+def named_files(lines: DataFrame, path: str, order: str) -> None:
+    """text files by their names: ``lines`` has file, value and ``order``; a file is sorted and written by one task.
 
-    Documents are numbered by ``order``; whole batches of it are rolled, so the fold sees batches, not documents.
+    Files are written aside and renamed when all are there, so a folder holds whole files only.
     """
+    spark = lines.sparkSession
+    aside = f"{path}/_aside-{uuid.uuid4().hex}"
+    lines.select("file", "value", order).repartition("file").sortWithinPartitions("file", order).select("file", "value").write.partitionBy("file").text(aside)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = fs.listFiles(hadoop.Path(aside), True)
+    while files.hasNext():
+        at = files.next().getPath()
+        if at.getName().startswith("part-") and not fs.rename(at, hadoop.Path(path, unquote(at.getParent().getName().removeprefix("file=")))):
+            raise OSError(f"{at} could not be renamed")
+    fs.delete(hadoop.Path(aside), True)
+
+
+def rolled_jsonl(docs: DataFrame, order: str, path: str, cap: int, batch: int = 1000, provenance: dict | None = None) -> DataFrame:
+    """``shard_%05d.jsonl`` files of at most ``cap`` bytes each where a batch allows; returns a row per shard.
+
+    Documents are numbered by ``order``; whole batches of it are rolled. ``manifest.json`` is put last and makes the folder
+    complete: a complete one is refused, what an interrupted run left is cleared first (K12, K15).
+    """
+    spark = docs.sparkSession
+    if get(spark, f"{path}/manifest.json"):
+        raise FileExistsError(f"{path} already exists and is complete")
+    delete(spark, path)
     own = docs.select(order, "text").withColumn("_batch", F.floor(F.col(order) / batch)).withColumn("_bytes", json_line_bytes(F.col("text")))
     sizes = own.groupBy("_batch").agg(F.sum("_bytes").alias("_size"))
-    placed = own.join(next_fit(sizes, "_batch", "_size", cap), "_batch")
-    placed.select("shard", F.to_json(F.struct("text")).alias("value"), order).repartition("shard").sortWithinPartitions("shard", order).drop(order).write.partitionBy("shard").mode("errorifexists").text(path)
-    return placed.groupBy("shard").agg(F.count("*").alias("documents"), F.sum("_bytes").alias("bytes_jsonl"), F.sum(F.length("text")).alias("chars"))
-
-
-def token_files(docs: DataFrame, order: str, ids: str, separator: int, path: str, cap: int, batch: int = 200, skip_empty: bool = True) -> DataFrame:
-    """K3, K4: token shards as Parquet (shard, pos, tok) with a separator after each document, rolled by whole batches."""
-    own = docs.withColumn("_ids", F.concat(ids, F.array(F.lit(separator)))).withColumn("_batch", F.floor(F.col(order) / batch))
-    sizes = own.groupBy("_batch").agg(F.sum(F.size("_ids")).alias("_size"))
-    from ..operators.corpus import running
-
-    placed = running(own.join(next_fit(sizes, "_batch", "_size", cap, skip_empty=skip_empty), "_batch"), order, F.size("_ids"), "_at", ["shard"])
-    tokens = placed.select("shard", "_at", F.posexplode("_ids").alias("i", "tok")).select("shard", (F.col("_at") + F.col("i")).alias("pos"), "tok")
-    tokens.repartitionByRange("shard", "pos").sortWithinPartitions("shard", "pos").write.partitionBy("shard").mode("errorifexists").parquet(path)
-    return tokens.groupBy("shard").agg(F.count("*").alias("tokens"))
+    placed = own.join(next_fit(sizes, "_batch", "_size", cap), "_batch").withColumn("file", F.format_string("shard_%05d.jsonl", "shard"))
+    named_files(placed.select("file", F.to_json(F.struct("text")).alias("value"), order), path, order)
+    per = placed.groupBy("shard", "file").agg(F.count("*").alias("documents"), F.sum("_bytes").alias("bytes_jsonl"), F.sum(F.length("text")).alias("chars"))
+    shards = [r.asDict() for r in per.orderBy("shard").collect()]  # a row per shard, as the manifest lists them
+    told = {k: sum(s[k] or 0 for s in shards) for k in ("documents", "bytes_jsonl", "chars")}
+    put(spark, f"{path}/manifest.json", json.dumps(told | {"shards": [s["file"] for s in shards], "provenance": provenance or {}}, indent=1))
+    return spark.createDataFrame([(s["shard"], s["file"], s["documents"], s["bytes_jsonl"], s["chars"]) for s in shards], "shard long, file string, documents long, bytes_jsonl long, chars long")
+
+
+def token_files(docs: DataFrame, order: str, ids: str, separator: int, path: str, cap: int, by: str | None = None, batch: int = 200, skip_empty: bool = True) -> list[dict]:
+    """16-bit files ``<by>_train_ext_%03d.bin`` with a separator after each document, rolled by whole batches;
+    gives the manifest's entries. Positions in a file are running sums, so a file is put together without sorting a corpus."""
+    name = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("corpus")
+    own = docs.select(name.alias("_name"), F.col(order).alias("_o"), F.concat(ids, F.array(F.lit(separator))).alias("_ids")).withColumn("_batch", F.floor(F.col("_o") / batch))
+    own = Scratch(docs.sparkSession, "token-files").cut(own, "ids")  # texts are encoded once
+    sizes = own.groupBy("_name", "_batch").agg(F.sum(F.size("_ids")).alias("_size"))
+    placed = own.join(next_fit(sizes, "_batch", "_size", cap, ["_name"], skip_empty=skip_empty), ["_name", "_batch"])
+    placed = running(placed, "_o", F.size("_ids"), "_at", ["_name", "shard"])
+    write_token_files(placed.select(F.format_string("%s_train_ext_%03d.bin", "_name", "shard").alias("file"), F.col("_at").alias("start"), F.col("_ids").alias("tokens")), path)
+    return manifest(path)["files"]
 
 
 def sidecar(readings: DataFrame, path: str, tokens: str = "tokens") -> None:
@@ -75,14 +109,11 @@ def complete(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2(F.col("content"), 256).alias("sha256"))
-
-
 def portable(path: Column, root: str, name: str) -> Column:
     """A path with its root replaced by a variable's name."""
-    return F.when(path.startswith(root), F.concat(F.lit("$" + name), F.substr(path, F.lit(len(root) + 1)))).otherwise(path)
+    root = root.rstrip("/")
+    inside = (path == root) | path.startswith(f"{root}/")
+    return F.when(inside, F.concat(F.lit("$" + name), F.substr(path, F.lit(len(root) + 1)))).otherwise(path)
 
 
 def report(totals: DataFrame, title: str) -> str:
@@ -102,6 +133,17 @@ def shown(v: object) -> str:
     return "" if v is None else f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) else f"{v:.6g}" if isinstance(v, float) else str(v)
 
 
+def leak_lines(report: DataFrame, n: int, domain: str, shards: int) -> DataFrame:
+    """The leak report as (ordinal, line), with PASS or FAIL; a split whose control failed does not pass."""
+    control = F.when(F.col("control"), "PASS").otherwise("FAIL (search found nothing)")
+    verdict = F.when(F.col("leaks") == 0, "clean").otherwise(F.format_string("LEAK (%d of %d)", "leaks", "samples"))
+    each = report.select(F.lit(1).alias("part"), F.col("split").alias("key"), F.format_string("  %s: %d/%d sampled n-grams found in train -> %s; positive control %s", "split", "leaks", "samples", verdict, control).alias("line"))
+    last = report.agg(F.concat(F.lit("  verdict: "), F.when(F.min("passed"), "PASS").otherwise("FAIL")).alias("line")).select(F.lit(2).alias("part"), F.lit("").alias("key"), "line")
+    head = [(0, "0", f"{n}-gram leakage check for domain '{domain}'"), (0, "1", f"  train shards: {shards}")]
+    every = report.sparkSession.createDataFrame(head, "part int, key string, line string").unionByName(each).unionByName(last)
+    return every.select(F.row_number().over(Window.orderBy("part", "key")).alias("ordinal"), "line")  # a row per split
+
+
 def curve_table(points: DataFrame, columns: list[str]) -> DataFrame:
     """K10, T-1: the table a chart of trajectories would plot, in order of the token axis."""
     return points.filter(F.col("tokens").isNotNull()).select("tokens", *columns).orderBy("tokens")

@@ -1,5 +1,6 @@
 """Operators on fixtures whose answers are known."""
 
+import collections
 import math
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import grams, strip, words
 from corpusloom.operators import attention as A
+from corpusloom.operators import blocks as B
 from corpusloom.operators import corpus as C
 from corpusloom.operators import decon as D
 from corpusloom.operators import extensions as E
@@ -46,6 +48,125 @@ def test_next_fit(spark):
     assert {r["i"]: r["shard"] for r in C.next_fit(big, "i", "n", 25, skip_empty=True).collect()} == {0: 0, 2: 1}
 
 
+def folded(sizes, cap):
+    out, shard, fill = [], 0, 0
+    for n in sizes:
+        if fill > 0 and fill + n > cap:
+            shard, fill = shard + 1, 0
+        fill += n
+        out.append(shard)
+    return out
+
+
+@pytest.mark.parametrize("bin_rows", [3, 40, 4096])
+def test_next_fit_equals_a_fold(spark, monkeypatch, bin_rows):
+    """Bins of any size, empty and oversize rows, groups of one row, a null group."""
+    monkeypatch.setattr(C, "BIN_ROWS", bin_rows)
+    g = np.random.default_rng(bin_rows)
+    groups = {"one": [5], None: g.integers(0, 30, 300), "empty": [0] * 40, "wide": g.choice([0, 0, 0, 40], 200), "same": [10] * 150, "mixed": g.choice([1, 1, 1, 1, 500, 24, 25, 26], 257)}
+    rows = [(k, 3 * i, int(n)) for k, l in groups.items() for i, n in enumerate(l)]
+    want = {(k, 3 * i): x for k, l in groups.items() for i, x in enumerate(folded(l, 25))}
+    df = spark.createDataFrame(rows, "i string, p long, n long").repartition(5)
+    assert {(r["i"], r["p"]): r["shard"] for r in C.next_fit(df, "p", "n", 25, ["i"]).collect()} == want
+    some = {(k, 3 * i): n for k, l in groups.items() for i, n in enumerate(l) if n}
+    want = {(k, i): x for g in groups for (k, i), x in zip([x for x in some if x[0] == g], folded([n for x, n in some.items() if x[0] == g], 25), strict=True)}
+    assert {(r["i"], r["p"]): r["shard"] for r in C.next_fit(df, "p", "n", 25, ["i"], skip_empty=True).collect()} == want
+
+
+def test_next_fit_of_many_batches(spark):
+    """300,000 batches: the same shards as a fold, and no plan that gathers a domain."""
+    df = spark.range(300_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(50)) + 1).alias("n"))
+    out = C.next_fit(df, "id", "n", 700)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    sizes = [r["n"] for r in df.orderBy("id").collect()]
+    assert [r["shard"] for r in out.orderBy("id").collect()] == folded(sizes, 700)
+
+
+def stream(rows, n):
+    tokens = [t for _, w in sorted(rows) for t in [*w, "<sep>"]]
+    return collections.Counter(" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
+
+
+@pytest.mark.parametrize("size", [8, 9, 64, 1 << 16])
+def test_blocks_hold_every_window_once(spark, monkeypatch, size):
+    """Documents longer and shorter than a block and than a window, empty ones, windows over many documents."""
+    g = np.random.default_rng(size)
+    rows = [(i, [f"t{x}" for x in g.integers(0, 4, int(k))]) for i, k in enumerate(g.choice([0, 0, 1, 2, 30, 100], 60))]
+    df = spark.createDataFrame(rows, "k long, w array<string>").repartition(3)
+    whole = [t for _, w in rows for t in w]
+    got = B.token_blocks(df, "k", "w", size=size, overlap=4).orderBy("block").collect()
+    assert all(r["tokens"] == whole[r["at"] : r["at"] + size + 4] and r["at"] == r["block"] * size for r in got) and len(got) == -(-len(whole) // size)
+    monkeypatch.setattr(D, "token_blocks", lambda *a, **k: B.token_blocks(*a, **k, size=size))
+    found = D.stream_grams(df, "k", "w", 5, [])
+    assert collections.Counter(r["gram"] for r in found.collect()) == stream(rows, 5)
+    assert sorted(r["at"] for r in found.collect()) == list(range(len(whole) + len(rows) - 4))
+
+
+def test_residual_sees_across_documents(spark):
+    docs = spark.createDataFrame([(0, ["a", "b"]), (1, ["c"]), (2, ["d", "e"]), (3, ["a", "b"])], "k long, w array<string>")
+    items = spark.createDataFrame([(0, ["x", "b"]), (1, ["c"]), (2, ["d"])], "item long, w array<string>")
+    left = {r["shard"]: r["windows"] for r in D.residual(docs, items, "k", "w", 4, F.floor(F.col("k") / 3), "item").collect()}
+    assert left == {0: 2, 1: 0}  # b <sep> c <sep> and <sep> c <sep> d, each over documents of shard 0 and over items
+
+
+@pytest.mark.parametrize("size", [7, 50])
+def test_windows_cross_blocks(spark, size):
+    g = np.random.default_rng(1)
+    docs = [(s, i, [f"{s}{i}.{j}" for j in range(int(g.integers(0, 25)))]) for s in "ab" for i in range(30)]
+    df = spark.createDataFrame(docs, "s string, k long, w array<string>").repartition(4)
+    whole = {s: [t for x, _, w in docs if x == s for t in w] for s in "ab"}
+    picks = [(r, s, int(g.integers(0, len(whole[s]) - 20))) for r in range(60) for s in "ab"]
+    asked = spark.createDataFrame(picks, "row long, s string, start long")
+    blocks = B.token_blocks(df, "k", "w", ["s"], size)
+    got = B.batch(B.windows(blocks, asked, 20, ["s"], size)).collect()
+    assert len(got) == len(picks) and all(r["x"] == whole[r["s"]][r["start"] : r["start"] + 19] and r["y"] == whole[r["s"]][r["start"] + 1 : r["start"] + 20] for r in got)
+    loose = blocks.drop("block").filter("at % 3 <> 1").unionByName(blocks.drop("block").filter("at % 3 = 1"))
+    assert {(r["row"], r["s"]): r["tokens"] for r in B.windows(loose, asked, 20, ["s"], size).collect()} == {(r, s): whole[s][at : at + 20] for r, s, at in picks}
+    with pytest.raises(Exception, match="outside its stream"):
+        B.windows(blocks, spark.createDataFrame([(0, "a", len(whole["a"]) - 5)], "row long, s string, start long"), 20, ["s"], size).collect()
+
+
+def test_bucketed_blocks_are_not_shuffled(spark, tmp_path):
+    df = spark.range(200).select("id", F.array_repeat(F.col("id"), 10).alias("w"))
+    blocks = B.save_blocks(B.token_blocks(df, "id", "w", size=64), "bucketed_blocks_test", str(tmp_path / "t"), buckets=4)
+    plan = B.windows(blocks.hint("merge"), spark.createDataFrame([(0, 70)], "row long, start long"), 8, size=64)._jdf.queryExecution().executedPlan().toString()
+    side = plan[plan.index("SortMergeJoin") :]
+    assert side.count("Exchange hashpartitioning") == 1 and "SelectedBucketsCount: 4 out of 4" in side
+    spark.sql("DROP TABLE bucketed_blocks_test")
+
+
+def test_bootstrap_of_any_statistic(spark):
+    g = np.random.default_rng(2)
+    values = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(g.normal(5, 2, 150), g.uniform(1, 3, 150), strict=True))]
+    units = spark.createDataFrame(values, "unit long, a double, b double").repartition(3)
+    drawn: dict = {}
+    for r in S.resampled(units, 60, 5).collect():
+        drawn.setdefault(r["r"], []).append((r["unit"], r["times"]))
+    assert len(drawn) == 60 and all(sum(n for _, n in d) == 150 for d in drawn.values())
+    x = np.array([v[1:] for v in values])
+    resamples = [np.repeat(x[[u for u, _ in d]], [n for _, n in d], axis=0) for d in drawn.values()]
+    for statistic, plain in ((lambda k: F.percentile("a", F.lit(0.5), k), lambda d: np.median(d[:, 0])), (S.of_values(lambda d: np.quantile(d, 0.9), "a"), lambda d: np.quantile(d[:, 0], 0.9)), (S.of_values(lambda d: d[:, 0].sum() / d[:, 1].sum(), "a", "b"), lambda d: d[:, 0].sum() / d[:, 1].sum())):
+        got = S.bootstrap(units, statistic, 60, 5).first()
+        want = [plain(d) for d in resamples]
+        assert (got["point"], got["ci_low"], got["ci_high"], got["units"]) == (pytest.approx(plain(x)), pytest.approx(np.percentile(want, 2.5)), pytest.approx(np.percentile(want, 97.5)), 150)
+
+
+def test_sequence_logprob(spark):
+    rows = spark.createDataFrame([("a", 0, 9.0), ("a", 1, 1.5), ("a", 2, 2.0), ("b", 0, 1.0), ("b", 1, 0.25)], "item string, pos long, nll double")
+    assert {r["item"]: r["logprob"] for r in S.sequence_logprob(rows, ["item"], "pos", "nll", 3).collect()} == {"a": -3.5, "b": -0.25}
+    for bad, n in ((rows, 2), (rows.filter("pos = 0"), 3)):
+        with pytest.raises(Exception, match="a sequence of"):
+            S.sequence_logprob(bad, ["item"], "pos", "nll", n).collect()
+
+
+def test_non_finite_losses_stop(spark):
+    log = spark.createDataFrame([(1, 2.0), (2, None)], "step long, loss double")
+    assert L.finite_only(log).count() == 2 and [r["loss"] for r in L.finite_only(log).orderBy("step").collect()] == [2.0, None]
+    for bad in (float("nan"), float("-inf")):
+        with pytest.raises(Exception, match="non-finite loss at step 7"):
+            L.finite_only(log.unionByName(spark.createDataFrame([(7, bad)], "step long, loss double"))).collect()
+
+
 @pytest.mark.parametrize(("batch", "limit", "want"), [(2, 4, {"val": 4, "test": 4}), (2, 100, {"val": 10}), (3, 6, {"val": 6, "test": 4})])
 def test_sequential_fill(spark, batch, limit, want):
     df = spark.createDataFrame([(i, "d") for i in range(10)], "i long, d string")
