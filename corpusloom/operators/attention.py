@@ -107,9 +107,9 @@ def decayed(name: Column) -> Column:
     return ~(name.isin("embed.weight", "lm_head.weight") | name.endswith("_norm.weight"))
 
 
-def drawn_ids(spark, vocabulary: int, n: int, seed: int) -> DataFrame:
-    """N different ids of [1, vocabulary), the least by hash."""
-    return spark.range(1, vocabulary).withColumn("d", draw(seed, F.col("id"))).orderBy("d", "id").limit(n).select("id").orderBy("id")
+def drawn_ids(ids: DataFrame, n: int, seed: int) -> DataFrame:
+    """N different ids, the least by hash; a top-n by task, then one of the few left. ``ids``: id."""
+    return ids.withColumn("d", draw(seed, F.col("id"))).orderBy("d", "id").limit(n).select("id")
 
 
 def mlp_width(d: int) -> int:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .attention import mlp_width
 
@@ -157,16 +158,49 @@ def patched_rows(pairs: DataFrame, m: Model, heads: list[tuple[int, int]], repea
     return pairs.mapInPandas(run, "seq long, layer long, head long, clean double, corrupt double, patched double")
 
 
+def _ov(gram: np.ndarray, m: Model, layer: int, head: int) -> float:
+    w, size = m.layers[layer], m.embed.shape[1] // m.heads
+    s = slice(head * size, (head + 1) * size)
+    e = np.linalg.eigvals(w["o"][s] @ (m.norm[:, None] * gram * w["n1"]) @ w["v"][:, s])
+    total = np.abs(e).sum()
+    return float(e.real.sum() / total) if total else float("nan")
+
+
 def ov_copying(m: Model) -> list[tuple[int, int, float]]:
     """M4: sum of real parts over sum of absolute values of the eigenvalues of each head's token-to-token circuit.
 
     The circuit E P O E' has the eigenvalues of the small product P O E' E, so no vocabulary-sized matrix is built.
     """
-    gram, size, out = m.embed.T @ m.embed, m.embed.shape[1] // m.heads, []
-    for layer, w in enumerate(m.layers):
-        for head in range(m.heads):
-            s = slice(head * size, (head + 1) * size)
-            e = np.linalg.eigvals(w["o"][s] @ (m.norm[:, None] * gram * w["n1"]) @ w["v"][:, s])
-            total = np.abs(e).sum()
-            out.append((layer, head, float(e.real.sum() / total) if total else float("nan")))
-    return out
+    gram = m.embed.T @ m.embed
+    return [(layer, head, _ov(gram, m, layer, head)) for layer in range(len(m.layers)) for head in range(m.heads)]
+
+
+def gram(vectors: DataFrame, column: str) -> DataFrame:
+    """M4: (i, j, g): the sums over all vectors of the products of two dimensions; batches are summed before the shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf[column].to_numpy()).astype(float)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "g": total.ravel()})
+
+    return vectors.select(column).filter(F.col(column).isNotNull()).mapInPandas(run, "i long, j long, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+
+
+def ov_scores(products: DataFrame, m: Model) -> DataFrame:
+    """M4: (layer, head, score) from the products of an embedding of any size; only the square of the width is gathered."""
+    size = m.embed.shape[1]
+    g = np.zeros((size, size))
+    for r in products.collect():
+        g[r["i"], r["j"]] = r["g"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(score=[_ov(g, m, layer, head) for layer, head in zip(pdf["layer"], pdf["head"], strict=True)])
+
+    heads = products.sparkSession.range(len(m.layers) * m.heads).selectExpr(f"id div {m.heads} AS layer", f"id % {m.heads} AS head")
+    return heads.mapInPandas(run, "layer long, head long, score double")

@@ -176,10 +176,13 @@ def summary(points: DataFrame, run: str) -> DataFrame:
     return phase_change(points, run, "score").join(first, run).join(steepest_step(points, run, "icl"), run, "left").withColumn("ran", F.col("n_points") >= 2)
 
 
-def chance(repeat: int, vocabulary: int, spark) -> DataFrame:
-    """Analytic chance of prefix matching and copying."""
-    q = spark.range(repeat, 2 * repeat - 1)
-    return q.agg(F.avg(1.0 / (F.col("id") + 1)).alias("prefix"), F.lit(1.0 / (vocabulary - 1)).alias("copy"))
+def chance(blocks: DataFrame) -> DataFrame:
+    """Adds the analytic chance of prefix matching (mean of 1 / (q + 1) over the second half) and of copying.
+
+    ``blocks``: repeat (2 at least), vocabulary.
+    """
+    each = F.transform(F.sequence(F.col("repeat").cast("int"), (2 * F.col("repeat") - 2).cast("int")), lambda q: 1.0 / (q + 1))
+    return blocks.withColumn("prefix", F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / (F.col("repeat") - 1)).withColumn("copy", 1.0 / (F.col("vocabulary") - 1))
 
 
 def status(rows: DataFrame) -> DataFrame:

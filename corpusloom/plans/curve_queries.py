@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sql_uniform, uniform
 from ..operators import extensions as E
 from ..operators import logs as L
 from ..operators import trajectory as T
@@ -102,15 +101,17 @@ def loss_bump(spark, sf):
 
 
 @query("crossing_time", f"""
-WITH a AS (SELECT range AS id FROM range(6 * 16 * 4)), d AS (SELECT id // 64 + 1 AS pos, id // 4 % 16 AS seq, id % 4 AS head, least(1.0, greatest(0.0, (id // 64 - 2) * 0.15 + {sql_uniform("'1'", "id::VARCHAR")} * 0.4)) AS value FROM a),
+WITH d AS (SELECT CAST(date_part('day', ts) AS BIGINT) AS pos, event_id % 16 AS seq, event_type AS head, avg(least(1.0, greatest(0.0, (date_part('day', ts) - 8) * 0.02 + value / 1000))) AS value FROM events GROUP BY ALL),
 t AS (SELECT r, ('0x' || substr(md5(concat_ws('|', '4', r::VARCHAR, j::VARCHAR)), 1, 15))::BIGINT % 16 AS seq FROM (SELECT range // 16 AS r, range % 16 AS j FROM range(200 * 16))),
-m AS (SELECT r, pos, head, avg(value) AS m FROM t JOIN d USING (seq) GROUP BY ALL), b AS (SELECT r, pos, max(m) AS m FROM m GROUP BY ALL),
-w AS (SELECT r, coalesce(min(pos) FILTER (WHERE m > 0.3), 7) AS hit FROM b GROUP BY r), s AS (SELECT list_sort(list(hit)) AS s, avg(CASE WHEN hit = 7 THEN 1.0 ELSE 0.0 END) AS never FROM w)
-SELECT s[CAST(round_even(199 * 0.5, 0) AS INT) + 1] AS median, s[CAST(round_even(199 * 0.025, 0) AS INT) + 1] AS low, s[CAST(round_even(199 * 0.975, 0) AS INT) + 1] AS high, never AS never_share, never <= 0.5 AS reported FROM s""")
+m AS (SELECT r, pos, head, avg(value) AS m FROM t JOIN d USING (seq) GROUP BY ALL), b AS (SELECT r, pos, max(m) AS m FROM m GROUP BY ALL), l AS (SELECT max(pos) AS last FROM d),
+w AS (SELECT r, coalesce(min(pos) FILTER (WHERE m > 0.3), any_value(last) + 1) AS hit, any_value(last) AS last FROM b, l GROUP BY r), s AS (SELECT list_sort(list(hit)) AS s, avg(CASE WHEN hit > last THEN 1.0 ELSE 0.0 END) AS never, any_value(last) AS last FROM w),
+q AS (SELECT s[CAST(round_even(199 * 0.5, 0) AS INT) + 1] AS median, s[CAST(round_even(199 * 0.025, 0) AS INT) + 1] AS low, s[CAST(round_even(199 * 0.975, 0) AS INT) + 1] AS high, never, last FROM s)
+SELECT CASE WHEN median <= last THEN median END AS median, CASE WHEN low <= last THEN low END AS low, CASE WHEN high <= last THEN high END AS high, never AS never_share, never <= 0.5 AS reported FROM q""")
 def crossing_time(spark, sf):
-    """V3, J9, J12, T7."""
-    i = F.col("id")
-    d = spark.range(6 * 16 * 4).select((F.floor(i / 64) + 1).alias("pos"), (F.floor(i / 4) % 16).alias("seq"), (i % 4).alias("head"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.floor(i / 64) - 2) * 0.15 + uniform(1, i) * 0.4)).alias("value"))
+    """Days are checkpoints, event types heads, and 16 parts of the events the sequences."""
+    day = F.dayofmonth("ts").cast("long")
+    value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (day - 8) * 0.02 + F.col("value") / 1000))
+    d = table(spark, sf, "events").groupBy(day.alias("pos"), (F.col("event_id") % 16).alias("seq"), F.col("event_type").alias("head")).agg(F.avg(value).alias("value"))
     return T.crossing_bootstrap(d, 0.3, 200, 4)
 
 
@@ -126,10 +127,10 @@ def scorecard(spark, sf):
     return T.scorecard(points(spark, sf), "run")
 
 
-@query("lr_schedule", "SELECT range AS step, round(CASE WHEN range < 20 THEN 0.0012 * (range + 1) / 20 ELSE 0.00012 + 0.00108 * 0.5 * (1 + cos(pi() * (range - 20) / 979)) END, 12) AS cosine, round(CASE WHEN range < 20 THEN 0.0012 * (range + 1) / 20 ELSE 0.0012 END, 12) AS constant FROM range(1000)")
+@query("lr_schedule", "SELECT step, round(CASE WHEN step < 20 THEN 0.0012 * (step + 1) / 20 ELSE 0.00012 + 0.00108 * 0.5 * (1 + cos(pi() * (step - 20) / 99979)) END, 12) AS cosine, round(CASE WHEN step < 20 THEN 0.0012 * (step + 1) / 20 ELSE 0.0012 END, 12) AS constant FROM (SELECT DISTINCT event_id // 50 AS step FROM events)")
 def lr_schedule(spark, sf):
-    """V11, T19."""
-    return T.learning_rates(spark.range(1000).withColumnRenamed("id", "step"), 1000, 0.0012, 20).select("step", F.round("cosine", 12).alias("cosine"), F.round("constant", 12).alias("constant"))
+    """The rates of the steps that the log has."""
+    return T.learning_rates(log(spark, sf).select("step").distinct(), 100_000, 0.0012, 20).select("step", F.round("cosine", 12).alias("cosine"), F.round("constant", 12).alias("constant"))
 
 
 @query("checkpoint_steps", """WITH t AS (SELECT DISTINCT CAST(user_id * 1000000 AS BIGINT) AS target FROM events), s AS (SELECT CAST(ceil(target / 16384.0) AS BIGINT) - 1 AS step, target FROM t WHERE target > 0),
@@ -139,10 +140,11 @@ def checkpoint_steps(spark, sf):
     return T.checkpoint_steps(table(spark, sf, "events").select((F.col("user_id") * 1_000_000).alias("target")).distinct(), 16384, 6000)
 
 
-@query("analytic_chance", "SELECT round((SELECT avg(1.0 / (range + 1)) FROM range(128, 255)), 9) AS prefix, round(1.0 / 16383, 12) AS copy")
+@query("analytic_chance", "SELECT repeat, round(list_avg(list_transform(range(repeat, 2 * repeat - 1), lambda i: 1.0 / (i + 1))), 9) AS prefix, round(1.0 / vocabulary, 12) AS copy FROM (SELECT p_size + 1 AS repeat, count(*) AS vocabulary FROM part GROUP BY ALL)")
 def analytic_chance(spark, sf):
-    """V17, F6."""
-    return T.chance(128, 16384, spark).select(F.round("prefix", 9).alias("prefix"), F.round("copy", 12).alias("copy"))
+    """Chance for blocks of the sizes that ``part`` has, with as many words as parts."""
+    p = table(spark, sf, "part").groupBy((F.col("p_size") + 1).alias("repeat")).agg((F.count("*") + 1).alias("vocabulary"))
+    return T.chance(p).select("repeat", F.round("prefix", 9).alias("prefix"), F.round("copy", 12).alias("copy"))
 
 
 @query("causal_status", """WITH r AS (SELECT event_id AS id, event_id % 11 <> 0 AS reading, event_id % 13 / 100.0 AS copy_low, CASE WHEN event_id % 17 = 0 THEN 0.0 ELSE (event_id % 17 - 8) / 10.0 END AS gap, value AS fraction FROM events),
