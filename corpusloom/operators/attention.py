@@ -120,3 +120,11 @@ def mlp_width(d: int) -> int:
 def parameter_count(vocabulary: int, d: int, layers: int) -> int:
     """embeddings (tied), four square projections, three of the MLP, two norms a layer and a last one."""
     return vocabulary * d + layers * (4 * d * d + 3 * d * mlp_width(d) + 2 * d) + d
+
+
+def parameter_counts(rows: DataFrame) -> DataFrame:
+    """F5 for a table of configurations (vocabulary, d, layers): adds mlp and parameters."""
+    d, mlp = F.col("d").cast("long"), F.ceil(F.floor(8 * F.col("d") / 3) / 64) * 64
+    rows = rows.withColumn("mlp", mlp.cast("long"))
+    each = 4 * d * d + 3 * d * F.col("mlp") + 2 * d
+    return rows.withColumn("parameters", (F.col("vocabulary") * d + F.col("layers") * each + d).cast("long"))

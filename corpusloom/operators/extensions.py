@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -88,6 +89,23 @@ def find_result(tree: Any, domain: str, value: str = "perplexity") -> Any:
     return None
 
 
+def found_results(rows: DataFrame, key: str, tree: str, domain: str, value: str = "perplexity") -> DataFrame:
+    """F8 over a table of JSON texts: (key, found), null where nothing is found or a text is no JSON."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for text in pdf[tree]:
+                try:
+                    one = find_result(json.loads(text), domain, value) if text is not None else None
+                except json.JSONDecodeError:
+                    one = None
+                found.append(float(one) if isinstance(one, int | float) and not isinstance(one, bool) else None)
+            yield pd.DataFrame({key: pdf[key], "found": pd.array(found, "Float64")})
+
+    return rows.select(key, tree).mapInPandas(run, f"{key} long, found double")
+
+
 def kneser_ney(train: DataFrame, targets: DataFrame, order: int = 5, discount: float = 0.75) -> DataFrame:
     """Adds nll, the loss of interpolated Kneser-Ney of that order. Both: w (array of ``order`` tokens, the last is the target).
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SEPARATOR, draw
+from ..sources.scratch import Scratch
 from .corpus import running
 
 
@@ -43,8 +44,11 @@ def window_of_target(stream: DataFrame, by: str, ctx: int, cap: int | None = Non
 
 
 def ngram_nll(targets: DataFrame, train: DataFrame) -> DataFrame:
-    """M3 stand-in: adds nll: -ln of half an add-one unigram plus half a bigram model of the train stream."""
-    bi = train.groupBy("prev", "tok").agg(F.count("*").alias("c2"))  # every token has one before it, so its sums are the others
+    """M3 stand-in: adds nll: -ln of half an add-one unigram plus half a bigram model of the train stream.
+
+    The train stream is counted once, into a written table of its different pairs; ``targets`` are read twice.
+    """
+    bi = Scratch(train.sparkSession, "ngrams").cut(train.groupBy("prev", "tok").agg(F.count("*").alias("c2")), "pairs")  # every token has one before it, so its sums are the others
     uni = bi.groupBy("tok").agg(F.sum("c2").alias("c1"))
     pre = bi.groupBy("prev").agg(F.sum("c2").alias("c0"))
     total = uni.agg(F.sum("c1").alias("n"), F.count("*").alias("v"))

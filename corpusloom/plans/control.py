@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.logs import schedule_step
+from ..sources.versioned import get, put
 
 
 def next_step(done: dict[str, bool], hold: str | None = None) -> tuple[str | None, int]:
@@ -14,6 +17,26 @@ def next_step(done: dict[str, bool], hold: str | None = None) -> tuple[str | Non
     return (step, 20) if step is not None and hold == step else (step, code)
 
 
+def hold_of(spark: SparkSession, folder: str) -> str | None:
+    """C4: the step that the file ``HOLD`` of a folder names, null without one."""
+    found = get(spark, f"{folder}/HOLD")
+    return found.strip() or None if found else None
+
+
+def smoke_cache(spark: SparkSession, folder: str) -> dict[str, bool]:
+    """C4: which commits passed a smoke test, of the file ``smoke.json``; a torn or absent one counts as empty."""
+    try:
+        told = json.loads(get(spark, f"{folder}/smoke.json") or "{}")
+    except json.JSONDecodeError:
+        return {}
+    return {k: v is True for k, v in told.items()} if isinstance(told, dict) else {}
+
+
+def smoke_told(spark: SparkSession, folder: str, commit: str, passed: bool) -> None:
+    """C4: notes the outcome of a commit's smoke test; the file is swapped whole."""
+    put(spark, f"{folder}/smoke.json", json.dumps(smoke_cache(spark, folder) | {commit: passed}))
+
+
 def smoke_passed(cache: dict[str, bool], commit: str, dirty: bool) -> bool:
     """C4: a smoke test counts for the clean commit that it ran on."""
     return not dirty and cache.get(commit, False)

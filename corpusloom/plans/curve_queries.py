@@ -303,3 +303,78 @@ def polynomial_hash(spark, sf):
     """Windows of 4 text lengths of each conversation."""
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))), lambda x: x["n"]).alias("ids"))
     return E.polynomial_hashes(c, "conv_id", "ids", 4).select("conv_id", F.col("at").alias("z"), "h")
+
+
+@query("key_set_difference", "WITH a AS (SELECT DISTINCT user_id, date_part('day', ts) AS day FROM events WHERE event_type = 'view'), b AS (SELECT DISTINCT user_id, date_part('day', ts) AS day FROM events WHERE event_type = 'click') SELECT count(*) - count(CASE WHEN x AND y THEN 1 END) AS odd FROM (SELECT *, true AS x FROM a) FULL JOIN (SELECT *, true AS y FROM b) USING (user_id, day)")
+def key_set_difference(spark, sf):
+    """J6, U-5: keys that only one of two grids has."""
+    e = table(spark, sf, "events").select("user_id", F.dayofmonth("ts").alias("day"), "event_type")
+    return T.same_grid(e.filter("event_type = 'view'"), e.filter("event_type = 'click'"), ["user_id", "day"])
+
+
+@query("known_runs", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def known_runs(spark, sf):
+    """Rows of known runs only; any other stops the query."""
+    from ..sources.readers import known_only
+
+    return known_only(table(spark, sf, "events"), "event_type", ["click", "error", "purchase", "signup", "view"]).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("shaped_vectors", "SELECT label, count(*) AS n, round(sum(embedding[1]::DOUBLE), 6) AS first FROM embeddings GROUP BY label")
+def shaped_vectors(spark, sf):
+    """Vectors of one length only."""
+    from .control import shape_checked
+
+    return shape_checked(table(spark, sf, "embeddings"), "embedding", 64).groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.col("embedding")[0].cast("double")), 6).alias("first"))
+
+
+@query("registered_readings", "SELECT event_type AS run, count(*) AS n, true AS at_registered_n_sequences FROM events GROUP BY event_type")
+def registered_readings(spark, sf):
+    """Readings stamped as being at the registered number of sequences."""
+    from .control import stamped
+
+    return stamped(table(spark, sf, "events").groupBy(F.col("event_type").alias("run")).agg(F.count("*").alias("n")), 256, 256)
+
+
+@query("parameter_counts", "WITH c AS (SELECT DISTINCT p_size * 64 AS d, p_size % 12 + 1 AS layers FROM part), m AS (SELECT *, CAST(ceil((8 * d // 3) / 64.0) AS BIGINT) * 64 AS mlp FROM c) SELECT d, layers, mlp, CAST(16384 * d::BIGINT + layers * (4 * d::BIGINT * d + 3 * d * mlp + 2 * d) + d AS BIGINT) AS parameters FROM m")
+def parameter_counts(spark, sf):
+    """widths and parameters of the configurations that the sizes of ``part`` give."""
+    from ..operators.attention import parameter_counts as counted
+
+    c = table(spark, sf, "part").select((F.col("p_size") * 64).alias("d"), (F.col("p_size") % 12 + 1).alias("layers")).distinct()
+    return counted(c.withColumn("vocabulary", F.lit(16384))).select("d", "layers", "mlp", "parameters")
+
+
+@query("portable_paths", "SELECT p_partkey AS id, CASE WHEN starts_with(p, '/bulk/') THEN '$ROOT' || substr(p, 6) ELSE p END AS path FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '/bulk/' WHEN 1 THEN '/bulk2/' ELSE '/other/' END || p_brand AS p FROM part)")
+def portable_paths(spark, sf):
+    """Paths under a root are told by a variable's name; a root ends at a slash."""
+    from ..sources.writers import portable
+
+    k = F.col("p_partkey") % 3
+    path = F.concat(F.when(k == 0, "/bulk/").when(k == 1, "/bulk2/").otherwise("/other/"), "p_brand")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), portable(path, "/bulk", "ROOT").alias("path"))
+
+
+_TREE = """CASE event_id % 4 WHEN 0 THEN '{"a": {"domain": "web", "loss": 1}, "b": [{"domain": "wiki", "perplexity": 1}, {"domain": "web", "perplexity": ' || event_id || '.5}]}'
+WHEN 1 THEN '{"domain": "web", "perplexity": ' || event_id || ', "x": {"domain": "web", "perplexity": 0}}' WHEN 2 THEN '{"results": {"domain": "wiki", "perplexity": 3}}' ELSE '{"domain": "web", "perp' END"""
+
+
+@query("nested_results", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id::DOUBLE + 0.5 WHEN 1 THEN event_id::DOUBLE END AS found FROM events")
+def nested_results(spark, sf):
+    """F8: the first value of a domain, depth first, in JSON trees of any shape."""
+    return E.found_results(table(spark, sf, "events").select("event_id", F.expr(_TREE).alias("tree")), "event_id", "tree", "web")
+
+
+@query("finite_log", f"WITH {_LOG} SELECT run, count(loss) AS n, round(sum(loss), 6) AS loss FROM g GROUP BY run")
+def finite_log(spark, sf):
+    """A log that would stop the query at the first non-finite loss."""
+    return L.finite_only(log(spark, sf)).groupBy("run").agg(F.count("loss").alias("n"), F.round(F.sum("loss"), 6).alias("loss"))
+
+
+@query("schedule_rows", "SELECT DISTINCT CAST(date_part('day', ts) * 1000000 AS BIGINT) AS target FROM events")
+def schedule_rows(spark, sf):
+    """A schedule read from its JSON text, sorted, each target once."""
+    from ..sources.readers import schedule
+
+    text = table(spark, sf, "events").agg(F.to_json(F.collect_set(F.dayofmonth("ts") * 1_000_000)).alias("t")).first()["t"]  # a day of the month each
+    return spark.createDataFrame([(x,) for x in schedule(text)], "target long")

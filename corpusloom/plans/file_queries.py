@@ -20,6 +20,8 @@ from ..streaming import monitor as M
 from .control import chosen
 from .corpus_queries import _MIX
 from .curve_queries import _LOG, _POINTS, log, points
+from .text_queries import SQL as TEXT_SQL
+from .text_queries import leakage_gate
 
 QUERIES, SQL = {}, {}
 _WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{SQL_WS}'), lambda w: w <> '')"
@@ -264,3 +266,39 @@ def stability_verdicts(spark, sf):
     finally:
         spark.conf.set(key, before)
     return spark.read.schema("run string, verdict string, head double, tail double, far long").parquet(scratch.path("verdicts")).select("run", "verdict", F.round("head", 9).alias("head"), F.round("tail", 9).alias("tail"))
+
+
+@query("probe_curve_lines", f"WITH {_LOG} SELECT run, count(*) AS n, max(step) AS last, round(sum(loss), 6) AS loss FROM g WHERE loss IS NOT NULL GROUP BY run")
+def probe_curve_lines(spark, sf):
+    """A stream of readings appended as JSON lines and read again."""
+    scratch = Scratch(spark, "probe")
+    rows = log(spark, sf).select("run", "step", F.lit(0).cast("long").alias("tokens"), "loss")
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.text(scratch.path("in"))
+    M.probe_curve(M.log_stream(spark, scratch.path("in")), scratch.path("out"), scratch.path("state")).awaitTermination()
+    back = spark.read.schema(M.KIND).json(scratch.path("out"))
+    return back.groupBy("run").agg(F.count("*").alias("n"), F.max("step").alias("last"), F.round(F.sum("loss"), 6).alias("loss"))
+
+
+@query("round_trip", "SELECT count(*) AS docs, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, 0::BIGINT AS failed FROM documents")
+def round_trip(spark, sf):
+    """Every text is encoded with a public vocabulary and decoded; none may differ."""
+    import public_tokenizers
+
+    d = spread(table(spark, sf, "documents").select("text"))
+    return W.round_trip(d, str(public_tokenizers.path("byte_bpe_50k.json"))).select("docs", "chars", "failed")
+
+
+@query("leak_report_lines", f"""WITH r AS ({TEXT_SQL["leakage_gate"]})
+SELECT row_number() OVER (ORDER BY part, key) AS ordinal, line FROM (SELECT 0 AS part, '0' AS key, '13-gram leakage check for domain ''documents''' AS line UNION ALL SELECT 0, '1', '  train shards: 1'
+  UNION ALL SELECT 1, split, '  ' || split || ': ' || leaks || '/' || samples || ' sampled n-grams found in train -> ' || CASE WHEN leaks = 0 THEN 'clean' ELSE 'LEAK (' || leaks || ' of ' || samples || ')' END || '; positive control ' || CASE WHEN control THEN 'PASS' ELSE 'FAIL (search found nothing)' END FROM r
+  UNION ALL SELECT 2, '', '  verdict: ' || CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'FAIL' END FROM r)""")
+def leak_report_lines(spark, sf):
+    """The leak report as lines with PASS or FAIL."""
+    return W.leak_lines(Scratch(spark, "leaks").cut(leakage_gate(spark, sf), "report"), 13, "documents", 1).withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+@query("fallback_rows", "SELECT 'customer' AS source, count(*) AS n FROM customer")
+def fallback_rows(spark, sf):
+    """A source that cannot be read gives way to another, and the rows say so."""
+    rows = R.with_fallback(lambda: table(spark, sf, "no_such_table"), lambda: table(spark, sf, "customer"), "customer")
+    return rows.groupBy("source").agg(F.count("*").alias("n"))

@@ -158,6 +158,7 @@ def eval_windows(spark, sf):
 
 def _losses(spark, sf):
     held, train = _streams(spark, sf)
+    held = Scratch(spark, "losses").cut(held, "held")  # read for sizes, for pairs and for losses
     scored = S.ngram_nll(S.window_of_target(held, "lang", _CTX), train)
     return S.window_losses(scored, ["lang"], _EARLY, _LATE)
 

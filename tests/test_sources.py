@@ -290,9 +290,19 @@ def test_stream_totals_and_probe(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "probe")).count() == 20
 
 
-def test_control(spark):
+def test_control(spark, tmp_path):
     assert control.next_step({"a": True, "b": False}) == ("b", 10) and control.next_step({"a": True}) == (None, 0) and control.next_step({"a": False}, hold="a") == ("a", 20)
     assert control.smoke_passed({"c": True}, "c", False) and not control.smoke_passed({"c": True}, "c", True)
+    assert control.hold_of(spark, str(tmp_path)) is None and control.smoke_cache(spark, str(tmp_path)) == {}
+    (tmp_path / "HOLD").write_text("b\n")
+    assert control.next_step({"a": True, "b": False}, control.hold_of(spark, str(tmp_path))) == ("b", 20)
+    control.smoke_told(spark, str(tmp_path), "c1", True)
+    control.smoke_told(spark, str(tmp_path), "c2", False)
+    cache = control.smoke_cache(spark, str(tmp_path))
+    assert cache == {"c1": True, "c2": False} and control.smoke_passed(cache, "c1", False) and not control.smoke_passed(cache, "c2", False)
+    (tmp_path / "smoke.json").write_text('{"c1": tr')
+    (tmp_path / ".smoke.json.crc").unlink(missing_ok=True)
+    assert control.smoke_cache(spark, str(tmp_path)) == {}
     assert control.after_divergence(0.4, False) == (0.2, 0) and control.after_divergence(0.2, True) == (None, 20)
     assert control.may_escalate(0.2, 0.1) and not control.may_escalate(0.1, 0.1)
     df = spark.createDataFrame([([1, 2],)], "a array<int>")
