@@ -1,12 +1,13 @@
 """Language identification by Bayesian evidence fusion.
 
-log P(lang | row) = log P(lang | host) + weight * log P(text | lang) + log P(declared | lang) + log P(suffix | lang)
+log P(lang | row) = log P(lang | host) + weight * log P(text | lang) + log P(declared | lang)
 
-* P(text | lang): hashed byte n-grams (1 to 4 bytes, lower case) with add-one smoothing, over the whole text; the weight
-  tempers it, as overlapping n-grams are far from independent.
-* P(declared | lang) and P(suffix | lang): tables of what the text alone says against what the markup declares and what
-  the address ends in, by grouped aggregation over all rows, smoothed.
-* P(lang | host): counts per host, smoothed towards its registered domain, that towards its suffix, that towards all.
+* P(text | lang): hashed byte n-grams (3 and 4 bytes, lower case) with half a count added to each, over the whole text; the
+  weight tempers it, as overlapping n-grams are far from independent.
+* P(declared | lang): a table of what the text alone says against what the markup declares, by grouped aggregation over all
+  rows, with one added to each count.
+* P(lang | host): counts per host, smoothed towards its registered domain, that towards its suffix, that towards all; so the
+  suffix of an address is evidence through the prior, and a host of many pages outweighs it.
 
 The n-gram model is fitted on a bounded sample of labelled rows (``SAMPLE``, chosen by a hash of the text); everything
 else counts every row. Grouped counts are made of partial counts, so a hot host costs its task no more rows than a small
@@ -15,16 +16,18 @@ one; priors are joined back by shuffle unless their checked number is small.
 A row is kept if its text has at least ``MIN_LETTERS`` letters, fits the best language nearly as well as that language's
 own training text (else it is "und"), and the fused posterior reaches ``MIN_POSTERIOR``.
 
-Defined results: a null or empty text has no evidence, gets "und" and is rejected; null hosts, suffixes and declarations
-are values of their own that say nothing of the text; repeated rows each get a row; a table without labelled rows leaves
+Defined results: a null or empty text has no evidence, gets "und" and is rejected; a null declaration says
+nothing; null hosts, domains and suffixes are one value '' each, with a prior of its own like any other; repeated rows each get a row; a table without labelled rows leaves
 all "und"; columns other than those named are ignored. Ties go to the language that is first in the alphabet.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +45,7 @@ SLACK = 2.5
 
 
 def buckets(text: str) -> np.ndarray:
-    """Bucket of each n-gram of 2 to 4 bytes, digits and punctuation as a space."""
+    """Bucket of each n-gram of 3 and 4 bytes, digits and punctuation as a space."""
     b = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "replace"), np.uint8)
     b = np.where((b >= 97) & (b <= 122) | (b >= 128), b, 32).astype(np.uint64)
     three = b[:-2] | b[1:-1] << np.uint64(8) | b[2:] << np.uint64(16)
@@ -175,11 +178,43 @@ def document_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit("").alias("domain"), F.lit("").alias("suffix"))
 
 
+_TAG = re.compile("<(script|style|nav|footer)\\b", re.IGNORECASE)
+_CLOSING = {name: re.compile(f"</{name}>", re.IGNORECASE) for name in ("script", "style", "nav", "footer")}
+_REFERENCE = re.compile(r"&#?\w+;")
+
+
+def bare(html: str) -> str:
+    """The text of a page without tags, character references and what stands in scripts, styles, menus and footers.
+
+    One pass: a closing tag that was not found is not looked for again, and a last tag without an end is text, so the time is
+    linear however broken the markup is. An element that is never closed loses its tag only.
+    """
+    out, at, open_ended = [], 0, set()
+    while (start := html.find("<", at)) >= 0:
+        tag = _TAG.match(html, start)
+        name = tag and tag[1].lower()
+        close = _CLOSING[name].search(html, tag.end()) if name and name not in open_ended else None
+        if name and close is None:
+            open_ended.add(name)
+        end = close.end() if close else html.find(">", start) + 1
+        if not end:
+            break
+        out.append(html[at:start])
+        at = end
+    out.append(html[at:])
+    return _REFERENCE.sub(" ", " ".join(out))
+
+
 def page_rows(pages: DataFrame) -> DataFrame:
     """Pages: the html tag declares; host, domain and suffix come from the address; tags are cut from the text."""
+
+    @F.pandas_udf("string")
+    def text(html: pd.Series) -> pd.Series:
+        return html.map(bare, na_action="ignore")
+
     host, domain, suffix = host_parts(F.col("url"))
-    bare = F.regexp_replace("html", r"(?is)<(script|style|nav|footer)\b.*?</\1>|<[^>]*>|&#?\w+;", " ")
-    return pages.select(F.lit("page").alias("kind"), F.col("page_id").cast("long").alias("id"), bare.alias("text"), F.regexp_extract("html", r'(?i)<html[^>]*\blang=["\']?([A-Za-z-]+)', 1).alias("declared"), host.alias("host"), domain.alias("domain"), suffix.alias("suffix"))
+    declared = F.regexp_extract("html", r'(?i)<html\b[^<>]{0,4096}?\blang=["\']?([A-Za-z-]+)', 1)
+    return pages.select(F.lit("page").alias("kind"), F.col("page_id").cast("long").alias("id"), text(F.col("html")).alias("text"), declared.alias("declared"), host.alias("host"), domain.alias("domain"), suffix.alias("suffix"))
 
 
 def labels_of(docs: DataFrame) -> DataFrame:
