@@ -15,7 +15,8 @@ adverts and comments vary like content. Inside <article> and <main> a name count
 articles use too (``WEAK``) count only outside. Where a host has fewer than ``MIN_PAGES`` pages there is no wrapper, and
 <article> or <main> is the region if it has text.
 
-Trees have few nodes, as repeated siblings are merged, so aligning is linear in the page. Counts are made of partial
+Trees have few nodes, as repeated siblings are merged; where they still are wide, as in a glossary, siblings are paired by
+kind in order once a page's tables have used up ``CELLS``, so aligning is linear in the page. Counts are made of partial
 counts; wrappers are joined back by host, by broadcast only if their counted bytes fit.
 
 Blocks: text between block-level tags. Character references are decoded, white space in a block becomes one space. Tags are
@@ -32,6 +33,7 @@ from __future__ import annotations
 import html as _html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,6 +51,8 @@ RECURS = 0.3
 #: The tree is no deeper than this: elements nested deeper hang side by side under one of this depth. They still open, close
 #: and mark furniture as they are nested.
 DEEPEST = 200
+#: Cells of tables for matching the tree of one page: siblings beyond them are paired in order.
+CELLS = 1 << 18
 
 #: Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -206,22 +210,45 @@ def plain(tree: tuple) -> list:
     return [tree[0], [plain(k) for k in tree[1]]]
 
 
-def match(a: list, b: tuple, seen: dict) -> int:
+def _in_order(xs: list, ys: list) -> list[tuple[int, int]]:
+    """Pairs of siblings of one kind, each the first that is left, in order: what is matched where a table would be too large."""
+    places: dict[str, list[int]] = {}
+    for i, x in enumerate(xs):
+        places.setdefault(x[0], []).append(i)
+    pairs, after, taken = [], 0, dict.fromkeys(places, 0)
+    for j, y in enumerate(ys):
+        own = places.get(y[0], [])
+        k = bisect_left(own, after, taken.get(y[0], 0))
+        if k < len(own):
+            pairs.append((own[k], j))
+            after, taken[y[0]] = own[k] + 1, k + 1
+    return pairs[::-1]
+
+
+def match(a: list, b: tuple, seen: dict, cells: list[int] | None = None) -> int:
     """Simple tree matching: the most nodes of two ordered trees that can be paired, parents with parents.
 
-    ``seen`` keeps the best pairing of children found for each pair of nodes.
+    ``seen`` keeps the best pairing of children found for each pair of nodes. ``cells`` is what is left of the page's
+    ``CELLS`` of tables: siblings whose table would not fit are paired by kind in order instead (a glossary of a thousand
+    terms), so time and memory are linear in the page beyond a fixed amount.
     """
     if a[0] != b[0]:
         return 0
     key = (id(a), id(b))
     if key in seen:
         return seen[key][0]
+    cells = [CELLS] if cells is None else cells
     xs, ys = a[1], b[1]
+    if len(xs) * len(ys) > cells[0]:
+        pairs = _in_order(xs, ys)
+        seen[key] = (1 + sum(match(xs[i], ys[j], seen, cells) for i, j in pairs), pairs)
+        return seen[key][0]
+    cells[0] -= len(xs) * len(ys)
     best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
     for i, x in enumerate(xs):
         row, above = best[i + 1], best[i]
         for j, y in enumerate(ys):
-            w = match(x, y, seen)
+            w = match(x, y, seen, cells)
             row[j + 1] = max(above[j + 1], row[j], above[j] + w if w else 0)
     pairs, i, j = [], len(xs), len(ys)
     while i and j:
