@@ -43,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,10 +193,11 @@ def icws(shingle: np.ndarray, weight: np.ndarray, start: np.ndarray, samples: in
     return out
 
 
-def _signed(weights: Weights, bands: int, rows: int):
+def _signed(shared: Broadcast[Weights], bands: int, rows: int):
     """mapInArrow function: content hash (two words) and band keys of each document; null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
         for batch in batches:
             found, same = [], []
             for text in batch.column("text").to_pylist():
@@ -284,7 +286,7 @@ def _bitmap(name: np.ndarray) -> np.ndarray:
     return np.packbits(on).view(np.int64)
 
 
-def _compared(weights: Weights, t: float, near: float):
+def _compared(shared: Broadcast[Weights], t: float, near: float):
     """mapInArrow function over (doc, leader, text, leader_text): similarity, and what leads to links with others.
 
     short: names of the first differences, for pairs of two that are not similar to the representative and for those that
@@ -313,7 +315,7 @@ def _compared(weights: Weights, t: float, near: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, _Set] = {}
-        names = [f.split()[0] for f in COMPARED.split(", ")]
+        weights, names = shared.value, [f.split()[0] for f in COMPARED.split(", ")]
         for batch in batches:
             out = []
             for lead, text, other in zip(*(batch.column(c).to_pylist() for c in ("leader", "text", "leader_text")), strict=True):
@@ -345,6 +347,7 @@ def _may_link(x: str, y: str, t: float):
 
 def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch: Scratch, threshold: float = THRESHOLD, near: float = NEAR) -> DataFrame:
     """Compared pairs (doc, leader, sim) that link the similar members of every bucket. ``node``: doc, bands; ``texts``: doc, text."""
+    shared = scratch.spark.sparkContext.broadcast(weights)  # sent once, not with the function of every round
     member = node.select("doc", F.explode("bands").alias("key"))
     size = member.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     member = scratch.cut(member.join(size, "key"), "members")
@@ -369,7 +372,7 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
         if told is not None:
             ask = ask.join(told.select("doc", "leader"), ["doc", "leader"], "left_anti")
         ask = ask.join(texts.hint("merge"), "doc").join(texts.select(F.col("doc").alias("leader"), F.col("text").alias("leader_text")).hint("merge"), "leader")
-        return scratch.cut(ask.select("doc", "leader", "text", "leader_text").mapInArrow(_compared(weights, threshold, near), COMPARED), name)
+        return scratch.cut(ask.select("doc", "leader", "text", "leader_text").mapInArrow(_compared(shared, threshold, near), COMPARED), name)
 
     # rounds: members of a group against its representative; those far from it form the groups of the next round
     group = member.join(central, "doc").select(F.lit(0).cast("long").alias("chain"), "key", "doc", "rank")
@@ -455,7 +458,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: float = THRESH
     docs = scratch.cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     text = docs.select(F.col("_row").alias("row"), F.col("doc_id").cast("long"), "text")
     weights = idf(text)
-    each = scratch.cut(text.mapInArrow(_signed(weights, bands, rows), "row long, doc_id long, c1 long, c2 long, bands array<long>"), "signed")
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    each = scratch.cut(text.mapInArrow(_signed(shared, bands, rows), "row long, doc_id long, c1 long, c2 long, bands array<long>"), "signed")
     # a node for each different text, named by its first row; a text without words is a node of its own
     node = scratch.cut(each.filter(F.col("c1").isNotNull()).groupBy("c1", "c2", "bands").agg(F.min("row").alias("doc")), "nodes")
     pairs = similar_pairs(node.select("doc", "bands"), text.select(F.col("row").alias("doc"), "text"), weights, scratch, threshold)
