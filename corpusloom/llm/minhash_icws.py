@@ -347,7 +347,7 @@ def _may_link(x: str, y: str, t: float):
 
 def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch: Scratch, threshold: float = THRESHOLD, near: float = NEAR) -> DataFrame:
     """Compared pairs (doc, leader, sim) that link the similar members of every bucket. ``node``: doc, bands; ``texts``: doc, text."""
-    shared = scratch.spark.sparkContext.broadcast(weights)  # sent once, not with the function of every round
+    sent = scratch.spark.sparkContext.broadcast(weights)  # once, not with the function of every round
     member = node.select("doc", F.explode("bands").alias("key"))
     size = member.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     member = scratch.cut(member.join(size, "key"), "members")
@@ -372,7 +372,7 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
         if told is not None:
             ask = ask.join(told.select("doc", "leader"), ["doc", "leader"], "left_anti")
         ask = ask.join(texts.hint("merge"), "doc").join(texts.select(F.col("doc").alias("leader"), F.col("text").alias("leader_text")).hint("merge"), "leader")
-        return scratch.cut(ask.select("doc", "leader", "text", "leader_text").mapInArrow(_compared(shared, threshold, near), COMPARED), name)
+        return scratch.cut(ask.select("doc", "leader", "text", "leader_text").mapInArrow(_compared(sent, threshold, near), COMPARED), name)
 
     # rounds: members of a group against its representative; those far from it form the groups of the next round
     group = member.join(central, "doc").select(F.lit(0).cast("long").alias("chain"), "key", "doc", "rank")
