@@ -8,6 +8,7 @@ the file system does at once or not at all. What an interrupted writer left is n
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -32,21 +33,32 @@ def _fs(spark: SparkSession, path: str):
 
 
 def put(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
-    """K8: a small file that appears whole, written under another name and renamed; without ``replace`` an old one wins."""
-    jvm, fs = spark.sparkContext._jvm, _fs(spark, path)
+    """K8: a small file that appears whole, written under another name and renamed; without ``replace`` an old one wins.
+
+    It has no checksum file beside it, which could only be swapped in a second step. A distributed file system replaces in one
+    step if asked to; on a local one the system's own rename does, while Hadoop's would remove the old file first.
+    """
+    jvm, target = spark.sparkContext._jvm, _path(spark, path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.FileSystem.newInstance(target.toUri(), conf)
+    fs.setWriteChecksum(False)
     aside = _path(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(aside)
     out.write(bytearray(text.encode()))
     out.close()
     options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
     options[0] = getattr(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), "OVERWRITE" if replace else "NONE")
-    target = _path(spark, path)
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf)
     try:
-        context.rename(fs.makeQualified(aside), fs.makeQualified(target), options)
+        if replace and fs.getUri().getScheme() == "file":
+            os.replace(aside.toUri().getPath(), target.toUri().getPath())
+        else:
+            context.rename(fs.makeQualified(aside), fs.makeQualified(target), options)
     except Exception:
         fs.delete(aside, False)
         raise
+    finally:
+        fs.close()
 
 
 def get(spark: SparkSession, path: str) -> str | None:

@@ -248,7 +248,7 @@ def test_versions_are_swapped_whole(spark, tmp_path):
         while not stop.is_set():
             seen.append(V.table(spark, root).agg(F.count("*"), F.sum("x")).first())
 
-    reader = threading.Thread(target=read)
+    reader = threading.Thread(target=read, daemon=True)
     reader.start()
     for n in (20, 30, 40):
         last = V.publish(spark.range(n).toDF("x"), root)
@@ -265,6 +265,33 @@ def test_versions_are_swapped_whole(spark, tmp_path):
         V.table(spark, root, first["version"])
 
 
+def test_small_files_are_swapped_at_once(spark, tmp_path):
+    """A reader never misses the file or sees part of it, while it is replaced some hundred times."""
+    path, odd, stop = str(tmp_path / "pointer"), [], threading.Event()
+    V.put(spark, path, "0" * 500)
+
+    def read():
+        while not stop.is_set():
+            try:
+                text = V.get(spark, path)
+                if text is None or len(text) != 500 or len(set(text)) != 1:
+                    odd.append(text)
+            except Exception as e:
+                odd.append(str(e))
+
+    readers = [threading.Thread(target=read, daemon=True) for _ in range(3)]
+    for r in readers:
+        r.start()
+    try:
+        for i in range(300):
+            V.put(spark, path, str(i % 10) * 500)
+    finally:
+        stop.set()
+    for r in readers:
+        r.join(30)
+    assert odd == [] and [p.name for p in tmp_path.iterdir()] == ["pointer"]
+
+
 def test_token_files_can_be_versioned(spark, tmp_path):
     pieces = spark.createDataFrame([("a.bin", 0, [1, 2, 3])], "file string, start long, tokens array<int>")
     TS.token_stream_files(spark, str(tmp_path))  # registers the source
