@@ -1,10 +1,13 @@
 """Packing by lexical retrieval: a sharded BM25 inverted index fills each seed document's window with its neighbours.
 
 Terms are token ids, so the vocabulary and the table of document frequencies have a fixed size however large the corpus
-is. Frequencies are counted over all documents. Shards are blocks of at most ``SHARD_DOCS`` documents and
-``SHARD_TOKENS`` tokens (or one document) of the tokenised table; each task indexes one block at a time, so memory is
-bounded by a block and nothing is shuffled but the fixed-size counts. In a shard every unused document in turn is a seed: its
-``QUERY_TERMS`` terms of highest BM25 weight query the postings, and the unused neighbours with the best scores follow it
+is. Frequencies are counted over all documents. The index is sharded by content: a tree of halving hyperplanes, fitted on a
+sample of about ``SAMPLE`` documents (projected to ``DIMS`` numbers), gives every document a key, the documents are
+range-partitioned and sorted by it, and a shard is a run of at most ``SHARD_DOCS`` documents and ``SHARD_TOKENS`` tokens (or
+one document) of that order. Documents of one language and subject, and copies, so meet in a shard wherever they stood in the
+table; a key that very many documents share is split by what follows it in the order. Each task indexes one shard at a time,
+so memory is bounded by a shard. In a shard every unused document in turn is a seed: all its terms query the postings of all
+the shard's documents, with exact BM25 scores, and the unused neighbours with the best scores follow it
 until the window of ``WINDOW`` tokens is full. What does not fit is cut and opens the next window, whose neighbours are
 sought for the document that was cut. Once nothing scores, the next unused document of the shard follows. All windows but
 a shard's last are therefore full; the last is cut into sequences whose lengths are powers of two, so there is no padding.
@@ -15,7 +18,7 @@ shard: every document is in it.
 
 Defined results: a null or empty text is its one end token; rows that repeat are documents of their own; a null doc_id is
 a value; a text longer than a window spans several; an empty table gives an empty result; columns other than doc_id and
-text are ignored.
+text are ignored; equal scores go to the earlier document of the order.
 """
 
 from __future__ import annotations
@@ -34,9 +37,17 @@ from .common import Scratch, read, small_batches
 WINDOW = 2048
 END_ID = 1
 IDS = 1 << 16
-SHARD_DOCS = 2048
+SHARD_DOCS = 4096
 SHARD_TOKENS = 4_000_000
-QUERY_TERMS = 12
+#: Tokens of a partition where there are enough for two partitions a core.
+PART_TOKENS = 8 * SHARD_TOKENS
+#: Documents, as expected, that the tree of hyperplanes is fitted on, its depth, numbers of a projection, sign bits after a leaf.
+SAMPLE = 4096
+DEPTH = 8
+DIMS = 128
+BITS = 24
+#: Terms in this share of a shard's documents or more are scored by matrix products, the others by postings.
+DENSE = 1 / 16
 K1, B = 1.2, 0.75
 NAME = "byte_bpe_50k.json"
 
@@ -112,44 +123,147 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _COUNTS = "df binary, n long, size long"
 
 
-def statistics(tokens: DataFrame) -> tuple[np.ndarray, float]:
-    """BM25 idf of each id and the mean length, over all documents; the driver adds up a fixed number of fixed-size rows."""
+def statistics(tokens: DataFrame) -> tuple[np.ndarray, float, int, int]:
+    """BM25 idf of each id, the mean length, documents and tokens, over all documents; the driver adds up a fixed number of fixed-size rows."""
     part = tokens.select("ids").mapInArrow(_frequencies, _COUNTS).repartition(16).mapInArrow(_total, _COUNTS).collect()
     df, n, size = sum(np.frombuffer(r["df"], "<i8") for r in part), sum(r["n"] for r in part), sum(r["size"] for r in part)
-    return np.log(1.0 + (n - df + 0.5) / (df + 0.5)).astype(np.float32), max(size / max(n, 1), 1.0)
+    return np.log(1.0 + (n - df + 0.5) / (df + 0.5)).astype(np.float32), max(size / max(n, 1), 1.0), n, size
+
+
+def weights(x: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of a document and their BM25 weights."""
+    term, tf = np.unique(x, return_counts=True)
+    return term, (idf[term] * (tf * np.float32(K1 + 1) / (tf + np.float32(K1 * (1 - B + B * len(x) / mean))))).astype(np.float32)
+
+
+# ---- routing by content ----------------------------------------------------------------------------------------
+
+
+def _vectors(idf: np.ndarray, mean: float):
+    """A function from ids to the unit vector of their projected weights."""
+    signs = np.random.default_rng(3).integers(0, 2, (IDS, DIMS), np.int8) * 2 - 1
+
+    def of(x: np.ndarray) -> np.ndarray:
+        term, w = weights(x, idf, mean)
+        v = w @ signs[term].astype(np.float32)
+        return v / max(float(np.linalg.norm(v)), 1e-9)
+
+    return of
+
+
+def fit_tree(sample: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions and thresholds of a complete binary tree's nodes, in heap order, and the means of its leaves.
+
+    Each node halves its part of the sample at the median along the direction of its greatest variance.
+    """
+    nodes, leaves = (1 << depth) - 1, 1 << depth
+    way, cut, mean = np.zeros((nodes, DIMS), np.float32), np.zeros(nodes, np.float32), np.zeros((leaves, DIMS), np.float32)
+    held = {0: sample}
+    for node in range(nodes):
+        x = held.pop(node)
+        if len(x) > 1:
+            away = x - x.mean(axis=0)
+            way[node] = np.linalg.eigh(away.T @ away)[1][:, -1]
+            cut[node] = np.median(x @ way[node])
+        right = x @ way[node] > cut[node]
+        held[2 * node + 1], held[2 * node + 2] = x[~right], x[right]
+    for leaf in range(leaves):
+        x = held[nodes + leaf]
+        if len(x):
+            mean[leaf] = x.mean(axis=0)
+    return way, cut, mean
+
+
+def key_of(v: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> int:
+    """The leaf that a vector falls into, then the signs of its differences from the leaf's mean."""
+    way, cut, mean = tree
+    node = 0
+    while node < len(way):
+        node = 2 * node + 1 + int(v @ way[node] > cut[node])
+    leaf = node - len(way)
+    return leaf << BITS | int((v[:BITS] > mean[leaf][:BITS]) @ (1 << np.arange(BITS)[::-1]))
+
+
+def _sampled(idf: np.ndarray, mean: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = None
+        for batch in batches:
+            of = of or _vectors(idf, mean)
+            yield pa.RecordBatch.from_arrays([pa.array([of(np.frombuffer(raw, "<u2")).tobytes() for raw in batch.column("ids").to_pylist()], pa.binary())], ["v"])
+
+    return run
+
+
+def _routed(idf: np.ndarray, mean: float, tree: tuple):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = None
+        for batch in batches:
+            of = of or _vectors(idf, mean)
+            keys = [key_of(of(np.frombuffer(raw, "<u2")), tree) for raw in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "route"])
+
+    return run
+
+
+def by_content(tokens: DataFrame, idf: np.ndarray, mean: float, n: int, size: int) -> DataFrame:
+    """The documents in the order of their keys (equal ones by text and id), over partitions by tokens."""
+    rows = tokens.select("doc_id", "ids", F.monotonically_increasing_id().alias("row"))
+    share = int(min(1.0, SAMPLE / max(n, 1)) * (1 << 62))
+    sample = rows.filter(F.xxhash64("row").bitwiseAND((1 << 62) - 1) <= share).select("ids").mapInArrow(_sampled(idf, mean), "v binary").collect()
+    tree = fit_tree(np.stack([np.frombuffer(r["v"], np.float32) for r in sample]) if sample else np.zeros((0, DIMS), np.float32))
+    parts = max(1, min(-(-size // SHARD_TOKENS), max(2 * tokens.sparkSession.sparkContext.defaultParallelism, -(-size // PART_TOKENS))))
+    order = ["route", F.xxhash64("ids"), "doc_id", "row"]
+    return rows.mapInArrow(_routed(idf, mean, tree), "doc_id long, ids binary, row long, route long").repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+
+
+# ---- one shard -------------------------------------------------------------------------------------------------
 
 
 class Shard:
-    """The inverted index of a block: postings of the terms that its documents would query, with BM25 weights."""
+    """The inverted index of a shard: postings of all terms of all its documents, with BM25 weights.
+
+    A document's score for a seed is the sum of its weights of the seed's terms. Terms in many of the shard's documents are
+    added up for all seeds at once, as products of blocks of matrices; the others by the seed's postings.
+    """
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, terms: int = QUERY_TERMS):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         self.n = len(docs)
-        heads, weights = [], []
-        for x in docs:
-            term, tf = np.unique(x, return_counts=True)
-            w = idf[term] * (tf * np.float32(K1 + 1) / (tf + np.float32(K1 * (1 - B + B * len(x) / mean)))).astype(np.float32)
-            heads.append(term)
-            weights.append(w)
-        count = np.array([len(t) for t in heads])
-        owner, term, weight = np.repeat(np.arange(self.n, dtype=np.int32), count), np.concatenate(heads), np.concatenate(weights)
-        self.query = []
-        for t, w in zip(heads, weights, strict=True):
-            best = np.argpartition(-w, terms)[:terms] if len(w) > terms else np.arange(len(w))
-            self.query.append(t[best])
-        asked = np.zeros(IDS, bool)
-        asked[np.concatenate(self.query)] = True
-        keep = asked[term]
-        order = np.argsort(term[keep], kind="stable")
-        self.doc, self.weight = owner[keep][order], weight[keep][order]
-        self.at = np.searchsorted(term[keep][order], np.arange(IDS + 1))
+        found = [weights(x, idf, mean) for x in docs]
+        count = np.array([len(t) for t, _ in found])
+        owner, term, weight = np.repeat(np.arange(self.n, dtype=np.int32), count), np.concatenate([t for t, _ in found]), np.concatenate([w for _, w in found])
+        del found
+        df = np.bincount(term, minlength=IDS)
+        common = df >= max(DENSE * self.n, 2)
+        self.base = np.zeros((self.n, self.n), np.float32)
+        place = np.cumsum(common) - 1
+        inside = common[term]
+        column = place[term[inside]]
+        order = np.argsort(column, kind="stable")
+        column, row, value = column[order], owner[inside][order], weight[inside][order]
+        for a in range(0, int(common.sum()), 512):
+            s, e = np.searchsorted(column, (a, a + 512))
+            w = np.zeros((self.n, 512), np.float32)
+            w[row[s:e], column[s:e] - a] = value[s:e]
+            self.base += (w > 0).astype(np.float32) @ w.T
+        keep = ~inside & (df[term] > 1)  # a term of one document finds no other
+        owner, term, weight = owner[keep], term[keep], weight[keep]
+        self.terms, self.own = term, np.searchsorted(owner, np.arange(self.n + 1))
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight = owner[order], weight[order]
+        self.at = np.searchsorted(term[order], np.arange(IDS + 1))
         self.free = np.ones(self.n, bool)
 
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 scores of all documents for a seed's terms."""
+        t = self.terms[self.own[seed] : self.own[seed + 1]]
+        a = self.at[t]
+        n = self.at[t.astype(np.int64) + 1] - a
+        at = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
+        return self.base[seed] + np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float32)
+
     def ranked(self, seed: int) -> Iterator[int]:
         """Unused neighbours of a seed, best score first (ties: the earlier document)."""
-        score = np.zeros(self.n, np.float32)
-        for t in self.query[seed]:
-            a, e = self.at[t], self.at[t + 1]
-            score[self.doc[a:e]] += self.weight[a:e]
+        score = self.scores(seed)
         score[~self.free] = 0
         k = 8
         while k:  # the best few are enough as a rule
@@ -250,8 +364,9 @@ def pack_documents(docs: DataFrame, scratch: Scratch, path: str | None = None, w
     """One row per piece (``PIECES``): sequences of at most ``window`` tokens, each token of each document once."""
     small_batches(docs.sparkSession)
     tokens = scratch.cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encoded(path or tokenizer_path()), "doc_id long, ids binary"), "tokens")
-    idf, mean = statistics(tokens)
-    return tokens.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_packed(idf, mean, window, shard_docs, shard_tokens), PIECES)
+    idf, mean, n, size = statistics(tokens)
+    rows = by_content(tokens, idf, mean, n, size).withColumn("uid", F.monotonically_increasing_id())
+    return rows.mapInArrow(_packed(idf, mean, window, shard_docs, shard_tokens), PIECES)
 
 
 def op3_bm25_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

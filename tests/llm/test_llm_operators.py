@@ -328,6 +328,60 @@ def test_neighbours_share_windows():
     assert alike > 0.8 and sum(p[2] for p in pieces) == sum(map(len, docs))
 
 
+def test_scores_are_bm25_of_all_terms_by_brute_force():
+    g = np.random.default_rng(5)
+    docs = [np.append(g.zipf(1.3, int(g.integers(0, 400))) % 3000 + 2, 1).astype("<u2") for _ in range(120)]
+    docs[7] = docs[50].copy()  # copies tie
+    n, mean = len(docs), np.mean([len(x) for x in docs])
+    df = collections.Counter(int(t) for x in docs for t in set(x.tolist()))
+    idf = np.array([np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in range(bm25_pack.IDS)], np.float32)
+    shard = bm25_pack.Shard(docs, idf, mean)
+    tf = [collections.Counter(x.tolist()) for x in docs]
+    for seed in range(n):
+        want = [sum(float(idf[t]) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean)) for t, f in tf[d].items() if t in tf[seed]) for d in range(n)]
+        others = np.arange(n) != seed  # its own score is never asked for
+        assert np.allclose(shard.scores(seed)[others], np.array(want)[others], rtol=1e-4)
+    shard.free[[0, 3]] = False
+    got = list(shard.ranked(0))
+    assert set(got) == {d for d in range(n) if d not in (0, 3)} and all(shard.scores(0)[a] >= shard.scores(0)[b] for a, b in itertools.pairwise(got))
+    assert got.index(7) + 1 == got.index(50)  # the earlier one first
+
+
+def test_subjects_meet_in_shards_wherever_they_stand(spark, vocabulary):
+    g = np.random.default_rng(2)
+    words = [[f"{chr(97 + k)}{a}{b}" for a in "aeiou" for b in "lmnrst"] for k in range(6)]
+    docs = [(i, " ".join(g.choice(words[i % 6], 60))) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    shards = collections.defaultdict(list)
+    for r in bm25_pack.pack_documents(df, scratch(spark), window=256, shard_docs=50).collect():
+        shards[r["sequence_id"]].append(r["doc_id"] % 6)
+    alike = np.mean([collections.Counter(x).most_common(1)[0][1] / len(x) for x in shards.values() if len(x) > 1])
+    assert alike > 0.9
+
+
+def test_pieces_of_long_documents_hold_their_ids_and_are_gapless(spark, vocabulary):
+    docs = [(i, (f"text {i} of some words " * (7 * i)) + LONG[: 997 * i]) for i in range(12)] + [(4, "a tie"), (5, "a tie"), (5, "a tie")]
+    df = spark.createDataFrame([(*d, 1, "u") for d in docs], "doc_id long, text string, row long, route string")
+    encode = bm25_pack.Encoder(vocabulary)
+    want = collections.defaultdict(list)
+    for d, t in docs:
+        x = np.array([*encode(t), 1], "<u4")
+        want[d, len(x)].append(x)
+    for (doc, n), pieces in check_pieces(bm25_pack.pack_documents(df, scratch(spark), window=128).collect(), 128).items():
+        same = want.pop((doc, n))
+        for r in pieces:
+            assert r["ids_crc32"] == zlib.crc32(same[0][r["start"] : r["start"] + r["length"]].tobytes())
+        if len(same) == 1:
+            at = 0
+            for r in sorted(pieces, key=lambda r: r["start"]):
+                assert r["start"] == at
+                at += r["length"]
+            assert at == n
+        else:
+            assert sum(r["length"] for r in pieces) == n * len(same)
+    assert not want
+
+
 # ---- line dedup
 
 
