@@ -13,7 +13,7 @@ sought for the document that was cut. Once nothing scores, the next unused docum
 a shard's last are therefore full; the last is cut into sequences whose lengths are powers of two, so there is no padding.
 
 Tokens are those of the byte-level BPE file; a special token's string in a text is that token, as the file says. Each
-document ends in id 1. Tokens are computed once, kept as two bytes each in a written table. The index is exact over its
+document ends in id 1. Tokens, keys and counts are computed in one pass, tokens kept as two bytes each in a written table. The index is exact over its
 shard: every document is in it.
 
 Defined results: a null or empty text is its one end token; rows that repeat are documents of their own; a null doc_id is
@@ -78,36 +78,53 @@ class Encoder:
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole = Tokenizer.from_file(path)
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
-            return self.whole.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.fast.encode_to_numpy(text)
+
+    def document(self, text: str | None) -> np.ndarray:
+        """Two bytes an id, with the end id."""
+        ids = self(text or "")
+        out = np.empty(len(ids) + 1, "<u2")
+        out[:-1], out[-1] = ids, END_ID
+        return out
 
 
 def _encoded(path: str):
-    """Rows (doc_id, ids): two bytes an id, with the end id."""
+    """Rows (ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
         for batch in batches:
             encode = encode or Encoder(path)
-            ids = [np.array([*encode(t or ""), END_ID], "<u2").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([encode.document(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["ids"])
 
     return run
 
 
+class Counts:
+    """In how many documents each id is, how many documents and tokens there are."""
+
+    def __init__(self):
+        self.df, self.n, self.size = np.zeros(IDS, np.int64), 0, 0
+
+    def add(self, term: np.ndarray, size: int) -> None:
+        self.df[term] += 1
+        self.n, self.size = self.n + 1, self.size + size
+
+    def row(self) -> list[pa.Array]:
+        return [pa.array([self.df.astype("<i8").tobytes()], pa.binary()), pa.array([self.n], pa.int64()), pa.array([self.size], pa.int64())]
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one task: in how many documents each id is, how many documents and tokens there are."""
-    total, n, size = np.zeros(IDS, np.int64), 0, 0
+    """The counts of one task."""
+    counts = Counts()
     for batch in batches:
         for raw in batch.column("ids").to_pylist():
             x = np.frombuffer(raw, "<u2")
-            seen = np.zeros(IDS, bool)
-            seen[x] = True
-            total += seen
-            n, size = n + 1, size + len(x)
-    yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["df", "n", "size"])
+            counts.add(np.unique(x), len(x))
+    yield pa.RecordBatch.from_arrays(counts.row(), ["df", "n", "size"])
 
 
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +140,11 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _COUNTS = "df binary, n long, size long"
 
 
-def statistics(tokens: DataFrame) -> tuple[np.ndarray, float, int, int]:
-    """BM25 idf of each id, the mean length, documents and tokens, over all documents; the driver adds up a fixed number of fixed-size rows."""
-    part = tokens.select("ids").mapInArrow(_frequencies, _COUNTS).repartition(16).mapInArrow(_total, _COUNTS).collect()
+def statistics(counts: DataFrame) -> tuple[np.ndarray, float, int]:
+    """BM25 idf of each id, the mean length and the number of tokens, from the tasks' counts; the driver adds up a fixed number of fixed-size rows."""
+    part = counts.repartition(16).mapInArrow(_total, _COUNTS).collect()
     df, n, size = sum(np.frombuffer(r["df"], "<i8") for r in part), sum(r["n"] for r in part), sum(r["size"] for r in part)
-    return np.log(1.0 + (n - df + 0.5) / (df + 0.5)).astype(np.float32), max(size / max(n, 1), 1.0), n, size
+    return np.log(1.0 + (n - df + 0.5) / (df + 0.5)).astype(np.float32), max(size / max(n, 1), 1.0), size
 
 
 def weights(x: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
@@ -140,13 +157,13 @@ def weights(x: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np
 
 
 def _vectors(idf: np.ndarray, mean: float):
-    """A function from ids to the unit vector of their projected weights."""
-    signs = np.random.default_rng(3).integers(0, 2, (IDS, DIMS), np.int8) * 2 - 1
+    """A function from ids to their terms and the unit vector of their projected weights."""
+    signs = (np.random.default_rng(3).integers(0, 2, (IDS, DIMS), np.int8) * 2 - 1).astype(np.float32)
 
-    def of(x: np.ndarray) -> np.ndarray:
+    def of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         term, w = weights(x, idf, mean)
-        v = w @ signs[term].astype(np.float32)
-        return v / max(float(np.linalg.norm(v)), 1e-9)
+        v = w @ signs[term]
+        return term, v / max(float(np.sqrt(v @ v)), 1e-9)
 
     return of
 
@@ -174,14 +191,15 @@ def fit_tree(sample: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.nda
     return way, cut, mean
 
 
-def key_of(v: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> int:
-    """The leaf that a vector falls into, then the signs of its differences from the leaf's mean."""
+def keys_of(v: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each vector the leaf that it falls into, then the signs of its differences from the leaf's mean."""
     way, cut, mean = tree
-    node = 0
-    while node < len(way):
-        node = 2 * node + 1 + int(v @ way[node] > cut[node])
+    right = v @ way.T > cut
+    node, rows = np.zeros(len(v), np.int64), np.arange(len(v))
+    for _ in range(len(mean).bit_length() - 1):
+        node = 2 * node + 1 + right[rows, node]
     leaf = node - len(way)
-    return leaf << BITS | int((v[:BITS] > mean[leaf][:BITS]) @ (1 << np.arange(BITS)[::-1]))
+    return leaf << BITS | (v[:, :BITS] > mean[leaf, :BITS]) @ (1 << np.arange(BITS)[::-1])
 
 
 def _sampled(idf: np.ndarray, mean: float):
@@ -189,31 +207,54 @@ def _sampled(idf: np.ndarray, mean: float):
         of = None
         for batch in batches:
             of = of or _vectors(idf, mean)
-            yield pa.RecordBatch.from_arrays([pa.array([of(np.frombuffer(raw, "<u2")).tobytes() for raw in batch.column("ids").to_pylist()], pa.binary())], ["v"])
+            yield pa.RecordBatch.from_arrays([pa.array([of(np.frombuffer(raw, "<u2"))[1].tobytes() for raw in batch.column("ids").to_pylist()], pa.binary())], ["v"])
 
     return run
 
 
-def _routed(idf: np.ndarray, mean: float, tree: tuple):
+def fitted(docs: DataFrame, scratch: Scratch, path: str) -> tuple[np.ndarray, float, tuple]:
+    """What routes documents, from about ``SAMPLE`` of them: idf and mean length of the sample, and its tree."""
+    share = int(min(1.0, SAMPLE / max(docs.count(), 1)) * (1 << 62))
+    rows = docs.select("text", F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << 62) - 1).alias("draw")).filter(F.col("draw") <= share)
+    sample = scratch.cut(rows.select("text").mapInArrow(_encoded(path), "ids binary"), "sample")
+    idf, mean, _ = statistics(sample.mapInArrow(_frequencies, _COUNTS))
+    found = sample.mapInArrow(_sampled(idf, mean), "v binary").collect()
+    return idf, mean, fit_tree(np.stack([np.frombuffer(r["v"], np.float32) for r in found]) if found else np.zeros((0, DIMS), np.float32))
+
+
+_TOKENS = "doc_id long, ids binary, route long, df binary, n long, size long"
+
+
+def _routed(path: str, idf: np.ndarray, mean: float, tree: tuple):
+    """Documents as (doc_id, ids, route), then one row (df, n, size) of what the task has counted."""
+    blank = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["doc_id", "ids", "route", "df", "n", "size"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = None
+        encode, of, counts = None, None, Counts()
         for batch in batches:
-            of = of or _vectors(idf, mean)
-            keys = [key_of(of(np.frombuffer(raw, "<u2")), tree) for raw in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "route"])
+            if not batch.num_rows:
+                continue
+            encode, of = encode or Encoder(path), of or _vectors(idf, mean)
+            ids, v = [], np.zeros((batch.num_rows, DIMS), np.float32)
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                x = encode.document(text)
+                term, v[i] = of(x)
+                counts.add(term, len(x))
+                ids.append(x.tobytes())
+            rows = [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(keys_of(v, tree), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*rows, *[pa.nulls(len(ids), t) for t in blank[3:]]], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in blank[:3]], *counts.row()], names)
 
     return run
 
 
-def by_content(tokens: DataFrame, idf: np.ndarray, mean: float, n: int, size: int) -> DataFrame:
+def by_content(tokens: DataFrame, size: int) -> DataFrame:
     """The documents in the order of their keys (equal ones by text and id), over partitions by tokens."""
-    rows = tokens.select("doc_id", "ids", F.monotonically_increasing_id().alias("row"))
-    share = int(min(1.0, SAMPLE / max(n, 1)) * (1 << 62))
-    sample = rows.filter(F.xxhash64("row").bitwiseAND((1 << 62) - 1) <= share).select("ids").mapInArrow(_sampled(idf, mean), "v binary").collect()
-    tree = fit_tree(np.stack([np.frombuffer(r["v"], np.float32) for r in sample]) if sample else np.zeros((0, DIMS), np.float32))
+    rows = tokens.filter(F.col("route").isNotNull()).select("doc_id", "ids", "route", F.monotonically_increasing_id().alias("row"))
     parts = max(1, min(-(-size // SHARD_TOKENS), max(2 * tokens.sparkSession.sparkContext.defaultParallelism, -(-size // PART_TOKENS))))
     order = ["route", F.xxhash64("ids"), "doc_id", "row"]
-    return rows.mapInArrow(_routed(idf, mean, tree), "doc_id long, ids binary, row long, route long").repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
 
 
 # ---- one shard -------------------------------------------------------------------------------------------------
@@ -363,9 +404,11 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack_documents(docs: DataFrame, scratch: Scratch, path: str | None = None, window: int = WINDOW, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece (``PIECES``): sequences of at most ``window`` tokens, each token of each document once."""
     small_batches(docs.sparkSession)
-    tokens = scratch.cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encoded(path or tokenizer_path()), "doc_id long, ids binary"), "tokens")
-    idf, mean, n, size = statistics(tokens)
-    rows = by_content(tokens, idf, mean, n, size).withColumn("uid", F.monotonically_increasing_id())
+    path = path or tokenizer_path()
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    tokens = scratch.cut(docs.mapInArrow(_routed(path, *fitted(docs, scratch, path)), _TOKENS), "tokens")
+    idf, mean, size = statistics(tokens.filter(F.col("df").isNotNull()).select("df", "n", "size"))
+    rows = by_content(tokens, size).withColumn("uid", F.monotonically_increasing_id())
     return rows.mapInArrow(_packed(idf, mean, window, shard_docs, shard_tokens), PIECES)
 
 
