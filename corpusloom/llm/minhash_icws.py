@@ -22,8 +22,8 @@ class, so no two of these need be compared. A link between two others leaves a t
   weighted Jaccard distance is a metric; these few are joined by the same rarest shingles.
 
 Members near p that are not similar to it and share a name of a difference are compared with a representative of theirs, so a
-family inside a bucket becomes one class as well. What is then still open is joined by the names, between different classes
-only; a pair is asked for only if its similarities to p allow it and its common differences can weigh T by two bitmaps of 256
+family inside a bucket becomes one class as well. Where a name still has members of several classes, each turn compares them with
+another one of them, for as long as that links enough. What is then still open is joined by the names, between different classes only; a pair is asked for only if its similarities to p allow it and its common differences can weigh T by two bitmaps of 256
 bits, bounds that never fail a link. Copies with edits of their own share too little for that, so a group of copies
 is not expanded into its pairs; nor is anything capped, and the rule does not depend on sizes. Every link between two texts
 that share a band is therefore found: the two are compared, or are in one class before, or a bound rules the link out.
@@ -58,6 +58,9 @@ NEAR = 0.5
 NAMES = 1 << 18
 #: Bits of each of the two bitmaps of differences, in words of 64.
 WORDS = 4
+#: Turns, at most, in which members that share a difference are compared with one of them before pairs are formed, and the part of
+#: its comparisons that a turn must link for another one to follow. What turns leave is compared pair by pair, so no result depends on either.
+TURNS, WORTH = 8, 1 / 16
 #: Document frequencies under this part of the documents count as this part.
 RARE = 1 << 13
 #: Rows that the table of more frequent shingles may have; the part doubles until it fits. At 12 bytes each, 12 MB.
@@ -403,8 +406,8 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     done = compared(led(kin).select("doc", "leader").distinct(), "families", texts, tried)
     tried = tried.select("doc", "leader", "sim").unionByName(done.select("doc", "leader", "sim"))
     found = tried.filter(F.col("sim") >= threshold)
-    of = components(found, Scratch(scratch.spark, "icws-families"))
-    of = central.select("doc").join(of, "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"))
+    classes = lambda links, name: central.select("doc").join(components(links, Scratch(scratch.spark, f"icws-{name}")), "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"))
+    of = classes(found, "families")
     seen = seen.join(of, "doc").drop("rank")
     # only groups of several classes that hold both sides of a pair are named
     far, ring = F.col("stands") == FAR, F.col("stands") == RING
@@ -419,7 +422,27 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     shared = rows.groupBy("chain", (F.col("use") >= 2).alias("whole"), "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("chain", "whole", "key")
     rows = scratch.cut(rows.withColumn("whole", F.col("use") >= 2).join(shared, ["chain", "whole", "key"], "left_semi"), "shared")
     wide = seen.select("chain", "doc", "stands", "sim", "away", "base", "added", "added_least", "lacking", "lacking_least", "bits")
-    rows = rows.join(wide, ["chain", "doc"])
+    # turns: the members that share a name against one of them, another one in each turn, while classes grow together
+    tried = tried.select("doc", "leader")
+    either = lambda: tried.unionByName(tried.select(F.col("leader").alias("doc"), F.col("doc").alias("leader")))
+    for turn in range(TURNS):
+        now = rows.filter(~F.col("whole")).select("chain", "key", "doc").join(of, "doc")
+        first = F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("at"), F.col("doc").alias("leader"), F.col("class").alias("led"))).alias("first")
+        lead = now.groupBy("chain", "key").agg(first, F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("chain", "key", "first.leader", "first.led")
+        star = now.join(lead, ["chain", "key"]).filter("class != led").select("chain", "doc", "leader").distinct().alias("s")
+        x, y = wide.alias("x"), wide.alias("y")
+        star = star.join(x, (F.col("s.chain") == F.col("x.chain")) & (F.col("s.doc") == F.col("x.doc"))).join(y, (F.col("s.chain") == F.col("y.chain")) & (F.col("s.leader") == F.col("y.doc")))
+        star = star.filter((F.abs(F.col("x.sim") - F.col("y.sim")) <= apart) & _may_link("x", "y", threshold)).select("s.doc", "s.leader").distinct()
+        done = compared(star, f"turn{turn}", texts, either())
+        link = done.filter(F.col("sim") >= threshold).select("doc", "leader", "sim")
+        n, hits = done.agg(F.count("*"), F.count_if(F.col("sim") >= threshold)).first()
+        tried = tried.unionByName(done.select("doc", "leader"))
+        if hits:
+            found = found.unionByName(link)
+            of = scratch.cut(classes(found, f"turn{turn}"), f"classes{turn}")
+        if hits <= n * WORTH:
+            break
+    rows = rows.drop("class").join(of, "doc").join(wide, ["chain", "doc"])
     x, y = rows.alias("x"), rows.alias("y")
     other = (F.col("x.chain") == F.col("y.chain")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & (F.abs(F.col("x.sim") - F.col("y.sim")) <= apart)
     of_ring = (F.col("y.stands") == SIMILAR) | (F.col("x.use") == 0) & (F.col("x.doc") < F.col("y.doc"))
@@ -427,8 +450,7 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     far_pair = x.filter(F.col("use") == 2).join(y.filter(F.col("use") == 3), other)
     pair = [F.col("x.doc").alias("doc"), F.col("y.doc").alias("leader")]
     ask = scratch.cut(near_pair.select(*pair).unionByName(far_pair.select(*pair)).distinct(), "ask")
-    both = tried.select("doc", "leader").unionByName(tried.select(F.col("leader").alias("doc"), F.col("doc").alias("leader")))
-    last = compared(ask, "last", texts, both).filter(F.col("sim") >= threshold)
+    last = compared(ask, "last", texts, either()).filter(F.col("sim") >= threshold)
     return found.unionByName(last.select("doc", "leader", "sim"))
 
 

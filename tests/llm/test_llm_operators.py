@@ -638,11 +638,14 @@ def test_group_of_edited_copies_is_not_expanded(spark):
     links = [(a, b) for a, b in g.integers(0, 5000, (30_000, 2)).tolist() if a != b and sim(a, b) >= 0.8]
     assert len(links) > 100 and all(got[a] == got[b] for a, b in links)
     assert len({got[10_000 + d] for d in range(300)}) == 1 and all(got[20_000 + d] == 20_000 + d for d in range(1000))
-    compared = sum(spark.read.parquet(path).count() for path in glob.glob(cut.root.removeprefix("file:") + "/compared*") + [f"{cut.root}/families", f"{cut.root}/last"])
+    compared = sum(spark.read.parquet(path).count() for kind in ("compared*", "turn*") for path in glob.glob(f"{cut.root.removeprefix('file:')}/{kind}")) + sum(spark.read.parquet(path).count() for path in [f"{cut.root}/families", f"{cut.root}/last"])
     assert compared < 4 * len(docs)  # of 12 million pairs
 
 
-def test_bounds_on_differences_never_fail_a_link(spark):
+@pytest.mark.parametrize("turns", [0, 2])
+def test_bounds_on_differences_never_fail_a_link(spark, monkeypatch, turns):
+    monkeypatch.setattr(minhash_icws, "TURNS", turns)
+    monkeypatch.setattr(minhash_icws, "WORTH", 0)
     g = np.random.default_rng(12)
     base = [f"b{i}" for i in range(80)]
     docs, texts = {}, []
@@ -653,7 +656,10 @@ def test_bounds_on_differences_never_fail_a_link(spark):
         docs[d] = " ".join(w + [f"t{i}" for i in range(g.integers(0, 3) * 8)])
     texts = spark.createDataFrame(list(docs.items()), "doc long, text string")
     weights = minhash_icws.Weights(np.zeros(0, np.uint64), np.zeros(0), 1.0)
-    found = minhash_icws.similar_pairs(texts.select("doc", F.array(F.lit(7).cast("long")).alias("bands")), texts, weights, scratch(spark), 0.8).collect()
+    cut = scratch(spark)
+    found = minhash_icws.similar_pairs(texts.select("doc", F.array(F.lit(7).cast("long")).alias("bands")), texts, weights, cut, 0.8).collect()
+    last = spark.read.parquet(f"{cut.root}/last").count()
+    print("pairs", turns, last)
     cls = {d: d for d in docs}
 
     def root(d):
