@@ -36,15 +36,17 @@ def best_head(scores: DataFrame, value: str, by: list[str] | None = None) -> Dat
     return m.select(*(by or []), (-F.col("m.l")).alias("layer"), (-F.col("m.h")).alias("head"), F.col("m.v").alias(value))
 
 
-def matched_controls(scores: DataFrame, value: str, level: float, seed: int) -> DataFrame:
+def matched_controls(scores: DataFrame, value: str, level: float, seed: int, short: bool = False) -> DataFrame:
     """Per layer as many heads at or below the level, drawn by hash, as lie strictly above it.
 
-    A layer with too few others is refused.
+    A layer with too few others is refused, or with ``short`` gives all that it has.
     """
     member = F.col(value) > level
     want = scores.groupBy("layer").agg(F.count(F.when(member, 1)).alias("want"), F.count(F.when(~member, 1)).alias("others"))
     w = Window.partitionBy("layer").orderBy(draw(seed, F.col("layer"), F.col("head")), "head")
     drawn = scores.filter(~member).withColumn("rank", F.row_number().over(w)).join(F.broadcast(want), "layer")  # a row per layer
+    if short:
+        return drawn.filter(F.col("rank") <= F.col("want")).select("layer", "head")
     ok = F.when(F.col("others") < F.col("want"), F.raise_error(F.lit("too few heads to match")).cast("boolean")).otherwise(True)
     return drawn.filter(ok & (F.col("rank") <= F.col("want"))).select("layer", "head")
 

@@ -75,7 +75,7 @@ def matched_controls(spark, sf):
     """R7, P11, U-3, T1: heads are 16 parts of 2,000 events, scored by their share of purchases."""
     i = F.col("event_id")
     s = table(spark, sf, "events").groupBy(F.floor(i / 2000).alias("layer"), (i % 16).alias("head")).agg(F.avg((F.col("event_type") == "purchase").cast("double")).alias("score"))
-    return A.matched_controls(s, "score", 0.23, 8)
+    return A.matched_controls(s, "score", 0.23, 8, short=True)
 
 
 @query("median_rank", "WITH m AS (SELECT event_id // 256 AS layer, event_id // 64 % 4 AS head, event_id // 8 % 8 AS i, event_id % 8 AS j, value AS v FROM events), r AS (SELECT layer, head, i, count(*) FILTER (WHERE v > d) AS rank FROM m JOIN (SELECT layer, head, i, v AS d FROM m WHERE i = j) USING (layer, head, i) GROUP BY ALL) SELECT layer, head, quantile_cont(rank::DOUBLE, 0.5) AS median_rank FROM r GROUP BY ALL")
