@@ -44,7 +44,11 @@ def attn(spark, sf):
     whole = e.agg(F.floor((F.max("id") + 1) / 384).alias("_n"))
     e = e.join(F.broadcast(whole)).filter(F.floor(i / 384) < F.col("_n"))  # one row
     g = e.select(F.floor(i / 384).alias("seq"), (F.floor(i / 192) % 2).alias("layer"), (F.floor(i / 64) % 3).alias("head"), (F.floor(i / 8) % 8).alias("q"), (i % 8).alias("k"), F.col("value").alias("u"))
-    return g.filter("k <= q").withColumn("w", F.col("u") / F.sum("u").over(Window.partitionBy("seq", "layer", "head", "q"))).drop("u")
+    u, total = F.col("u"), F.col("_total")
+    # a row without any weight gives what division of doubles gives, as in SQL, and no error
+    none = F.when(u > 0, float("inf")).when(u < 0, float("-inf")).otherwise(F.when(u == 0, float("nan")))
+    g = g.filter("k <= q").withColumn("_total", F.sum("u").over(Window.partitionBy("seq", "layer", "head", "q")))
+    return g.withColumn("w", F.when(total == 0, none).otherwise(u / total)).drop("u", "_total")
 
 
 @query("attention_pairs", f"""WITH {_ATTN} SELECT seq, layer, head, round(avg(w) FILTER (WHERE q >= 4 AND k = q - 3), 9) AS prefix_matching, round(avg(w) FILTER (WHERE q >= 1 AND k = q - 1), 9) AS prev_token, round(avg(w) FILTER (WHERE q >= 4 AND k = q - 4), 9) AS duplicate_token,
