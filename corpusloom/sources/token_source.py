@@ -1,7 +1,7 @@
 """Files of 16-bit tokens as Spark data sources.
 
 ``token_files`` scans flat little-endian files by byte ranges, so one file of any size is read by many tasks, a block of
-tokens a row: file, start (in the file), at (in the stream of all files in order of their names), tokens. The options
+tokens a row: file, start (in the file), at (in the stream of all files in order of their names, shards by number), tokens. The options
 ``from`` and ``to`` are positions of the stream that reach the scan: ranges without one of its blocks are no partitions, and
 blocks outside are not read. (They are not pushed as filters, as Spark 4.1 shares what was pushed among all scans of a
 relation, so a frame that is filtered twice would lose rows.) The source writes such files as well: rows (file, start,
@@ -44,8 +44,13 @@ def located(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
 
 
+def stream_order(name: str) -> str:
+    """What file names sort by: the number after ``_ext_`` counts as a number, as shard 1000 comes after 999 and not after 100."""
+    return re.sub(r"_ext_(\d+)", lambda m: f"_ext_{m[1]:0>20}", name)
+
+
 def listed(path: str, pattern: str) -> tuple[pafs.FileSystem, list[pafs.FileInfo]]:
-    """Data files of a folder (or the file itself) in order of their names; a manifest decides what counts."""
+    """Data files of a folder (or the file itself) in order of their names, shards by number; a manifest decides what counts."""
     fs, root = located(path)
     info = fs.get_file_info(root)
     if info.type == pafs.FileType.NotFound:
@@ -56,7 +61,7 @@ def listed(path: str, pattern: str) -> tuple[pafs.FileSystem, list[pafs.FileInfo
     if fs.get_file_info(f"{root}/{_MANIFEST}").type == pafs.FileType.File:
         known = {f["file"] for f in manifest(path)["files"]}
         found = [i for i in found if i.base_name in known]
-    return fs, sorted((i for i in found if any(fnmatch(i.base_name, p) for p in pattern.split(","))), key=lambda i: i.base_name)
+    return fs, sorted((i for i in found if any(fnmatch(i.base_name, p) for p in pattern.split(","))), key=lambda i: stream_order(i.base_name))
 
 
 def manifest(path: str) -> dict:
@@ -163,7 +168,7 @@ class TokenWriter(DataSourceArrowWriter):
         gone = {f["file"] for f in self._old()} - set(names) if self.overwrite else set()
         for f in new:
             fs.move(f.pop("temporary"), f"{root}/{f['file']}")
-        text = json.dumps({"files": sorted([*old, *new], key=lambda f: f["file"])}, indent=1)
+        text = json.dumps({"files": sorted([*old, *new], key=lambda f: stream_order(f["file"]))}, indent=1)
         with fs.open_output_stream(f"{root}/_temporary/{self.job}/{_MANIFEST}") as out:
             out.write(text.encode())
         fs.move(f"{root}/_temporary/{self.job}/{_MANIFEST}", f"{root}/{_MANIFEST}")
@@ -233,7 +238,7 @@ def _registered(spark: SparkSession) -> SparkSession:
 def token_stream_files(spark: SparkSession, path: str, files: str = "*.bin", start: int = 0, end: int = _EVERY, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Blocks (file, start, at, tokens) of a folder's files that hold a position from start to end.
 
-    A train stream is its base and its ``_ext_`` files, whose names sort in the order of writing.
+    A train stream is its base and its ``_ext_`` files, which are ordered by number as they were written.
     """
     asked = {"files": files, "from": str(start), "to": str(end), "rangeBytes": str(range_bytes)}
     return _registered(spark).read.format("token_files").options(**asked).load(path)

@@ -292,6 +292,14 @@ def test_small_files_are_swapped_at_once(spark, tmp_path):
     assert odd == [] and [p.name for p in tmp_path.iterdir()] == ["pointer"]
 
 
+def test_shards_past_999_stay_in_order(spark, tmp_path):
+    shards = [0, 1, 100, 101, 999, 1000, 1001]
+    rows = [(f"w_train_ext_{k:03d}.bin", 0, [k]) for k in shards] + [("w_train.bin", 0, [7])]
+    TS.write_token_files(spark.createDataFrame(rows, "file string, start long, tokens array<int>"), str(tmp_path / "t"))
+    got = TS.token_stream_files(spark, str(tmp_path / "t")).orderBy("at").collect()
+    assert [r["tokens"][0] for r in got] == [7, *shards] and [f["file"] for f in TS.manifest(str(tmp_path / "t"))["files"]] == [r["file"] for r in got]
+
+
 def test_token_files_can_be_versioned(spark, tmp_path):
     pieces = spark.createDataFrame([("a.bin", 0, [1, 2, 3])], "file string, start long, tokens array<int>")
     TS.token_stream_files(spark, str(tmp_path))  # registers the source
