@@ -3,6 +3,8 @@
 A document is a weighted set of shingles of ``SHINGLE`` words: weight = occurrences * idf. The document frequency of every
 shingle is counted exactly over all documents; frequencies under one document in ``RARE`` count as that many, so what
 differs from the rarest weight is a table whose size depends on the documents' length, not on their number (``Weights``).
+Known limit: copies raise the frequency of what they share, but not of what each changes, so in a group of more than one
+document in ``RARE`` two copies need smaller changes for a link than in a small group (figures in the README).
 Each of BANDS * ROWS samples picks a shingle with probability in proportion to its weight, so two documents agree in a
 sample with probability equal to their weighted Jaccard similarity; samples are grouped into bands and documents that
 share a band meet in a bucket.
@@ -407,6 +409,17 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     tried = tried.select("doc", "leader", "sim").unionByName(done.select("doc", "leader", "sim"))
     found = tried.filter(F.col("sim") >= threshold)
     classes = lambda links, name: central.select("doc").join(components(links, Scratch(scratch.spark, f"icws-{name}")), "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"))
+
+    def merged(of: DataFrame, links: DataFrame) -> DataFrame:
+        """Classes after the links of a turn, which are stars: each goes to the least class that it is linked with, and on to the
+        least that this one is linked with. Chains may stay apart here; only pairs that need not be compared depend on it."""
+        a, b = of.select("doc", F.col("class").alias("a")), of.select(F.col("doc").alias("leader"), F.col("class").alias("b"))
+        links = links.join(a, "doc").join(b, "leader").filter("a != b").select("a", "b").distinct()
+        links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = links.groupBy("a").agg(F.least("a", F.min("b")).alias("to"))
+        to = to.join(to.select(F.col("a").alias("to"), F.col("to").alias("far")), "to").select(F.col("a").alias("class"), "far")
+        return of.join(to, "class", "left").select("doc", F.coalesce("far", "class").alias("class"))
+
     of = classes(found, "families")
     seen = seen.join(of, "doc").drop("rank")
     # only groups of several classes that hold both sides of a pair are named
@@ -439,7 +452,7 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
         tried = tried.unionByName(done.select("doc", "leader"))
         if hits:
             found = found.unionByName(link)
-            of = scratch.cut(classes(found, f"turn{turn}"), f"classes{turn}")
+            of = scratch.cut(merged(of, link), f"classes{turn}")
         if hits <= n * WORTH:
             break
     rows = rows.drop("class").join(of, "doc").join(wide, ["chain", "doc"])
