@@ -3,8 +3,10 @@
 A document is a weighted set of shingles of ``SHINGLE`` words: weight = occurrences * idf. The document frequency of every
 shingle is counted exactly over all documents; frequencies under one document in ``RARE`` count as that many, so what
 differs from the rarest weight is a table whose size depends on the documents' length, not on their number (``Weights``).
-Known limit: copies raise the frequency of what they share, but not of what each changes, so in a group of more than one
-document in ``RARE`` two copies need smaller changes for a link than in a small group (figures in the README).
+Copies raise the frequency of what they share, but not of what each changes, so in a group of more than one document in
+``RARE`` two near copies can be far apart by weight. Compared documents are therefore linked as well if their Jaccard similarity
+without weights reaches the threshold: near copies of a representative share its class however large their group is. Known limit:
+two that are similar without weights only, and to no representative that both are compared with, stay apart.
 Each of BANDS * ROWS samples picks a shingle with probability in proportion to its weight, so two documents agree in a
 sample with probability equal to their weighted Jaccard similarity; samples are grouped into bands and documents that
 share a band meet in a bucket.
@@ -282,7 +284,7 @@ def _prefix(name: np.ndarray, weight: np.ndarray, least: float) -> np.ndarray:
 
 #: How a member stands to a representative: similar, near, or far.
 SIMILAR, RING, FAR = 2, 1, 0
-COMPARED = "doc long, leader long, sim double, stands int, away double, base double, added double, added_least double, lacking double, lacking_least double, bits array<long>, short array<long>, rest array<long>, prefix array<long>"
+COMPARED = "doc long, leader long, sim double, plain double, stands int, away double, base double, added double, added_least double, lacking double, lacking_least double, bits array<long>, short array<long>, rest array<long>, prefix array<long>"
 
 
 def _bitmap(name: np.ndarray) -> np.ndarray:
@@ -292,7 +294,7 @@ def _bitmap(name: np.ndarray) -> np.ndarray:
 
 
 def _compared(shared: Broadcast[Weights], t: float, near: float):
-    """mapInArrow function over (doc, leader, text, leader_text): similarity, and what leads to links with others.
+    """mapInArrow function over (doc, leader, text, leader_text): similarity with and without weights, and what leads to links with others.
 
     short: names of the first differences, for pairs of two that are not similar to the representative and for those that
     are; rest: further ones that one which is not similar may share with one that is; prefix: names of the rarest shingles.
@@ -306,9 +308,11 @@ def _compared(shared: Broadcast[Weights], t: float, near: float):
         least = float((np.minimum(a.n, of_b) * a.each).sum(dtype=np.float64))
         every = a.whole + b.whole - least
         sim = least / every if every > 0 else 0.0
+        common = int(np.minimum(a.n, of_b).sum())
+        even = common / max(int(a.n.sum() + b.n.sum()) - common, 1)  # all weights alike
         plain = _prefix(*_elements(a.s, a.each, np.zeros_like(a.n), a.n, np.uint64(0)), t * a.whole)
         if sim < near:
-            return sim, FAR, 0.0, b.whole, 0.0, 0.0, 0.0, 0.0, np.zeros(2 * WORDS, np.int64), plain[:0], plain[:0], plain
+            return sim, even, FAR, 0.0, b.whole, 0.0, 0.0, 0.0, 0.0, np.zeros(2 * WORDS, np.int64), plain[:0], plain[:0], plain
         more, less = np.flatnonzero(a.n > of_b), np.flatnonzero(b.n > of_a)
         (x, wx), (y, wy) = _elements(a.s[more], a.each[more], of_b[more], a.n[more], _ADDED), _elements(b.s[less], b.each[less], of_a[less], b.n[less], _LACKING)
         away = float(wy.sum() + t * wx.sum())
@@ -316,7 +320,7 @@ def _compared(shared: Broadcast[Weights], t: float, near: float):
         short = _prefix(name, weight, max(away / (1 + t), 1e-9))
         rest = short[:0] if sim >= t else _prefix(name, weight, max(away - (1 - t) * b.whole, 1e-9))[len(short) :]
         low = lambda w: float(w.min()) if len(w) else 0.0
-        return sim, SIMILAR if sim >= t else RING, away, b.whole, float(wx.sum()), low(wx), float(wy.sum()), low(wy), np.concatenate([_bitmap(x), _bitmap(y)]), short, rest, plain
+        return sim, even, SIMILAR if sim >= t else RING, away, b.whole, float(wx.sum()), low(wx), float(wy.sum()), low(wy), np.concatenate([_bitmap(x), _bitmap(y)]), short, rest, plain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, _Set] = {}
@@ -329,8 +333,8 @@ def _compared(shared: Broadcast[Weights], t: float, near: float):
                         known.clear()
                     known[lead] = _Set(other, weights)
                 out.append(one(_Set(text, weights), known[lead]))
-            cols = [pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int32())] + [pa.array([x[k] for x in out], pa.float64()) for k in range(2, 8)]
-            cols += [pa.array([x[k].view(np.int64) for x in out], pa.list_(pa.int64())) for k in range(8, 12)]
+            cols = [pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.int32())] + [pa.array([x[k] for x in out], pa.float64()) for k in range(3, 9)]
+            cols += [pa.array([x[k].view(np.int64) for x in out], pa.list_(pa.int64())) for k in range(9, 13)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("leader"), *cols], names)
 
     return run
@@ -406,8 +410,9 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
         seen = seen.unionByName(part)
     kin = spread(seen.filter(F.col("stands") == RING).select("chain", "doc", "rank", "short"), "short").select("chain", "doc", "rank", F.explode("short").alias("key"))
     done = compared(led(kin).select("doc", "leader").distinct(), "families", texts, tried)
-    tried = tried.select("doc", "leader", "sim").unionByName(done.select("doc", "leader", "sim"))
-    found = tried.filter(F.col("sim") >= threshold)
+    tried = tried.select("doc", "leader", "sim", "plain").unionByName(done.select("doc", "leader", "sim", "plain"))
+    linked = F.greatest("sim", "plain") >= threshold
+    found = tried.filter(linked).drop("plain")
     classes = lambda links, name: central.select("doc").join(components(links, Scratch(scratch.spark, f"icws-{name}")), "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"))
 
     def merged(of: DataFrame, links: DataFrame) -> DataFrame:
@@ -447,8 +452,8 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
         star = star.join(x, (F.col("s.chain") == F.col("x.chain")) & (F.col("s.doc") == F.col("x.doc"))).join(y, (F.col("s.chain") == F.col("y.chain")) & (F.col("s.leader") == F.col("y.doc")))
         star = star.filter((F.abs(F.col("x.sim") - F.col("y.sim")) <= apart) & _may_link("x", "y", threshold)).select("s.doc", "s.leader").distinct()
         done = compared(star, f"turn{turn}", texts, either())
-        link = done.filter(F.col("sim") >= threshold).select("doc", "leader", "sim")
-        n, hits = done.agg(F.count("*"), F.count_if(F.col("sim") >= threshold)).first()
+        link = done.filter(linked).select("doc", "leader", "sim")
+        n, hits = done.agg(F.count("*"), F.count_if(linked)).first()
         tried = tried.unionByName(done.select("doc", "leader"))
         if hits:
             found = found.unionByName(link)
@@ -463,7 +468,7 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     far_pair = x.filter(F.col("use") == 2).join(y.filter(F.col("use") == 3), other)
     pair = [F.col("x.doc").alias("doc"), F.col("y.doc").alias("leader")]
     ask = scratch.cut(near_pair.select(*pair).unionByName(far_pair.select(*pair)).distinct(), "ask")
-    last = compared(ask, "last", texts, either()).filter(F.col("sim") >= threshold)
+    last = compared(ask, "last", texts, either()).filter(linked)
     return found.unionByName(last.select("doc", "leader", "sim"))
 
 

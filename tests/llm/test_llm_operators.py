@@ -642,6 +642,25 @@ def test_group_of_edited_copies_is_not_expanded(spark):
     assert compared < 4 * len(docs)  # of 12 million pairs
 
 
+def test_near_copies_in_a_large_group_share_a_class(spark):
+    g = np.random.default_rng(13)
+    base = [f"b{i}" for i in range(150)]
+    docs = [(0, " ".join(base))]
+    for d in range(1, 400):  # each has three edits of its own: Jaccard 0.81 with the original, but much of the weight lies in the edits
+        w = list(base)
+        for k in g.choice(range(1, 29), 3, replace=False):
+            w[5 * k + 2] = f"e{d}x{k}"
+        docs.append((d, " ".join(w)))
+    docs += [(1000 + d, " ".join(f"o{d}x{i}" for i in range(60))) for d in range(1000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    w, sets = minhash_icws.idf(df), {d: minhash_icws.shingles(t) for d, t in docs}
+    even = minhash_icws.Weights(np.zeros(0, np.uint64), np.zeros(0), 1.0)
+    assert min(minhash_icws.similarity(sets[0], sets[d], even) for d in range(1, 400)) >= 0.8 > max(minhash_icws.similarity(sets[0], sets[d], w) for d in range(1, 400))
+    got = {r["doc_id"]: r["class_id"] for r in minhash_icws.near_duplicates(df, scratch(spark))[1].collect()}
+    # at a weighted similarity of 0.67 about 1 of 70 shares no band with the original
+    assert sum(got[d] == 0 for d in range(400)) >= 380 and all(got[1000 + d] == 1000 + d for d in range(1000))
+
+
 def test_bounds_on_differences_never_fail_a_link(spark, monkeypatch):
     monkeypatch.setattr(minhash_icws, "TURNS", 2)
     monkeypatch.setattr(minhash_icws, "WORTH", 0)
