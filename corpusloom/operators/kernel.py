@@ -13,7 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .attention import mlp_width
+from .attention import PATTERNS, mlp_width
+
+#: Tokens of sequences that go through the decoder at once.
+TOKENS = 1 << 12
 
 
 @dataclass
@@ -46,29 +49,55 @@ def _rotate(x: np.ndarray) -> np.ndarray:
     return np.concatenate([a * np.cos(angle) - b * np.sin(angle), b * np.cos(angle) + a * np.sin(angle)], -1)
 
 
-def forward(m: Model, ids: np.ndarray, intervene: Callable[[int, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Logits [n, V], attention [layers, heads, n, n], outputs of the heads [heads, n, size] by layer.
-
-    M2: all are captured. M5: ``intervene(layer, outputs)`` may replace the heads' outputs (mean ablation, patching).
-    """
-    x, maps, outs = m.embed[ids], [], []
-    n, size = len(ids), m.embed.shape[1] // m.heads
+def _run(m: Model, x: np.ndarray, first: int = 0, intervene: Callable[[int, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, list, list, list]:
+    """The layers from ``first`` on, for x [..., n, d]: the last norm's output, attention, outputs of the heads and inputs by layer."""
+    maps, outs, inputs = [], [], []
+    n, size = x.shape[-2], m.embed.shape[1] // m.heads
     hide = np.triu(np.full((n, n), -np.inf), 1)
-    for i, w in enumerate(m.layers):
-        h = _norm(x, w["n1"])
-        q, k, v = ((h @ w[c]).reshape(n, m.heads, size).transpose(1, 0, 2) for c in "qkv")
-        s = _rotate(q) @ _rotate(k).transpose(0, 2, 1) / np.sqrt(size) + hide
+    for i, w in list(enumerate(m.layers))[first:]:
+        inputs.append(x)
+        h = _norm(x, w["n1"]).reshape(-1, x.shape[-1])  # rows of all sequences: one product instead of one for each
+        q, k, v = ((h @ w[c]).reshape(*x.shape[:-1], m.heads, size).swapaxes(-3, -2) for c in "qkv")
+        s = _rotate(q) @ _rotate(k).swapaxes(-2, -1) / np.sqrt(size) + hide
         a = np.exp(s - s.max(-1, keepdims=True))
         a /= a.sum(-1, keepdims=True)
         o = a @ v
         o = intervene(i, o) if intervene else o
         maps.append(a)
         outs.append(o)
-        x = x + o.transpose(1, 0, 2).reshape(n, -1) @ w["o"]
-        h = _norm(x, w["n2"])
+        x = x + (o.swapaxes(-3, -2).reshape(h.shape) @ w["o"]).reshape(x.shape)
+        h = _norm(x, w["n2"]).reshape(h.shape)
         g = h @ w["gate"]
-        x = x + (g / (1 + np.exp(-g)) * (h @ w["up"])) @ w["down"]
-    return _norm(x, m.norm) @ m.embed.T, np.stack(maps), outs
+        x = x + ((g / (1 + np.exp(-g)) * (h @ w["up"])) @ w["down"]).reshape(x.shape)
+    return _norm(x, m.norm), maps, outs, inputs
+
+
+def forward(m: Model, ids: np.ndarray, intervene: Callable[[int, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Logits [n, V], attention [layers, heads, n, n], outputs of the heads [heads, n, size] by layer.
+
+    M2: all are captured. M5: ``intervene(layer, outputs)`` may replace the heads' outputs (mean ablation, patching).
+    Ids may be [sequences, n]; logits and outputs then begin with the sequences, and so does each layer's attention.
+    """
+    x, maps, outs, _ = _run(m, m.embed[ids], 0, intervene)
+    return x @ m.embed.T, np.stack(maps), outs
+
+
+def _alike(pdf: pd.DataFrame, *columns: str) -> Iterator[tuple]:
+    """(seq, ids [sequences, n] of each column) of the sequences of one length, about ``TOKENS`` at a time."""
+    size = pdf[columns[0]].str.len().to_numpy()
+    for n in np.unique(size):
+        at, step = np.flatnonzero(size == n), max(TOKENS // max(int(n), 1), 1)
+        for i in range(0, len(at), step):
+            few = pdf.iloc[at[i : i + step]]
+            yield few["seq"].to_numpy(), *[np.stack(few[c].to_numpy()).astype(np.int64) for c in columns]
+
+
+def _losses(seq: np.ndarray, ids: np.ndarray, z: np.ndarray) -> pd.DataFrame:
+    """(seq, pos, nll, exact) from the ids and logits of sequences of one length."""
+    z, to = z[:, :-1], ids[:, 1:]
+    top = z.max(-1)
+    nll = top + np.log(np.exp(z - top[..., None]).sum(-1)) - np.take_along_axis(z, to[..., None], -1)[..., 0]
+    return pd.DataFrame({"seq": np.repeat(seq, nll.shape[1]), "pos": np.tile(np.arange(nll.shape[1]), len(seq)), "nll": nll.ravel(), "exact": (z.argmax(-1) == to).ravel()})
 
 
 def nll_rows(m: Model):
@@ -76,12 +105,8 @@ def nll_rows(m: Model):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for seq, ids in zip(pdf["seq"], pdf["ids"], strict=True):
-                ids = np.asarray(ids)
-                z = forward(m, ids)[0][:-1]
-                top = z.max(-1)
-                nll = top + np.log(np.exp(z - top[:, None]).sum(-1)) - z[np.arange(len(z)), ids[1:]]
-                yield pd.DataFrame({"seq": seq, "pos": np.arange(len(nll)), "nll": nll, "exact": z.argmax(-1) == ids[1:]})
+            for seq, ids in _alike(pdf, "ids"):
+                yield _losses(seq, ids, forward(m, ids)[0])
 
     return run
 
@@ -95,16 +120,32 @@ def attention_rows(sequences: DataFrame, m: Model) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for seq, ids in zip(pdf["seq"], pdf["ids"], strict=True):
-                a = forward(m, np.asarray(ids))[1]
-                q, k = np.tril_indices(a.shape[-1])
-                for layer in range(len(a)):
+            for seq, ids in _alike(pdf, "ids"):
+                q, k = np.tril_indices(ids.shape[1])
+                for layer, a in enumerate(_run(m, m.embed[ids])[1]):
                     for head in range(a.shape[1]):
-                        yield pd.DataFrame({"seq": seq, "layer": layer, "head": head, "q": q, "k": k, "w": a[layer, head][q, k]})
+                        yield pd.DataFrame({"seq": np.repeat(seq, len(q)), "layer": layer, "head": head, "q": np.tile(q, len(seq)), "k": np.tile(k, len(seq)), "w": a[:, head, q, k].ravel()})
 
     return sequences.mapInPandas(run, "seq long, layer long, head long, q long, k long, w double")
 
 
+def attention_means(sequences: DataFrame, m: Model, repeat: int) -> DataFrame:
+    """What ``pair_means`` makes of ``attention_rows``, a row per sequence, layer and head: weights are averaged where
+    they arise, so that pairs of positions are neither handed over nor shuffled. ``seq`` is different in all rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for seq, ids in _alike(pdf, "ids"):
+                q, k = np.tril_indices(ids.shape[1])
+                on = {name: np.flatnonzero(p(q, k, repeat)) for name, p in PATTERNS.items()}
+                for layer, a in enumerate(_run(m, m.embed[ids])[1]):
+                    w = a[:, :, q, k]
+                    means = {name: w[..., at].mean(-1).ravel() if len(at) else None for name, at in on.items()}
+                    yield pd.DataFrame({"seq": np.repeat(seq, m.heads), "layer": layer, "head": np.tile(np.arange(m.heads), len(seq)), **means})
+
+    return sequences.mapInPandas(run, "seq long, layer long, head long, " + ", ".join(f"{name} double" for name in PATTERNS))
+
+
 def ablated_losses(sequences: DataFrame, m: Model, heads: list[tuple[int, int]], means: dict[tuple[int, int], np.ndarray] | None = None) -> DataFrame:
     """M5, M7: losses with the outputs of some heads replaced by their mean (default: zero)."""
 
@@ -112,17 +153,13 @@ def ablated_losses(sequences: DataFrame, m: Model, heads: list[tuple[int, int]],
         o = o.copy()
         for at, head in heads:
             if at == layer:
-                o[head] = (means or {}).get((at, head), 0.0)
+                o[..., head, :, :] = (means or {}).get((at, head), 0.0)
         return o
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for seq, ids in zip(pdf["seq"], pdf["ids"], strict=True):
-                ids = np.asarray(ids)
-                z = forward(m, ids, swap)[0][:-1]
-                top = z.max(-1)
-                nll = top + np.log(np.exp(z - top[:, None]).sum(-1)) - z[np.arange(len(z)), ids[1:]]
-                yield pd.DataFrame({"seq": seq, "pos": np.arange(len(nll)), "nll": nll, "exact": z.argmax(-1) == ids[1:]})
+            for seq, ids in _alike(pdf, "ids"):
+                yield _losses(seq, ids, forward(m, ids, swap)[0])
 
     return sequences.mapInPandas(run, "seq long, pos long, nll double, exact boolean")
 
@@ -130,30 +167,29 @@ def ablated_losses(sequences: DataFrame, m: Model, heads: list[tuple[int, int]],
 def patched_rows(pairs: DataFrame, m: Model, heads: list[tuple[int, int]], repeat: int) -> DataFrame:
     """M6: logit differences (right minus wrong, mean over positions) of the clean, corrupt and patched runs of each head.
 
-    ``pairs``: seq, clean, corrupt (ids). Patching puts a head's output of the clean run into the corrupt one.
+    ``pairs``: seq, clean, corrupt (ids of one length). Patching puts a head's output of the clean run into the corrupt one, which
+    goes on from that layer; only the logits that are read are formed.
     """
 
-    def reading(z: np.ndarray, clean: np.ndarray, corrupt: np.ndarray) -> float:
+    def reading(x: np.ndarray, clean: np.ndarray, corrupt: np.ndarray) -> np.ndarray:
         at = np.arange(repeat, 2 * repeat - 1)
-        return float((z[at, clean[at + 1]] - z[at, corrupt[at + 1 - repeat]]).mean())
+        return (x[:, at] * (m.embed[clean[:, at + 1]] - m.embed[corrupt[:, at + 1 - repeat]])).sum(-1).mean(-1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for seq, a, b in zip(pdf["seq"], pdf["clean"], pdf["corrupt"], strict=True):
-                a, b = np.asarray(a), np.asarray(b)
-                z, _, outs = forward(m, a)
-                clean, corrupt = reading(z, a, b), reading(forward(m, b)[0], a, b)
+            for seq, a, b in _alike(pdf, "clean", "corrupt"):
+                x, _, outs, _ = _run(m, m.embed[a])
+                y, _, _, inputs = _run(m, m.embed[b])
+                clean, corrupt = reading(x, a, b), reading(y, a, b)
                 for layer, head in heads:
 
                     def put(i: int, o: np.ndarray, layer=layer, head=head, outs=outs) -> np.ndarray:
                         if i == layer:
                             o = o.copy()
-                            o[head] = outs[layer][head]
+                            o[:, head] = outs[layer][:, head]
                         return o
 
-                    out.append((seq, layer, head, clean, corrupt, reading(forward(m, b, put)[0], a, b)))
-            yield pd.DataFrame(out, columns=["seq", "layer", "head", "clean", "corrupt", "patched"])
+                    yield pd.DataFrame({"seq": seq, "layer": layer, "head": head, "clean": clean, "corrupt": corrupt, "patched": reading(_run(m, inputs[layer], layer, put)[0], a, b)})
 
     return pairs.mapInPandas(run, "seq long, layer long, head long, clean double, corrupt double, patched double")
 

@@ -210,17 +210,21 @@ def kernel_copying(spark, sf):
 def kernel_attention(spark, sf):
     """M2, M8: attention readings of an untrained decoder over a sequence for each document."""
     m = decoder()
-    return A.pair_means(K.attention_rows(A.repeated_blocks(spread(seqs(spark, sf)), 8, len(m.embed), 1), m), 8)
+    once = seqs(spark, sf).distinct()  # equal numbers have equal sequences
+    dealt = once.repartition(4 * spark.sparkContext.defaultParallelism)  # numbers alone are too few bytes for more than a task or two
+    return K.attention_means(A.repeated_blocks(dealt, 8, len(m.embed), 1), m, 8)
 
 
 @query("kernel_patching")
 def kernel_patching(spark, sf):
     """Recovered fractions of each head of an untrained decoder over a pair for each document."""
     m = decoder()
-    make = lambda seed: A.repeated_blocks(seqs(spark, sf), 8, len(m.embed), seed)
+    make = lambda seed: A.repeated_blocks(dealt, 8, len(m.embed), seed)
+    # more tasks than the few bytes of the ids would give; joined where they lie, as both sides are dealt by seq
+    dealt = seqs(spark, sf).repartition(4 * spark.sparkContext.defaultParallelism, "seq")
     clean, other = make(1), make(2)
-    pairs = clean.withColumnRenamed("ids", "clean").join(other.select("seq", F.col("ids").alias("x")), "seq").select("seq", "clean", F.concat(F.slice("x", 1, 8), F.slice("clean", 9, 8)).alias("corrupt"))
-    rows = K.patched_rows(spread(pairs), m, [(i, h) for i in range(2) for h in range(4)], 8)
+    pairs = clean.withColumnRenamed("ids", "clean").join(other.select("seq", F.col("ids").alias("x")).hint("merge"), "seq").select("seq", "clean", F.concat(F.slice("x", 1, 8), F.slice("clean", 9, 8)).alias("corrupt"))
+    rows = K.patched_rows(pairs, m, [(i, h) for i in range(2) for h in range(4)], 8)
     return rows.groupBy("layer", "head").agg(F.avg("patched").alias("patched"), A.recovered(F.avg("patched"), F.avg("corrupt"), F.avg("clean")).alias("fraction"))
 
 

@@ -374,6 +374,26 @@ def test_decoder_is_causal():
     assert np.array_equal(a, same)
 
 
+def test_sequences_run_together_as_alone(spark, monkeypatch):
+    monkeypatch.setattr(K, "TOKENS", 40)
+    m, g = K.random_model(20, 16, 2, 2, 0), np.random.default_rng(1)
+    ids = g.integers(1, 20, (9, 8))
+    z, maps, outs = K.forward(m, ids)
+    for i in range(9):
+        a, b, c = K.forward(m, ids[i])
+        assert np.allclose(z[i], a, atol=1e-12) and np.allclose(maps[:, i], b) and all(np.allclose(x[i], y) for x, y in zip(outs, c, strict=True))
+    rows = [(i, x) for i, x in enumerate(ids.tolist())] + [(9, [1, 2, 1, 2])]
+    df = spark.createDataFrame(rows, "seq long, ids array<int>")
+    want = {(r["seq"], r["layer"], r["head"]): r for r in A.pair_means(K.attention_rows(df, m), 4).collect()}
+    got = {(r["seq"], r["layer"], r["head"]): r for r in K.attention_means(df, m, 4).collect()}
+    assert len(got) == 40 and got.keys() == want.keys()
+    for at, r in got.items():
+        assert all((r[n] is None) == (want[at][n] is None) and (r[n] is None or r[n] == pytest.approx(want[at][n], abs=1e-12)) for n in A.PATTERNS)
+    losses = {(r["seq"], r["pos"]): r["nll"] for r in K.token_losses(df, m).collect()}
+    a = K.forward(m, ids[3])[0]
+    assert len(losses) == 9 * 7 + 3 and losses[3, 2] == pytest.approx(np.log(np.exp(a[2]).sum()) - a[2][ids[3][3]])
+
+
 def test_patching_every_head_of_one_layer_model(spark):
     m = K.random_model(20, 16, 1, 1, 0)
     clean, other = [1, 2, 3, 4, 1, 2, 3, 4], [5, 6, 7, 8, 1, 2, 3, 4]
