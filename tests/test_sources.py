@@ -314,6 +314,16 @@ def test_round_trip(spark):
     assert r["docs"] == 3 and r["failed"] == 0 and r["tokens"] > 2
 
 
+def test_codec_gives_the_files_own_ids_both_ways():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = str(public.path("byte_bpe_50k.json"))
+    t, both = Tokenizer.from_file(path), W.codec(path)
+    for text in ["", "Hello  world\n\n x", "ünïcode ✓ \U0001f600", "a <|endoftext|> b", "  lead", "don't 123 $$$", "\r\n\t", "a\x00b" * 300]:
+        assert both(text) == (len(t.encode(text, add_special_tokens=False).ids), text)
+
+
 def test_stream_totals_and_probe(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = [json.dumps({"run": "a", "step": i, "tokens": i, "loss": 1.0 + i / 10}) for i in range(20)]
