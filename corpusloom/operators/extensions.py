@@ -8,9 +8,10 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
 from .trajectory import placed
 
 #: Fixed value: the base of the polynomial hash.
@@ -106,24 +107,46 @@ def found_results(rows: DataFrame, key: str, tree: str, domain: str, value: str
     return rows.select(key, tree).mapInPandas(run, f"{key} long, found double")
 
 
-def kneser_ney(train: DataFrame, targets: DataFrame, order: int = 5, discount: float = 0.75) -> DataFrame:
+def word_id(word: Column, salt: int) -> Column:
+    """A 64-bit number of a word."""
+    return F.xxhash64(word, F.lit(salt))
+
+
+def kneser_ney(train: DataFrame, targets: DataFrame, order: int = 5, discount: float = 0.75, vocabulary: DataFrame | None = None) -> DataFrame:
     """Adds nll, the loss of interpolated Kneser-Ney of that order. Both: w (array of ``order`` tokens, the last is the target).
 
     The highest order counts grams; a lower one counts in how many different contexts a gram was seen. Each order is two
     grouped tables, joined by gram and by context; an order whose context is unseen passes the lower one on. The lowest
     is uniform over the words seen and one unseen.
+
+    Grams of train are counted once, into a written table; the kinds of each shorter gram are counted from the table of those a
+    token longer. Every different gram of the targets, and every different end of one, is scored once, from the shortest on.
+    Words are numbered by a salted hash, for which a salt is taken that gives no two words one number. ``vocabulary`` (word)
+    holds every word of both, repeated or not, where the caller has them at hand; else they are read off the grams.
     """
-    vocabulary = train.select(F.element_at("w", -1).alias("t")).agg((F.countDistinct("t") + 1.0).alias("v"))
-    out = targets.join(F.broadcast(vocabulary)).withColumn("p", 1.0 / F.col("v")).drop("v")  # one row
-    full = train.groupBy("w").agg(F.count("*").alias("c"))
+    scratch = Scratch(train.sparkSession, "kneser-ney")
+    if vocabulary is None:
+        vocabulary = train.select("w").unionByName(targets.select("w")).select(F.explode("w").alias("word"))
+    vocabulary, salt = scratch.cut(vocabulary.select("word").distinct(), "vocabulary"), 0
+    while vocabulary.count() != vocabulary.select(word_id(F.col("word"), salt)).distinct().count():
+        salt += 1
+    words = [f"_w{i}" for i in range(order)]
+    cut = lambda df: df.select("*", *[word_id(F.col("w")[i], salt).alias(c) for i, c in enumerate(words)])
+    grams = {order: scratch.cut(cut(train).groupBy(*words).agg(F.count("*").alias("c")), f"grams{order}")}
+    asked = {order: scratch.cut(cut(targets).select(*words).distinct(), f"asked{order}")}
+    for k in range(order - 1, 0, -1):
+        grams[k] = scratch.cut(grams[k + 1].groupBy(*words[-k:]).agg(F.count("*").alias("c")), f"grams{k}")
+        asked[k] = scratch.cut(asked[k + 1].select(*words[-k:]).distinct(), f"asked{k}")
+    seen = grams[1].agg((F.count("*") + 1.0).alias("v"))
+    lower = None
     for k in range(1, order + 1):
-        tail = lambda n: F.slice("w", F.lit(order - n + 1), F.lit(n))
-        if k == order:
-            gram = full.select(F.col("w").alias("g"), "c")
-        else:  # one for every different gram that is a token longer
-            gram = full.select(tail(k + 1).alias("l")).distinct().groupBy(F.slice("l", F.lit(2), F.lit(k)).alias("g")).agg(F.count("*").alias("c"))
-        context = gram.groupBy(F.slice("g", F.lit(1), F.lit(k - 1)).alias("h")).agg(F.sum("c").alias("n"), F.count("*").alias("kinds"))
-        out = out.withColumn("g", tail(k)).withColumn("h", F.slice("w", F.lit(order - k + 1), F.lit(k - 1))).join(gram, "g", "left").join(context, "h", "left")
-        seen = F.greatest(F.coalesce("c", F.lit(0)) - discount, F.lit(0.0)) / F.col("n") + discount * F.col("kinds") / F.col("n") * F.col("p")
-        out = out.withColumn("p", F.when(F.col("n").isNull(), F.col("p")).otherwise(seen)).drop("g", "h", "c", "n", "kinds")
-    return out.withColumn("nll", -F.log("p")).drop("p")
+        g, h = words[-k:], words[-k:-1]
+        out = asked[k].join(grams[k], g, "left")
+        context = grams[k].groupBy(*h).agg(F.sum("c").alias("n"), F.count("*").alias("kinds"))
+        if lower is None:  # one row each
+            out = out.join(F.broadcast(seen)).withColumn("p", 1.0 / F.col("v")).join(F.broadcast(context))
+        else:
+            out = out.join(context, h, "left").join(lower, g[1:])
+        own = F.greatest(F.coalesce("c", F.lit(0)) - discount, F.lit(0.0)) / F.col("n") + discount * F.col("kinds") / F.col("n") * F.col("p")
+        lower = scratch.cut(out.select(*g, F.when(F.col("n").isNull(), F.col("p")).otherwise(own).alias("p")), f"scored{k}")
+    return cut(targets).join(lower, words).withColumn("nll", -F.log("p")).drop("p", *words)

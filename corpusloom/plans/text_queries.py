@@ -198,8 +198,10 @@ def kneser_ney_null(spark, sf):
     own = d.select("lang", "held", F.concat(F.array(F.lit("<sep>"), F.lit("<sep>")), "tokens", F.array(F.lit("<sep>"))).alias("t"))
     later = lambda i: F.slice("t", F.lit(i + 1), F.size("t") - 2)
     grams = own.select("lang", "held", F.explode_outer(F.arrays_zip(*[later(i).alias(f"t{i}") for i in range(3)])).alias("z")).select("lang", "held", F.array("z.t0", "z.t1", "z.t2").alias("w"))
-    scored = kneser_ney(grams.filter(~F.col("held")).select("w"), grams.filter("held").select("lang", "w"), 3)
-    return scored.groupBy("lang").agg(F.count("*").alias("tokens"), F.avg("nll").alias("nll"))
+    asked = Scratch(spark, "asked").cut(grams.filter("held").groupBy("lang", "w").agg(F.count("*").alias("n")), "grams")  # each different one once
+    vocabulary = d.select(F.explode_outer(F.concat("tokens", F.array(F.lit("<sep>")))).alias("word"))
+    scored = kneser_ney(grams.filter(~F.col("held")).select("w"), asked, 3, vocabulary=vocabulary)
+    return scored.groupBy("lang").agg(F.sum("n").alias("tokens"), (F.sum(F.col("nll") * F.col("n")) / F.sum("n")).alias("nll"))
 
 
 QUERIES["kneser_ney_null"] = kneser_ney_null

@@ -450,6 +450,19 @@ def test_kneser_ney_equals_brute_force(spark):
     assert sum(p(("a", "b", x), order) for x in "abcd") < 1
 
 
+def test_kneser_ney_reads_its_train_rows_twice_at_most(spark, monkeypatch):
+    """Once for the words and once for the grams; and words that a hash would put together stay apart."""
+    number, read = E.word_id, spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(E, "word_id", lambda word, salt: number(word, salt) if salt > 1 else F.pmod(number(word, salt), F.lit(2)))
+    seen = F.udf(lambda w: read.add(1) or w, "array<string>").asNondeterministic()
+    rows = spark.createDataFrame([(list("abc"),), (list("bca"),), (list("cab"),)], "w array<string>").select(seen("w").alias("w"))
+    got = E.kneser_ney(rows, spark.createDataFrame([(list("abc"),), (list("abz"),)], "w array<string>"), 3)
+    p1 = (1 - 0.75) / 3 + 0.75 / 4, 0.75 / 4  # each word is seen after one other
+    p3 = [0.25 + 0.75 * (0.25 + 0.75 * p1[0]), 0.75 * 0.75 * p1[1]]
+    assert {"".join(r["w"]): r["nll"] for r in got.collect()} == {x: pytest.approx(-math.log(p)) for x, p in zip(("abc", "abz"), p3, strict=True)}
+    assert read.value <= 6
+
+
 def test_scan_reads_only_its_columns(spark):
     import os
 
