@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SEPARATOR, draw, gram_text, grams
+from ..sources.scratch import Scratch
 from ..sources.tables import bounded
 from .blocks import token_blocks
 
@@ -28,8 +29,8 @@ def gram_hits(docs: DataFrame, tokens: str, keep: list[str], held: DataFrame, n:
 
 def split_contaminated(docs: DataFrame, key: str, tokens: str, held: DataFrame, n: int) -> DataFrame:
     """Documents with a flag ``dropped``: some window is a held-out gram."""
-    bad = gram_hits(docs, tokens, [key], held, n).select(key).distinct().withColumn("dropped", F.lit(True))
-    return docs.join(bad, key, "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)))
+    bad = Scratch(docs.sparkSession, "dropped").cut(gram_hits(docs, tokens, [key], held, n).select(key).distinct(), "keys")
+    return docs.join(bounded(bad.withColumn("dropped", F.lit(True))), key, "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)))
 
 
 def counters(flagged: DataFrame, tokens: str) -> DataFrame:
@@ -51,11 +52,21 @@ def stream_grams(docs: DataFrame, order: str, tokens: str, n: int, by: list[str]
 
 
 def residual(kept: DataFrame, items: DataFrame, order: str, tokens: str, n: int, shard: Column, item_order: str) -> DataFrame:
-    """Windows of each kept shard, across documents, that are held-out grams, also across items."""
-    held = stream_grams(items, item_order, tokens, n, []).select("h", F.col("gram").alias("held_gram")).distinct()
-    own = kept.withColumn("shard", shard)
-    found = stream_grams(own, order, tokens, n, ["shard"], text=False).join(bounded(held), "h").filter(gram_text("t", n) == F.col("held_gram"))
-    return own.select("shard").distinct().join(found.groupBy("shard").count(), "shard", "left").select("shard", F.coalesce("count", F.lit(0)).alias("windows"))
+    """Windows of each kept shard, across documents, that are held-out grams, also across items.
+
+    Windows inside a document are sought where it lies. Those across documents are made of the n - 1 tokens at their ends, so only
+    these are brought together, with a null between the two ends of one document; a short document goes whole.
+    """
+    held = bounded(stream_grams(items, item_order, tokens, n, []).select("h", F.col("gram").alias("held_gram")).distinct())
+    own = kept.select(shard.alias("shard"), order, F.concat(tokens, F.array(F.lit(SEPARATOR))).alias("_stream"))
+    size = F.size("_stream")
+    ends = F.concat(F.slice("_stream", F.lit(1), F.lit(n - 1)), F.array(F.lit(None).cast("string")), F.slice("_stream", size - n + 2, F.lit(n - 1)))
+    ends = own.select("shard", order, F.when(size > 2 * n - 2, ends).otherwise(F.col("_stream")).alias("_ends"))
+    inside = grams(own.filter(size > 2 * n - 2), "_stream", n, ["shard"], text=False)
+    across = grams(token_blocks(ends, order, "_ends", ["shard"], overlap=n - 1), "tokens", n, ["shard"], text=False)
+    whole = F.concat(*[F.col(f"t.t{i}") for i in range(n)]).isNotNull()  # no null in it
+    found = [w.join(held, "h").filter((gram_text("t", n) == F.col("held_gram")) & whole).select("shard") for w in (inside, across)]
+    return own.select("shard").distinct().join(found[0].unionByName(found[1]).groupBy("shard").count(), "shard", "left").select("shard", F.coalesce("count", F.lit(0)).alias("windows"))
 
 
 def sampled_grams(splits: DataFrame, split: str, key: str, tokens: str, n: int, k: int, seed: int) -> DataFrame:

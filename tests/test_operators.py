@@ -109,6 +109,20 @@ def test_residual_sees_across_documents(spark):
     assert left == {0: 2, 1: 0}  # b <sep> c <sep> and <sep> c <sep> d, each over documents of shard 0 and over items
 
 
+def test_residual_brings_only_ends_together(spark, monkeypatch):
+    g, n, asked = np.random.default_rng(5), 3, []
+    docs = [(i, g.choice(["a", "b", "<sep>"], int(k)).tolist()) for i, k in enumerate(g.choice([0, 1, 2, 3, 4, 5, 9, 30], 60))]
+    held = [(0, ["a", "b"]), (1, ["b", "a", "a"]), (2, []), (3, ["b"])]
+    of = lambda rows: [w for _, t in rows for w in [*t, "<sep>"]]
+    windows = lambda t: [tuple(t[i : i + n]) for i in range(len(t) - n + 1)]
+    want = {s: sum(w in set(windows(of(held))) for w in windows(of(docs[20 * s : 20 * s + 20]))) for s in range(3)}
+    plain = D.token_blocks
+    monkeypatch.setattr(D, "token_blocks", lambda df, order, tokens, *a, **k: asked.append(df.agg(F.max(F.size(tokens))).first()[0]) or plain(df, order, tokens, *a, **k))
+    d, h = spark.createDataFrame(docs, "k long, t array<string>"), spark.createDataFrame(held, "k long, t array<string>")
+    got = D.residual(d, h, "k", "t", n, F.floor(F.col("k") / 20), "k").collect()
+    assert {r["shard"]: r["windows"] for r in got} == want and max(asked) <= 2 * n - 1
+
+
 @pytest.mark.parametrize("size", [7, 50])
 def test_windows_cross_blocks(spark, size):
     g = np.random.default_rng(1)
