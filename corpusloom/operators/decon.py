@@ -70,12 +70,20 @@ def residual(kept: DataFrame, items: DataFrame, order: str, tokens: str, n: int,
 
 
 def sampled_grams(splits: DataFrame, split: str, key: str, tokens: str, n: int, k: int, seed: int) -> DataFrame:
-    """K windows of each split, the least by a hash of their place."""
+    """K windows of each split, the least by a hash of their place; a written table.
+
+    The k-th least hash is found from the hashes alone; only windows up to it are put together.
+    """
     all_of = grams(splits, tokens, n, [split, key], text=False).withColumn("d", draw(seed, F.col(split), F.col(key), F.col("at")))
     # the least k of each of 64 parts first, so no task sees a whole split
-    part = all_of.withColumn("p", F.pmod(F.col("d"), F.lit(64)))
-    few = part.withColumn("r", F.row_number().over(Window.partitionBy(split, "p").orderBy("d", key, "at"))).filter(F.col("r") <= k)
-    return few.withColumn("r", F.row_number().over(Window.partitionBy(split).orderBy("d", key, "at"))).filter(F.col("r") <= k).select(split, "r", "h", gram_text("t", n).alias("gram"))
+    part = all_of.select(split, "d", F.pmod(F.col("d"), F.lit(64)).alias("p"))
+    few = part.withColumn("r", F.row_number().over(Window.partitionBy(split, "p").orderBy("d"))).filter(F.col("r") <= k)
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy(split).orderBy("d"))).filter(F.col("r") <= k)
+    scratch = Scratch(splits.sparkSession, "sampled-grams")
+    last = bounded(scratch.cut(few.groupBy(split).agg(F.max("d").alias("last")), "last"))
+    near = all_of.join(last, split).filter(F.col("d") <= F.col("last"))
+    few = near.withColumn("r", F.row_number().over(Window.partitionBy(split).orderBy("d", key, "at"))).filter(F.col("r") <= k)
+    return scratch.cut(few.select(split, "r", "h", gram_text("t", n).alias("gram")), "grams")
 
 
 def leak_report(splits: DataFrame, train: DataFrame, split: str, key: str, tokens: str, n: int, k: int, seed: int) -> DataFrame:

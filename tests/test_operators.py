@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import grams, strip, words
+from corpusloom.functions.text import draw, grams, strip, words
 from corpusloom.operators import attention as A
 from corpusloom.operators import blocks as B
 from corpusloom.operators import corpus as C
@@ -200,6 +200,19 @@ def test_planted_leak(spark):
     assert flags == {1: True, 2: True, 3: False}
 
 
+def test_sampled_grams_are_the_least_and_written_once(spark):
+    g = np.random.default_rng(2)
+    rows = [(i % 40, "vt"[i % 2], g.choice(list("abc"), int(k)).tolist()) for i, k in enumerate(g.integers(0, 30, 80))]  # each key twice
+    df = spark.createDataFrame(rows, "k long, s string, t array<string>")
+    every = grams(df, "t", 3, ["s", "k"]).withColumn("d", draw(9, F.col("s"), F.col("k"), F.col("at"))).collect()
+    picked = D.sampled_grams(df, "s", "k", "t", 3, 8, 9)
+    assert picked.inputFiles()  # it is read several times
+    for s in "vt":
+        own = sorted((r["d"], r["k"], r["at"], r["gram"]) for r in every if r["s"] == s)
+        got = {r["r"]: r["gram"] for r in picked.filter(F.col("s") == s).collect()}
+        assert sorted(got) == list(range(1, 9)) and all(got[i] in {x[3] for x in own if x[:3] == own[i - 1][:3]} for i in got)
+
+
 def test_control_fails_with_broken_search(spark, monkeypatch):
     s = spark.createDataFrame([(1, "val", [str(i) for i in range(40)])], "i long, split string, w array<string>")
     train = spark.createDataFrame([(2, "train", [str(i) for i in range(100, 140)])], "i long, split string, w array<string>")
