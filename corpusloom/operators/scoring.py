@@ -13,6 +13,9 @@ from ..functions.text import SEPARATOR, draw
 from ..sources.scratch import Scratch
 from .corpus import running
 
+#: Draws of a bootstrap that one task makes, about.
+DRAWS = 1 << 20
+
 
 def token_stream(docs: DataFrame, order: str, tokens: str, by: str) -> DataFrame:
     """(by, pos, prev, tok): documents of a domain joined by separators, positions from 0.
@@ -89,12 +92,14 @@ def icl_score(losses: DataFrame, by: list[str]) -> DataFrame:
 def resampled(units: DataFrame, resamples: int, seed: int, by: list[str] | None = None, unit: str = "unit") -> DataFrame:
     """(r, unit, times): how often each unit is drawn in each resample; draws are hashes of (seed, r, j).
 
-    Unit j makes draw j of every resample, so draws are made where the units lie; only their counts are shuffled, and a
-    unit row is joined at most once per resample however many draws hit it.
+    Unit j makes draw j of every resample; units are few and are dealt out first, so that no task makes more than about
+    ``DRAWS`` draws. Only counts of draws are shuffled, and a unit row is joined at most once per resample however many draws hit it.
     """
     by = by or []
     size = units.groupBy(*by).agg(F.count("*").alias("n"))
     each = units.select(*by, F.col(unit).cast("long").alias("j"))
+    if (tasks := units.count() * resamples // DRAWS + 1) > 1:
+        each = each.repartition(tasks, *by, "j")
     draws = (each.join(size, by) if by else each.join(F.broadcast(size))).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))  # one row without ``by``
     return draws.select(*by, "r", F.pmod(draw(seed, F.col("r"), F.col("j")), F.col("n")).alias(unit)).groupBy(*by, "r", unit).agg(F.count("*").alias("times"))
 

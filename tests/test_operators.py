@@ -165,6 +165,15 @@ def test_bootstrap_of_any_statistic(spark):
         assert (got["point"], got["ci_low"], got["ci_high"], got["units"]) == (pytest.approx(plain(x)), pytest.approx(np.percentile(want, 2.5)), pytest.approx(np.percentile(want, 97.5)), 150)
 
 
+def test_draws_are_dealt_over_tasks(spark, monkeypatch):
+    units, counts = spark.range(50).select(F.col("id").alias("unit")).coalesce(1), lambda df: {(r["r"], r["unit"]): r["times"] for r in df.collect()}
+    whole = counts(S.resampled(units, 20, 3))
+    monkeypatch.setattr(S, "DRAWS", 100)
+    dealt = S.resampled(units, 20, 3)
+    assert "hashpartitioning(j#" in (plan := dealt._jdf.queryExecution().executedPlan().toString()) and ", 11), REPARTITION_BY_NUM" in plan
+    assert counts(dealt) == whole and sum(whole.values()) == 1000
+
+
 def test_sequence_logprob(spark):
     rows = spark.createDataFrame([("a", 0, 9.0), ("a", 1, 1.5), ("a", 2, 2.0), ("b", 0, 1.0), ("b", 1, 0.25)], "item string, pos long, nll double")
     assert {r["item"]: r["logprob"] for r in S.sequence_logprob(rows, ["item"], "pos", "nll", 3).collect()} == {"a": -3.5, "b": -0.25}
