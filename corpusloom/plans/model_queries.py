@@ -9,6 +9,7 @@ from ..functions.text import draw, sql_draw
 from ..operators import attention as A
 from ..operators import kernel as K
 from ..operators import scoring as S
+from ..sources.scratch import Scratch
 from ..sources.tables import spread, table
 from .text_queries import _D, _V, docs
 
@@ -141,7 +142,7 @@ def bootstrap_ci(spark, sf):
     from ..operators.corpus import running
 
     u = table(spark, sf, "events").groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("m"), F.count("*").alias("n"))
-    u = running(u, "user_id", F.lit(1), "unit").select("unit", "m", "n")
+    u = Scratch(spark, "units").cut(running(u, "user_id", F.lit(1), "unit").select("unit", "m", "n"), "units")
     out = S.bootstrap(u, lambda k: F.sum(F.col("m") * F.col("n") * k) / F.sum(F.col("n") * k), 200, 12)
     return out.select("units", *[F.round(c, 6).alias(c) for c in ("point", "ci_low", "ci_high")])
 
@@ -152,6 +153,7 @@ SELECT layer, head, round(any_value(p), 6) AS point, round(quantile_cont(s, 0.02
 def head_intervals(spark, sf):
     """An interval for every head, from the same draws of sequences."""
     u = A.pair_means(attn(spark, sf), _R).select("layer", "head", F.col("seq").alias("unit"), F.col("prev_token").alias("v"))
+    u = Scratch(spark, "units").cut(u, "units")
     out = S.bootstrap(u, lambda k: F.sum(F.col("v") * k) / F.sum(k + F.lit(0)), 100, 13, by=["layer", "head"])
     return out.select("layer", "head", *[F.round(c, 6).alias(c) for c in ("point", "ci_low", "ci_high")])
 
