@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .corpus import running
 
 SIZE = 1 << 16
+#: Bytes of text in a bucket of a written table of blocks, about.
+BUCKET_BYTES = 16 << 20
 
 
 def token_blocks(docs: DataFrame, order: str, tokens: str, by: list[str] | None = None, size: int = SIZE, overlap: int = 0) -> DataFrame:
@@ -29,6 +31,11 @@ def token_blocks(docs: DataFrame, order: str, tokens: str, by: list[str] | None
     return blocks.select(*by, "block", (F.col("block") * size).alias("at"), F.flatten(F.transform("l", lambda x: x["t"])).alias("tokens"))
 
 
+def buckets_of(size: int) -> int:
+    """Buckets for that many bytes of text: one task reads one of them."""
+    return max(8, -(-size // BUCKET_BYTES))
+
+
 def save_blocks(blocks: DataFrame, name: str, path: str, by: list[str] | None = None, buckets: int = 8) -> DataFrame:
     """Blocks as a table bucketed by (by, block): reading windows then moves the picks only, never the tokens."""
     keys = [*(by or []), "block"]

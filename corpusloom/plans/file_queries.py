@@ -59,7 +59,8 @@ def mixture_windows(spark, sf):
     d = d.select("doc_id", F.col("lang").alias("domain"), F.concat(words(F.col("text")), F.array(F.lit("<sep>"))).alias("t"))
     scratch = Scratch(spark, "blocks")
     name = "corpusloom_" + scratch.root.rsplit("-", 1)[-1]
-    blocks = B.save_blocks(B.token_blocks(d, "doc_id", "t", ["domain"], 4096), name, scratch.path("table"), ["domain"])
+    size = table(spark, sf, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = B.save_blocks(B.token_blocks(d, "doc_id", "t", ["domain"], 4096), name, scratch.path("table"), ["domain"], B.buckets_of(size))
     sizes = blocks.groupBy("domain").agg(F.sum(F.size("tokens")).alias("tokens"))
     picks = C.mixture(sizes, _MIX, _CTX, 2000, 7)
     read = B.batch(B.windows(blocks, picks, _CTX + 1, ["domain"], 4096))

@@ -149,6 +149,10 @@ def test_bucketed_blocks_are_not_shuffled(spark, tmp_path):
     spark.sql("DROP TABLE bucketed_blocks_test")
 
 
+def test_buckets_grow_with_the_text():
+    assert B.buckets_of(0) == 8 and all(n / B.buckets_of(n) <= 16 << 20 for n in (1 << 20, 1 << 28, 10 << 30))
+
+
 def test_bootstrap_of_any_statistic(spark):
     g = np.random.default_rng(2)
     values = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(g.normal(5, 2, 150), g.uniform(1, 3, 150), strict=True))]
