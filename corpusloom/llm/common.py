@@ -70,6 +70,10 @@ class Scratch:
         (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def all_of(self, names: list[str], schema) -> DataFrame:
+        """Written tables of one schema as one scan: a plan does not grow with their number."""
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}" for name in names])
+
     def drop(self, *names: str) -> None:
         """Remove tables that no later plan reads; no name at all removes everything."""
         jvm = self.spark.sparkContext._jvm

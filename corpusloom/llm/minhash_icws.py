@@ -354,23 +354,29 @@ def _may_link(x: str, y: str, t: float):
     return (most(x, y) >= need) & (most(y, x) >= need)
 
 
+def _met(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by sorting. The rounds join dozens of small tables; broadcast, each of them would be collected and built as a table
+    in the driver, which then holds many at a time."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch: Scratch, threshold: float = THRESHOLD, near: float = NEAR) -> DataFrame:
     """Compared pairs (doc, leader, sim) that link the similar members of every bucket. ``node``: doc, bands; ``texts``: doc, text."""
     sent = scratch.spark.sparkContext.broadcast(weights)  # once, not with the function of every round
     member = node.select("doc", F.explode("bands").alias("key"))
     size = member.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    member = scratch.cut(member.join(size, "key"), "members")
+    member = scratch.cut(_met(member, size, "key"), "members")
     # representatives are those that share most buckets with others; a number that tells that, and the document, in one
     rank = F.shiftleft(F.least(F.sum("n"), F.lit(1 << 20)), 42).bitwiseOR(F.xxhash64("doc").bitwiseAND(F.lit((1 << 42) - 1)))
     central = scratch.cut(member.groupBy("doc").agg(rank.alias("rank")), "central")
     # the texts of documents that share a bucket, taken out of the corpus once
-    texts = scratch.cut(texts.join(central.select("doc").hint("merge"), "doc", "left_semi"), "texts")
+    texts = scratch.cut(_met(texts, central.select("doc"), "doc", "left_semi"), "texts")
 
     def led(rows: DataFrame) -> DataFrame:
         """(chain, doc, leader): every member of a group (chain, key) and its representative. ``rows``: chain, key, doc, rank."""
         lead = rows.groupBy("chain", "key").agg(F.max("rank").alias("top"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
-        told = rows.join(lead, ["chain", "key"]).select("chain", "doc", "top").distinct()
-        return told.join(central.select(F.col("doc").alias("leader"), F.col("rank").alias("top")), "top").filter(F.col("doc") != F.col("leader")).select("chain", "doc", "leader")
+        told = _met(rows, lead, ["chain", "key"]).select("chain", "doc", "top").distinct()
+        return _met(told, central.select(F.col("doc").alias("leader"), F.col("rank").alias("top")), "top").filter(F.col("doc") != F.col("leader")).select("chain", "doc", "leader")
 
     def spread(rows: DataFrame, *names: str) -> DataFrame:
         """Rows dealt out so that no task names more than about ``NAMES`` of their array elements."""
@@ -379,97 +385,98 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
 
     def compared(ask: DataFrame, name: str, texts: DataFrame, told: DataFrame | None = None) -> DataFrame:
         if told is not None:
-            ask = ask.join(told.select("doc", "leader"), ["doc", "leader"], "left_anti")
-        ask = ask.join(texts.hint("merge"), "doc").join(texts.select(F.col("doc").alias("leader"), F.col("text").alias("leader_text")).hint("merge"), "leader")
+            ask = _met(ask, told.select("doc", "leader"), ["doc", "leader"], "left_anti")
+        ask = _met(_met(ask, texts, "doc"), texts.select(F.col("doc").alias("leader"), F.col("text").alias("leader_text")), "leader")
         return scratch.cut(ask.select("doc", "leader", "text", "leader_text").mapInArrow(_compared(sent, threshold, near), COMPARED), name)
 
     # rounds: members of a group against its representative; those far from it form the groups of the next round
-    group = member.join(central, "doc").select(F.lit(0).cast("long").alias("chain"), "key", "doc", "rank")
+    group = _met(member, central, "doc").select(F.lit(0).cast("long").alias("chain"), "key", "doc", "rank")
     apart = 1 - threshold + 1e-6
-    tried, parts, k, open_texts = None, [], 0, texts
+    tried = lambda: scratch.all_of(tables, COMPARED)
+    tables, parts, k, open_texts = [], [], 0, texts
     while True:
         told = scratch.cut(led(group), f"told{k}")
         if told.isEmpty():
             break
         if k:  # later rounds compare few documents: only their texts are dealt out
             asked = told.select("doc").unionByName(told.select(F.col("leader").alias("doc"))).distinct()
-            open_texts = scratch.cut(open_texts.join(asked.hint("merge"), "doc", "left_semi"), f"texts{k}")
-        done = compared(told.select("doc", "leader").distinct(), f"compared{k}", open_texts, tried)
-        tried = done if tried is None else tried.unionByName(done)
-        seen = told.join(tried, ["doc", "leader"]).withColumn("chain", F.xxhash64("chain", "leader"))
+            open_texts = scratch.cut(_met(open_texts, asked, "doc", "left_semi"), f"texts{k}")
+        compared(told.select("doc", "leader").distinct(), f"compared{k}", open_texts, tried() if tables else None)
+        tables.append(f"compared{k}")
+        seen = _met(told, tried(), ["doc", "leader"]).withColumn("chain", F.xxhash64("chain", "leader"))
         open_ = seen.groupBy("chain").agg(F.min("stands").alias("least"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("least") < SIMILAR)).select("chain")
-        parts.append(scratch.cut(seen.join(open_, "chain").join(central, "doc"), f"seen{k}"))
-        others = parts[-1].filter(F.col("stands") == FAR).select("chain", "doc", "rank", "prefix")
-        others = others.join(others.groupBy("chain").count().filter("count > 1").select("chain"), "chain", "left_semi")
+        parts.append(f"seen{k}")
+        others = scratch.cut(_met(_met(seen, open_, "chain"), central, "doc"), f"seen{k}")
+        kind = others.schema
+        others = others.filter(F.col("stands") == FAR).select("chain", "doc", "rank", "prefix")
+        others = _met(others, others.groupBy("chain").count().filter("count > 1").select("chain"), "chain", "left_semi")
         group = spread(others, "prefix").select("chain", "doc", "rank", F.explode("prefix").alias("key"))
         k += 1
-    if tried is None:
+    if not tables:
         return node.sparkSession.createDataFrame([], "doc long, leader long, sim double")
-    seen = parts[0]
-    for part in parts[1:]:
-        seen = seen.unionByName(part)
+    seen = scratch.all_of(parts, kind)
     kin = spread(seen.filter(F.col("stands") == RING).select("chain", "doc", "rank", "short"), "short").select("chain", "doc", "rank", F.explode("short").alias("key"))
-    done = compared(led(kin).select("doc", "leader").distinct(), "families", texts, tried)
-    tried = tried.select("doc", "leader", "sim", "plain").unionByName(done.select("doc", "leader", "sim", "plain"))
+    compared(led(kin).select("doc", "leader").distinct(), "families", texts, tried())
+    tables.append("families")
     linked = F.greatest("sim", "plain") >= threshold
-    found = tried.filter(linked).drop("plain")
-    classes = lambda links, name: central.select("doc").join(components(links, Scratch(scratch.spark, f"icws-{name}")), "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"))
+    links = lambda: tried().filter(linked).select("doc", "leader", "sim")
+    classes = lambda of, name: _met(central.select("doc"), components(of, Scratch(scratch.spark, f"icws-{name}")), "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"))
 
     def merged(of: DataFrame, links: DataFrame) -> DataFrame:
         """Classes after the links of a turn, which are stars: each goes to the least class that it is linked with, and on to the
         least that this one is linked with. Chains may stay apart here; only pairs that need not be compared depend on it."""
         a, b = of.select("doc", F.col("class").alias("a")), of.select(F.col("doc").alias("leader"), F.col("class").alias("b"))
-        links = links.join(a, "doc").join(b, "leader").filter("a != b").select("a", "b").distinct()
+        links = _met(_met(links, a, "doc"), b, "leader").filter("a != b").select("a", "b").distinct()
         links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = links.groupBy("a").agg(F.least("a", F.min("b")).alias("to"))
-        to = to.join(to.select(F.col("a").alias("to"), F.col("to").alias("far")), "to").select(F.col("a").alias("class"), "far")
-        return of.join(to, "class", "left").select("doc", F.coalesce("far", "class").alias("class"))
+        to = _met(to, to.select(F.col("a").alias("to"), F.col("to").alias("far")), "to").select(F.col("a").alias("class"), "far")
+        return _met(of, to, "class", "left").select("doc", F.coalesce("far", "class").alias("class"))
 
-    of = classes(found, "families")
-    seen = seen.join(of, "doc").drop("rank")
+    of = scratch.cut(classes(links(), "families"), "classes")
+    seen = _met(seen, of, "doc").drop("rank")
     # only groups of several classes that hold both sides of a pair are named
     far, ring = F.col("stands") == FAR, F.col("stands") == RING
     to_ring, to_far = far & (F.col("sim") >= near - apart), ring & (F.col("sim") <= near + apart)
     sides = seen.groupBy("chain").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(ring).alias("has_ring"), (F.max(to_ring) & F.max(to_far)).alias("has_both"))
     sides = sides.filter("low < high and has_ring").drop("low", "high", "has_ring")
-    seen = scratch.cut(seen.join(sides, "chain"), "classes-so-far")
+    seen = scratch.cut(_met(seen, sides, "chain"), "classes-so-far")
     # joined by shared names, between classes; first only the names, then what the bounds need
     named = lambda c, kind, use: spread(seen.filter(kind).select("chain", "doc", "class", c), c).select("chain", "doc", "class", F.lit(use).alias("use"), F.explode(c).alias("key"))
     rows = named("short", ~far, 0).unionByName(named("rest", ring, 1))
     rows = rows.unionByName(named("prefix", to_ring & F.col("has_both"), 2)).unionByName(named("prefix", to_far & F.col("has_both"), 3))
     shared = rows.groupBy("chain", (F.col("use") >= 2).alias("whole"), "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("chain", "whole", "key")
-    rows = scratch.cut(rows.withColumn("whole", F.col("use") >= 2).join(shared, ["chain", "whole", "key"], "left_semi"), "shared")
+    rows = scratch.cut(_met(rows.withColumn("whole", F.col("use") >= 2), shared, ["chain", "whole", "key"], "left_semi"), "shared")
     wide = seen.select("chain", "doc", "stands", "sim", "away", "base", "added", "added_least", "lacking", "lacking_least", "bits")
     # turns: the members that share a name against one of them, another one in each turn, while classes grow together
-    tried = tried.select("doc", "leader")
-    either = lambda: tried.unionByName(tried.select(F.col("leader").alias("doc"), F.col("doc").alias("leader")))
+    ways = F.array(F.struct("doc", "leader"), F.struct(F.col("leader").alias("doc"), F.col("doc").alias("leader")))
+    either = lambda: tried().select(F.inline(ways))
     for turn in range(TURNS):
-        now = rows.filter(~F.col("whole")).select("chain", "key", "doc").join(of, "doc")
+        now = _met(rows.filter(~F.col("whole")).select("chain", "key", "doc"), of, "doc")
         first = F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("at"), F.col("doc").alias("leader"), F.col("class").alias("led"))).alias("first")
         lead = now.groupBy("chain", "key").agg(first, F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("chain", "key", "first.leader", "first.led")
-        star = now.join(lead, ["chain", "key"]).filter("class != led").select("chain", "doc", "leader").distinct().alias("s")
+        star = _met(now, lead, ["chain", "key"]).filter("class != led").select("chain", "doc", "leader").distinct().alias("s")
         x, y = wide.alias("x"), wide.alias("y")
-        star = star.join(x, (F.col("s.chain") == F.col("x.chain")) & (F.col("s.doc") == F.col("x.doc"))).join(y, (F.col("s.chain") == F.col("y.chain")) & (F.col("s.leader") == F.col("y.doc")))
+        star = _met(_met(star, x, (F.col("s.chain") == F.col("x.chain")) & (F.col("s.doc") == F.col("x.doc"))), y, (F.col("s.chain") == F.col("y.chain")) & (F.col("s.leader") == F.col("y.doc")))
         star = star.filter((F.abs(F.col("x.sim") - F.col("y.sim")) <= apart) & _may_link("x", "y", threshold)).select("s.doc", "s.leader").distinct()
         done = compared(star, f"turn{turn}", texts, either())
         link = done.filter(linked).select("doc", "leader", "sim")
         n, hits = done.agg(F.count("*"), F.count_if(linked)).first()
-        tried = tried.unionByName(done.select("doc", "leader"))
+        tables.append(f"turn{turn}")
         if hits:
-            found = found.unionByName(link)
             of = scratch.cut(merged(of, link), f"classes{turn}")
         if hits <= n * WORTH:
             break
-    rows = rows.drop("class").join(of, "doc").join(wide, ["chain", "doc"])
+    rows = _met(_met(rows.drop("class"), of, "doc"), wide, ["chain", "doc"])
     x, y = rows.alias("x"), rows.alias("y")
     other = (F.col("x.chain") == F.col("y.chain")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & (F.abs(F.col("x.sim") - F.col("y.sim")) <= apart)
     of_ring = (F.col("y.stands") == SIMILAR) | (F.col("x.use") == 0) & (F.col("x.doc") < F.col("y.doc"))
-    near_pair = x.filter((F.col("stands") == RING) & (F.col("use") <= 1)).join(y.filter(F.col("use") == 0), other & of_ring & _may_link("x", "y", threshold))
-    far_pair = x.filter(F.col("use") == 2).join(y.filter(F.col("use") == 3), other)
+    near_pair = _met(x.filter((F.col("stands") == RING) & (F.col("use") <= 1)), y.filter(F.col("use") == 0), other & of_ring & _may_link("x", "y", threshold))
+    far_pair = _met(x.filter(F.col("use") == 2), y.filter(F.col("use") == 3), other)
     pair = [F.col("x.doc").alias("doc"), F.col("y.doc").alias("leader")]
     ask = scratch.cut(near_pair.select(*pair).unionByName(far_pair.select(*pair)).distinct(), "ask")
-    last = compared(ask, "last", texts, either()).filter(linked)
-    return found.unionByName(last.select("doc", "leader", "sim"))
+    compared(ask, "last", texts, either())
+    tables.append("last")
+    return links()
 
 
 def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -480,10 +487,10 @@ def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     k = 0
     while True:
         to = label.select(F.col("a").alias("b"), F.col("label").alias("seen"))
-        near = edge.join(to, "b").groupBy("a").agg(F.min("seen").alias("seen"))
-        step = label.join(near, "a").select("a", "label", F.least("label", "seen").alias("next"))
+        near = _met(edge, to, "b").groupBy("a").agg(F.min("seen").alias("seen"))
+        step = _met(label, near, "a").select("a", "label", F.least("label", "seen").alias("next"))
         jump = label.select(F.col("a").alias("next"), F.col("label").alias("far"))
-        step = scratch.cut(step.join(jump, "next").select("a", "label", F.least("next", "far").alias("next")), f"label{k + 1}")
+        step = scratch.cut(_met(step, jump, "next").select("a", "label", F.least("next", "far").alias("next")), f"label{k + 1}")
         if step.filter(F.col("label") != F.col("next")).isEmpty():
             break
         label = step.select("a", F.col("next").alias("label"))
@@ -503,17 +510,17 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: float = THRESH
     # a node for each different text, named by its first row; a text without words is a node of its own
     node = scratch.cut(each.filter(F.col("c1").isNotNull()).groupBy("c1", "c2", "bands").agg(F.min("row").alias("doc")), "nodes")
     pairs = similar_pairs(node.select("doc", "bands"), text.select(F.col("row").alias("doc"), "text"), weights, scratch, threshold)
-    of = each.select("row", "doc_id", "c1", "c2").join(node.select("c1", "c2", "doc"), ["c1", "c2"], "left").select("row", "doc_id", F.coalesce("doc", "row").alias("doc"))
+    of = _met(each.select("row", "doc_id", "c1", "c2"), node.select("c1", "c2", "doc"), ["c1", "c2"], "left").select("row", "doc_id", F.coalesce("doc", "row").alias("doc"))
     of = scratch.cut(of, "of")
     one_id = of.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).filter("leader < last")
-    same_id = of.join(one_id, "doc_id").filter(F.col("doc") != F.col("leader")).select("doc", "leader").distinct()
+    same_id = _met(of, one_id, "doc_id").filter(F.col("doc") != F.col("leader")).select("doc", "leader").distinct()
     found = components(pairs.select("doc", "leader").unionByName(same_id), scratch)
-    of = scratch.cut(of.join(found, "doc", "left").select("row", "doc_id", F.coalesce("class", "doc").alias("class")), "classes")
+    of = scratch.cut(_met(of, found, "doc", "left").select("row", "doc_id", F.coalesce("class", "doc").alias("class")), "classes")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row")))
     # rows of one id count once: the first of its rows stands for it
     first = of.groupBy("class", F.coalesce(F.col("doc_id"), -1 - F.col("row")).alias("id"), F.col("doc_id").isNull().alias("none")).agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"))
     head = first.groupBy("class").agg(F.count("*").alias("class_size"), head.alias("head"))
-    out = of.join(head, "class").select(F.col("row").alias("_row"), "doc_id", F.col("head.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("head.row")).alias("kept"))
+    out = _met(of, head, "class").select(F.col("row").alias("_row"), "doc_id", F.col("head.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("head.row")).alias("kept"))
     return docs, out
 
 
