@@ -30,9 +30,9 @@ def token_stream(docs: DataFrame, order: str, tokens: str, by: str) -> DataFrame
 
 def token_pairs(docs: DataFrame, tokens: str, by: str) -> DataFrame:
     """(by, prev, tok) of documents without positions: what counts of pairs need, and no shuffle."""
-    own = docs.withColumn("_t", F.concat(tokens, F.array(F.lit(SEPARATOR))))
-    zipped = F.arrays_zip(F.concat(F.array(F.lit(SEPARATOR)), F.slice("_t", F.lit(1), F.size("_t") - 1)).alias("p"), F.transform("_t", lambda x: x).alias("t"))
-    return own.select(by, F.explode_outer(zipped).alias("z")).select(by, F.col("z.p").alias("prev"), F.col("z.t").alias("tok"))
+    separator = F.array(F.lit(SEPARATOR))
+    zipped = F.arrays_zip(F.concat(separator, tokens).alias("p"), F.concat(tokens, separator).alias("t"))
+    return docs.select(by, F.explode_outer(zipped).alias("z")).select(by, F.col("z.p").alias("prev"), F.col("z.t").alias("tok"))
 
 
 def window_of_target(stream: DataFrame, by: str, ctx: int, cap: int | None = None) -> DataFrame:
@@ -49,15 +49,18 @@ def window_of_target(stream: DataFrame, by: str, ctx: int, cap: int | None = Non
 def ngram_nll(targets: DataFrame, train: DataFrame) -> DataFrame:
     """M3 stand-in: adds nll: -ln of half an add-one unigram plus half a bigram model of the train stream.
 
-    The train stream is counted once, into a written table of its different pairs; ``targets`` are read twice.
+    The pairs of both are counted in one grouping, into a written table of the different ones: how often the train stream has
+    each, and whether the targets ask for it. So nothing is joined with the train stream's pairs; ``targets`` are read twice.
     """
-    bi = Scratch(train.sparkSession, "ngrams").cut(train.groupBy("prev", "tok").agg(F.count("*").alias("c2")), "pairs")  # every token has one before it, so its sums are the others
-    uni = bi.groupBy("tok").agg(F.sum("c2").alias("c1"))
-    pre = bi.groupBy("prev").agg(F.sum("c2").alias("c0"))
+    scratch = Scratch(train.sparkSession, "ngrams")
+    both = train.select("prev", "tok", F.lit(1).alias("own")).unionByName(targets.select("prev", "tok", F.lit(0).alias("own")))
+    bi = scratch.cut(both.groupBy("prev", "tok").agg(F.sum("own").alias("c2"), (F.min("own") == 0).alias("asked")), "pairs")
+    seen = bi.filter("c2 > 0")  # every token has one before it, so sums over pairs are the other counts
+    uni = scratch.cut(seen.groupBy("tok").agg(F.sum("c2").alias("c1")), "tokens")
+    pre = seen.groupBy("prev").agg(F.sum("c2").alias("c0"))
     total = uni.agg(F.sum("c1").alias("n"), F.count("*").alias("v"))
     # joins on words, of which some are in most pairs, see each different pair of the targets once
-    pairs = targets.select("prev", "tok").distinct()
-    out = pairs.join(bi, ["prev", "tok"], "left").join(uni, "tok", "left").join(pre, "prev", "left").join(F.broadcast(total))  # one row
+    out = bi.filter("asked").join(uni, "tok", "left").join(pre, "prev", "left").join(F.broadcast(total))  # one row
     p1 = (F.coalesce("c1", F.lit(0)) + 1.0) / (F.col("n") + F.col("v") + 1.0)
     p2 = F.coalesce(F.col("c2") / F.col("c0"), F.lit(0.0))
     return targets.join(out.select("prev", "tok", (-F.log(0.5 * p1 + 0.5 * p2)).alias("nll")), ["prev", "tok"])
