@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.corpus import json_line_bytes, next_fit, running
 from .scratch import Scratch, delete
+from .tables import bounded
 from .token_source import manifest, write_token_files
 from .versioned import get, put
 
@@ -48,11 +49,14 @@ def rolled_jsonl(docs: DataFrame, order: str, path: str, cap: int, batch: int =
     if get(spark, f"{path}/manifest.json"):
         raise FileExistsError(f"{path} already exists and is complete")
     delete(spark, path)
-    own = docs.select(order, "text").withColumn("_batch", F.floor(F.col(order) / batch)).withColumn("_bytes", json_line_bytes(F.col("text")))
-    sizes = own.groupBy("_batch").agg(F.sum("_bytes").alias("_size"))
-    placed = own.join(next_fit(sizes, "_batch", "_size", cap), "_batch").withColumn("file", F.format_string("shard_%05d.jsonl", "shard"))
+    scratch = Scratch(spark, "rolled")
+    own = docs.select(order, "text").withColumn("_batch", F.floor(F.col(order) / batch))
+    each = own.groupBy("_batch").agg(F.sum(json_line_bytes(F.col("text"))).alias("_size"), F.count("*").alias("_documents"), F.sum(F.length("text")).alias("_chars"))
+    each = scratch.cut(each, "batches")  # texts are read for it once, and once more to be written
+    shard = scratch.cut(next_fit(each.select("_batch", "_size"), "_batch", "_size", cap), "shards").withColumn("file", F.format_string("shard_%05d.jsonl", "shard"))
+    placed = own.join(bounded(shard), "_batch")
     named_files(placed.select("file", F.to_json(F.struct("text")).alias("value"), order), path, order)
-    per = placed.groupBy("shard", "file").agg(F.count("*").alias("documents"), F.sum("_bytes").alias("bytes_jsonl"), F.sum(F.length("text")).alias("chars"))
+    per = each.join(shard, "_batch").groupBy("shard", "file").agg(F.sum("_documents").alias("documents"), F.sum("_size").alias("bytes_jsonl"), F.sum("_chars").alias("chars"))
     shards = [r.asDict() for r in per.orderBy("shard").collect()]  # a row per shard, as the manifest lists them
     told = {k: sum(s[k] or 0 for s in shards) for k in ("documents", "bytes_jsonl", "chars")}
     put(spark, f"{path}/manifest.json", json.dumps(told | {"shards": [s["file"] for s in shards], "provenance": provenance or {}}, indent=1))
