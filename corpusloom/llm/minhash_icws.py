@@ -389,28 +389,48 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
         ask = _met(_met(ask, texts, "doc"), texts.select(F.col("doc").alias("leader"), F.col("text").alias("leader_text")), "leader")
         return scratch.cut(ask.select("doc", "leader", "text", "leader_text").mapInArrow(_compared(sent, threshold, near), COMPARED), name)
 
-    # rounds: members of a group against its representative; those far from it form the groups of the next round
+    # rounds: members of a group against its representative; those far from it are grouped by their rarest shingles, and each such
+    # group goes on with those far from its representative. It does not split again: all that share its shingle are in it. Once the
+    # pairs of all groups are no more than the members of the first round, they are compared at once
     group = _met(member, central, "doc").select(F.lit(0).cast("long").alias("chain"), "key", "doc", "rank")
     apart = 1 - threshold + 1e-6
     tried = lambda: scratch.all_of(tables, COMPARED)
-    tables, parts, k, open_texts = [], [], 0, texts
+    ways = F.array(F.struct("doc", "leader"), F.struct(F.col("leader").alias("doc"), F.col("doc").alias("leader")))
+    either = lambda: tried().select(F.inline(ways))
+    tables, parts, k, first, open_texts = [], [], 0, 0, texts
     while True:
-        told = scratch.cut(led(group), f"told{k}")
-        if told.isEmpty():
+        # groups of the same members are one
+        of_group = [F.max("rank").alias("top"), F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(c) for i, c in enumerate("xy")]]
+        lead = group.groupBy("chain", "key").agg(*of_group).filter(F.col("n") > 1).groupBy("chain", "top", "n", "x", "y").agg(F.min("key").alias("key")).select("chain", "key", "top", "n")
+        leader = central.select(F.col("doc").alias("leader"), F.col("rank").alias("top"))
+        held = scratch.cut(_met(_met(group, lead, ["chain", "key"]), leader, "top").filter(F.col("doc") != F.col("leader")).select("chain", "key", "doc", "rank", "leader", "n"), f"told{k}")
+        rows, ends = held.agg(F.count("*"), F.sum("n")).first()
+        if not rows:
             break
+        first = first or rows
+        told = held.select("chain", "doc", "leader").distinct()
         if k:  # later rounds compare few documents: only their texts are dealt out
             asked = told.select("doc").unionByName(told.select(F.col("leader").alias("doc"))).distinct()
             open_texts = scratch.cut(_met(open_texts, asked, "doc", "left_semi"), f"texts{k}")
+        if k and ends <= 2 * first:
+            each = held.select("chain", "key", "doc").unionByName(held.select("chain", "key", F.col("leader").alias("doc")).distinct())
+            ask = _met(each, each.withColumnRenamed("doc", "leader"), ["chain", "key"]).filter("doc < leader").select("doc", "leader").distinct()
+            compared(ask, "pairs", open_texts, either())
+            tables.append("pairs")
+            break
         compared(told.select("doc", "leader").distinct(), f"compared{k}", open_texts, tried() if tables else None)
         tables.append(f"compared{k}")
-        seen = _met(told, tried(), ["doc", "leader"]).withColumn("chain", F.xxhash64("chain", "leader"))
+        seen = _met(told, tried(), ["doc", "leader"]).withColumn("chain", F.xxhash64("chain", "leader", F.lit(k)))
         open_ = seen.groupBy("chain").agg(F.min("stands").alias("least"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("least") < SIMILAR)).select("chain")
         parts.append(f"seen{k}")
         others = scratch.cut(_met(_met(seen, open_, "chain"), central, "doc"), f"seen{k}")
         kind = others.schema
-        others = others.filter(F.col("stands") == FAR).select("chain", "doc", "rank", "prefix")
-        others = _met(others, others.groupBy("chain").count().filter("count > 1").select("chain"), "chain", "left_semi")
-        group = spread(others, "prefix").select("chain", "doc", "rank", F.explode("prefix").alias("key"))
+        if k:
+            group = _met(held, tried().filter(F.col("stands") == FAR).select("doc", "leader"), ["doc", "leader"]).select("chain", "key", "doc", "rank")
+        else:
+            others = others.filter(F.col("stands") == FAR).select("chain", "doc", "rank", "prefix")
+            others = _met(others, others.groupBy("chain").count().filter("count > 1").select("chain"), "chain", "left_semi")
+            group = spread(others, "prefix").select("chain", "doc", "rank", F.explode("prefix").alias("key"))
         k += 1
     if not tables:
         return node.sparkSession.createDataFrame([], "doc long, leader long, sim double")
@@ -448,8 +468,6 @@ def similar_pairs(node: DataFrame, texts: DataFrame, weights: Weights, scratch:
     rows = scratch.cut(_met(rows.withColumn("whole", F.col("use") >= 2), shared, ["chain", "whole", "key"], "left_semi"), "shared")
     wide = seen.select("chain", "doc", "stands", "sim", "away", "base", "added", "added_least", "lacking", "lacking_least", "bits")
     # turns: the members that share a name against one of them, another one in each turn, while classes grow together
-    ways = F.array(F.struct("doc", "leader"), F.struct(F.col("leader").alias("doc"), F.col("doc").alias("leader")))
-    either = lambda: tried().select(F.inline(ways))
     for turn in range(TURNS):
         now = _met(rows.filter(~F.col("whole")).select("chain", "key", "doc"), of, "doc")
         first = F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("at"), F.col("doc").alias("leader"), F.col("class").alias("led"))).alias("first")
